@@ -55,7 +55,8 @@ RULES: tuple[Rule, ...] = (
     Rule("SSN", r"\d{3}-\d{2}-\d{4}", 0.9),
     Rule("CREDITCARDNUMBER", r"\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4,}", 0.97, _is_card),
     Rule("IBAN", r"[A-Z]{2}\d{2}(?: ?\d{4}){4}", 0.98),
-    Rule("SECURITYTOKEN", r"[0-9a-f]{40}|(?:sk|pk)_(?:live|test)_[A-Za-z0-9]{32,40}", 0.96),
+    Rule("SECURITYTOKEN", r"[0-9a-f]{40}|(?:sk|pk)_(?:live|test)_[A-Za-z0-9]{32,40}", 0.96,
+         digits=False),
     Rule("DATEOFBIRTH", r"\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4}", 0.7),
     Rule("NATIONALID", r"\d{3}-\d{4}-\d{4}", 0.8),
     Rule("IDCARDNUM", r"\d{2}-\d{7}", 0.6),
@@ -121,7 +122,7 @@ def rule_entities(text: Column, rules: Iterable[Rule] = RULES) -> Column:
     numeric = [hits(r) for r in rules if r.digits]
     groups = F.array(*plain) if plain else None
     if numeric:
-        gated = F.when(text.rlike(r"\d\d"), F.array(*plain, *numeric))
+        gated = F.when(text.rlike("[0-9]"), F.array(*plain, *numeric))
         groups = gated if groups is None else gated.otherwise(groups)
     if groups is None:
         return no_entities()
