@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pii_spark.plans import detection
+from pii_spark.plans import detection, exchanges, vaults
 
-_MODULES = [detection]
+_MODULES = [detection, vaults, exchanges]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 
