@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
 from pii_spark.functions.offsets import find_matches, let
-from pii_spark.functions.ranking import mark_smallest
+from pii_spark.functions.ranking import cut_lineage, mark_smallest
 
 TOKEN = r"\w+|[^\w\s]"
 TOKENS = "array<struct<text:string,start:int,end:int>>"
@@ -212,8 +212,10 @@ def split_balanced(df: DataFrame, key: str, types: str = "types", ratio: float =
     Every label nominates its round(count * ratio), at least one, rarest samples (rarity is the sum
     of 1 / label frequency). Nominated samples go first, by rarity; the rest is filled by hash. The
     sequential greedy selection has the same aim, but needs one task for all samples.
+
+    Labels and nominations are checkpointed: the exact cuts read them several times.
     """
-    slim = df.select(key, types)
+    slim = cut_lineage(df.select(key, types))
     pairs = slim.select(key, F.explode(types).alias("label"))
     freq = pairs.groupBy("label").agg(F.count("*").alias("f"))
     scored = pairs.join(freq, "label")
@@ -226,12 +228,15 @@ def split_balanced(df: DataFrame, key: str, types: str = "types", ratio: float =
         lambda n: F.greatest(F.lit(1), F.round(n * ratio)).cast("bigint"),
         key, by=["label"], first=-F.col("rarity"),
     )
-    nominated = ranked.groupBy(key).agg(
-        F.max("chosen").alias("nominated"), F.max("rarity").alias("rarity")
+    nominated = cut_lineage(
+        slim.select(key).join(
+            ranked.groupBy(key).agg(F.max("chosen").alias("nominated"), F.max("rarity").alias("rarity")),
+            key, "left",
+        )
     )
     order = F.when(F.coalesce("nominated", F.lit(False)), -F.col("rarity")).otherwise(F.lit(1))
     marked = mark_smallest(
-        slim.select(key).join(nominated, key, "left"),
+        nominated,
         hash_order(F.col(key), seed), lambda n: split_size(n, ratio), key, first=order,
     )
     side = F.when(F.col("chosen"), "validation").otherwise("train").alias("split")

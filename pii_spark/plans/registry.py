@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pii_spark.plans import detection, exchanges, vaults
+from pii_spark.plans import datasets, detection, exchanges, vaults
 
-_MODULES = [detection, vaults, exchanges]
+_MODULES = [detection, vaults, exchanges, datasets]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 
