@@ -72,6 +72,8 @@ def exact_percentiles(
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", points, accuracy).alias("_q"),
     )
+    # Below this size a bracket may span less than one rank, and the group is small anyway.
+    small = F.col("_n") <= accuracy
     brackets = sketch.select(
         *by,
         "_n",
@@ -79,8 +81,8 @@ def exact_percentiles(
             F.array(*[
                 F.struct(
                     F.lit(f).alias("fraction"),
-                    F.when(F.lit(f - slack <= 0), F.col("_min")).otherwise(F.col("_q")[2 * i]).alias("_lo"),
-                    F.when(F.lit(f + slack >= 1), F.col("_max")).otherwise(F.col("_q")[2 * i + 1]).alias("_hi"),
+                    F.when(small | F.lit(f - slack <= 0), F.col("_min")).otherwise(F.col("_q")[2 * i]).alias("_lo"),
+                    F.when(small | F.lit(f + slack >= 1), F.col("_max")).otherwise(F.col("_q")[2 * i + 1]).alias("_hi"),
                 )
                 for i, f in enumerate(fractions)
             ])

@@ -1,8 +1,9 @@
 """From stored model scores to spans.
 
 A chunk row is (key, chunk_ix, shift, text, tokens ARRAY<STRUCT<text,start,end>>, logits
-ARRAY<ARRAY<FLOAT>>): at most 512 tokens and only their piece of the text, with offsets relative to
-``shift``. Every row is small, however long the whole text is, and rows are independent.
+ARRAY<FLOAT>): at most 512 tokens and only their piece of the text, with offsets relative to
+``shift``, and their scores token by token in one array. Every row is small, however long the whole
+text is, and rows are independent.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ def chunk_starts(n: Column, max_len: int = fv.MAX_TOKENS, overlap: int = fv.CHUN
 
 def chunk_tokens(
     df: DataFrame, key: str = "doc_id", text: str = "text", tokens: str = "tokens",
-    max_len: int = fv.MAX_TOKENS, overlap: int = fv.CHUNK_OVERLAP,
+    max_len: int = fv.MAX_TOKENS, overlap: int = fv.CHUNK_OVERLAP, parallel: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per chunk: (key, chunk_ix, first_token, shift, text, tokens).
+    """One row per chunk: (key, chunk_ix, first_token, shift, text, tokens) and the chunk's part of
+    the ``parallel`` arrays, which hold one element per token.
 
     ``text`` is the chunk's piece plus the character after it, which trimming looks at.
     """
@@ -53,6 +55,7 @@ def chunk_tokens(
         pieces,
         lambda p: F.struct(
             p["first_token"], p["shift"],
+            *[F.slice(F.col(c), p["first_token"] + 1, F.lit(max_len)).alias(c) for c in parallel],
             F.substring(F.col(text), p["shift"] + 1, p["reach"] - p["shift"] + 1).alias("text"),
             F.transform(
                 p["ts"],
@@ -112,7 +115,7 @@ def viterbi(scores: np.ndarray, transitions: np.ndarray, start: np.ndarray, end:
 
 
 def decode_logits(chunks: DataFrame, labels: list[str], crf: dict | None = None) -> DataFrame:
-    """Add ``tags`` and ``confidences``: Viterbi over ``crf`` (transitions, start, end) or argmax.
+    """Add ``decoded``, a (tag, confidence) per token: Viterbi over ``crf`` (transitions, start, end) or argmax.
 
     The CRF tables are a few thousand numbers and travel with the function.
     """
@@ -128,19 +131,14 @@ def decode_logits(chunks: DataFrame, labels: list[str], crf: dict | None = None)
             if rows is None or len(rows) == 0:
                 out.append([])
                 continue
-            scores = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
+            scores = np.asarray(rows, dtype=np.float64).reshape(-1, len(names))
             path = scores.argmax(axis=1) if tables is None else viterbi(scores, *tables)
             weights = np.exp(scores - scores.max(axis=1, keepdims=True))
             picked = weights[np.arange(len(path)), path] / weights.sum(axis=1)
             out.append([{"tag": t, "confidence": float(c)} for t, c in zip(names[path], picked)])
         return pd.Series(out)
 
-    decoded = chunks.withColumn("_d", decode("logits"))
-    return (
-        decoded.withColumn("tags", F.transform("_d", lambda d: d["tag"]))
-        .withColumn("confidences", F.transform("_d", lambda d: d["confidence"]))
-        .drop("_d", "logits")
-    )
+    return chunks.withColumn("decoded", decode("logits")).drop("logits")
 
 
 def _base(tag: Column) -> Column:
@@ -153,7 +151,7 @@ def is_joiner(token: Column) -> Column:
 
 
 def group_spans(
-    text: Column, tokens: Column, tags: Column, confidences: Column, threshold: float = fv.DEFAULT_THRESHOLD
+    text: Column, tokens: Column, decoded: Column, threshold: float = fv.DEFAULT_THRESHOLD
 ) -> Column:
     """Entities of tagged tokens.
 
@@ -183,10 +181,10 @@ def group_spans(
             confidence.alias("confidence"), done.alias("done"),
         ).cast(state)
 
-    def step(acc: Column, i: Column) -> Column:
-        token, c = F.get(tokens, i), F.get(confidences, i)
-        own = F.when(c >= threshold, F.get(tags, i)).otherwise(F.lit("O"))
-        after, after_c = F.get(tags, i + 1), F.get(confidences, i + 1)
+    def step(xs: Column, acc: Column, i: Column) -> Column:
+        token, c = F.get(tokens, i), F.get(xs, i)["confidence"]
+        own = F.when(c >= threshold, F.get(xs, i)["tag"]).otherwise(F.lit("O"))
+        after, after_c = F.get(xs, i + 1)["tag"], F.get(xs, i + 1)["confidence"]
         bridged = (
             (own == "O") & acc["label"].isNotNull() & is_joiner(token["text"])
             & F.coalesce((after_c >= threshold) & (after != "O") & (_base(after) == acc["label"]), F.lit(False))
@@ -212,9 +210,13 @@ def group_spans(
         return F.when(token["end"] <= token["start"], acc).otherwise(let(seen, consume))
 
     zero = make(F.lit(None).cast("string"), F.lit(0), F.lit(0), F.lit(0.0), F.array().cast(ENTITIES))
-    return F.when(F.size(tokens) == 0, F.array().cast(ENTITIES)).otherwise(
-        F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), zero, step, finished)
-    )
+    def folded(xs: Column) -> Column:
+        indices = F.sequence(F.lit(0), F.size(xs) - 1)
+        return F.when(F.size(xs) == 0, F.array().cast(ENTITIES)).otherwise(
+            F.aggregate(indices, zero, lambda acc, i: step(xs, acc, i), finished)
+        )
+
+    return let(decoded, folded)
 
 
 def decode_spans(
@@ -226,7 +228,7 @@ def decode_spans(
     Only the found entities are shuffled to bring the chunks of a text together.
     """
     check_threshold(threshold)
-    local = group_spans(F.col("text"), F.col("tokens"), F.col("tags"), F.col("confidences"), threshold)
+    local = group_spans(F.col("text"), F.col("tokens"), F.col("decoded"), threshold)
     shifted = F.transform(
         local,
         lambda e: entity(e["text"], e["label"], e["start"] + F.col("shift"), e["end"] + F.col("shift"), e["confidence"]),

@@ -92,7 +92,7 @@ def corrected_samples(reviews: DataFrame, second: DataFrame, texts: DataFrame, k
         ),
     )
     return (
-        second.join(dirty, key, "left_semi").join(texts.select(key, "text"), key)
+        second.select(key, "privacy_mask").join(dirty, key, "left_semi").join(texts.select(key, "text"), key)
         .select(key, "text", entries.alias("entries"))
     )
 

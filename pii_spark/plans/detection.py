@@ -200,6 +200,8 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY lang""",
         "detect_threshold": f"WITH {spans} SELECT label, count(*) AS entities FROM spans WHERE c >= 0.93 GROUP BY label",
         "synthetic_detection": f"""WITH {gold}, {sql.rule_spans('spans', 'gold_text')}
 SELECT doc_id, original AS value, label, s AS start, round(c, 4) AS confidence FROM spans""",
+        "merge_longest": f"""WITH {gold}, {sql.rule_spans('spans', 'gold_text', policy='longest')}
+SELECT doc_id, original AS value, label, s AS start FROM spans""",
         "gazetteer_hits": f"""WITH {gold}, gaz AS ({gaz}), tk AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '{word}')) AS v, unnest(string_split_regex(text, '{word}')) AS g,
     generate_subscripts(string_split_regex(text, '{word}'), 1) AS i FROM gold_text

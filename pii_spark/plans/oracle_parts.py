@@ -90,7 +90,9 @@ def dummy_value(label: str = "label", original: str = "original") -> str:
     return f"(CASE {label} {cases} ELSE {quote(fv.GENERIC_DUMMY)} END)"
 
 
-def rule_spans(name: str, source: str, key: str = "doc_id", text: str = "text") -> str:
+def rule_spans(
+    name: str, source: str, key: str = "doc_id", text: str = "text", policy: str = "confidence"
+) -> str:
     """CTEs ending in ``name``(key, text, label, start, end, confidence): the merged rule matches.
 
     ``source`` is a table or CTE. Overlaps are folded with list_reduce over (done, current) pairs.
@@ -119,6 +121,12 @@ def rule_spans(name: str, source: str, key: str = "doc_id", text: str = "text")
         "WHEN b.cur.label = a.cur.label THEN a "
         "ELSE {'done': a.done, 'cur': CASE WHEN b.cur.c > a.cur.c THEN b.cur ELSE a.cur END} END"
     )
+    if policy == "longest":
+        fold = (
+            "CASE WHEN b.cur.s >= a.cur.e THEN {'done': list_append(a.done, a.cur), 'cur': b.cur} "
+            "WHEN b.cur.label = a.cur.label AND b.cur.e > a.cur.e THEN {'done': a.done, 'cur': {'s': a.cur.s, 'e': b.cur.e, 'label': a.cur.label, 'c': greatest(a.cur.c, b.cur.c)}} "
+            "WHEN b.cur.label <> a.cur.label AND b.cur.e - b.cur.s > a.cur.e - a.cur.s THEN {'done': a.done, 'cur': b.cur} ELSE a END"
+        )
     return f"""{name}_raw AS ({' UNION ALL '.join(selects)}),
 {name}_at AS (
   SELECT k, t, label, c, v, (sum(length(g) + length(v)) OVER (PARTITION BY k, label ORDER BY i))::BIGINT AS e

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pii_spark.plans import datasets, detection, exchanges, vaults
+from pii_spark.plans import datasets, detection, evaluation, exchanges, vaults
 
-_MODULES = [detection, vaults, exchanges, datasets]
+_MODULES = [detection, vaults, exchanges, datasets, evaluation]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 
