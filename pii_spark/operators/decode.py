@@ -117,7 +117,8 @@ def viterbi(scores: np.ndarray, transitions: np.ndarray, start: np.ndarray, end:
 def decode_logits(chunks: DataFrame, labels: list[str], crf: dict | None = None) -> DataFrame:
     """Add ``decoded``, a (tag, confidence) per token: Viterbi over ``crf`` (transitions, start, end) or argmax.
 
-    The CRF tables are a few thousand numbers and travel with the function.
+    The CRF tables are a few thousand numbers and travel with the function. ``logits`` should be a
+    stored column: Spark does not run a Python function on an expression with nested lambdas.
     """
     names = np.array(labels, dtype=object)
     tables = None

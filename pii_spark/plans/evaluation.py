@@ -120,13 +120,11 @@ def score_chunks(spark, sf):
     spans = prepare.align_bio(privacy_mask(detected_documents(spark, sf))).select("doc_id", "text", "tokens", "tags")
     pieces = decode.chunk_tokens(spans, parallel=("tags",))
     names = F.array(*[F.lit(t) for t in TAGS])
+    rows = [[8.0 if i == j else 0.0 for j in range(len(TAGS))] for i in range(len(TAGS))]
+    table_of_scores = F.from_json(F.lit(str(rows)), "array<array<float>>")
 
     def scores(tag):
-        best = F.array_position(names, tag) - 1
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(len(TAGS) - 1)),
-            lambda j: F.when(j == best, 8.0).otherwise(0.0).cast("float"),
-        )
+        return F.get(table_of_scores, (F.array_position(names, tag) - 1).cast("int"))
 
     return pieces.withColumn("logits", F.flatten(F.transform("tags", scores))).drop("tags")
 
@@ -400,10 +398,10 @@ SELECT 'issue_type' AS section, issue_type AS name, count(*) AS n FROM iss GROUP
         "noisiest_files": f"""{rev} SELECT file_name, count(*) AS issue_count, count_if(issue_type = 'WRONG_LABEL')::BIGINT AS wrong_label,
   count_if(issue_type = 'EXTRA')::BIGINT AS extra, count_if(issue_type = 'MISSING')::BIGINT AS missing FROM det GROUP BY file_name ORDER BY issue_count DESC, file_name LIMIT 20""",
         "example_issues": f"{rev} SELECT file_name, issue_type, pos FROM det JOIN cnt ON cnt.doc_id = det.doc_id ORDER BY cnt.n DESC, file_name, pos LIMIT 30",
-        "corrected_samples": f"""{rev}, pl AS (SELECT o.doc_id, o.original, o.label, strpos(t.text, o.original) - 1 AS at,
+        "corrected_samples": f"""{rev}, pl AS (SELECT o.doc_id, o.original, o.label, strpos(t.text, o.original) - 1 AS p0,
     row_number() OVER (PARTITION BY o.doc_id ORDER BY (o.c = 0.5), o.s) AS i
   FROM other o JOIN gold_text t ON t.doc_id = o.doc_id WHERE {std.replace('label', 'o.label')}),
-en AS (SELECT doc_id, string_agg('ent-' || i || ':' || at || ':' || original || ':' || label, ';' ORDER BY i) AS entries FROM pl GROUP BY doc_id)
+en AS (SELECT doc_id, string_agg('ent-' || i || ':' || p0 || ':' || original || ':' || label, ';' ORDER BY i) AS entries FROM pl GROUP BY doc_id)
 SELECT 'doc_' || cnt.doc_id || '.json' AS file_name, coalesce(entries, '') AS entries FROM cnt LEFT JOIN en ON en.doc_id = cnt.doc_id""",
         "ledger_merge": f"{ledgers} SELECT 'doc_' || doc_id || '.json' AS file_name, CASE WHEN n > 0 THEN 'DIRTY' ELSE 'CLEAN' END AS status, n AS issue_count FROM led",
         "ledger_rows": f"""{files}, sh AS (SELECT doc_id, string_agg(substr(detail, 1, 80), '; ' ORDER BY pos) AS t FROM det WHERE pos < 5 GROUP BY doc_id)
