@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pii_spark.sources.scratch import shared_folder
+
 def mark_smallest(
     df: DataFrame,
     hashed: Column,
@@ -114,19 +116,8 @@ def exact_percentiles(
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` into the folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """``checkpoint()`` into the shared folder of the cluster."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="pii-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

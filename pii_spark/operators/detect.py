@@ -185,6 +185,12 @@ def filter_confidence(df: DataFrame, threshold: float = fv.DEFAULT_THRESHOLD) ->
     return df.withColumn("entities", F.filter("entities", lambda s: s["confidence"] >= threshold))
 
 
+def spans_view(df: DataFrame, name: str, key: str = "doc_id", text: str = "text") -> None:
+    """Temporary view (key, text, label, start, end, confidence) of the rule entities, for SQL."""
+    found = explode_entities(detect_rules(df.select(key, text), text=text), key)
+    found.createOrReplaceTempView(name)
+
+
 # A dictionary up to this many entries travels to every task; a larger one is joined by shuffle.
 BROADCAST_ENTRIES = 100_000
 WORD = r"[\p{L}\p{N}_']+"
@@ -200,9 +206,9 @@ def detect_dictionary(
 ) -> DataFrame:
     """Entities of words that equal an entry of ``gazetteer(value, label)``.
 
-    Gives (key, text, label, start, end, confidence) rows. Words are counted per distinct value
-    nowhere: the join is on the word, and a hot word only meets its few dictionary rows. The
-    dictionary is broadcast only when counting it shows that it is small.
+    Gives (key, text, label, start, end, confidence) rows. A hot word only meets its few dictionary
+    rows. The dictionary is broadcast only when counting it shows that it is small; a larger one is
+    joined by shuffle, where adaptive execution splits hot words.
     """
     entries = gazetteer.select(F.col("value").alias("word"), "label").distinct()
     if broadcast is None:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pii_spark.plans import datasets, detection, evaluation, exchanges, vaults
+from pii_spark.plans import datasets, detection, evaluation, exchanges, files, vaults
 
-_MODULES = [detection, vaults, exchanges, datasets, evaluation]
+_MODULES = [detection, vaults, exchanges, datasets, evaluation, files]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 
