@@ -1,4 +1,4 @@
-"""Replacement values for the 26 labels, as column expressions over a keyed hash.
+"""Replacement values for the 26 labels, as expressions over a keyed hash.
 
 The same (salt, label, original, attempt) always gives the same dummy, so retried tasks and
 reruns agree, and equal originals share one dummy without any shared state.
@@ -10,146 +10,124 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.offsets import let
+from pii_spark.functions.offsets import bind, let_sql, text_literal
+
+_DRAWS = 6
+
+
+def draw_sql(key: str, i: str) -> str:
+    return f"CAST(conv(substring(md5(concat_ws('|', {key}, {i})), 1, 8), 16, 10) AS BIGINT)"
 
 
-def hash_draw(key: Column, i: Column | int) -> Column:
+def hash_draw(key: Column, i: int) -> Column:
     """Non-negative BIGINT below 2^32 from ``key`` and the draw number."""
-    number = F.lit(i) if isinstance(i, int) else i
-    return F.conv(F.substring(F.md5(F.concat_ws("|", key, number)), 1, 8), 16, 10).cast("bigint")
+    return let_sql(key, draw_sql("x", str(i)))
 
 
-def words(pool: list[str]) -> Column:
+def words_sql(pool: list[str]) -> str:
     """The pool as one literal array."""
-    return F.split(F.lit("|".join(pool)), r"\|")
+    return f"split({text_literal('|'.join(pool))}, '[|]')"
 
 
-def _pick_excluding(pool: list[str], draw: Column, original: Column) -> Column:
-    """A word of the pool other than ``original``; ``original`` itself if there is no other."""
-    return let(
-        F.array_remove(words(pool), original),
-        lambda others: F.when(
-            F.size(others) > 0, F.get(others, (draw % F.size(others)).cast("int"))
-        ).otherwise(original),
-    )
+def words(pool: list[str]) -> Column:
+    return F.expr(words_sql(pool))
 
 
-def _characters(chars: str, length: Column, key: Column) -> Column:
-    digest = F.concat(*[F.md5(F.concat_ws("|", key, F.lit(f"c{j}"))) for j in range(3)])
-    return let(
-        digest,
-        lambda d: F.array_join(
-            F.transform(
-                F.sequence(F.lit(0), length - 1),
-                lambda i: F.substring(
-                    F.lit(chars),
-                    (F.conv(F.substring(d, 2 * i + 1, F.lit(2)), 16, 10).cast("int") % len(chars)) + 1,
-                    F.lit(1),
-                ),
-            ),
-            "",
-        ),
-    )
+def _number(i: int, low: int, span: int) -> str:
+    return f"CAST(d[{i}] % {span} + {low} AS STRING)"
 
 
-_DRAWS = 6
+def _pick(pool: list[str], i: int) -> str:
+    return f"get({words_sql(pool)}, CAST(d[{i}] % {len(pool)} AS INT))"
 
 
-def generate_dummy(
-    label: Column, original: Column, salt: str = "", attempt: Column | None = None
-) -> Column:
-    """Dummy value for ``original``; unknown labels give ``[REDACTED]``."""
-    seed = F.concat_ws("|", F.lit(salt), label, original, F.lit(0) if attempt is None else attempt)
-    numbers = F.sequence(F.lit(0), F.lit(_DRAWS - 1))
-    inputs = let(
-        seed,
-        lambda key: F.struct(
-            key.alias("key"), F.transform(numbers, lambda i: hash_draw(key, i)).alias("draws")
-        ),
+def _other(pool: list[str], original: str) -> str:
+    """A word of the pool other than ``original``; ``original`` itself if there is no other."""
+    return bind(
+        f"array_remove({words_sql(pool)}, {original})", "rest",
+        f"CASE WHEN size(rest) > 0 THEN get(rest, CAST(d[0] % size(rest) AS INT)) ELSE {original} END",
     )
-    return let(inputs, lambda x: _dummy(label, original, x["key"], x["draws"]))
 
 
-def _dummy(label: Column, original: Column, key: Column, draws: Column) -> Column:
-    def draw(i: int) -> Column:
-        return F.get(draws, F.lit(i))
+def _letter(i: int, span: int = 26) -> str:
+    return f"substring('{fv.LETTERS}', CAST(d[{i}] % {span} + 1 AS INT), 1)"
 
-    def n(i: int, low: int, span: int) -> Column:
-        return (draw(i) % span + low).cast("string")
 
-    def letter(i: int, span: int = 26) -> Column:
-        return F.substring(F.lit(fv.LETTERS), (draw(i) % span + 1).cast("int"), F.lit(1))
+def _characters(chars: str, length: str, key: str) -> str:
+    digest = "concat(" + ", ".join(f"md5(concat_ws('|', {key}, 'c{j}'))" for j in range(3)) + ")"
+    one = (
+        f"substring({text_literal(chars)}, "
+        f"CAST(conv(substring(hex, 2 * i + 1, 2), 16, 10) AS INT) % {len(chars)} + 1, 1)"
+    )
+    return bind(digest, "hex", f"array_join(transform(sequence(0, {length} - 1), i -> {one}), '')")
 
-    def pick(pool: list[str], i: int) -> Column:
-        return F.get(words(pool), (draw(i) % len(pool)).cast("int"))
 
-    def other(pool: list[str]) -> Column:
-        return _pick_excluding(pool, draw(0), original)
+def _generators(original: str, key: str) -> dict[str, str]:
+    """SQL text per label, over the draws ``d``."""
+    third = f"substring({original}, 3, 1)"
+    sep = f"CASE WHEN {third} IN ('/', '-') THEN {third} ELSE '/' END"
+    phone = ", ".join([_number(0, 200, 800), _number(1, 200, 800), _number(2, 1000, 9000)])
+    card = f"concat_ws(' ', {', '.join(_number(i, 1000, 9000) for i in range(4))})"
+    iban = ", ".join(_number(i, 1000, 9000) for i in range(2, 6))
+    zip_code = _number(0, 10000, 89999)
+    building = _number(0, 1, 999)
 
-    def two(i: int, low: int, span: int) -> Column:
-        return F.lpad(n(i, low, span), 2, "0")
+    def dashed(*parts: str) -> str:
+        return f"concat_ws('-', {', '.join(parts)})"
 
-    third = F.substring(original, 3, 1)
-    date_sep = F.when((F.length(original) > 2) & third.isin("/", "-"), third).otherwise(F.lit("/"))
-    phone_parts = [n(0, 200, 800), n(1, 200, 800), n(2, 1000, 9000)]
-    phone_form = draw(3) % 3
-    phone = (
-        F.when(phone_form == 0, F.concat_ws("-", *phone_parts))
-        .when(phone_form == 1, F.concat_ws(".", *phone_parts))
-        .otherwise(
-            F.concat(F.lit("("), phone_parts[0], F.lit(") "), phone_parts[1], F.lit("-"), phone_parts[2])
-        )
-    )
-    card = F.concat_ws(" ", *[n(i, 1000, 9000) for i in range(4)])
-    card = F.when(draw(4) % 2 == 0, card).otherwise(F.translate(card, " ", "-"))
-    zip_base = n(0, 10000, 89999)
-    short_id = F.concat(n(0, 10, 90), F.lit("-"), n(1, 1000000, 8999999))
-
-    generators = {
-        "EMAIL": F.concat(
-            pick(fv.EMAIL_FIRST, 0), F.lit("."), pick(fv.EMAIL_LAST, 1), F.lit("@"),
-            pick(fv.EMAIL_DOMAINS, 2),
-        ),
-        "PHONENUMBER": phone,
-        "SSN": F.concat_ws("-", n(0, 100, 900), n(1, 10, 90), n(2, 1000, 9000)),
-        "CREDITCARDNUMBER": card,
-        "USERNAME": F.concat(pick(fv.USERNAME_PREFIXES, 1), n(0, 1000, 9000)),
-        "DATEOFBIRTH": F.concat(two(1, 1, 12), date_sep, two(2, 1, 28), date_sep, n(0, 1950, 55)),
-        "STREET": pick(fv.STREETS, 0),
-        "ZIP": F.when(
-            F.substring(original, 6, 1) == "-", F.concat(zip_base, F.lit("-"), n(1, 1000, 8999))
-        ).otherwise(zip_base),
-        "CITY": other(fv.CITIES),
-        "BUILDINGNUM": F.when(
-            draw(1) % 10 < 3, F.concat(n(0, 1, 999), letter(2, 6))
-        ).otherwise(n(0, 1, 999)),
-        "FIRSTNAME": other(fv.FIRST_NAMES),
-        "SURNAME": other(fv.SURNAMES),
-        "IDCARDNUM": short_id,
-        "DRIVERLICENSENUM": F.concat(letter(0), n(1, 100000000, 899999999)),
-        "TAXNUM": F.concat(n(0, 10, 89), F.lit("-"), n(1, 1000000, 8999999)),
-        "URL": F.concat(
-            F.lit("https://www."), pick(fv.URL_DOMAINS, 0), F.lit("."), pick(fv.URL_TLDS, 1),
-            pick(fv.URL_PATHS, 2),
-        ),
-        "COMPANYNAME": F.concat(pick(fv.COMPANY_PREFIXES, 0), F.lit(" "), pick(fv.COMPANY_SUFFIXES, 1)),
-        "STATE": other(fv.STATES),
-        "COUNTRY": other(fv.COUNTRIES),
-        "PASSPORTID": F.concat(letter(0), letter(1), n(2, 1000000, 8999999)),
-        "NATIONALID": F.concat_ws("-", n(0, 100, 900), n(1, 1000, 9000), n(2, 1000, 9000)),
-        "LICENSEPLATENUM": F.concat(letter(0), letter(1), letter(2), F.lit("-"), n(3, 1000, 9000)),
-        "PASSWORD": _characters(fv.PASSWORD_CHARS, (draw(0) % 5 + 12).cast("int"), key),
-        "IBAN": F.concat(
-            pick(fv.IBAN_COUNTRIES, 0), n(1, 10, 90), F.lit(" "),
-            F.concat_ws(" ", *[n(i, 1000, 9000) for i in range(2, 6)]),
-        ),
-        "AGE": n(0, 18, 68),
-        "SECURITYTOKEN": F.concat(
-            pick(fv.TOKEN_PREFIXES, 1),
-            _characters(fv.TOKEN_CHARS, (draw(0) % 9 + 32).cast("int"), key),
+    def joined(*parts: str) -> str:
+        return f"concat({', '.join(parts)})"
+
+    def two(i: int, low: int, span: int) -> str:
+        return f"lpad({_number(i, low, span)}, 2, '0')"
+
+    return {
+        "EMAIL": joined(_pick(fv.EMAIL_FIRST, 0), "'.'", _pick(fv.EMAIL_LAST, 1), "'@'", _pick(fv.EMAIL_DOMAINS, 2)),
+        "PHONENUMBER": (
+            f"CASE d[3] % 3 WHEN 0 THEN concat_ws('-', {phone}) WHEN 1 THEN concat_ws('.', {phone}) "
+            f"ELSE format_string('(%s) %s-%s', {phone}) END"
         ),
+        "SSN": dashed(_number(0, 100, 900), _number(1, 10, 90), _number(2, 1000, 9000)),
+        "CREDITCARDNUMBER": f"CASE d[4] % 2 WHEN 0 THEN {card} ELSE translate({card}, ' ', '-') END",
+        "USERNAME": joined(_pick(fv.USERNAME_PREFIXES, 1), _number(0, 1000, 9000)),
+        "DATEOFBIRTH": joined(two(1, 1, 12), sep, two(2, 1, 28), sep, _number(0, 1950, 55)),
+        "STREET": _pick(fv.STREETS, 0),
+        "ZIP": f"CASE WHEN substring({original}, 6, 1) = '-' THEN {dashed(zip_code, _number(1, 1000, 8999))} ELSE {zip_code} END",
+        "CITY": _other(fv.CITIES, original),
+        "BUILDINGNUM": f"CASE WHEN d[1] % 10 < 3 THEN {joined(building, _letter(2, 6))} ELSE {building} END",
+        "FIRSTNAME": _other(fv.FIRST_NAMES, original),
+        "SURNAME": _other(fv.SURNAMES, original),
+        "IDCARDNUM": dashed(_number(0, 10, 90), _number(1, 1000000, 8999999)),
+        "DRIVERLICENSENUM": joined(_letter(0), _number(1, 100000000, 899999999)),
+        "TAXNUM": dashed(_number(0, 10, 89), _number(1, 1000000, 8999999)),
+        "URL": joined("'https://www.'", _pick(fv.URL_DOMAINS, 0), "'.'", _pick(fv.URL_TLDS, 1), _pick(fv.URL_PATHS, 2)),
+        "COMPANYNAME": joined(_pick(fv.COMPANY_PREFIXES, 0), "' '", _pick(fv.COMPANY_SUFFIXES, 1)),
+        "STATE": _other(fv.STATES, original),
+        "COUNTRY": _other(fv.COUNTRIES, original),
+        "PASSPORTID": joined(_letter(0), _letter(1), _number(2, 1000000, 8999999)),
+        "NATIONALID": dashed(_number(0, 100, 900), _number(1, 1000, 9000), _number(2, 1000, 9000)),
+        "LICENSEPLATENUM": joined(_letter(0), _letter(1), _letter(2), "'-'", _number(3, 1000, 9000)),
+        "PASSWORD": _characters(fv.PASSWORD_CHARS, "CAST(d[0] % 5 + 12 AS INT)", key),
+        "IBAN": joined(_pick(fv.IBAN_COUNTRIES, 0), _number(1, 10, 90), "' '", f"concat_ws(' ', {iban})"),
+        "AGE": _number(0, 18, 68),
+        "SECURITYTOKEN": joined(_pick(fv.TOKEN_PREFIXES, 1), _characters(fv.TOKEN_CHARS, "CAST(d[0] % 9 + 32 AS INT)", key)),
     }
-    out = None
-    for name, value in generators.items():
-        out = F.when(label == name, value) if out is None else out.when(label == name, value)
-    return out.otherwise(F.lit(fv.GENERIC_DUMMY))
+
+
+def dummy_sql(label: str, original: str, salt: str = "", attempt: str = "0") -> str:
+    """SQL text of the dummy for ``original``; unknown labels give ``[REDACTED]``.
+
+    A label's branch is evaluated only for rows with that label.
+    """
+    seed = f"concat_ws('|', {text_literal(salt)}, {label}, {original}, {attempt})"
+    cases = " ".join(f"WHEN '{name}' THEN {value}" for name, value in _generators(original, "seed").items())
+    value = f"CASE {label} {cases} ELSE '{fv.GENERIC_DUMMY}' END"
+    draws = f"transform(sequence(0, {_DRAWS - 1}), i -> {draw_sql('seed', 'i')})"
+    return bind(seed, "seed", bind(draws, "d", value))
+
+
+def generate_dummy(label: Column, original: Column, salt: str = "", attempt: Column | None = None) -> Column:
+    """Dummy value for ``original``."""
+    tries = F.lit(0) if attempt is None else attempt
+    inputs = F.struct(label.alias("label"), original.alias("original"), tries.alias("attempt"))
+    return let_sql(inputs, dummy_sql("x.label", "x.original", salt, "x.attempt"))

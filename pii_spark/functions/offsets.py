@@ -2,6 +2,9 @@
 
 Offsets are 0-based code points, end exclusive. ``regexp_instr`` counts UTF-16 units, so offsets
 come from the lengths of the matches and of the gaps between them.
+
+Larger expressions are written as SQL text: one call builds what would take hundreds of calls
+between Python and the JVM.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 
 _BLOCK = 32
 
+MATCHES = "array<struct<text:string,start:int,end:int>>"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``, which may use it many times.
@@ -23,69 +28,71 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def sum_array(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda acc, v: acc + v)
+def let_sql(value: Column, body: str) -> Column:
+    """Like ``let``, with the body as SQL text over the variable ``x``."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"x -> {body}")), F.lit(0))
 
 
-def running_totals(values: Column, levels: int = 3) -> Column:
-    """Inclusive running sums of an INT array.
+def bind(value: str, name: str, body: str) -> str:
+    """SQL text that evaluates ``value`` once as ``name`` inside ``body``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    A fold that appends to one growing array is quadratic. Folding within blocks and recursing over
-    the block totals keeps the copying to half a block per element, also for very long texts.
-    """
 
-    def scan(block: Column, base: Column) -> Column:
-        return F.aggregate(
-            block,
-            F.array(base),
-            lambda acc, v: F.concat(acc, F.array(F.element_at(acc, F.lit(-1)) + v)),
-            lambda acc: F.slice(acc, F.lit(2), F.size(acc) - 1),
-        )
+def text_literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def empty(ddl: str) -> str:
+    return f"CAST(array() AS {ddl})"
 
-    def blocked(vals: Column) -> Column:
-        last = F.floor((F.size(vals) - 1) / _BLOCK).cast("int")
-        blocks = F.transform(
-            F.sequence(F.lit(0), last), lambda k: F.slice(vals, k * _BLOCK + 1, F.lit(_BLOCK))
-        )
 
-        def joined(parts: Column) -> Column:
-            return let(
-                running_totals(F.transform(parts, sum_array), levels - 1),
-                lambda totals: F.flatten(
-                    F.transform(
-                        parts, lambda part, k: scan(part, F.coalesce(F.get(totals, k - 1), F.lit(0)))
-                    )
-                ),
-            )
+def _scan(block: str, base: str) -> str:
+    return (
+        f"aggregate({block}, array({base}), (acc, v) -> concat(acc, array(element_at(acc, -1) + v)), "
+        "acc -> slice(acc, 2, size(acc) - 1))"
+    )
+
 
-        return let(blocks, joined)
+def totals_sql(values: str, levels: int = 3) -> str:
+    """Inclusive running sums of an INT array.
 
+    A fold that appends to one growing array is quadratic. Folding within blocks and recursing over
+    the block totals keeps the copying to half a block per element, also for very long texts.
+    """
     if levels == 0:
-        return scan(values, F.lit(0))
-    return let(
-        values,
-        lambda vals: F.when(F.size(vals) <= _BLOCK, scan(vals, F.lit(0))).otherwise(blocked(vals)),
+        return _scan(values, "0")
+    t, p, q = f"t{levels}", f"p{levels}", f"q{levels}"
+    sums = f"transform({p}, b -> aggregate(b, 0, (acc, v) -> acc + v))"
+    blocks = (
+        f"transform(sequence(0, CAST((size({t}) - 1) div {_BLOCK} AS INT)), "
+        f"k -> slice({t}, k * {_BLOCK} + 1, {_BLOCK}))"
+    )
+    scans = f"flatten(transform({p}, (b, k) -> {_scan('b', f'coalesce(get({q}, k - 1), 0)')}))"
+    joined = bind(totals_sql(sums, levels - 1), q, scans)
+    return bind(
+        values, t,
+        f"CASE WHEN size({t}) <= {_BLOCK} THEN {_scan(t, '0')} ELSE {bind(blocks, p, joined)} END",
     )
 
 
-MATCHES = "array<struct<text:string,start:int,end:int>>"
+def running_totals(values: Column, levels: int = 3) -> Column:
+    return let_sql(values, totals_sql("x", levels))
 
 
-def located(found: Column, gaps: Column) -> Column:
+def located_sql(found: str, gaps: str) -> str:
     """Matches with offsets, from the match texts and the texts between them."""
-    steps = F.zip_with(
-        found, F.slice(gaps, F.lit(1), F.size(found)), lambda hit, gap: F.length(hit) + F.length(gap)
+    steps = f"zip_with({found}, slice({gaps}, 1, size({found})), (hit, gap) -> length(hit) + length(gap))"
+    return bind(
+        totals_sql(steps), "ends",
+        f"transform({found}, (hit, i) -> named_struct('text', hit, 'start', ends[i] - length(hit), 'end', ends[i]))",
     )
-    return let(
-        running_totals(steps),
-        lambda ends: F.transform(
-            found,
-            lambda hit, i: F.struct(
-                hit.alias("text"),
-                (F.get(ends, i) - F.length(hit)).alias("start"),
-                F.get(ends, i).alias("end"),
-            ),
-        ),
+
+
+def _matches_sql(text: str, regex: str) -> str:
+    return bind(
+        f"regexp_extract_all({text}, {regex}, 0)", "found",
+        f"CASE WHEN size(found) > 0 THEN {located_sql('found', f'split({text}, {regex}, -1)')} "
+        f"ELSE {empty(MATCHES)} END",
     )
 
 
@@ -95,13 +102,10 @@ def find_matches(text: Column, pattern: str | Column) -> Column:
     ``pattern`` must not match the empty string and must use non-capturing groups only. Texts
     without a match cost one regex pass.
     """
-    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    return let(
-        F.regexp_extract_all(text, regex, F.lit(0)),
-        lambda found: F.when(
-            F.size(found) > 0, located(found, F.split(text, regex, -1))
-        ).otherwise(F.array().cast(MATCHES)),
-    )
+    if isinstance(pattern, str):
+        return let_sql(text, _matches_sql("x", text_literal(pattern)))
+    both = F.struct(text.alias("t"), pattern.alias("p"))
+    return let_sql(both, _matches_sql("x.t", "x.p"))
 
 
 def find_value(text: Column, value: Column) -> Column:
@@ -109,31 +113,18 @@ def find_value(text: Column, value: Column) -> Column:
 
     One step per occurrence of the first character; steps after the last hit do nothing.
     """
-
-    def step(acc: Column, _: Column) -> Column:
-        at = F.when(acc["next"] > 0, F.position(value, text, acc["next"])).otherwise(F.lit(0))
-        return let(
-            at,
-            lambda p: F.struct(
-                F.when(p > 0, p + 1).otherwise(F.lit(0)).alias("next"),
-                F.when(p > 0, F.concat(acc["hits"], F.array(p - 1)))
-                .otherwise(acc["hits"])
-                .alias("hits"),
-            ),
-        )
-
-    first = F.substring(value, 1, 1)
-    steps = F.length(text) - F.length(F.replace(text, first, F.lit("")))
-    none = F.array().cast("array<int>")
-    return F.when(
-        (value != "") & F.contains(text, value),
-        F.aggregate(
-            F.sequence(F.lit(1), steps),
-            F.struct(F.lit(1).alias("next"), none.alias("hits")),
-            step,
-            lambda acc: acc["hits"],
-        ),
-    ).otherwise(none)
+    none = empty("array<int>")
+    step = bind(
+        "CASE WHEN acc.next > 0 THEN position(x.v, x.t, acc.next) ELSE 0 END", "p",
+        "named_struct('next', CASE WHEN p > 0 THEN p + 1 ELSE 0 END, "
+        "'hits', CASE WHEN p > 0 THEN concat(acc.hits, array(p - 1)) ELSE acc.hits END)",
+    )
+    steps = "length(x.t) - length(replace(x.t, substring(x.v, 1, 1), ''))"
+    body = (
+        f"CASE WHEN x.v <> '' AND contains(x.t, x.v) THEN aggregate(sequence(1, {steps}), "
+        f"named_struct('next', 1, 'hits', {none}), (acc, i) -> {step}, acc -> acc.hits) ELSE {none} END"
+    )
+    return let_sql(F.struct(text.alias("t"), value.alias("v")), body)
 
 
 def quoted(value: Column) -> Column:
@@ -145,14 +136,10 @@ def quoted(value: Column) -> Column:
 def find_word(text: Column, value: Column) -> Column:
     """Matches of ``value`` as a whole word; if there is none, of its case variants."""
     exact = F.concat(F.lit("\\b"), quoted(value), F.lit("\\b"))
-
-    def any_case() -> Column:
-        return find_matches(text, F.concat(F.lit("(?iu)"), exact))
-
-    none = F.array().cast(MATCHES)
-    return F.when(F.coalesce(value, F.lit("")) == "", none).otherwise(
+    any_case = find_matches(text, F.concat(F.lit("(?iu)"), exact))
+    return F.when(F.coalesce(value, F.lit("")) == "", F.array().cast(MATCHES)).otherwise(
         let(
             find_matches(text, exact),
-            lambda hits: F.when(F.size(hits) > 0, hits).otherwise(any_case()),
+            lambda hits: F.when(F.size(hits) > 0, hits).otherwise(any_case),
         )
     )

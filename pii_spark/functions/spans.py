@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pii_spark.functions.dummies import generate_dummy
-from pii_spark.functions.offsets import find_value, let
+from pii_spark.functions.dummies import dummy_sql
+from pii_spark.functions.offsets import bind, empty, find_value, let, let_sql
 
 ENTITY = "struct<text:string,label:string,start:int,end:int,confidence:double>"
 ENTITIES = f"array<{ENTITY}>"
@@ -30,16 +30,48 @@ def code_points(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def in_text_order(spans: Column) -> Column:
-    """Sort by start, longest first, then label, then highest confidence: a total order."""
-    keyed = F.transform(
-        spans,
-        lambda s: F.struct(
-            s["start"].alias("k1"), (-s["end"]).alias("k2"), s["label"].alias("k3"),
-            (-s["confidence"]).alias("k4"), s.alias("span"),
-        ),
+def merged_sql(text: str, spans: str, policy: str) -> str:
+    """SQL text that folds spans, in a total order, into disjoint ones."""
+    if policy not in ("confidence", "longest"):
+        raise ValueError(f"unknown policy: {policy}")
+
+    def joined(confidence: str) -> str:
+        return (
+            f"named_struct('text', substring({text}, l.start + 1, s.`end` - l.start), 'label', l.label, "
+            f"'start', l.start, 'end', s.`end`, 'confidence', {confidence})"
+        )
+
+    if policy == "confidence":
+        best = "CASE WHEN s.confidence > l.confidence THEN s ELSE l END"
+        resolved = (
+            f"CASE WHEN s.start = l.start AND s.`end` = l.`end` THEN {best} "
+            f"WHEN s.label = l.label AND s.`end` > l.`end` THEN {joined('(l.confidence + s.confidence) / 2')} "
+            f"WHEN s.label = l.label THEN l ELSE {best} END"
+        )
+    else:
+        resolved = (
+            f"CASE WHEN s.label = l.label AND s.`end` > l.`end` THEN {joined('greatest(l.confidence, s.confidence)')} "
+            "WHEN s.label = l.label THEN l "
+            "WHEN s.`end` - s.start > l.`end` - l.start THEN s ELSE l END"
+        )
+    step = bind(
+        "acc.last", "l",
+        "CASE WHEN l IS NULL THEN named_struct('done', acc.done, 'last', s) "
+        f"WHEN s.start < l.`end` THEN named_struct('done', acc.done, 'last', {resolved}) "
+        "ELSE named_struct('done', concat(acc.done, array(l)), 'last', s) END",
+    )
+    keyed = (
+        "transform(spans, s -> named_struct('a', s.start, 'b', -s.`end`, 'c', s.label, 'd', -s.confidence, 'span', s))"
+    )
+    zero = f"named_struct('done', {empty(ENTITIES)}, 'last', CAST(NULL AS {ENTITY}))"
+    fold = (
+        f"aggregate(transform(array_sort({keyed}), k -> k.span), {zero}, (acc, s) -> {step}, "
+        "acc -> concat(acc.done, array(acc.last)))"
+    )
+    return bind(
+        f"CAST(filter({spans}, s -> s.start < s.`end`) AS {ENTITIES})", "spans",
+        f"CASE WHEN size(spans) < 2 THEN spans ELSE {fold} END",
     )
-    return F.transform(F.array_sort(keyed), lambda k: k["span"])
 
 
 def merge_spans(text: Column, spans: Column, policy: str = "confidence") -> Column:
@@ -49,58 +81,8 @@ def merge_spans(text: Column, spans: Column, policy: str = "confidence") -> Colu
     are joined and their confidence averaged. ``longest``: equal labels are joined, of different
     labels the longer one stays.
     """
-    if policy not in ("confidence", "longest"):
-        raise ValueError(f"unknown policy: {policy}")
-
-    def extend(last: Column, s: Column, confidence: Column) -> Column:
-        return entity(
-            code_points(text, last["start"], s["end"]), last["label"], last["start"], s["end"], confidence
-        )
-
-    def resolve(last: Column, s: Column) -> Column:
-        longer = s["end"] > last["end"]
-        if policy == "confidence":
-            same = (s["start"] == last["start"]) & (s["end"] == last["end"])
-            joined = extend(last, s, (last["confidence"] + s["confidence"]) / 2)
-            best = F.when(s["confidence"] > last["confidence"], s).otherwise(last)
-            return (
-                F.when(same, best)
-                .when((s["label"] == last["label"]) & longer, joined)
-                .when(s["label"] == last["label"], last)
-                .otherwise(best)
-            )
-        joined = extend(last, s, F.greatest(last["confidence"], s["confidence"]))
-        return (
-            F.when((s["label"] == last["label"]) & longer, joined)
-            .when(s["label"] == last["label"], last)
-            .when(s["end"] - s["start"] > last["end"] - last["start"], s)
-            .otherwise(last)
-        )
-
-    start = F.struct(no_entities().alias("done"), F.lit(None).cast(ENTITY).alias("last"))
-
-    def step(acc: Column, s: Column) -> Column:
-        last = acc["last"]
-        overlaps = last.isNotNull() & (s["start"] < last["end"])
-        return F.struct(
-            F.when(overlaps | last.isNull(), acc["done"])
-            .otherwise(F.concat(acc["done"], F.array(last)))
-            .alias("done"),
-            F.when(overlaps, resolve(last, s)).otherwise(s).alias("last"),
-        )
-
-    def finish(acc: Column) -> Column:
-        return F.when(acc["last"].isNull(), acc["done"]).otherwise(
-            F.concat(acc["done"], F.array(acc["last"]))
-        )
-
-    proper = F.filter(spans, lambda s: s["start"] < s["end"]).cast(ENTITIES)
-    return let(
-        proper,
-        lambda xs: F.when(F.size(xs) < 2, xs).otherwise(
-            F.aggregate(in_text_order(xs), start, step, finish)
-        ),
-    )
+    both = F.struct(text.alias("t"), spans.alias("s"))
+    return let_sql(both, merged_sql("x.t", "x.s", policy))
 
 
 def trim_bounds(text: Column, start: Column, end: Column) -> Column:
@@ -109,32 +91,59 @@ def trim_bounds(text: Column, start: Column, end: Column) -> Column:
     The mark goes only when whitespace or the end of the text follows it. A second mark stays,
     since the first one now follows it.
     """
-    blank = " \t\n\r"
-
-    def trimmed(p: Column) -> Column:
-        left = F.length(p) - F.length(F.ltrim(p, F.lit(blank)))
-        inner = F.trim(p, F.lit(blank))
-        inner_end = start + left + F.length(inner)
-        follower = code_points(text, inner_end, inner_end + 1)
-        mark = F.substring(inner, -1, 1).isin(*",.;:!?") & follower.isin("", *blank)
-        return F.struct(
-            (start + left).cast("int").alias("start"),
-            (inner_end - F.when(mark, F.lit(1)).otherwise(F.lit(0))).cast("int").alias("end"),
-        )
+    blank = r"' \t\n\r'"
+    follower = "substring(x.t, stop + 1, 1)"
+    body = bind(
+        "substring(x.t, x.s + 1, x.e - x.s)", "p",
+        bind(
+            f"trim(LEADING {blank} FROM p)", "tail",
+            bind(
+                "x.s + length(p) - length(tail)", "first",
+                bind(
+                    f"trim(TRAILING {blank} FROM tail)", "inner_text",
+                    bind(
+                        "first + length(inner_text)", "stop",
+                        "named_struct('start', first, 'end', stop - CASE WHEN "
+                        r"substring(inner_text, -1, 1) IN (',', '.', ';', ':', '!', '?') AND "
+                        rf"{follower} IN ('', ' ', '\t', '\n', '\r') THEN 1 ELSE 0 END)",
+                    ),
+                ),
+            ),
+        ),
+    )
+    return let_sql(F.struct(text.alias("t"), start.alias("s"), end.alias("e")), body)
+
 
-    return let(code_points(text, start, end), trimmed)
+def dummies_sql(spans: str, salt: str = "") -> str:
+    return (
+        f"transform({spans}, s -> named_struct('text', s.text, 'label', s.label, 'start', s.start, 'end', s.`end`, "
+        f"'confidence', s.confidence, 'dummy', {dummy_sql('s.label', 's.text', salt)}))"
+    )
 
 
 def with_dummies(spans: Column, salt: str = "") -> Column:
     """Add ``dummy`` to every span."""
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["text"].alias("text"), s["label"].alias("label"), s["start"].alias("start"),
-            s["end"].alias("end"), s["confidence"].alias("confidence"),
-            generate_dummy(s["label"], s["text"], salt).alias("dummy"),
-        ),
+    return let_sql(spans, dummies_sql("x", salt))
+
+
+def replaced_sql(text: str, spans: str) -> str:
+    """SQL text of ``replace_spans``."""
+    valid = f"(s.start >= 0 AND s.`end` <= length({text}) AND s.start < s.`end`)"
+    piece = bind(
+        "coalesce(get(placed, i - 1).`end`, 0)", "before",
+        f"concat(substring({text}, before + 1, s.start - before), s.dummy)",
     )
+    by_place = bind(
+        f"filter({spans}, s -> {valid})", "placed",
+        f"CASE WHEN size(placed) = 0 THEN {text} ELSE concat(array_join(transform(placed, (s, i) -> {piece}), ''), "
+        f"substring({text}, element_at(placed, -1).`end` + 1, length({text}))) END",
+    )
+    first_hit = bind(
+        "position(s.text, acc)", "p",
+        "CASE WHEN p > 0 AND s.text <> '' THEN overlay(acc PLACING s.dummy FROM p FOR length(s.text)) ELSE acc END",
+    )
+    strays = f"aggregate(filter({spans}, s -> NOT {valid}), {by_place}, (acc, s) -> {first_hit})"
+    return f"CASE WHEN size({spans}) = 0 THEN {text} ELSE {strays} END"
 
 
 def replace_spans(text: Column, spans: Column) -> Column:
@@ -143,37 +152,15 @@ def replace_spans(text: Column, spans: Column) -> Column:
     Spans with valid offsets must be disjoint and in text order. A span with invalid offsets
     replaces the first occurrence of its text instead.
     """
-    size = F.length(text)
-
-    def valid(s: Column) -> Column:
-        return (s["start"] >= 0) & (s["end"] <= size) & (s["start"] < s["end"])
-
-    def placed(xs: Column) -> Column:
-        pieces = F.transform(
-            xs,
-            lambda s, i: F.concat(
-                let(
-                    F.coalesce(F.get(xs, i - 1)["end"], F.lit(0)),
-                    lambda before: F.substring(text, before + 1, s["start"] - before),
-                ),
-                s["dummy"],
-            ),
-        )
-        tail = F.substring(text, F.element_at(xs, F.lit(-1))["end"] + 1, size)
-        return F.concat(F.array_join(pieces, ""), tail)
-
-    def first_hit(acc: Column, s: Column) -> Column:
-        at = F.position(s["text"], acc)
-        return F.when(
-            (at > 0) & (s["text"] != ""), F.overlay(acc, s["dummy"], at, F.length(s["text"]))
-        ).otherwise(acc)
-
-    by_place = let(
-        F.filter(spans, lambda s: valid(s)),
-        lambda xs: F.when(F.size(xs) > 0, placed(xs)).otherwise(text),
+    return let_sql(F.struct(text.alias("t"), spans.alias("s")), replaced_sql("x.t", "x.s"))
+
+
+def mapping_sql(spans: str) -> str:
+    """SQL text of ``masked_to_original``."""
+    return (
+        f"map_from_entries(transform(filter({spans}, (s, i) -> NOT exists(slice({spans}, 1, i), e -> e.dummy = s.dummy)), "
+        "s -> named_struct('key', s.dummy, 'value', s.text)))"
     )
-    strays = F.filter(spans, lambda s: ~valid(s))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(strays, by_place, first_hit))
 
 
 def masked_to_original(spans: Column) -> Column:
@@ -181,55 +168,39 @@ def masked_to_original(spans: Column) -> Column:
 
     Spans are read from the end of the text, and a later write to the map wins.
     """
-    return let(
-        spans,
-        lambda xs: F.map_from_entries(
-            F.transform(
-                F.filter(xs, lambda s, i: ~F.exists(
-                    F.slice(xs, F.lit(1), i), lambda earlier: earlier["dummy"] == s["dummy"]
-                )),
-                lambda s: F.struct(s["dummy"].alias("key"), s["text"].alias("value")),
-            )
-        ),
-    )
+    return let_sql(spans, mapping_sql("x"))
 
 
 def longest_first(mapping: Column) -> Column:
     """Entries of a MAP<STRING,STRING>, longest key first, then by key."""
-    keyed = F.transform(
-        F.map_entries(mapping),
-        lambda e: F.struct((-F.length(e["key"])).alias("k"), e["key"].alias("key"), e["value"].alias("value")),
+    return let_sql(
+        mapping,
+        "array_sort(transform(map_entries(x), e -> named_struct('k', -length(e.key), 'key', e.key, 'value', e.value)))",
     )
-    return F.array_sort(keyed)
 
 
 def restore_text(text: Column, mapping: Column) -> Column:
     """Replace every dummy in ``text`` by its original, longest dummy first."""
-    return F.aggregate(
-        F.filter(longest_first(mapping), lambda e: e["key"] != ""),
-        text,
-        lambda acc, e: F.replace(acc, e["key"], e["value"]),
+    entries = longest_first(mapping)
+    both = F.struct(text.alias("t"), entries.alias("m"))
+    return let_sql(
+        both, "aggregate(filter(x.m, e -> e.key <> ''), x.t, (acc, e) -> replace(acc, e.key, e.value))"
     )
 
 
 def restore_by_span(text: Column, spans: Column) -> Column:
     """Undo ``replace_spans`` on its unchanged output, by position; exact for any dummies."""
-    back = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("shift"), F.array().cast(
-            "array<struct<text:string,start:int,end:int,dummy:string>>").alias("out")),
-        lambda acc, s: F.struct(
-            (acc["shift"] + F.length(s["dummy"]) - (s["end"] - s["start"])).alias("shift"),
-            F.concat(acc["out"], F.array(F.struct(
-                s["dummy"].alias("text"),
-                (s["start"] + acc["shift"]).alias("start"),
-                (s["start"] + acc["shift"] + F.length(s["dummy"])).alias("end"),
-                s["text"].alias("dummy"),
-            ))).alias("out"),
-        ),
-        lambda acc: acc["out"],
+    back = "array<struct<text:string,start:int,end:int,dummy:string>>"
+    grown = "(length(s.dummy) - (s.`end` - s.start))"
+    moved = (
+        "named_struct('text', s.dummy, 'start', s.start + acc.shift, "
+        "'end', s.start + acc.shift + length(s.dummy), 'dummy', s.text)"
+    )
+    body = (
+        f"aggregate(x, named_struct('shift', 0, 'out', {empty(back)}), (acc, s) -> named_struct("
+        f"'shift', acc.shift + {grown}, 'out', concat(acc.out, array({moved}))), acc -> acc.out)"
     )
-    return let(back, lambda xs: replace_spans(text, xs))
+    return let(let_sql(spans, body), lambda xs: replace_spans(text, xs))
 
 
 def covered_characters(text: Column, values: Column) -> Column:
@@ -243,20 +214,16 @@ def covered_characters(text: Column, values: Column) -> Column:
             ),
         )
     )
-    total = F.aggregate(
+    return let_sql(
         F.array_sort(ranges),
-        F.struct(F.lit(0).alias("covered"), F.lit(0).alias("reach")),
-        lambda acc, r: F.struct(
-            (acc["covered"] + F.greatest(r["end"] - F.greatest(r["start"], acc["reach"]), F.lit(0))).alias("covered"),
-            F.greatest(acc["reach"], r["end"]).alias("reach"),
-        ),
-        lambda acc: acc["covered"],
+        "aggregate(x, named_struct('covered', 0, 'reach', 0), (acc, r) -> named_struct("
+        "'covered', acc.covered + greatest(r.`end` - greatest(r.start, acc.reach), 0), "
+        "'reach', greatest(acc.reach, r.`end`)), acc -> acc.covered)",
     )
-    return total
 
 
 def average_confidence(spans: Column) -> Column:
-    return F.when(
-        F.size(spans) > 0,
-        F.aggregate(spans, F.lit(0.0), lambda acc, s: acc + s["confidence"]) / F.size(spans),
-    ).otherwise(F.lit(0.0))
+    return let_sql(
+        spans,
+        "CASE WHEN size(x) > 0 THEN aggregate(x, 0D, (acc, s) -> acc + s.confidence) / size(x) ELSE 0D END",
+    )

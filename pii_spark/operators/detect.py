@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.offsets import find_matches, let, located
-from pii_spark.functions.spans import ENTITIES, code_points, entity, merge_spans, no_entities
+from pii_spark.functions.offsets import bind, empty, find_matches, let_sql, located_sql, text_literal
+from pii_spark.functions.spans import ENTITIES, merged_sql, no_entities
 
 
 @dataclass(frozen=True)
@@ -25,22 +25,14 @@ class Rule:
     label: str
     pattern: str
     confidence: float
-    valid: Callable[[Column], Column] | None = None
+    valid: str | None = None
     whole: bool = True
     needs: str | None = None
     digits: bool = True
 
 
-def _digits(value: Column) -> Column:
-    return F.translate(value, " -", "")
-
-
-def _is_card(value: Column) -> Column:
-    return (F.length(_digits(value)) == 16) & F.call_function("luhn_check", _digits(value))
-
-
-def _is_ipv4(value: Column) -> Column:
-    return F.forall(F.split(value, r"\."), lambda part: part.cast("int") <= 255)
+_CARD = "length(translate({v}, ' -', '')) = 16 AND luhn_check(translate({v}, ' -', ''))"
+_IPV4 = "forall(split({v}, '[.]'), part -> CAST(part AS INT) <= 255)"
 
 
 RULES: tuple[Rule, ...] = (
@@ -53,7 +45,7 @@ RULES: tuple[Rule, ...] = (
         0.9,
     ),
     Rule("SSN", r"\d{3}-\d{2}-\d{4}", 0.9),
-    Rule("CREDITCARDNUMBER", r"\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4,}", 0.97, _is_card),
+    Rule("CREDITCARDNUMBER", r"\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4,}", 0.97, _CARD),
     Rule("IBAN", r"[A-Z]{2}\d{2}(?: ?\d{4}){4}", 0.98),
     Rule("SECURITYTOKEN", r"[0-9a-f]{40}|(?:sk|pk)_(?:live|test)_[A-Za-z0-9]{32,40}", 0.96,
          digits=False),
@@ -63,7 +55,7 @@ RULES: tuple[Rule, ...] = (
     Rule("PASSPORTID", r"[A-Z]{2}\d{7}", 0.75),
     Rule("DRIVERLICENSENUM", r"[A-Z]\d{9}", 0.7),
     Rule("LICENSEPLATENUM", r"[A-Z]{3}-\d{4}", 0.65),
-    Rule("IPV4", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", 0.85, _is_ipv4),
+    Rule("IPV4", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", 0.85, _IPV4),
 )
 
 
@@ -74,61 +66,49 @@ def rule_entities(text: Column, rules: Iterable[Rule] = RULES) -> Column:
     computed in one expression for all rules, which keeps the plan small.
     """
     rules = tuple(rules)
+    if not rules:
+        return no_entities()
+    return let_sql(text, rules_sql("x", rules))
 
-    def hits(rule: Rule) -> Column:
-        found = let(
-            F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)),
-            lambda f: F.when(
-                F.size(f) > 0,
-                F.struct(
-                    F.lit(rule.label).alias("label"),
-                    F.lit(rule.confidence).alias("confidence"),
-                    F.lit(rule.whole).alias("whole"),
-                    f.alias("found"),
-                    F.split(text, F.lit(rule.pattern), -1).alias("gaps"),
-                ),
-            ),
+
+def rules_sql(text: str, rules: tuple[Rule, ...]) -> str:
+    def hits(rule: Rule) -> str:
+        p = text_literal(rule.pattern)
+        found = bind(
+            f"regexp_extract_all({text}, {p}, 0)", "f",
+            f"CASE WHEN size(f) > 0 THEN named_struct('label', '{rule.label}', 'confidence', {rule.confidence}D, "
+            f"'whole', {str(rule.whole).lower()}, 'found', f, 'gaps', split({text}, {p}, -1)) END",
         )
         if rule.needs is None:
             return found
-        return F.when(F.contains(text, F.lit(rule.needs)), found)
-
-    def spans(hit: Column) -> Column:
-        return F.transform(
-            located(hit["found"], hit["gaps"]),
-            lambda m: F.struct(
-                entity(m["text"], hit["label"], m["start"], m["end"], hit["confidence"]).alias("e"),
-                hit["whole"].alias("whole"),
-            ),
-        )
-
-    def acceptable(span: Column) -> Column:
-        e = span["e"]
-        around = F.concat(
-            F.when(e["start"] > 0, code_points(text, e["start"] - 1, e["start"])).otherwise(F.lit("")),
-            code_points(text, e["end"], e["end"] + 1),
-        )
-        ok = ~(span["whole"] & around.rlike("[A-Za-z0-9]"))
-        for rule in rules:
-            if rule.valid is not None:
-                ok = ok & ((e["label"] != rule.label) | rule.valid(e["text"]))
-        return ok
-
-    def checked(groups: Column) -> Column:
-        all_spans = F.flatten(F.transform(groups, spans))
-        return F.transform(F.filter(all_spans, acceptable), lambda span: span["e"]).cast(ENTITIES)
+        return f"CASE WHEN contains({text}, {text_literal(rule.needs)}) THEN {found} END"
 
+    spans = (
+        f"transform({located_sql('h.found', 'h.gaps')}, m -> named_struct('text', m.text, 'label', h.label, "
+        "'start', m.start, 'end', m.`end`, 'confidence', h.confidence, 'whole', h.whole))"
+    )
+    around = (
+        f"concat(CASE WHEN s.start > 0 THEN substring({text}, s.start, 1) ELSE '' END, "
+        f"substring({text}, s.`end` + 1, 1))"
+    )
+    checks = [f"NOT (s.whole AND {around} RLIKE '[A-Za-z0-9]')"]
+    checks += [
+        f"(s.label <> '{r.label}' OR ({r.valid.replace('{v}', 's.text')}))" for r in rules if r.valid
+    ]
+    checked = (
+        f"transform(filter(flatten(transform(groups, h -> {spans})), s -> {' AND '.join(checks)}), "
+        "s -> named_struct('text', s.text, 'label', s.label, 'start', s.start, 'end', s.`end`, "
+        "'confidence', s.confidence))"
+    )
     plain = [hits(r) for r in rules if not r.digits]
-    numeric = [hits(r) for r in rules if r.digits]
-    groups = F.array(*plain) if plain else None
-    if numeric:
-        gated = F.when(text.rlike("[0-9]"), F.array(*plain, *numeric))
-        groups = gated if groups is None else gated.otherwise(groups)
-    if groups is None:
-        return no_entities()
-    return let(
-        F.array_compact(groups),
-        lambda found: F.when(F.size(found) > 0, checked(found)).otherwise(no_entities()),
+    everything = plain + [hits(r) for r in rules if r.digits]
+    few = f"array({', '.join(plain)})" if plain else "NULL"
+    groups = (
+        f"CASE WHEN {text} RLIKE '[0-9]' THEN array({', '.join(everything)}) ELSE {few} END"
+    )
+    return bind(
+        f"array_compact({groups})", "groups",
+        f"CASE WHEN size(groups) > 0 THEN CAST({checked} AS {ENTITIES}) ELSE {empty(ENTITIES)} END",
     )
 
 
@@ -140,14 +120,21 @@ def detected(
 ) -> Column:
     """Disjoint rule entities of ``text`` at or above ``threshold``; empty for null or empty text."""
     check_threshold(threshold)
-    found = let(
-        rule_entities(text, tuple(rules)),
-        lambda xs: F.when(
-            F.size(xs) > 0,
-            merge_spans(text, F.filter(xs, lambda s: s["confidence"] >= threshold), policy),
-        ).otherwise(no_entities()),
+    rules = tuple(rules)
+    if not rules:
+        return no_entities()
+    return let_sql(text, detected_sql("x", rules, threshold, policy))
+
+
+def detected_sql(
+    text: str, rules: tuple[Rule, ...], threshold: float = fv.DEFAULT_THRESHOLD, policy: str = "confidence"
+) -> str:
+    confident = f"filter(raw, s -> s.confidence >= {threshold}D)"
+    merged = bind(
+        rules_sql(text, rules), "raw",
+        f"CASE WHEN size(raw) > 0 THEN {merged_sql(text, confident, policy)} ELSE raw END",
     )
-    return F.when(F.coalesce(text, F.lit("")) != "", found).otherwise(no_entities())
+    return f"CASE WHEN coalesce({text}, '') <> '' THEN {merged} ELSE {empty(ENTITIES)} END"
 
 
 def check_threshold(threshold: float) -> None:

@@ -6,38 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.offsets import let
+from pii_spark.functions.offsets import bind, let, let_sql
 from pii_spark.functions.spans import (
     average_confidence,
     covered_characters,
+    dummies_sql,
     longest_first,
-    masked_to_original,
-    replace_spans,
+    mapping_sql,
+    replaced_sql,
     restore_by_span,
     restore_text,
-    with_dummies,
 )
-from pii_spark.operators.detect import RULES, detected
+from pii_spark.operators.detect import RULES, detected_sql
+
+
+def masked_sql(text: str, entities: str, salt: str = "") -> str:
+    found = (
+        f"named_struct('masked_text', {replaced_sql(text, 'spans')}, "
+        f"'masked_to_original', {mapping_sql('spans')}, 'entities', spans)"
+    )
+    return bind(dummies_sql(f"filter({entities}, e -> e.text <> '')", salt), "spans", found)
+
 
 def masked(text: Column, entities: Column, salt: str = "") -> Column:
     """STRUCT<masked_text, masked_to_original, entities>; the entities carry their dummy."""
-    def replaced(spans: Column) -> Column:
-        return F.struct(
-            replace_spans(text, spans).alias("masked_text"),
-            masked_to_original(spans).alias("masked_to_original"),
-            spans.alias("entities"),
-        )
-
-    return let(
-        with_dummies(F.filter(entities, lambda e: e["text"] != ""), salt),
-        lambda spans: F.when(F.size(spans) > 0, replaced(spans)).otherwise(
-            F.struct(
-                text.alias("masked_text"),
-                F.create_map().cast("map<string,string>").alias("masked_to_original"),
-                spans.alias("entities"),
-            )
-        ),
-    )
+    both = F.struct(text.alias("t"), entities.alias("e"))
+    return let_sql(both, masked_sql("x.t", "x.e", salt))
 
 
 def mask_text(df: DataFrame, text: str = "text", entities: str = "entities", salt: str = "") -> DataFrame:
@@ -53,7 +47,8 @@ def mask_text(df: DataFrame, text: str = "text", entities: str = "entities", sal
 
 def detect_and_mask(text: Column, rules=RULES, salt: str = "") -> Column:
     """Rule detection and masking of one text as a single expression."""
-    return let(detected(text, rules), lambda spans: masked(text, spans, salt))
+    found = bind(detected_sql("x", tuple(rules)), "entities", masked_sql("x", "entities", salt))
+    return let_sql(text, found)
 
 
 def restore(df: DataFrame, text: str = "answer", mapping: str = "masked_to_original") -> DataFrame:
