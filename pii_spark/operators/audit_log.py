@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.offsets import let
-from pii_spark.operators.payloads import as_object, field_list, field_string, parsed, put
+from pii_spark.functions.offsets import bind, empty, let, let_sql, text_literal
+from pii_spark.operators.payloads import field_sql, list_sql, object_sql, put_sql
 
 MESSAGES = "array<struct<role:string,content:string>>"
 DETECTED = "array<struct<original_pii:string,pii_type:string,confidence:double>>"
@@ -17,11 +17,10 @@ RESPONSE_DIRECTIONS = ["response", "Out", "response_original", "response_masked"
 
 def add_transaction_id(message: Column, transaction: Column) -> Column:
     """A JSON object gains ``_transaction_id``; other messages stay."""
-    return let(
-        as_object(parsed(message)),
-        lambda o: F.when(
-            o.isNotNull(), F.to_json(put(o, "_transaction_id", transaction.cast("variant")))
-        ).otherwise(message),
+    tagged = put_sql("o", "_transaction_id", "CAST(x.t AS VARIANT)")
+    return let_sql(
+        F.struct(message.alias("m"), transaction.alias("t")),
+        bind(object_sql("try_parse_json(x.m)"), "o", f"CASE WHEN o IS NOT NULL THEN to_json({tagged}) ELSE x.m END"),
     )
 
 
@@ -72,116 +71,104 @@ def to_log(rows: DataFrame) -> DataFrame:
     return add_messages(out)
 
 
-def message_content(v: Column, depth: int = 3) -> Column:
+def content_sql(v: str, depth: int = 3) -> str:
     """Text of a content value: a string, a list of contents, or an object with text, content or
     parts; empty otherwise. Nesting is followed ``depth`` levels down."""
     if depth == 0:
-        return F.coalesce(field_string(v, "$"), F.lit(""))
-    items = field_list(v, "$")
-    parts = field_list(v, "$.parts")
+        return f"coalesce({field_sql(v, '$')}, '')"
+    c = f"c{depth}"
 
-    def joined(xs: Column) -> Column:
-        return F.array_join(F.transform(xs, lambda x: message_content(x, depth - 1)), "")
+    def joined(items: str) -> str:
+        return f"array_join(transform({items}, {c} -> {content_sql(c, depth - 1)}), '')"
 
-    return F.coalesce(
-        field_string(v, "$"), joined(items), field_string(v, "$.text"), field_string(v, "$.content"),
-        joined(parts), F.lit(""),
+    # A value is a list or has parts, not both, so one pass serves either.
+    nested = joined(f"coalesce({list_sql(v, '$')}, {list_sql(v, '$.parts')})")
+    return (
+        f"coalesce({field_sql(v, '$')}, {field_sql(v, '$.text')}, {field_sql(v, '$.content')}, {nested}, '')"
     )
 
 
-def _messages(items: Column, role: Column | None, default: str, path: str) -> Column:
-    """(role, content) of the objects of a list; a missing or empty role is ``default``."""
-    objects = F.filter(items, lambda m: as_object(m).isNotNull())
+def message_content(v: Column, depth: int = 3) -> Column:
+    return let_sql(v, content_sql("x", depth))
 
-    def one(m: Column) -> Column:
-        named = F.nullif(field_string(m, "$.role"), F.lit(""))
-        return F.struct(
-            F.coalesce(named, F.lit(default)).alias("role"),
-            message_content(F.try_variant_get(m, path, "variant")).alias("content"),
-        )
 
-    return F.transform(objects, one)
+def _role_sql(v: str, path: str, default: str) -> str:
+    return f"coalesce(nullif({field_sql(v, path)}, ''), '{default}')"
 
 
-def _filled(xs: Column) -> Column:
-    return F.when(F.size(xs) > 0, xs)
+def _messages_sql(items: str, path: str) -> str:
+    """(role, content) of the objects of a list; a missing or empty role is user."""
+    content = content_sql("c", 3)
+    one = (
+        f"named_struct('role', {_role_sql('m', '$.role', 'user')}, 'content', "
+        + bind(f"try_variant_get(m, '{path}', 'variant')", "c", content) + ")"
+    )
+    return f"transform(filter({items}, m -> {object_sql('m')} IS NOT NULL), m -> {one})"
 
 
-def parse_request(v: Column) -> Column:
-    return F.coalesce(
-        _filled(_messages(field_list(v, "$.messages"), None, "user", "$.content")),
-        _filled(_messages(field_list(v, "$.contents"), None, "user", "$.parts")),
-    )
+def _filled_sql(values: str) -> str:
+    return bind(values, "vs", "CASE WHEN size(vs) > 0 THEN vs END")
 
 
-def parse_response(v: Column) -> Column:
-    def choice(c: Column) -> Column:
-        m = F.try_variant_get(c, "$.message", "variant")
-        named = F.nullif(field_string(c, "$.message.role"), F.lit(""))
-        return F.when(
-            as_object(m).isNotNull(),
-            F.struct(
-                F.coalesce(named, F.lit("assistant")).alias("role"),
-                message_content(F.try_variant_get(c, "$.message.content", "variant")).alias("content"),
-            ),
-        ).when(
-            F.coalesce(field_string(c, "$.text"), F.lit("")) != "",
-            F.struct(F.lit("assistant").alias("role"), field_string(c, "$.text").alias("content")),
-        )
+def request_messages_sql(v: str) -> str:
+    return (
+        f"coalesce({_filled_sql(_messages_sql(list_sql(v, '$.messages'), '$.content'))}, "
+        f"{_filled_sql(_messages_sql(list_sql(v, '$.contents'), '$.parts'))})"
+    )
 
-    choices = F.filter(F.transform(field_list(v, "$.choices"), choice), lambda m: m.isNotNull())
-    texts = F.filter(
-        F.transform(
-            F.filter(field_list(v, "$.content"), lambda b: field_string(b, "$.type") == "text"),
-            lambda b: F.coalesce(field_string(b, "$.text"), F.lit("")),
-        ),
-        lambda t: t != "",
+
+def response_messages_sql(v: str) -> str:
+    content = bind("try_variant_get(c, '$.message.content', 'variant')", "cc", content_sql("cc"))
+    text = field_sql("c", "$.text")
+    message = "try_variant_get(c, '$.message', 'variant')"
+    choice = (
+        f"CASE WHEN {object_sql(message)} IS NOT NULL "
+        f"THEN named_struct('role', {_role_sql('c', '$.message.role', 'assistant')}, 'content', {content}) "
+        f"WHEN coalesce({text}, '') <> '' THEN named_struct('role', 'assistant', 'content', {text}) END"
     )
-    blocks = F.when(
-        F.size(texts) > 0,
-        F.array(
-            F.struct(
-                F.coalesce(F.nullif(field_string(v, "$.role"), F.lit("")), F.lit("assistant")).alias("role"),
-                F.array_join(texts, "").alias("content"),
-            )
-        ),
+    choices = _filled_sql(f"filter(transform({list_sql(v, '$.choices')}, c -> {choice}), m -> m IS NOT NULL)")
+    texts = (
+        f"filter(transform(filter({list_sql(v, '$.content')}, b -> {field_sql('b', '$.type')} = 'text'), "
+        f"b -> coalesce({field_sql('b', '$.text')}, '')), t -> t <> '')"
     )
-    candidates = F.filter(
-        F.transform(
-            field_list(v, "$.candidates"),
-            lambda c: F.struct(
-                F.lit("assistant").alias("role"),
-                message_content(F.try_variant_get(c, "$.content.parts", "variant")).alias("content"),
-            ),
-        ),
-        lambda m: m["content"] != "",
+    blocks = bind(
+        texts, "ts",
+        f"CASE WHEN size(ts) > 0 THEN array(named_struct('role', {_role_sql(v, '$.role', 'assistant')}, "
+        "'content', array_join(ts, ''))) END",
     )
-    return F.coalesce(_filled(choices), blocks, _filled(candidates))
+    parts = bind("try_variant_get(c, '$.content.parts', 'variant')", "cc", content_sql("cc"))
+    candidates = _filled_sql(
+        f"filter(transform({list_sql(v, '$.candidates')}, c -> named_struct('role', 'assistant', 'content', {parts})), "
+        "m -> m.content <> '')"
+    )
+    return f"coalesce({choices}, {blocks}, {candidates})"
+
+
+def _one_of(name: str, values: list[str]) -> str:
+    return f"{name} IN ({', '.join(text_literal(v) for v in values)})"
 
 
 def parse_messages(message: Column, direction: Column) -> Column:
     """ARRAY of (role, content); empty for other directions, non-JSON and oversized messages."""
+    found = (
+        f"CASE WHEN {_one_of('x.d', REQUEST_DIRECTIONS)} THEN CAST({request_messages_sql('j')} AS {MESSAGES}) "
+        f"WHEN {_one_of('x.d', RESPONSE_DIRECTIONS)} THEN CAST({response_messages_sql('j')} AS {MESSAGES}) END"
+    )
+    return let_sql(
+        F.struct(_parsable(message).alias("m"), direction.alias("d")),
+        bind("try_parse_json(x.m)", "j", f"coalesce({found}, {empty(MESSAGES)})"),
+    )
 
-    def of(v: Column) -> Column:
-        return F.coalesce(
-            F.when(direction.isin(*REQUEST_DIRECTIONS), parse_request(v).cast(MESSAGES)).when(
-                direction.isin(*RESPONSE_DIRECTIONS), parse_response(v).cast(MESSAGES)
-            ),
-            F.array().cast(MESSAGES),
-        )
 
-    small = F.when(F.octet_length(message) <= fv.MAX_PARSED_MESSAGE, message)
-    return let(parsed(small), of)
+def _parsable(message: Column) -> Column:
+    return F.when(F.octet_length(message) <= fv.MAX_PARSED_MESSAGE, message)
 
 
 def extract_model(message: Column) -> Column:
     """Model name of a payload or of the response inside it; null if there is none."""
     paths = ["$.model", "$.modelVersion", "$.original_response.model", "$.original_response.modelVersion"]
-    small = F.when(F.octet_length(message) <= fv.MAX_PARSED_MESSAGE, message)
-    return let(
-        parsed(small),
-        lambda v: F.coalesce(*[F.nullif(field_string(v, p), F.lit("")) for p in paths]),
-    )
+    fields = ", ".join(f"nullif({field_sql('j', p)}, '')" for p in paths)
+    return let_sql(_parsable(message), bind("try_parse_json(x)", "j", f"coalesce({fields})"))
 
 
 def add_messages(rows: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pii_spark.functions.offsets import let
-from pii_spark.operators.payloads import as_object, field_list, field_string, parsed
+from pii_spark.functions.offsets import bind, let_sql, text_literal
+from pii_spark.operators.payloads import field_list, field_string, list_sql, object_sql, parsed
 
 FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
 
@@ -21,18 +21,20 @@ def extract_json_block(content: Column) -> Column:
 
     A single object becomes a list of one; null for anything that is neither object nor list.
     """
-    fenced = F.regexp_extract(content, FENCE, 1)
-    block = F.when(content.rlike(FENCE), fenced).otherwise(content)
-    return let(
-        parsed(F.trim(block)),
-        lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), field_list(v, "$")).when(
-            as_object(v).isNotNull(), F.array(v)
+    fence = text_literal(FENCE)
+    block = f"CASE WHEN x RLIKE {fence} THEN regexp_extract(x, {fence}, 1) ELSE x END"
+    return let_sql(
+        content,
+        bind(
+            f"try_parse_json(trim({block}))", "j",
+            f"CASE WHEN schema_of_variant(j) LIKE 'ARRAY%' THEN {list_sql('j', '$')} "
+            f"WHEN {object_sql('j')} IS NOT NULL THEN array(j) END",
         ),
     )
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Result lines with ``status`` ok or the reason of the reject, custom_id and content.
+    """Result lines with ``status`` ok or the reason of the reject, custom_id and samples.
 
     Rejects stay in the table so that they can be written to a quarantine.
     """
@@ -53,11 +55,11 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
         .when(F.coalesce(code, F.lit(200)) != 200, "bad_status")
         .when(F.coalesce(F.size(choices), F.lit(0)) <= 0, "no_choices")
         .when(F.coalesce(content, F.lit("")) == "", "no_content")
-        .when(extract_json_block(content).isNull(), "bad_content")
+        .when(F.col("samples").isNull(), "bad_content")
         .otherwise("ok")
     )
-    return rows.withColumn("status", status).withColumn("custom_id", custom).withColumn(
-        "content", content
+    return rows.withColumn("samples", extract_json_block(content)).withColumn("status", status).withColumn(
+        "custom_id", custom
     ).withColumn("metadata", F.try_variant_get(v, "$.response.body.metadata", "variant")).drop("_v")
 
 
@@ -66,10 +68,9 @@ def explode_samples(parsed_lines: DataFrame, file_id: str) -> DataFrame:
 
     The file name gets a running suffix only where a line holds several samples.
     """
-    rows = parsed_lines.where(F.col("status") == "ok").select(
-        "custom_id", F.posexplode(extract_json_block(F.col("content"))).alias("ix", "sample"),
-        F.size(extract_json_block(F.col("content"))).alias("n"),
-    )
+    rows = parsed_lines.select(
+        "custom_id", "status", F.size("samples").alias("n"), F.posexplode_outer("samples").alias("ix", "sample")
+    ).where((F.col("status") == "ok") & F.col("ix").isNotNull())
     suffix = F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("ix").cast("string"))).otherwise(F.lit(""))
     name = F.concat(F.lit(file_id + "-"), F.col("custom_id"), suffix, F.lit(".json"))
     return rows.select("custom_id", name.alias("file_name"), "sample")
@@ -80,7 +81,7 @@ def parse_ner_results(parsed_lines: DataFrame) -> DataFrame:
     meta = F.col("metadata")
     return parsed_lines.where(F.col("status") == "ok").select(
         "custom_id",
-        F.get(extract_json_block(F.col("content")), F.lit(0)).alias("ner_sample"),
+        F.get("samples", F.lit(0)).alias("ner_sample"),
         F.coalesce(F.try_variant_get(meta, "$.language", "string"), F.lit("English")).alias("language"),
         F.coalesce(F.try_variant_get(meta, "$.country", "string"), F.lit("United States")).alias("country"),
         F.coalesce(F.try_variant_get(meta, "$.sample_index", "bigint"), F.lit(0)).alias("sample_index"),

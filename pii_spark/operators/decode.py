@@ -66,7 +66,9 @@ def chunk_tokens(
             ).alias("tokens"),
         ),
     )
-    return df.select(key, F.posexplode(cut).alias("chunk_ix", "c")).select(key, "chunk_ix", "c.*")
+    return df.select(key, F.posexplode_outer(cut).alias("chunk_ix", "c")).where(
+        F.col("chunk_ix").isNotNull()
+    ).select(key, "chunk_ix", "c.*")
 
 
 def softmax(logits: Column) -> Column:

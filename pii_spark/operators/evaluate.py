@@ -150,7 +150,9 @@ def relaxed_confusion(pairs: DataFrame) -> DataFrame:
             for g, p in zip(gold, predicted)
         ])
 
-    rows = pairs.select(F.explode(outcomes("gold", "predicted")).alias("o")).select("o.*")
+    rows = pairs.select(F.explode_outer(outcomes("gold", "predicted")).alias("o")).where(
+        F.col("o").isNotNull()
+    ).select("o.*")
     return _count_outcomes(rows)
 
 

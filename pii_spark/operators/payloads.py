@@ -11,42 +11,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.offsets import let
-from pii_spark.functions.spans import restore_text
-from pii_spark.operators.detect import RULES, host_of
-from pii_spark.operators.mask import detect_and_mask
+from pii_spark.functions.offsets import bind, empty, let_sql, text_literal
+from pii_spark.functions.spans import longest_first
+from pii_spark.operators.detect import RULES, detected_sql, host_of
+from pii_spark.operators.mask import masked_sql
 
 OBJECT = "map<string,variant>"
 LIST = "array<variant>"
 
 
-def parsed(json: Column) -> Column:
-    return F.try_parse_json(json)
+def field_sql(v: str, path: str) -> str:
+    """A field only if it is a JSON string."""
+    value = f"try_variant_get({v}, '{path}', 'variant')"
+    return f"CASE WHEN schema_of_variant({value}) = 'STRING' THEN try_variant_get({v}, '{path}', 'string') END"
 
 
-def as_object(v: Column) -> Column:
-    return v.try_cast(OBJECT)
+def list_sql(v: str, path: str) -> str:
+    return f"try_variant_get({v}, '{path}', '{LIST}')"
 
 
-def field_string(v: Column, path: str) -> Column:
-    """A field only if it is a JSON string."""
-    return let(
-        F.try_variant_get(v, path, "variant"),
-        lambda x: F.when(F.schema_of_variant(x) == "STRING", x.cast("string")),
-    )
+def object_sql(v: str) -> str:
+    return f"try_cast({v} AS {OBJECT})"
 
 
-def field_list(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, LIST)
+def put_sql(obj: str, name: str, value: str) -> str:
+    """The object with one field set."""
+    return f"map_concat(map_filter({obj}, (k, v) -> k <> '{name}'), map('{name}', {value}))"
 
 
-def put(obj: Column, name: str, value: Column) -> Column:
-    """The object with one field set."""
-    return F.map_concat(F.map_filter(obj, lambda k, _: k != name), F.create_map(F.lit(name), value))
+def parsed(json: Column) -> Column:
+    return F.try_parse_json(json)
 
 
-def to_variant(value: Column) -> Column:
-    return F.call_function("to_variant_object", value)
+def field_string(v: Column, path: str) -> Column:
+    return let_sql(v, field_sql("x", path))
+
+
+def field_list(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, LIST)
 
 
 def route_provider(
@@ -76,143 +78,125 @@ def route_provider(
 
 def strip_provider(body: Column) -> Column:
     """The body without its ``provider`` field; non-JSON and other bodies unchanged."""
-    obj = as_object(parsed(body))
-    return let(
-        obj,
-        lambda o: F.when(
-            o.isNotNull() & F.array_contains(F.map_keys(o), "provider"),
-            F.to_json(F.map_filter(o, lambda k, _: k != "provider")),
-        ).otherwise(body),
+    stripped = "to_json(map_filter(o, (k, v) -> k <> 'provider'))"
+    return let_sql(
+        body,
+        bind(object_sql("try_parse_json(x)"), "o", f"CASE WHEN map_contains_key(o, 'provider') THEN {stripped} ELSE x END"),
     )
 
 
-def _texts_at(items: Column, path: str) -> Column:
-    found = F.transform(items, lambda m: field_string(m, path))
-    return F.filter(found, lambda t: t.isNotNull())
+def _present(values: str) -> str:
+    return f"filter({values}, t -> t IS NOT NULL)"
 
 
-def _parts_texts(items: Column, path: str) -> Column:
-    nested = F.transform(
-        items, lambda m: F.coalesce(_texts_at(field_list(m, path), "$.text"), F.array().cast("array<string>"))
-    )
-    return F.flatten(nested)
+def _texts_sql(items: str, path: str) -> str:
+    return _present(f"transform({items}, m -> {field_sql('m', path)})")
+
 
+def _parts_sql(items: str, path: str) -> str:
+    texts = _texts_sql(list_sql("c", path), "$.text")
+    return f"flatten(transform({items}, c -> coalesce({texts}, {empty('array<string>')})))"
 
-def _lines(texts: Column) -> Column:
-    return F.when(texts.isNotNull(), F.array_join(F.transform(texts, lambda t: F.concat(t, F.lit("\n"))), ""))
+
+def _lines_sql(texts: str) -> str:
+    return bind(texts, "ls", r"CASE WHEN ls IS NOT NULL THEN array_join(transform(ls, t -> concat(t, '\n')), '') END")
+
+
+def _filled_sql(values: str) -> str:
+    return bind(values, "vs", "CASE WHEN size(vs) > 0 THEN vs END")
 
 
 def request_text(body: Column, provider: Column) -> Column:
     """All string message texts of a request, each followed by a newline; null without messages."""
-    v = parsed(body)
-    return let(
-        v,
-        lambda x: F.when(provider == "gemini", _lines(_parts_texts(field_list(x, "$.contents"), "$.parts")))
-        .otherwise(_lines(_texts_at(field_list(x, "$.messages"), "$.content"))),
+    gemini = _lines_sql(_parts_sql(list_sql("j", "$.contents"), "$.parts"))
+    other = _lines_sql(_texts_sql(list_sql("j", "$.messages"), "$.content"))
+    return let_sql(
+        F.struct(body.alias("b"), provider.alias("p")),
+        bind("try_parse_json(x.b)", "j", f"CASE WHEN x.p = 'gemini' THEN {gemini} ELSE {other} END"),
     )
 
 
 def response_text(body: Column, provider: Column) -> Column:
     """All answer texts of a response, each followed by a newline; null without answers."""
-
-    def filled(xs: Column) -> Column:
-        return F.when(F.size(xs) > 0, xs)
-
-    def of(x: Column) -> Column:
-        blocks = F.filter(
-            filled(field_list(x, "$.content")), lambda b: field_string(b, "$.type") == "text"
-        )
-        return (
-            F.when(provider == "gemini", _lines(_parts_texts(filled(field_list(x, "$.candidates")), "$.content.parts")))
-            .when(provider == "anthropic", _lines(_texts_at(blocks, "$.text")))
-            .otherwise(_lines(_texts_at(filled(field_list(x, "$.choices")), "$.message.content")))
-        )
-
-    return let(parsed(body), of)
+    gemini = _lines_sql(_parts_sql(_filled_sql(list_sql("j", "$.candidates")), "$.content.parts"))
+    blocks = f"filter({_filled_sql(list_sql('j', '$.content'))}, b -> {field_sql('b', '$.type')} = 'text')"
+    anthropic = _lines_sql(_texts_sql(blocks, "$.text"))
+    other = _lines_sql(_texts_sql(_filled_sql(list_sql("j", "$.choices")), "$.message.content"))
+    return let_sql(
+        F.struct(body.alias("b"), provider.alias("p")),
+        bind(
+            "try_parse_json(x.b)", "j",
+            f"CASE WHEN x.p = 'gemini' THEN {gemini} WHEN x.p = 'anthropic' THEN {anthropic} ELSE {other} END",
+        ),
+    )
 
 
-Change = Callable[[Column], Column]
+Change = Callable[[str], str]
 
 
-def _change_field(item: Column, name: str, change: Change) -> Column:
+def _change_field(item: str, name: str, change: Change) -> str:
     """A VARIANT object with its string field ``name`` changed; anything else as it is."""
-    text = field_string(item, f"$.{name}")
-    return let(
-        text,
-        lambda t: F.when(
-            t.isNotNull(), to_variant(put(as_object(item), name, change(t).cast("variant")))
-        ).otherwise(item),
+    changed = put_sql(object_sql(item), name, f"CAST({change('txt')} AS VARIANT)")
+    return bind(
+        field_sql(item, f"$.{name}"), "txt",
+        f"CASE WHEN txt IS NOT NULL THEN to_variant_object({changed}) ELSE {item} END",
     )
 
 
-def _change_list(item: Column, name: str, each: Change) -> Column:
-    """A VARIANT object with every element of its list field changed."""
-    return let(
-        field_list(item, f"$.{name}"),
-        lambda xs: F.when(
-            xs.isNotNull(), to_variant(put(as_object(item), name, to_variant(F.transform(xs, each))))
-        ).otherwise(item),
+def _change_list(item: str, name: str, var: str, each: str) -> str:
+    """A VARIANT object with every element ``var`` of its list field replaced by ``each``."""
+    xs = f"{var}s"
+    changed = put_sql(object_sql(item), name, f"to_variant_object(transform({xs}, {var} -> {each}))")
+    return bind(
+        list_sql(item, f"$.{name}"), xs,
+        f"CASE WHEN {xs} IS NOT NULL THEN to_variant_object({changed}) ELSE {item} END",
     )
 
 
-def _change_object(item: Column, name: str, change: Change) -> Column:
-    inner = F.try_variant_get(item, f"$.{name}", "variant")
-    return let(
-        inner,
-        lambda o: F.when(
-            as_object(o).isNotNull(), to_variant(put(as_object(item), name, change(o)))
-        ).otherwise(item),
+def _change_object(item: str, name: str, var: str, changed: str) -> str:
+    return bind(
+        f"try_variant_get({item}, '$.{name}', 'variant')", var,
+        f"CASE WHEN {object_sql(var)} IS NOT NULL THEN to_variant_object({put_sql(object_sql(item), name, changed)}) ELSE {item} END",
     )
 
 
-def change_request(v: Column, provider: Column, change: Change) -> Column:
+def request_sql(v: str, provider: str, change: Change) -> str:
     """The request VARIANT with ``change`` applied to every message text, blocks included."""
-
-    def block(b: Column) -> Column:
-        return _change_field(b, "text", change)
-
-    def message(m: Column) -> Column:
-        listed = field_list(m, "$.content").isNotNull()
-        return F.when(listed, _change_list(m, "content", block)).otherwise(_change_field(m, "content", change))
-
-    return F.when(
-        provider == "gemini", _change_list(v, "contents", lambda c: _change_list(c, "parts", block))
-    ).otherwise(_change_list(v, "messages", message))
+    block = _change_field("blk", "text", change)
+    message = (
+        f"CASE WHEN {list_sql('msg', '$.content')} IS NOT NULL THEN {_change_list('msg', 'content', 'blk', block)} "
+        f"ELSE {_change_field('msg', 'content', change)} END"
+    )
+    gemini = _change_list(v, "contents", "cnt", _change_list("cnt", "parts", "blk", block))
+    return f"CASE WHEN {provider} = 'gemini' THEN {gemini} ELSE {_change_list(v, 'messages', 'msg', message)} END"
 
 
-def change_response(v: Column, provider: Column, change: Change) -> Column:
+def response_sql(v: str, provider: str, change: Change) -> str:
     """The response VARIANT with ``change`` applied to every answer text."""
-
-    def text_block(b: Column) -> Column:
-        return F.when(field_string(b, "$.type") == "text", _change_field(b, "text", change)).otherwise(b)
-
-    def candidate(c: Column) -> Column:
-        return _change_object(
-            c, "content", lambda o: _change_list(o, "parts", lambda p: _change_field(p, "text", change))
-        )
-
-    def choice(c: Column) -> Column:
-        return _change_object(c, "message", lambda m: _change_field(m, "content", change))
-
+    block = f"CASE WHEN {field_sql('blk', '$.type')} = 'text' THEN {_change_field('blk', 'text', change)} ELSE blk END"
+    parts = _change_list("obj", "parts", "prt", _change_field("prt", "text", change))
+    gemini = _change_list(v, "candidates", "cnd", _change_object("cnd", "content", "obj", parts))
+    choice = _change_object("chc", "message", "obj", _change_field("obj", "content", change))
     return (
-        F.when(provider == "gemini", _change_list(v, "candidates", candidate))
-        .when(provider == "anthropic", _change_list(v, "content", text_block))
-        .otherwise(_change_list(v, "choices", choice))
+        f"CASE WHEN {provider} = 'gemini' THEN {gemini} "
+        f"WHEN {provider} = 'anthropic' THEN {_change_list(v, 'content', 'blk', block)} "
+        f"ELSE {_change_list(v, 'choices', 'chc', choice)} END"
     )
 
 
-def _request_texts(v: Column, provider: Column) -> Column:
+def request_texts_sql(v: str, provider: str) -> str:
     """All texts of a request in order, those inside content blocks included."""
-
-    def of_message(m: Column) -> Column:
-        blocks = field_list(m, "$.content")
-        return F.when(blocks.isNotNull(), _texts_at(blocks, "$.text")).otherwise(
-            F.filter(F.array(field_string(m, "$.content")), lambda t: t.isNotNull())
-        )
-
-    return F.when(
-        provider == "gemini", _parts_texts(field_list(v, "$.contents"), "$.parts")
-    ).otherwise(F.flatten(F.transform(field_list(v, "$.messages"), of_message)))
+    blocks = list_sql("m", "$.content")
+    of_message = bind(
+        blocks, "bl",
+        f"CASE WHEN bl IS NOT NULL THEN {_texts_sql('bl', '$.text')} "
+        f"ELSE {_present('array(' + field_sql('m', '$.content') + ')')} END",
+    )
+    gemini = _parts_sql(list_sql(v, "$.contents"), "$.parts")
+    return (
+        f"CASE WHEN {provider} = 'gemini' THEN {gemini} "
+        f"ELSE flatten(transform({list_sql(v, '$.messages')}, m -> {of_message})) END"
+    )
 
 
 def mask_payloads(df: DataFrame, body: str = "body", provider: str = "provider", salt: str = "", rules=RULES) -> DataFrame:
@@ -222,52 +206,32 @@ def mask_payloads(df: DataFrame, body: str = "body", provider: str = "provider",
     whole, and ``unrecognised`` for JSON without the expected field, which passes unchanged. Every
     text is detected and masked once; the bodies are rebuilt from those results inside the row.
     """
-    v = parsed(F.col(body))
-    who = F.col(provider)
-    texts = F.when(F.col("_v").isNull(), F.array(F.col(body))).otherwise(_request_texts(F.col("_v"), who))
-    steps = (
-        df.withColumn("_v", v)
-        .withColumn("_texts", texts)
-        .withColumn(
-            "_masked",
-            F.transform(
-                F.coalesce("_texts", F.array().cast("array<string>")),
-                lambda t: F.struct(t.alias("text"), detect_and_mask(t, rules, salt).alias("m")),
-            ),
-        )
-    )
-
-    def masked_form(t: Column) -> Column:
-        return F.get(F.filter("_masked", lambda x: x["text"] == t), F.lit(0))["m"]["masked_text"]
-
-    status = (
-        F.when(F.col("_v").isNull(), "text").when(F.col("_texts").isNull(), "unrecognised").otherwise("masked")
+    inputs = F.struct(parsed(F.col(body)).alias("v"), F.col(body).alias("b"), F.col(provider).alias("p"))
+    one = bind(detected_sql("t", tuple(rules)), "entities", masked_sql("t", "entities", salt))
+    texts = f"CASE WHEN x.v IS NULL THEN array(x.b) ELSE {request_texts_sql('x.v', 'x.p')} END"
+    form = "get(filter(done, d -> d.text = txt), 0).m.masked_text"
+    status = "CASE WHEN x.v IS NULL THEN 'text' WHEN texts IS NULL THEN 'unrecognised' ELSE 'masked' END"
+    rebuilt = (
+        "CASE WHEN x.v IS NULL THEN get(done, 0).m.masked_text WHEN texts IS NULL THEN x.b "
+        f"ELSE to_json({request_sql('x.v', 'x.p', lambda _: form)}) END"
     )
-    body_out = (
-        F.when(status == "text", F.get("_masked", F.lit(0))["m"]["masked_text"])
-        .when(status == "unrecognised", F.col(body))
-        .otherwise(F.to_json(change_request(F.col("_v"), who, masked_form)))
-    )
-    return (
-        steps.withColumn("mask_status", status)
-        .withColumn("masked_body", body_out)
-        .withColumn("masked_to_original", _last_wins(F.transform("_masked", lambda x: x["m"]["masked_to_original"])))
-        .withColumn("entities", F.flatten(F.transform("_masked", lambda x: x["m"]["entities"])))
-        .drop("_v", "_texts", "_masked")
+    result = (
+        f"named_struct('mask_status', {status}, 'masked_body', {rebuilt}, "
+        f"'masked_to_original', {_last_wins('transform(done, d -> d.m.masked_to_original)')}, "
+        "'entities', flatten(transform(done, d -> d.m.entities)))"
     )
+    done = f"transform(coalesce(texts, {empty('array<string>')}), t -> named_struct('text', t, 'm', {one}))"
+    out = df.withColumn("_m", let_sql(inputs, bind(texts, "texts", bind(done, "done", result))))
+    names = ("mask_status", "masked_body", "masked_to_original", "entities")
+    return out.select(*[c for c in df.columns if c not in names], *[F.col(f"_m.{n}").alias(n) for n in names])
 
 
-def _last_wins(maps: Column) -> Column:
+def _last_wins(maps: str) -> str:
     """Union of maps; of equal keys the later one stays."""
-    entries = F.flatten(F.transform(maps, F.map_entries))
-    return let(
-        entries,
-        lambda es: F.map_from_entries(
-            F.filter(
-                es,
-                lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later["key"] == e["key"]),
-            )
-        ),
+    later = "exists(slice(es, i + 2, size(es)), l -> l.key = e.key)"
+    return bind(
+        f"flatten(transform({maps}, mp -> map_entries(mp)))", "es",
+        f"map_from_entries(filter(es, (e, i) -> NOT {later}))",
     )
 
 
@@ -276,13 +240,12 @@ def restore_payloads(
     mapping: str = "masked_to_original", notice: str = "",
 ) -> DataFrame:
     """Add ``restored_body``: originals back in every answer text, plus an optional notice."""
-
-    def back(t: Column) -> Column:
-        restored = restore_text(t, F.col(mapping))
-        return F.concat(restored, F.lit(notice)) if notice else restored
-
-    out = df.withColumn("_v", parsed(F.col(body)))
-    changed = F.to_json(change_response(F.col("_v"), F.col(provider), back))
-    return out.withColumn(
-        "restored_body", F.when(F.col("_v").isNull(), F.col(body)).otherwise(changed)
-    ).drop("_v")
+    inputs = F.struct(
+        F.col(body).alias("b"), F.col(provider).alias("p"), longest_first(F.col(mapping)).alias("m")
+    )
+    back = "aggregate(filter(x.m, e -> e.key <> ''), txt, (acc, e) -> replace(acc, e.key, e.value))"
+    if notice:
+        back = f"concat({back}, {text_literal(notice)})"
+    changed = response_sql("j", "x.p", lambda _: back)
+    restored = bind("try_parse_json(x.b)", "j", f"CASE WHEN j IS NULL THEN x.b ELSE to_json({changed}) END")
+    return df.withColumn("restored_body", let_sql(inputs, restored))

@@ -136,7 +136,10 @@ def bio_labels(tokens: Column, mask: Column) -> Column:
             ),
         )
 
-    return let(best_entities(tokens, mask), tagged)
+    bare = F.transform(tokens, lambda t: F.when(t["end"] <= t["start"], "IGNORE").otherwise("O"))
+    return let(
+        mask, lambda spans: F.when(F.size(spans) == 0, bare).otherwise(let(best_entities(tokens, spans), tagged))
+    )
 
 
 def align_bio(df: DataFrame, text: str = "text", mask: str = "privacy_mask", limit: int | None = None) -> DataFrame:
@@ -158,7 +161,8 @@ def label_vocabulary(spark) -> DataFrame:
 
 
 def tag_counts(tagged: DataFrame) -> DataFrame:
-    return tagged.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    tags = tagged.select(F.explode_outer("tags").alias("tag")).where(F.col("tag").isNotNull())
+    return tags.groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def class_weights(tagged: DataFrame) -> DataFrame:

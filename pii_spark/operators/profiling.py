@@ -61,9 +61,14 @@ def distribution(records: DataFrame, column: str) -> DataFrame:
     return _with_share(counts, records.agg(F.count("*")))
 
 
+def _exploded(records: DataFrame, column: str, name: str) -> DataFrame:
+    """One row per element; the outer form keeps the array from being computed twice."""
+    return records.select(F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
+
+
 def label_distribution(records: DataFrame) -> DataFrame:
     """Entities per standard label, with the percentage of all entities."""
-    counts = records.select(F.explode("labels").alias("label")).groupBy("label").agg(
+    counts = _exploded(records, "labels", "label").groupBy("label").agg(
         F.count("*").alias("n")
     )
     return _with_share(counts, records.agg(F.sum("entity_count")))
@@ -71,7 +76,7 @@ def label_distribution(records: DataFrame) -> DataFrame:
 
 def non_standard_labels(records: DataFrame, labels_dim: DataFrame) -> DataFrame:
     """Counts of labels outside the standard set; labels are counted before the anti join."""
-    counts = records.select(F.explode("all_labels").alias("label")).groupBy("label").agg(
+    counts = _exploded(records, "all_labels", "label").groupBy("label").agg(
         F.count("*").alias("n")
     )
     return counts.join(labels_dim.select("label"), "label", "left_anti")
@@ -101,7 +106,7 @@ def label_pairs(records: DataFrame, top: int | None = 10) -> DataFrame:
 
 def _values(records: DataFrame) -> DataFrame:
     return (
-        records.select(F.explode("entities").alias("e"))
+        _exploded(records, "entities", "e")
         .groupBy(F.col("e.label").alias("label"), F.col("e.value").alias("value"))
         .agg(F.count("*").alias("n"))
     )
@@ -110,7 +115,7 @@ def _values(records: DataFrame) -> DataFrame:
 def value_diversity(records: DataFrame, approximate: bool = False) -> DataFrame:
     """Distinct values per label; the approximate form shuffles sketches instead of values."""
     if approximate:
-        return records.select(F.explode("entities").alias("e")).groupBy(
+        return _exploded(records, "entities", "e").groupBy(
             F.col("e.label").alias("label")
         ).agg(
             F.approx_count_distinct("e.value").alias("distinct_values"), F.count("*").alias("n")

@@ -160,7 +160,8 @@ def noisiest_files(reviews: DataFrame, key: str = "file_name", n: int = 20) -> D
 def example_issues(reviews: DataFrame, key: str = "file_name", n: int = 30) -> DataFrame:
     """The first ``n`` issues, files with most issues first."""
     return (
-        reviews.select(key, F.size("issues").alias("issue_count"), F.posexplode("issues").alias("pos", "i"))
+        reviews.select(key, F.size("issues").alias("issue_count"), F.posexplode_outer("issues").alias("pos", "i"))
+        .where(F.col("pos").isNotNull())
         .select(key, "issue_count", "pos", "i.issue_type", "i.detail")
         .orderBy(F.desc("issue_count"), key, "pos")
         .limit(n)

@@ -107,7 +107,8 @@ def sample_id(number: Column) -> Column:
 def label_coverage(samples: DataFrame, labels_dim: DataFrame, minimum: int = 5) -> DataFrame:
     """Count per standard label, zero included, and whether it falls below ``minimum``."""
     counts = (
-        samples.select(F.explode("entities.label").alias("label")).groupBy("label").agg(F.count("*").alias("c"))
+        samples.select(F.explode_outer("entities.label").alias("label"))
+        .where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("c"))
     )
     n = F.coalesce("c", F.lit(0))
     return labels_dim.join(counts, "label", "left").select(
