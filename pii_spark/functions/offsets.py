@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = 32
@@ -33,6 +33,16 @@ def let_sql(value: Column, body: str) -> Column:
     return F.get(F.call_function("transform", F.array(value), F.expr(f"x -> {body}")), F.lit(0))
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is expensive to compute.
+
+    A filter on a projected column is pushed below the projection, and the expression is then
+    evaluated twice. Filters do not pass a generator, so the value comes out of a one-element one.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode_outer(F.array(value)).alias(name))
+
+
 def bind(value: str, name: str, body: str) -> str:
     """SQL text that evaluates ``value`` once as ``name`` inside ``body``."""
     return f"get(transform(array({value}), {name} -> {body}), 0)"

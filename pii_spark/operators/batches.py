@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pii_spark.functions.offsets import bind, let_sql, text_literal
-from pii_spark.operators.payloads import field_list, field_string, list_sql, object_sql, parsed
+from pii_spark.functions.offsets import bind, compute_once, let_sql, text_literal
+from pii_spark.operators.payloads import field_sql, list_sql, object_sql
 
 FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
 
@@ -23,13 +23,13 @@ def extract_json_block(content: Column) -> Column:
     """
     fence = text_literal(FENCE)
     block = f"CASE WHEN x RLIKE {fence} THEN regexp_extract(x, {fence}, 1) ELSE x END"
-    return let_sql(
-        content,
-        bind(
-            f"try_parse_json(trim({block}))", "j",
-            f"CASE WHEN schema_of_variant(j) LIKE 'ARRAY%' THEN {list_sql('j', '$')} "
-            f"WHEN {object_sql('j')} IS NOT NULL THEN array(j) END",
-        ),
+    return let_sql(content, bind(f"try_parse_json(trim({block}))", "j", _samples_sql("j")))
+
+
+def _samples_sql(v: str) -> str:
+    return (
+        f"CASE WHEN schema_of_variant({v}) LIKE 'ARRAY%' THEN {list_sql(v, '$')} "
+        f"WHEN {object_sql(v)} IS NOT NULL THEN array({v}) END"
     )
 
 
@@ -38,29 +38,37 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
     Rejects stay in the table so that they can be written to a quarantine.
     """
-    rows = lines.where(F.trim(column) != "").withColumn("_v", parsed(F.col(column)))
-    v = F.col("_v")
-    custom = F.coalesce(
-        F.try_variant_get(v, "$.custom_id", "string"), F.try_variant_get(v, "$.customID", "string"),
-        F.lit("unknown"),
-    )
-    code = F.try_variant_get(v, "$.response.status_code", "int")
-    nested = F.try_variant_get(v, "$.response", "variant").isNotNull()
-    choices = F.when(nested, field_list(v, "$.response.body.choices")).otherwise(
-        field_list(v, "$.body.choices")
+    block = "CASE WHEN content RLIKE {f} THEN regexp_extract(content, {f}, 1) ELSE content END"
+    samples = bind(
+        f"try_parse_json(trim({block.format(f=text_literal(FENCE))}))", "b", _samples_sql("b")
     )
-    content = field_string(F.get(choices, F.lit(0)), "$.message.content")
     status = (
-        F.when(v.isNull(), "bad_json")
-        .when(F.coalesce(code, F.lit(200)) != 200, "bad_status")
-        .when(F.coalesce(F.size(choices), F.lit(0)) <= 0, "no_choices")
-        .when(F.coalesce(content, F.lit("")) == "", "no_content")
-        .when(F.col("samples").isNull(), "bad_content")
-        .otherwise("ok")
+        "CASE WHEN j IS NULL THEN 'bad_json' "
+        "WHEN coalesce(try_variant_get(j, '$.response.status_code', 'int'), 200) <> 200 THEN 'bad_status' "
+        "WHEN coalesce(size(choices), 0) <= 0 THEN 'no_choices' "
+        "WHEN coalesce(content, '') = '' THEN 'no_content' "
+        "WHEN samples IS NULL THEN 'bad_content' ELSE 'ok' END"
+    )
+    custom = (
+        "coalesce(try_variant_get(j, '$.custom_id', 'string'), try_variant_get(j, '$.customID', 'string'), 'unknown')"
+    )
+    result = (
+        f"named_struct('status', {status}, 'custom_id', {custom}, 'samples', samples, "
+        "'metadata', try_variant_get(j, '$.response.body.metadata', 'variant'))"
+    )
+    choices = (
+        "CASE WHEN try_variant_get(j, '$.response', 'variant') IS NOT NULL "
+        f"THEN {list_sql('j', '$.response.body.choices')} ELSE {list_sql('j', '$.body.choices')} END"
+    )
+    body = bind(
+        "try_parse_json(x)", "j",
+        bind(
+            choices, "choices",
+            bind(field_sql("get(choices, 0)", "$.message.content"), "content", bind(samples, "samples", result)),
+        ),
     )
-    return rows.withColumn("samples", extract_json_block(content)).withColumn("status", status).withColumn(
-        "custom_id", custom
-    ).withColumn("metadata", F.try_variant_get(v, "$.response.body.metadata", "variant")).drop("_v")
+    rows = compute_once(lines.where(F.trim(column) != ""), "_p", let_sql(F.col(column), body))
+    return rows.select(*lines.columns, "_p.*")
 
 
 def explode_samples(parsed_lines: DataFrame, file_id: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.offsets import let
+from pii_spark.functions.offsets import bind, let, let_sql
 from pii_spark.functions.spans import ENTITIES, code_points, entity, merge_spans, trim_bounds
 from pii_spark.operators.detect import check_threshold
 
@@ -213,13 +213,23 @@ def group_spans(
         return F.when(token["end"] <= token["start"], acc).otherwise(let(seen, consume))
 
     zero = make(F.lit(None).cast("string"), F.lit(0), F.lit(0), F.lit(0.0), F.array().cast(ENTITIES))
-    def folded(xs: Column) -> Column:
-        indices = F.sequence(F.lit(0), F.size(xs) - 1)
-        return F.when(F.size(xs) == 0, F.array().cast(ENTITIES)).otherwise(
-            F.aggregate(indices, zero, lambda acc, i: step(xs, acc, i), finished)
-        )
-
-    return let(decoded, folded)
+    # Only tagged tokens and the token after each of them can change the state.
+    tagged = f"(get(x.d, {{i}}).tag <> 'O' AND get(x.d, {{i}}).confidence >= {threshold}D)"
+    real = "filter(sequence(0, size(x.d) - 1), i -> x.t[i].`end` > x.t[i].start)"
+    near = bind(
+        real, "ix",
+        f"filter(ix, (i, k) -> {tagged.format(i='i')} OR coalesce({tagged.format(i='get(ix, k - 1)')}, false))",
+    )
+    visited = let_sql(
+        F.struct(tokens.alias("t"), decoded.alias("d")),
+        f"CASE WHEN exists(x.d, e -> e.tag <> 'O' AND e.confidence >= {threshold}D) THEN named_struct('d', x.d, 'ix', {near}) END",
+    )
+    return let(
+        visited,
+        lambda v: F.when(v.isNull(), F.array().cast(ENTITIES)).otherwise(
+            F.aggregate(v["ix"], zero, lambda acc, i: step(v["d"], acc, i), finished)
+        ),
+    )
 
 
 def decode_spans(

@@ -257,20 +257,26 @@ def tag_metrics(df: DataFrame, gold: str = "gold_tags", predicted: str = "predic
         F.lit(0).alias("doc_id"), let(F.col(gold), strict_chunks).alias("gold"),
         let(F.col(predicted), strict_chunks).alias("predicted"),
     )
-    counts = span_confusion(pairs)
-    labels = add_prf(counts, None).withColumn("support", F.col("tp") + F.col("fn"))
-    micro = add_prf(labels.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "support")]), None)
+    labels = add_prf(span_confusion(pairs), None).withColumn("support", F.col("tp") + F.col("fn"))
+    # Every label row counts for itself and for the three averages, so the scores are computed once.
     scores = ["precision", "recall", "f1"]
-    macro = labels.agg(*[F.avg(c).alias(c) for c in scores], F.sum("support").alias("support"))
-    weighted = labels.agg(
-        *[ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in scores],
-        F.sum("support").alias("support"),
+    names = F.array("label", F.lit("micro avg"), F.lit("macro avg"), F.lit("weighted avg"))
+    grouped = labels.withColumn("name", F.explode(names)).groupBy("name").agg(
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "support")],
+        *[F.avg(c).alias(f"mean_{c}") for c in scores],
+        *[ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(f"weighted_{c}") for c in scores],
     )
-    cols = ["label", *scores, "support"]
-    out = labels.select(cols)
-    for name, part in (("micro avg", micro), ("macro avg", macro), ("weighted avg", weighted)):
-        out = out.unionByName(part.withColumn("label", F.lit(name)).select(cols))
-    return out.select("label", *[F.round(c, 4).alias(c) for c in scores], "support")
+    summed = add_prf(grouped, None)
+
+    def score(c: str) -> Column:
+        value = (
+            F.when(F.col("name") == "macro avg", F.col(f"mean_{c}"))
+            .when(F.col("name") == "weighted avg", F.col(f"weighted_{c}"))
+            .otherwise(F.col(c))
+        )
+        return F.round(value, 4).alias(c)
+
+    return summed.select(F.col("name").alias("label"), *[score(c) for c in scores], "support")
 
 
 def decoder_parity(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:

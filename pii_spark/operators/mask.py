@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.offsets import bind, let, let_sql
+from pii_spark.functions.offsets import bind, compute_once, let, let_sql
 from pii_spark.functions.spans import (
     average_confidence,
     covered_characters,
@@ -36,7 +36,7 @@ def masked(text: Column, entities: Column, salt: str = "") -> Column:
 
 def mask_text(df: DataFrame, text: str = "text", entities: str = "entities", salt: str = "") -> DataFrame:
     """Add ``masked_text`` and ``masked_to_original``; entities gain ``dummy``. Row-local."""
-    out = df.withColumn("_m", masked(F.col(text), F.col(entities), salt))
+    out = compute_once(df, "_m", masked(F.col(text), F.col(entities), salt))
     return (
         out.withColumn("masked_text", F.col("_m.masked_text"))
         .withColumn("masked_to_original", F.col("_m.masked_to_original"))
@@ -61,7 +61,7 @@ def restore_exact(df: DataFrame, text: str = "masked_text", entities: str = "ent
 
 def pii_check(df: DataFrame, text: str = "text") -> DataFrame:
     """The check record of every text: masked message, map, detected entities, found flag."""
-    m = df.withColumn("_m", detect_and_mask(F.col(text)))
+    m = compute_once(df, "_m", detect_and_mask(F.col(text)))
     found = F.size("_m.entities") > 0
     return m.select(
         *[c for c in df.columns if c != text],
@@ -152,7 +152,7 @@ def mask_conversations(turns: DataFrame, text: str = "text", salt: str = "") ->
     The dummy is a keyed hash of the original, not a per-request draw: turns agree without joining
     them to a conversation-wide map, and the work stays row-local.
     """
-    m = turns.withColumn("_m", detect_and_mask(F.col(text), salt=salt))
+    m = compute_once(turns, "_m", detect_and_mask(F.col(text), salt=salt))
     return m.select(
         "conv_id", "turn", "role", F.col("_m.masked_text").alias("masked_text"),
         F.col("_m.masked_to_original").alias("masked_to_original"),

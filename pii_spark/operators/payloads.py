@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.offsets import bind, empty, let_sql, text_literal
+from pii_spark.functions.offsets import bind, compute_once, empty, let_sql, text_literal
 from pii_spark.functions.spans import longest_first
 from pii_spark.operators.detect import RULES, detected_sql, host_of
 from pii_spark.operators.mask import masked_sql
@@ -221,7 +221,7 @@ def mask_payloads(df: DataFrame, body: str = "body", provider: str = "provider",
         "'entities', flatten(transform(done, d -> d.m.entities)))"
     )
     done = f"transform(coalesce(texts, {empty('array<string>')}), t -> named_struct('text', t, 'm', {one}))"
-    out = df.withColumn("_m", let_sql(inputs, bind(texts, "texts", bind(done, "done", result))))
+    out = compute_once(df, "_m", let_sql(inputs, bind(texts, "texts", bind(done, "done", result))))
     names = ("mask_status", "masked_body", "masked_to_original", "entities")
     return out.select(*[c for c in df.columns if c not in names], *[F.col(f"_m.{n}").alias(n) for n in names])
 

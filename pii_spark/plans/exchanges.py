@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pii_spark.functions.spans import average_confidence
+from pii_spark.functions.ranking import cut_lineage
 from pii_spark.operators import audit_log, mask, payloads
 from pii_spark.plans import oracle_parts as sql
 from pii_spark.plans.corpora import detected_documents, samples, spread, table
@@ -184,7 +184,7 @@ def log_stats(spark, sf):
 
 
 def log_transactions(spark, sf):
-    rows = audit_log.order_transactions(transactions(spark, sf))
+    rows = audit_log.order_transactions(cut_lineage(transactions(spark, sf)))
     return rows.select("id", "direction", F.col("step").cast("bigint").alias("step"), F.unix_timestamp("latest").alias("latest"))
 
 
