@@ -98,22 +98,34 @@ def top_labels(logits: Column, labels: list[str], k: int = 3) -> Column:
     )
 
 
-def viterbi(scores: np.ndarray, transitions: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Best label path; the lowest label id wins a tie."""
-    steps = len(scores)
+def viterbi(
+    scores: list[np.ndarray], transitions: np.ndarray, start: np.ndarray, end: np.ndarray
+) -> list[np.ndarray]:
+    """Best label path of every sequence, all sequences at once; the lowest label id wins a tie."""
+    lengths = np.array([len(s) for s in scores])
+    steps, labels = int(lengths.max(initial=0)), len(start)
     if steps == 0:
-        return np.zeros(0, dtype=np.int32)
-    best = start + scores[0]
-    back = np.zeros((steps, len(best)), dtype=np.int32)
+        return [np.zeros(0, dtype=np.int64) for _ in scores]
+    padded = np.zeros((steps, len(scores), labels))
+    for i, s in enumerate(scores):
+        padded[: len(s), i] = s
+    best = start + padded[0]
+    back = np.zeros((steps, len(scores), labels), dtype=np.int32)
     for t in range(1, steps):
-        arrive = best[:, None] + transitions + scores[t]
-        back[t] = arrive.argmax(axis=0)
-        best = arrive.max(axis=0)
-    path = np.zeros(steps, dtype=np.int32)
-    path[-1] = int((best + end).argmax())
-    for t in range(steps - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+        arrive = best[:, :, None] + transitions + padded[t][:, None, :]
+        back[t] = arrive.argmax(axis=1)
+        best = np.where((t < lengths)[:, None], arrive.max(axis=1), best)
+    paths = np.zeros((steps, len(scores)), dtype=np.int64)
+    current = (best + end).argmax(axis=1)
+    everyone = np.arange(len(scores))
+    for t in range(steps - 1, -1, -1):
+        paths[t] = current
+        if t > 0:
+            current = np.where(t < lengths, back[t][everyone, current], current)
+    return [paths[: len(s), i] for i, s in enumerate(scores)]
+
+
+_TOGETHER = 64  # sequences per Viterbi run; bounds its memory
 
 
 def decode_logits(chunks: DataFrame, labels: list[str], crf: dict | None = None) -> DataFrame:
@@ -129,16 +141,19 @@ def decode_logits(chunks: DataFrame, labels: list[str], crf: dict | None = None)
 
     @F.pandas_udf("array<struct<tag:string,confidence:double>>")
     def decode(logits: pd.Series) -> pd.Series:
-        out = []
-        for rows in logits:
-            if rows is None or len(rows) == 0:
-                out.append([])
-                continue
-            scores = np.asarray(rows, dtype=np.float64).reshape(-1, len(names))
-            path = scores.argmax(axis=1) if tables is None else viterbi(scores, *tables)
+        def named(scores: np.ndarray, path: np.ndarray) -> list[dict]:
             weights = np.exp(scores - scores.max(axis=1, keepdims=True))
             picked = weights[np.arange(len(path)), path] / weights.sum(axis=1)
-            out.append([{"tag": t, "confidence": float(c)} for t, c in zip(names[path], picked)])
+            return [{"tag": t, "confidence": c} for t, c in zip(names[path], picked.tolist())]
+
+        out: list[list[dict]] = []
+        for first in range(0, len(logits), _TOGETHER):
+            some = [
+                np.asarray([] if x is None else x, dtype=np.float64).reshape(-1, len(names))
+                for x in logits.iloc[first : first + _TOGETHER]
+            ]
+            paths = [s.argmax(axis=1) for s in some] if tables is None else viterbi(some, *tables)
+            out += [named(s, p) if len(p) else [] for s, p in zip(some, paths)]
         return pd.Series(out)
 
     return chunks.withColumn("decoded", decode("logits")).drop("logits")
