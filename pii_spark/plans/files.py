@@ -154,7 +154,7 @@ def stream_windows(spark, sf):
     events = _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     rates = streams.pii_rate_windows(events, "event_type", length="1 hour", lateness="30 minutes")
     out = _run_to_table(spark, rates, "rates")
-    return out.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
 
 
 def stream_vault(spark, sf):
@@ -171,7 +171,7 @@ def event_windows(spark, sf):
     """Batch form of the rate windows, sliding."""
     events = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     out = streams.pii_rate_windows(events, "event_type", length="1 hour", slide="30 minutes")
-    return out.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
 
 
 def pii_rate_windows(spark, sf):
@@ -254,10 +254,10 @@ SELECT micro_f1, macro_f1, (SELECT count(*) FROM p) AS labels FROM m""",
         "log_files": nested("log_rows", "SELECT strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, direction, count(*) AS n FROM base_result GROUP BY 1, 2"),
         "stream_masked": nested("masked_documents", "SELECT doc_id, masked_md5, entities FROM base_result"),
         "stream_windows": """WITH m AS (SELECT epoch_ms(max(ts)) AS hi FROM events)
-SELECT (epoch_ms(ts) // 3600000 * 3600)::BIGINT AS window_start, event_type, count(*) AS n FROM events, m
+SELECT strftime(make_timestamp(epoch_ms(ts) // 3600000 * 3600000000), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events, m
 WHERE (epoch_ms(ts) // 3600000 + 1) * 3600000 <= hi - 1800000 GROUP BY 1, 2""",
         "stream_vault": f"WITH {sql.rule_spans('spans', 'documents')}, {_build('v', 'spans', '', 0)} SELECT {cols} FROM v",
-        "event_windows": """SELECT (w * 1800)::BIGINT AS window_start, event_type, count(*) AS n FROM (
+        "event_windows": """SELECT strftime(make_timestamp(w * 1800000000), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM (
   SELECT event_type, unnest([epoch_ms(ts) // 1800000, epoch_ms(ts) // 1800000 - 1]) AS w FROM events) GROUP BY 1, 2""",
         "pii_rate_windows": f"""WITH {gold}, {turns}, {sql.rule_spans('spans', 'turns', 'tkey', 'text')}
 SELECT (t.ts // 3600 * 3600)::BIGINT AS window_start, label, count(*) AS n FROM spans s JOIN turns t ON t.tkey = s.tkey GROUP BY 1, 2""",
