@@ -52,14 +52,17 @@ def mark_smallest(
     return whole.unionByName(ranked).drop("_h", "_b", "_f", "_before", "_upto", "_k")
 
 
+_CELLS = 4096
+
+
 def exact_percentiles(
     df: DataFrame, value: str, fractions: list[float], by: list[str] | None = None
 ) -> DataFrame:
     """Interpolated percentiles per group: columns ``by``, ``fraction``, ``percentile``.
 
     ``percentile`` keeps every distinct value of a group in one aggregation buffer. Here
-    ``percentile_approx`` brackets each wanted rank, the rows below a bracket are counted, and only
-    the distinct values inside a bracket are ordered.
+    ``percentile_approx`` brackets each wanted rank, the rows below a bracket are counted, and of the
+    distinct values inside a bracket only those around the rank are ordered.
     """
     if not by:
         whole = exact_percentiles(df.withColumn("_all", F.lit(0)), value, fractions, ["_all"])
@@ -95,12 +98,24 @@ def exact_percentiles(
     below = joined.groupBy(*by, "fraction").agg(
         F.coalesce(F.sum(F.when(F.col("_v") < F.col("_lo"), F.col("_c"))), F.lit(0)).alias("_below")
     )
-    inside = joined.where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).join(
-        below, [*by, "fraction"]
+    # Order cells of the bracket first, then only the values of the cells that hold a wanted rank.
+    group = [*by, "fraction"]
+    width = F.col("_hi") - F.col("_lo")
+    cell = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width * _CELLS)).otherwise(0)
+    inside = joined.where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).withColumn("_cell", cell)
+    cells = inside.groupBy(*group, "_cell", "_rank").agg(F.sum("_c").alias("_cc")).join(below, group)
+    cells_so_far = W.partitionBy(*group).orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+    hit = (
+        cells.withColumn("_end", F.sum("_cc").over(cells_so_far) + F.col("_below"))
+        .withColumn("_start", F.col("_end") - F.col("_cc"))
+        .where((F.col("_start") <= F.ceil("_rank")) & (F.col("_end") > F.floor("_rank")))
+        .select(*group, "_cell", "_start")
     )
-    running = W.partitionBy(*by, "fraction").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    placed = inside.withColumn("_last", F.sum("_c").over(running) + F.col("_below") - 1).withColumn(
-        "_first", F.col("_last") - F.col("_c") + 1
+    running = W.partitionBy(*group, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    placed = (
+        inside.join(hit, [*group, "_cell"])
+        .withColumn("_last", F.sum("_c").over(running) + F.col("_start") - 1)
+        .withColumn("_first", F.col("_last") - F.col("_c") + 1)
     )
     low, high = F.floor("_rank"), F.ceil("_rank")
 

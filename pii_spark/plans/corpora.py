@@ -17,15 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores where the input has fewer splits than cores, as a one-file table has.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores where a table has fewer splits than cores, as a one-file table has.
 
-    A large input has many more splits and is left alone.
+    A large table has many more splits and is left alone. Only for tables as read: the partitions of
+    a later step are known by running it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(cores, *keys)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +40,8 @@ def detected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One synthetic annotated sample per document id, with language and country."""
-    ids = table(spark, sf_dir, "documents").select("doc_id")
-    drawn = sample_language_country(synthesize(ids, "doc_id"), "doc_id")
-    return spread(drawn, "doc_id") if drawn.rdd.getNumPartitions() > 1 else drawn
+    ids = spread(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return sample_language_country(synthesize(ids, "doc_id"), "doc_id")
 
 
 def second_label(key: Column, e: Column, u: Column) -> Column:

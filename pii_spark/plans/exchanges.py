@@ -23,7 +23,7 @@ PATHS = ["/v1/chat/completions", "/v1/messages", "/v1beta/models/gemini-1.5-flas
 
 def turns(spark, sf):
     """Turns with text, provider shape, model, path and time."""
-    rows = table(spark, sf, "conversations")
+    rows = spread(table(spark, sf, "conversations"), "conv_id", "turn")
     notes = samples(spark, sf).select(F.col("doc_id").alias("conv_id"), F.col("text").alias("note"))
     shape = ((F.col("conv_id") + F.col("turn")) % len(SHAPES)).cast("int")
 
@@ -31,7 +31,7 @@ def turns(spark, sf):
         return F.get(F.array(*[F.lit(o) for o in options]), shape)
 
     joined = rows.join(notes, "conv_id", "left")
-    return spread(joined, "conv_id").select(
+    return joined.select(
         "conv_id", "turn", "role",
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("tkey"),
         F.timestamp_seconds(F.lit(EPOCH) + F.col("conv_id") * 600 + F.col("turn") * 30).alias("ts"),

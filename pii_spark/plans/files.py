@@ -9,7 +9,7 @@ from pii_spark.operators import evaluate, payloads, prepare, review, vault
 from pii_spark.operators.detect import detect_rules, explode_entities
 from pii_spark.operators.normalize import to_annotation_task
 from pii_spark.plans import datasets, evaluation, exchanges, oracle_parts as sql
-from pii_spark.plans.corpora import documents, file_name, privacy_mask, samples, second_annotation, spread, table
+from pii_spark.plans.corpora import documents, file_name, privacy_mask, samples, second_annotation, table
 from pii_spark.plans.exchanges import EPOCH
 from pii_spark.plans.vaults import base_vault, _build, _hits, _shown
 from pii_spark.sources import readers, writers
@@ -183,7 +183,7 @@ def pii_rate_windows(spark, sf):
 
 
 def _exchange(spark, sf):
-    m = spread(exchanges.turns(spark, sf), "tkey").select("tkey", "ts", "text")
+    m = exchanges.turns(spark, sf).select("tkey", "ts", "text")
     m = streams.mask_stream(m)
     requests = m.select(F.col("tkey").alias("transaction_id"), "ts", "masked_to_original")
     delay = F.conv(F.substring(F.md5("tkey"), 1, 4), 16, 10).cast("int") % 60
