@@ -9,7 +9,7 @@ from pii_spark.functions.dummies import hash_draw
 from pii_spark.operators import batches, normalize, prepare, profiling, synth
 from pii_spark.plans import oracle_parts as sql
 from pii_spark.plans.corpora import (
-    detected_documents, documents, file_name, privacy_mask, samples, second_annotation, table,
+    detected_documents, documents, file_name, privacy_mask, samples, second_annotation,
 )
 
 

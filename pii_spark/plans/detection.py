@@ -8,7 +8,7 @@ from pii_spark.functions import fixed_values as fv
 from pii_spark.functions.spans import restore_by_span, restore_text
 from pii_spark.operators import decode, detect, mask, prepare
 from pii_spark.plans import oracle_parts as sql
-from pii_spark.plans.corpora import detected_documents, documents, samples, spread, table
+from pii_spark.plans.corpora import detected_documents, documents, samples, table
 
 DOMAINS = ["example.com", "m.example.net"]
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pii_spark.functions.spans import with_dummies
-from pii_spark.operators import evaluate, payloads, prepare, review, vault
+from pii_spark.operators import evaluate, review, vault
 from pii_spark.operators.detect import detect_rules, explode_entities
 from pii_spark.operators.normalize import to_annotation_task
 from pii_spark.plans import datasets, evaluation, exchanges, oracle_parts as sql
-from pii_spark.plans.corpora import documents, file_name, privacy_mask, samples, second_annotation, table
+from pii_spark.plans.corpora import privacy_mask, samples, second_annotation, table
 from pii_spark.plans.exchanges import EPOCH
 from pii_spark.plans.vaults import base_vault, _build, _hits, _shown
 from pii_spark.sources import readers, writers
