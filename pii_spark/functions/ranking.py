@@ -21,7 +21,7 @@ def mark_smallest(
 ) -> DataFrame:
     """Flag, per ``by``, the ``wanted(total)`` rows that come first in (``first``, ``hashed``).
 
-    ``hashed`` is a hex string that spreads rows evenly. Rows are counted per cell of (by, first,
+    ``hashed`` is a hex string that spreads rows evenly and ``tie`` is unique per row. Rows are counted per cell of (by, first,
     hash prefix); running totals over the cells tell which cells are in or out as a whole. Only the
     cells that hold a cut are ranked row by row, so no group is ever sorted in one task.
     """

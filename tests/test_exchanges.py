@@ -220,6 +220,35 @@ def test_vault_stream_equals_batch(spark, tmp_path):
     assert {k: v.asDict() for k, v in got.items()} == {k: v.asDict() for k, v in want.items()}
 
 
+def test_vault_stream_expires_and_repeats_safely(spark, tmp_path):
+    ddl = "hit_id long, original_pii string, dummy_pii string, pii_type string, confidence double, ts timestamp"
+    t = datetime(2024, 1, 1)
+    put(spark, tmp_path / "h", [(1, "old", "a", "X", 1.0, t), (2, "mid", "b", "X", 1.0, t + timedelta(minutes=50))], ddl)
+    source = spark.readStream.schema(ddl).parquet(str(tmp_path / "h"))
+
+    def run():
+        streams.vault_stream(spark, source, str(tmp_path / "v"), str(tmp_path / "c"), max_age="1 hour", availableNow=True).awaitTermination()
+        return sorted((r.original_pii, r.access_count) for r in readers.read_vault(spark, str(tmp_path / "v")).collect())
+
+    assert run() == [("mid", 1), ("old", 1)]
+    put(spark, tmp_path / "h", [(3, "mid", "c", "X", 0.5, t + timedelta(minutes=70))], ddl)
+    assert run() == [("mid", 2)]
+    assert run() == [("mid", 2)]
+
+
+def test_one_conversation_holds_a_third_of_the_turns(spark):
+    """Masking is row-local, so a hot conversation is spread like any other rows."""
+    from pii_spark.operators import mask
+
+    turns = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("conv_id"), F.col("id").alias("turn"),
+        F.lit("user").alias("role"), F.concat(F.lit("I am u"), F.col("id") % 50, F.lit("@x.org")).alias("text"))
+    masked = mask.mask_conversations(turns)
+    assert masked.count() == 3000 and "Exchange" not in masked._jdf.queryExecution().executedPlan().toString()
+    pairs = mask.conversation_vault(masked).where("conv_id = 0").collect()
+    assert len(pairs) == 50 and len({p.original for p in pairs}) == 50
+
+
 def test_mask_stream_is_the_batch_operator(spark, tmp_path):
     put(spark, tmp_path / "d", [(1, MAIL), (2, "none"), (3, None)], "doc_id long, text string")
     s = streams.mask_stream(spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "d")))
