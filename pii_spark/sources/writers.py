@@ -72,5 +72,9 @@ def write_vault(vault: DataFrame, path: str, version: int) -> None:
 
 
 def write_log(log: DataFrame, path: str) -> None:
-    """Append to the log, one folder per day."""
-    log.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
+    """Append to the log, one folder per day.
+
+    Ranges of (day, id) give every task few days to write, and split a busy day over many tasks.
+    """
+    days = log.withColumn("day", F.to_date("timestamp")).repartitionByRange("day", "id")
+    days.write.mode("append").partitionBy("day").parquet(path)
