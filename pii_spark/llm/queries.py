@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pii_spark.llm import lines, packing, sharding
+from pii_spark.llm import bpe, language, lines, minhash, packing, sharding, substring
 from pii_spark.llm.common import table
 
 
@@ -17,6 +17,32 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring.remove_repeats(docs, length=35, single_spaces=True)
+    return out.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
+def op2_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = minhash.near_duplicates(docs, shingle=2)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(language.training_lines(docs, ~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
 def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = lines.remove_spread_lines(docs)
@@ -67,6 +93,10 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring": op1_substring,
+    "op2_bottom_k": op2_bottom_k,
+    "op3_crf_language": op3_crf_language,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_line_spread": op6_line_spread,
     "op8_byte_shards": op8_byte_shards,
     "op10_best_fit": op10_best_fit,
