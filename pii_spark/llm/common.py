@@ -25,8 +25,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget_written() -> None:
+    """Leave the tables that ``written`` made so far out of the next ``drop_written``."""
+    _WRITTEN.clear()
+
+
 def drop_written(spark: SparkSession) -> None:
-    """Delete the tables that ``written`` made so far in this process.
+    """Delete the tables that ``written`` made in this process since the last call, or since ``forget_written``.
 
     Only for callers that know that nothing computed from them is still to be evaluated, as the
     pipeline does between two stages, whose results are written out.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pii_spark.llm import bpe, language, lines, minhash, packing, sharding, substring
+from pii_spark.llm import bpe, images, language, lines, minhash, packing, quotes, sharding, substring, vectors
 from pii_spark.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.9)
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, tokenizer_path("byte_bpe_50k.json"))
@@ -71,6 +75,67 @@ FROM documents d JOIN totals t ON d.doc_id = t.doc_id
 """
 
 
+def _quoting(messages: DataFrame) -> DataFrame:
+    """The messages of the table as mail would have them: each below the two before it, quoted."""
+    base = messages.select("conv_id", "turn", "role", "text")
+
+    def earlier(steps: int) -> DataFrame:
+        marked = F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("> " * steps), x))
+        return base.select("conv_id", (F.col("turn") + steps).alias("turn"), F.array_join(marked, "\n").alias(f"q{steps}"))
+
+    joined = base.join(earlier(1), ["conv_id", "turn"], "left").join(earlier(2), ["conv_id", "turn"], "left")
+    return joined.select("conv_id", "turn", "role", F.concat_ws("\n", "q2", "q1", "text").alias("text"))
+
+
+def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.link_quotes(_quoting(table(spark, sf_dir, "conversations")))
+    return out.select(
+        "conv_id", "turn", "role", F.sha2("body", 256).alias("body_sha256"), "n_quotes", "n_linked", "reply_to", "thread", "depth"
+    )
+
+
+OP7_SQL = """
+WITH RECURSIVE own AS (
+  SELECT conv_id, turn, role, text, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM conversations),
+plain AS (
+  SELECT conv_id, turn, pos, trim(regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS plain FROM own),
+runs AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS run FROM plain WHERE plain <> ''),
+passages AS (
+  SELECT conv_id, turn, run, string_agg(plain, ' ' ORDER BY pos) AS whole, count(*) AS n FROM runs GROUP BY ALL),
+pieces AS (
+  SELECT conv_id, turn, run, 0 AS part, whole AS plain FROM passages
+  UNION ALL
+  SELECT r.conv_id, r.turn, r.run, 1, r.plain FROM runs r JOIN passages p USING (conv_id, turn, run) WHERE p.n > 1),
+origins AS (SELECT conv_id, plain, min(turn) AS origin FROM pieces GROUP BY ALL),
+quoted AS (
+  SELECT p.conv_id, p.turn + s.steps AS turn, s.steps AS level, p.run, p.part, p.plain
+  FROM pieces p, (VALUES (1), (2)) s(steps)),
+found AS (
+  SELECT q.*, o.origin FROM quoted q JOIN origins o ON q.conv_id = o.conv_id AND q.plain = o.plain AND o.origin < q.turn),
+links AS (
+  SELECT conv_id, turn, count(DISTINCT (level, run)) AS n_linked,
+         arg_min(origin, struct_pack(a := level, b := part, c := -origin)) AS reply_to
+  FROM found GROUP BY ALL),
+up AS (
+  SELECT m.conv_id, m.turn, m.turn AS thread, CAST(0 AS BIGINT) AS depth FROM conversations m
+  WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.conv_id = m.conv_id AND l.turn = m.turn)
+  UNION ALL
+  SELECT l.conv_id, l.turn, up.thread, up.depth + 1 FROM links l JOIN up ON l.conv_id = up.conv_id AND l.reply_to = up.turn),
+counts AS (SELECT conv_id, turn, count(*) AS n FROM passages GROUP BY ALL)
+SELECT m.conv_id, m.turn, m.role, sha256(regexp_replace(m.text, '^\n+|\n+$', '', 'g')) AS body_sha256,
+       CAST(coalesce(a.n, 0) + coalesce(b.n, 0) AS INTEGER) AS n_quotes,
+       CAST(coalesce(l.n_linked, 0) AS INTEGER) AS n_linked, l.reply_to, up.thread, up.depth
+FROM conversations m
+JOIN up ON m.conv_id = up.conv_id AND m.turn = up.turn
+LEFT JOIN links l ON m.conv_id = l.conv_id AND m.turn = l.turn
+LEFT JOIN counts a ON m.conv_id = a.conv_id AND m.turn = a.turn + 1
+LEFT JOIN counts b ON m.conv_id = b.conv_id AND m.turn = b.turn + 2
+"""
+
+
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -84,6 +149,22 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures drawn from all embeddings; an edited copy of every one whose id is divisible by 20 looks for its source."""
+    stored = images.rendered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    asked = images.edited(stored.where("image_id % 20 = 0"))
+    found = images.find_copies(asked, stored)
+    own = found.where("query_id = image_id").select("query_id", F.col("inliers").alias("own_inliers"))
+    counted = found.groupBy("query_id").agg(
+        F.sum("copies").alias("n_matches"), F.max(F.struct("inliers", (-F.col("image_id")).alias("i"))).alias("best")
+    )
+    ids = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select("vec_id")
+    return ids.join(counted, ids.vec_id == counted.query_id, "left").join(own, "query_id", "left").select(
+        "vec_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), (-F.col("best.i")).alias("best_id"),
+        F.col("best.inliers").alias("inliers"), F.col("own_inliers").isNotNull().alias("found"),
+    )
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json"))
@@ -96,12 +177,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op2_bottom_k": op2_bottom_k,
     "op3_crf_language": op3_crf_language,
+    "op4_projections": op4_projections,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_line_spread": op6_line_spread,
+    "op7_quote_links": op7_quote_links,
     "op8_byte_shards": op8_byte_shards,
+    "op9_image_copies": op9_image_copies,
     "op10_best_fit": op10_best_fit,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_line_spread": OP6_SQL}
+    return {"op6_line_spread": OP6_SQL, "op7_quote_links": OP7_SQL}
