@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -12,17 +14,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pii_spark.llm.bpe import byte_alphabet
 from pii_spark.llm.common import written
 
-#: Distinct words whose ids a worker remembers, and the longest word that it remembers.
-CACHED_WORDS, CACHED_BYTES = 300_000, 64
+#: Pieces whose ids a worker remembers, the longest one remembered, and bytes of text encoded at once.
+CACHED_PIECES, CACHED_BYTES, BYTES_AT_ONCE = 1_200_000, 48, 1 << 20
+
+#: Fixed value: the pieces that the tokenizer cuts a text into, for texts of Latin-1 whose only characters
+#: beyond ASCII are letters. ASCII is lower-cased before, other capitals after.
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xff]+|[0-9]|[^\s0-9a-z\xc0-\xff]+")
+
+#: Characters of Latin-1 that other texts have: signs, and control characters that engines differ on.
+_OTHER = bytes([*range(0x1C, 0x20), *range(0x80, 0xC0), 0xD7, 0xF7])
+
+
+def simple_pieces(text: bytes) -> list[bytes] | None:
+    """The pieces of a text in Latin-1, None if it holds other characters or the start of a special token."""
+    try:
+        latin = text.decode().encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    if len(latin.translate(None, _OTHER)) < len(latin) or b"<|" in latin:
+        return None
+    return _PIECES.findall(latin.lower())
 
 
 class WordEncoder:
-    """Ids of a text, by a tokenizer that drops white space, so that words can be encoded apart.
+    """Ids of texts, by a tokenizer that lower-cases, drops white space and cuts texts into pieces.
 
-    Words are split at ASCII white space only; any other white space stays inside and is dropped by
-    the tokenizer itself.
+    A text of ASCII and Latin-1 letters is cut by ``simple_pieces``, and the tokenizer's model gives the
+    ids of each distinct piece once. All other texts go through the tokenizer word by word, parted at
+    ASCII white space, which it drops.
     """
 
     def __init__(self, path: str):
@@ -32,24 +54,43 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.alphabet = byte_alphabet()
         self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
-    def encode(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+    def _of_piece(self, piece: bytes) -> bytes:
+        text = piece.decode("latin-1")
+        if not piece.isalpha():
+            text = text.lower().encode().decode("latin-1").translate(self.alphabet)
+        ids = [token.id for token in self.model.tokenize(text)]
+        return pack_ids(f"<{len(ids)}I", *ids)
+
+    def _by_word(self, text: bytes) -> bytes:
         words = text.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        fresh = [w for w in set(words) if w not in known]
-        if len(known) + len(fresh) > CACHED_WORDS:
-            known.clear()
-            fresh = list(set(words))
+        fresh = list(set(words) - self.words.keys())
         found = self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, found, strict=True)}
-        known.update((w, i) for w, i in ids.items() if len(w) <= CACHED_BYTES)
-        return b"".join([known[w] if w in known else ids[w] for w in words])
+        self.words.update((w, pack_ids(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(fresh, found, strict=True))
+        out = b"".join([self.words[w] for w in words])
+        if len(self.words) > CACHED_PIECES // 8 or any(len(w) > CACHED_BYTES for w in fresh):
+            self.words.clear()
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        cut = [simple_pieces(text) for text in texts]
+        if len(self.known) > CACHED_PIECES:
+            self.known.clear()
+        known, long = self.known, []
+        for piece in set().union(*filter(None, cut)).difference(known):
+            known[piece] = self._of_piece(piece)
+            if len(piece) > CACHED_BYTES:
+                long.append(piece)
+        ids = known.__getitem__
+        out = [self._by_word(text) if pieces is None else b"".join(map(ids, pieces)) for text, pieces in zip(texts, cut, strict=True)]
+        for piece in long:
+            del known[piece]
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -62,6 +103,16 @@ def word_encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def in_groups(encoder: WordEncoder, texts: list[bytes]) -> Iterator[bytes]:
+    """Ids of each text, encoded by groups of about ``BYTES_AT_ONCE``."""
+    begin = size = 0
+    for end, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= BYTES_AT_ONCE or end == len(texts):
+            yield from encoder.encode(texts[begin:end])
+            begin, size = end, 0
+
+
 def token_pieces(
     docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False
 ) -> DataFrame:
@@ -81,8 +132,9 @@ def token_pieces(
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = encoder.encode(text or b"") + end
+            texts = [text or b"" for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            for key, ids in zip(batch.column(0).to_pylist(), in_groups(encoder, texts), strict=True):
+                ids += end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     row = (key, at // step, at // 4, len(part) // 4, zlib.crc32(part))

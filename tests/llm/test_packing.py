@@ -19,16 +19,34 @@ def tokenizer():
 ODD = [
     "", " ", "Don't STOP'S İstanbul ΑΣ ΣΑΣ.", "á éx ́y", "x y z\x1cw\x85v",
     "<|endoftext|> and<|startoftext|>mid", "日本語 ﬁ Å", "12345 6 🎉🎉", "\x00\x0b\x0c\r\n\t", "a" * 5000,
+    "Word. WORD, word., don't. ǅ. É, 1. a1, <|STARTOFTEXT|>. <|endoftext|>, ª. ʰ, Σ. ΑΣ, İ. \u0958. \u0958\u0958, ﬁ. \u1e9b\u0323. 각.",
 ]
 
 
 def test_ids_equal_the_library(tokenizer):
     encoder = packing.WordEncoder(PATH)
     for text in [*ODD, " ".join(ODD)]:
-        ids = np.frombuffer(encoder.encode(text.encode()), "<u4").tolist()
+        ids = np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist()
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_every_letter_before_a_full_stop(tokenizer):
+    encoder = packing.WordEncoder(PATH)
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha()]
+    text = " ".join(f"{c}. x{c}, A{c}" for c in letters)
+    ids = np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist()
+    assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_every_byte_pair_of_simple_texts(tokenizer):
+    encoder = packing.WordEncoder(PATH)
+    signs = [chr(c) for c in (*range(1, 127), *range(0xC0, 0x100))]
+    texts = ["".join(f"{a}{b} q{a}{b}7{a}'{b}re" for b in signs) for a in signs]
+    texts += ["it's 'tis x.'s '' 'LL 're've 'Don'T", "É÷× ÀÉ's"]
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:3]
+
+
 def test_best_fit_against_a_list_of_bins():
     lengths = [int(x) for x in np.random.default_rng(1).integers(1, 101, 2000)]
     for limit in (1, 3, 50, 5000):
