@@ -16,6 +16,9 @@ from pii_spark.functions.spans import longest_first
 from pii_spark.operators.detect import RULES, detected_sql, host_of
 from pii_spark.operators.mask import masked_sql
 
+#: Levels of content blocks inside content blocks that are followed.
+BLOCK_DEPTH = 1
+
 OBJECT = "map<string,variant>"
 LIST = "array<variant>"
 
@@ -143,6 +146,35 @@ def _change_field(item: str, name: str, change: Change) -> str:
     )
 
 
+def _change_block(item: str, depth: int, change: Change) -> str:
+    """A content block with its texts changed: a string, or an object's ``text``, and its ``content`` that
+    is a string or holds blocks again, ``depth`` levels down."""
+    var = f"bk{depth}"
+    other = "v"
+    if depth:
+        blocks = f"to_variant_object(transform({list_sql('v', '$')}, {var} -> {_change_block(var, depth - 1, change)}))"
+        other = f"CASE WHEN k = 'content' AND {list_sql('v', '$')} IS NOT NULL THEN {blocks} ELSE v END"
+    string = f"CAST({change(field_sql('v', '$'))} AS VARIANT)"
+    value = (
+        f"CASE WHEN k IN ('text', 'content') AND {field_sql('v', '$')} IS NOT NULL THEN {string} ELSE {other} END"
+    )
+    return (
+        f"CASE WHEN {field_sql(item, '$')} IS NOT NULL THEN CAST({change(field_sql(item, '$'))} AS VARIANT) "
+        f"WHEN {object_sql(item)} IS NOT NULL THEN to_variant_object(transform_values({object_sql(item)}, (k, v) -> {value})) "
+        f"ELSE {item} END"
+    )
+
+
+def _block_texts(item: str, depth: int) -> str:
+    """The texts that ``_change_block`` changes, in its order."""
+    own = _present(f"array({field_sql(item, '$')}, {field_sql(item, '$.text')}, {field_sql(item, '$.content')})")
+    if not depth:
+        return own
+    var = f"bk{depth}"
+    nested = f"flatten(transform({list_sql(item, '$.content')}, {var} -> {_block_texts(var, depth - 1)}))"
+    return f"concat({own}, coalesce({nested}, {empty('array<string>')}))"
+
+
 def _change_list(item: str, name: str, var: str, each: str) -> str:
     """A VARIANT object with every element ``var`` of its list field replaced by ``each``."""
     xs = f"{var}s"
@@ -160,11 +192,12 @@ def _change_object(item: str, name: str, var: str, changed: str) -> str:
     )
 
 
-def request_sql(v: str, provider: str, change: Change) -> str:
-    """The request VARIANT with ``change`` applied to every message text, blocks included."""
+def request_sql(v: str, provider: str, change: Change, depth: int = BLOCK_DEPTH) -> str:
+    """The request VARIANT with ``change`` applied to every message text, nested blocks included."""
     block = _change_field("blk", "text", change)
+    content = _change_list("msg", "content", "blk", _change_block("blk", depth, change))
     message = (
-        f"CASE WHEN {list_sql('msg', '$.content')} IS NOT NULL THEN {_change_list('msg', 'content', 'blk', block)} "
+        f"CASE WHEN {list_sql('msg', '$.content')} IS NOT NULL THEN {content} "
         f"ELSE {_change_field('msg', 'content', change)} END"
     )
     gemini = _change_list(v, "contents", "cnt", _change_list("cnt", "parts", "blk", block))
@@ -184,12 +217,12 @@ def response_sql(v: str, provider: str, change: Change) -> str:
     )
 
 
-def request_texts_sql(v: str, provider: str) -> str:
-    """All texts of a request in order, those inside content blocks included."""
+def request_texts_sql(v: str, provider: str, depth: int = BLOCK_DEPTH) -> str:
+    """All texts of a request in order, those inside nested content blocks included."""
     blocks = list_sql("m", "$.content")
     of_message = bind(
         blocks, "bl",
-        f"CASE WHEN bl IS NOT NULL THEN {_texts_sql('bl', '$.text')} "
+        f"CASE WHEN bl IS NOT NULL THEN flatten(transform(bl, blk -> {_block_texts('blk', depth)})) "
         f"ELSE {_present('array(' + field_sql('m', '$.content') + ')')} END",
     )
     gemini = _parts_sql(list_sql(v, "$.contents"), "$.parts")
@@ -202,26 +235,42 @@ def request_texts_sql(v: str, provider: str) -> str:
 def mask_payloads(df: DataFrame, body: str = "body", provider: str = "provider", salt: str = "", rules=RULES) -> DataFrame:
     """Add ``masked_body``, ``masked_to_original``, ``entities`` and ``mask_status``.
 
-    Status is ``masked`` for a known shape, ``text`` for a body that is no JSON and is masked as a
-    whole, and ``unrecognised`` for JSON without the expected field, which passes unchanged. Every
-    text is detected and masked once; the bodies are rebuilt from those results inside the row.
+    Status is ``masked`` for a known shape, ``text`` for a body that is no JSON object and is masked as
+    a whole, and ``unrecognised`` for an object without the expected field, which passes unchanged.
+    ``partial`` is a known shape with texts in blocks nested more than ``BLOCK_DEPTH`` deep, which pass
+    unchanged. Every text is detected and masked once; the bodies are rebuilt from those results inside
+    the row.
     """
-    inputs = F.struct(parsed(F.col(body)).alias("v"), F.col(body).alias("b"), F.col(provider).alias("p"))
+    objects = bind("try_parse_json(x)", "j", f"CASE WHEN {object_sql('j')} IS NOT NULL THEN j END")
+    inputs = F.struct(let_sql(F.col(body), objects).alias("v"), F.col(body).alias("b"), F.col(provider).alias("p"))
     one = bind(detected_sql("t", tuple(rules)), "entities", masked_sql("t", "entities", salt))
     texts = f"CASE WHEN x.v IS NULL THEN array(x.b) ELSE {request_texts_sql('x.v', 'x.p')} END"
-    form = "get(filter(done, d -> d.text = txt), 0).m.masked_text"
-    status = "CASE WHEN x.v IS NULL THEN 'text' WHEN texts IS NULL THEN 'unrecognised' ELSE 'masked' END"
+    done = f"transform(coalesce(texts, {empty('array<string>')}), t -> named_struct('text', t, 'm', {one}))"
+    # Two steps, since every level of nested functions costs the analyzer several rounds.
+    found = compute_once(df, "_t", let_sql(inputs, bind(texts, "texts", f"named_struct('texts', texts, 'done', {done})")))
+
+    def form(text: str) -> str:
+        return f"get(filter(x.done, d -> d.text = {text}), 0).m.masked_text"
+
+    deeper = f"size(x.texts) < size({request_texts_sql('x.v', 'x.p', BLOCK_DEPTH + 1)})"
+    status = (
+        "CASE WHEN x.v IS NULL THEN 'text' WHEN x.texts IS NULL THEN 'unrecognised' "
+        f"WHEN {deeper} THEN 'partial' ELSE 'masked' END"
+    )
     rebuilt = (
-        "CASE WHEN x.v IS NULL THEN get(done, 0).m.masked_text WHEN texts IS NULL THEN x.b "
-        f"ELSE to_json({request_sql('x.v', 'x.p', lambda _: form)}) END"
+        "CASE WHEN x.v IS NULL THEN get(x.done, 0).m.masked_text WHEN x.texts IS NULL THEN x.b "
+        f"ELSE to_json({request_sql('x.v', 'x.p', form)}) END"
     )
     result = (
         f"named_struct('mask_status', {status}, 'masked_body', {rebuilt}, "
-        f"'masked_to_original', {_last_wins('transform(done, d -> d.m.masked_to_original)')}, "
-        "'entities', flatten(transform(done, d -> d.m.entities)))"
+        f"'masked_to_original', {_last_wins('transform(x.done, d -> d.m.masked_to_original)')}, "
+        "'entities', flatten(transform(x.done, d -> d.m.entities)))"
     )
-    done = f"transform(coalesce(texts, {empty('array<string>')}), t -> named_struct('text', t, 'm', {one}))"
-    out = compute_once(df, "_m", let_sql(inputs, bind(texts, "texts", bind(done, "done", result))))
+    known = F.struct(
+        let_sql(F.col(body), objects).alias("v"), F.col(body).alias("b"), F.col(provider).alias("p"),
+        F.col("_t.texts").alias("texts"), F.col("_t.done").alias("done"),
+    )
+    out = compute_once(found, "_m", let_sql(known, result))
     names = ("mask_status", "masked_body", "masked_to_original", "entities")
     return out.select(*[c for c in df.columns if c not in names], *[F.col(f"_m.{n}").alias(n) for n in names])
 
