@@ -57,8 +57,6 @@ CHUNK_OVERLAP = 64
 DEFAULT_THRESHOLD = 0.25
 THRESHOLD_RANGE = (0.05, 0.95)
 MAX_LOG_MESSAGE = 50 * 1024
-MAX_PARSED_MESSAGE = 10 * 1024 * 1024
-MAX_DETAILS = 1024 * 1024
 LOG_PAGE_DEFAULT = 100
 LOG_PAGE_MAX = 500
 MAX_LOG_ROWS = 5000

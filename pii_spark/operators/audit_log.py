@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
@@ -66,9 +67,10 @@ def truncated(message: Column, limit: int = fv.MAX_LOG_MESSAGE) -> Column:
 
 
 def to_log(rows: DataFrame) -> DataFrame:
-    """Log rows as stored: long messages cut, messages and model parsed out of the rest."""
-    out = rows.withColumn("message", truncated(F.col("message")))
-    return add_messages(out)
+    """Log rows as stored: messages and model are parsed out of the whole message, and only the stored
+    copy of a long one is cut, which ``truncated`` tells."""
+    cut = F.coalesce(F.length("message") > fv.MAX_LOG_MESSAGE, F.lit(False))
+    return add_messages(rows).withColumn("truncated", cut).withColumn("message", truncated(F.col("message")))
 
 
 def content_sql(v: str, depth: int = 3) -> str:
@@ -149,26 +151,22 @@ def _one_of(name: str, values: list[str]) -> str:
 
 
 def parse_messages(message: Column, direction: Column) -> Column:
-    """ARRAY of (role, content); empty for other directions, non-JSON and oversized messages."""
+    """ARRAY of (role, content); empty for other directions and non-JSON messages."""
     found = (
         f"CASE WHEN {_one_of('x.d', REQUEST_DIRECTIONS)} THEN CAST({request_messages_sql('j')} AS {MESSAGES}) "
         f"WHEN {_one_of('x.d', RESPONSE_DIRECTIONS)} THEN CAST({response_messages_sql('j')} AS {MESSAGES}) END"
     )
     return let_sql(
-        F.struct(_parsable(message).alias("m"), direction.alias("d")),
+        F.struct(message.alias("m"), direction.alias("d")),
         bind("try_parse_json(x.m)", "j", f"coalesce({found}, {empty(MESSAGES)})"),
     )
 
 
-def _parsable(message: Column) -> Column:
-    return F.when(F.octet_length(message) <= fv.MAX_PARSED_MESSAGE, message)
-
-
 def extract_model(message: Column) -> Column:
     """Model name of a payload or of the response inside it; null if there is none."""
     paths = ["$.model", "$.modelVersion", "$.original_response.model", "$.original_response.modelVersion"]
     fields = ", ".join(f"nullif({field_sql('j', p)}, '')" for p in paths)
-    return let_sql(_parsable(message), bind("try_parse_json(x)", "j", f"coalesce({fields})"))
+    return let_sql(message, bind("try_parse_json(x)", "j", f"coalesce({fields})"))
 
 
 def add_messages(rows: DataFrame) -> DataFrame:
@@ -220,16 +218,16 @@ def clear_logs(log: DataFrame) -> DataFrame:
 def order_transactions(log: DataFrame) -> DataFrame:
     """Transactions by latest time, newest first; inside one, the fixed step order.
 
-    Rows without a transaction stand for themselves. The latest time comes from an aggregate and a
-    join, not from a window, so one huge transaction id does not sort in one task.
+    Rows without a transaction stand for themselves. A transaction has four rows, so a window over it
+    is one shuffle without hot groups, and the input is read once.
     """
     group = F.coalesce("transaction_id", "id")
     rank = F.array_position(F.array(*[F.lit(d) for d in fv.DIRECTIONS]), F.col("direction"))
     rows = log.withColumn("group_id", group).withColumn(
         "step", F.when(rank > 0, rank).otherwise(len(fv.DIRECTIONS) + 1)
     )
-    latest = rows.groupBy("group_id").agg(F.max("timestamp").alias("latest"))
-    return rows.join(latest, "group_id").orderBy(
+    latest = F.max("timestamp").over(W.partitionBy("group_id"))
+    return rows.withColumn("latest", latest).orderBy(
         F.desc("latest"), "group_id", "step", "timestamp", "id"
     )
 

@@ -91,7 +91,7 @@ def rules_sql(text: str, rules: tuple[Rule, ...]) -> str:
         f"concat(CASE WHEN s.start > 0 THEN substring({text}, s.start, 1) ELSE '' END, "
         f"substring({text}, s.`end` + 1, 1))"
     )
-    checks = [f"NOT (s.whole AND {around} RLIKE '[A-Za-z0-9]')"]
+    checks = [f"NOT (s.whole AND {around} RLIKE '[\\\\p{{L}}\\\\p{{N}}]')"]
     checks += [
         f"(s.label <> '{r.label}' OR ({r.valid.replace('{v}', 's.text')}))" for r in rules if r.valid
     ]
@@ -178,8 +178,6 @@ def spans_view(df: DataFrame, name: str, key: str = "doc_id", text: str = "text"
     found.createOrReplaceTempView(name)
 
 
-# A dictionary up to this many entries travels to every task; a larger one is joined by shuffle.
-BROADCAST_ENTRIES = 100_000
 WORD = r"[\p{L}\p{N}_']+"
 
 
@@ -188,25 +186,21 @@ def detect_dictionary(
     gazetteer: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    broadcast: bool | None = None,
     confidence: float = 0.6,
 ) -> DataFrame:
     """Entities of words that equal an entry of ``gazetteer(value, label)``.
 
     Gives (key, text, label, start, end, confidence) rows. A hot word only meets its few dictionary
-    rows. The dictionary is broadcast only when counting it shows that it is small; a larger one is
-    joined by shuffle, where adaptive execution splits hot words.
+    rows. The join is left to adaptive execution, which knows the size of the dictionary at run time and
+    splits hot words where it is shuffled.
     """
     entries = gazetteer.select(F.col("value").alias("word"), "label").distinct()
-    if broadcast is None:
-        broadcast = entries.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
     words = (
         df.select(key, F.explode_outer(find_matches(F.col(text), WORD)).alias("m"))
         .where(F.col("m").isNotNull())
         .select(key, F.col("m.text").alias("word"), "m.start", "m.end")
     )
-    side = F.broadcast(entries) if broadcast else entries
-    return words.join(side, "word").select(
+    return words.join(entries, "word").select(
         key, F.col("word").alias("text"), "label", "start", "end",
         F.lit(confidence).alias("confidence"),
     )

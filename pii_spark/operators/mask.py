@@ -78,11 +78,11 @@ def pii_check(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def pii_details(df: DataFrame, max_bytes: int = fv.MAX_DETAILS) -> DataFrame:
+def pii_details(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Per text the entities longer than two characters with their masked form.
 
     Needs ``entities`` (with dummy) and ``masked_to_original``. The masked form is looked up in the
-    map; details that exceed ``max_bytes`` as JSON are dropped as a whole.
+    map. With ``max_bytes``, details that exceed it as JSON are null as a whole.
     """
     entries = longest_first(F.col("masked_to_original"))
     details = let(
@@ -102,10 +102,9 @@ def pii_details(df: DataFrame, max_bytes: int = fv.MAX_DETAILS) -> DataFrame:
             ),
         ),
     )
-    guarded = let(
-        details, lambda d: F.when(F.octet_length(F.to_json(d)) <= max_bytes, d)
-    )
-    return df.withColumn("pii_details", guarded)
+    if max_bytes is not None:
+        details = let(details, lambda d: F.when(F.octet_length(F.to_json(d)) <= max_bytes, d))
+    return df.withColumn("pii_details", details)
 
 
 def entities_in_response(df: DataFrame, response: str = "response") -> DataFrame:

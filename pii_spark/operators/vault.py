@@ -16,8 +16,8 @@ VAULT_COLUMNS = [
 
 
 def vault_id(original: Column) -> Column:
-    """A stable key in place of a counter, which would need one writer."""
-    return F.conv(F.substring(F.md5(original), 1, 15), 16, 10).cast("bigint")
+    """A stable key in place of a counter, which would need one writer: the whole digest of the original."""
+    return F.md5(original)
 
 
 def hits_from_entities(entities: DataFrame, at: Column) -> DataFrame:
@@ -130,12 +130,13 @@ def vault_collisions(vault: DataFrame) -> DataFrame:
 
 
 def vault_resolve(vault: DataFrame, salt: str = "", rounds: int = 3) -> DataFrame:
-    """Draw new dummies for originals that share one, at most ``rounds`` times.
+    """Draw new dummies for originals that share one, ``rounds`` times, then number the rest.
 
     Per dummy the longest-kept original wins: one aggregation finds the winners, and the join back
-    is on the unique original, so a dummy shared by very many originals stays spread out. Rows that
-    still collide are flagged in ``collision``. Every round is checkpointed, since it reads its input
-    twice.
+    is on the unique original, so a dummy shared by very many originals stays spread out. The pools of
+    values are finite, so draws alone do not end collisions: a dummy that is still shared after the last
+    round gets the digest of its original as a suffix, which makes both columns unique; ``suffixed``
+    tells. Every round is checkpointed, since it reads its input twice.
     """
     current = vault.withColumn("attempt", F.lit(0))
     for step in range(rounds + 1):
@@ -145,7 +146,10 @@ def vault_resolve(vault: DataFrame, salt: str = "", rounds: int = 3) -> DataFram
         current = current.join(winners, "original_pii", "left")
         lost = F.col("_won").isNull()
         if step == rounds:
-            current = current.withColumn("collision", lost)
+            unique = F.concat_ws("-", "dummy_pii", vault_id(F.col("original_pii")))
+            current = current.withColumn("suffixed", lost).withColumn(
+                "dummy_pii", F.when(lost, unique).otherwise(F.col("dummy_pii"))
+            )
         else:
             current = current.withColumn(
                 "attempt", F.when(lost, F.lit(step + 1)).otherwise(F.col("attempt"))
@@ -158,7 +162,7 @@ def vault_resolve(vault: DataFrame, salt: str = "", rounds: int = 3) -> DataFram
         current = current.drop("_won")
         if step < rounds:
             current = cut_lineage(current)
-    return current.select(*VAULT_COLUMNS, "attempt", "collision")
+    return current.select(*VAULT_COLUMNS, "attempt", "suffixed")
 
 
 def document_maps(entities: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -88,7 +88,7 @@ def vault_collisions(spark, sf):
 
 def vault_resolve(spark, sf):
     return vault.vault_resolve(base_vault(spark, sf), rounds=2).select(
-        "original_pii", "dummy_pii", F.col("attempt").cast("bigint").alias("attempt"), "collision"
+        "original_pii", "dummy_pii", F.col("attempt").cast("bigint").alias("attempt"), "suffixed"
     )
 
 
@@ -126,7 +126,7 @@ QUERIES = {
 def _build(name: str, spans: str, salt: str, shift: int) -> str:
     return f"""{sql.with_dummy(name + '_h', spans, salt)},
 {name} AS (
-  SELECT ('0x' || substr(md5(original), 1, 15))::BIGINT AS id, original AS original_pii,
+  SELECT md5(original) AS id, original AS original_pii,
     min({{'t': {EPOCH + shift} + doc_id * 60, 'l': label, 'd': dummy}}) AS f,
     max({{'t': {EPOCH + shift} + doc_id * 60, 'c': c}}) AS l, count(*) AS access_count
   FROM {name}_h GROUP BY original
@@ -146,7 +146,8 @@ y{i} AS (SELECT *, {sql.dummy_columns('label', 'original', '', str(i + 1))} FROM
 r{i + 1} AS (SELECT original_pii, CASE WHEN lost THEN {sql.dummy_value()} ELSE dummy_pii END AS dummy_pii, label,
   CASE WHEN lost THEN {i + 1} ELSE attempt END AS attempt FROM y{i})"""
     resolve += """, w2 AS (SELECT dummy_pii, min({'a': attempt, 'o': original_pii}).o AS o FROM r2 GROUP BY dummy_pii)
-SELECT original_pii, r.dummy_pii, attempt::BIGINT AS attempt, w.o IS NULL AS collision FROM r2 r LEFT JOIN w2 w ON w.o = r.original_pii"""
+SELECT original_pii, CASE WHEN w.o IS NULL THEN r.dummy_pii || '-' || md5(original_pii) ELSE r.dummy_pii END AS dummy_pii,
+  attempt::BIGINT AS attempt, w.o IS NULL AS suffixed FROM r2 r LEFT JOIN w2 w ON w.o = r.original_pii"""
     return {
         "vault_build": f"{base} SELECT {cols} FROM v",
         "vault_upsert": f"""{other}, {_build('n', 'other', 'v2', 86400)}

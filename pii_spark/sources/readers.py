@@ -14,7 +14,6 @@ SAMPLE = (
     f"language string, country string, {normalize.TASK}, _corrupt_record string"
 )
 GOLD = "id string, text string, entities array<struct<start:int,end:int,label:string,text:string>>"
-_TOP_N = 10_000
 LEDGER = "file_name string, status string, issue_count int, issues string"
 
 
@@ -63,10 +62,9 @@ def read_foreign(
     spark: SparkSession, path: str, language: str | None = None, n: int = 0, seed: int = 42,
     key: str = "source_text",
 ) -> DataFrame:
-    """Foreign rows, by language in any case, and ``n`` of them by hash order (all for 0).
+    """Foreign rows, by language in any case, and ``n`` of them by hash order of ``key`` (all for 0).
 
-    An evaluation set is a bounded top-n, which also copes with many copies of one text. A larger
-    draw needs a ``key`` that is unique per row.
+    Rows of one key are ordered by a hash of all their columns, so only equal rows are interchangeable.
     """
     rows = spark.read.parquet(path)
     if language is not None:
@@ -74,9 +72,9 @@ def read_foreign(
     if n <= 0:
         return rows
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
-    if n <= _TOP_N:
-        return rows.orderBy(order, key).limit(n)
-    return mark_smallest(rows, order, lambda total: F.least(F.lit(n), total), key).where("chosen").drop("chosen")
+    tied = rows.withColumn("_tie", F.xxhash64(*[F.to_json(F.struct("*"))]))
+    drawn = mark_smallest(tied, order, lambda total: F.least(F.lit(n), total), "_tie")
+    return drawn.where("chosen").drop("chosen", "_tie")
 
 
 def read_batch_results(spark: SparkSession, path: str) -> DataFrame:

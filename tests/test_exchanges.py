@@ -45,6 +45,22 @@ def test_mask_other_bodies(spark):
     assert odd.mask_status == "unrecognised" and json.loads(odd.masked_body) == {"prompt": MAIL}
 
 
+def test_mask_nested_blocks_and_bodies_that_are_no_object(spark):
+    inner = {"type": "tool_result", "content": [{"type": "text", "text": "x e@f.com"}, {"content": "g@h.com"}]}
+    nested = {"messages": [{"role": "user", "content": [{"type": "text", "text": "a@b.com"}, "bare c@d.com", inner]}]}
+    deep = {"messages": [{"role": "user", "content": [{"content": [{"content": [{"text": "k@l.com"}]}]}]}]}
+    bodies = [json.dumps(nested), json.dumps(deep), json.dumps("mail i@j.com"), json.dumps(["i@j.com"]), "4111111111111111", '{"a": 1}']
+    df = spark.createDataFrame([(b, "anthropic") for b in bodies], "body string, provider string")
+    got = {r.body: r for r in payloads.mask_payloads(df).collect()}
+    one = got[bodies[0]]
+    assert one.mask_status == "masked" and not any(x in one.masked_body for x in ("a@b", "c@d", "e@f", "g@h"))
+    assert {e.text for e in one.entities} == {"a@b.com", "c@d.com", "e@f.com", "g@h.com"}
+    assert got[bodies[1]].mask_status == "partial"
+    for body in bodies[2:5]:
+        assert got[body].mask_status == "text" and got[body].masked_body != body
+    assert got[bodies[5]].mask_status == "unrecognised"
+
+
 def test_restore_with_notice(spark):
     rows = [("openai", {"choices": [{"message": {"content": "hi D1"}}, {"text": "D1"}]}),
             ("anthropic", {"content": [{"type": "text", "text": "D1"}, {"type": "tool", "text": "D1"}]}),
@@ -93,6 +109,14 @@ def test_log_limits_and_pages(spark):
     assert len(set(pages)) == 1200
 
 
+def test_long_messages_are_parsed_before_they_are_cut(spark):
+    body = json.dumps({"model": "m", "messages": [{"role": "user", "content": "w " * 40_000}]})
+    df = spark.createDataFrame([(body, "request"), ("{}", "request")], "message string, direction string")
+    long, short = audit_log.to_log(df).orderBy(F.desc("truncated")).collect()
+    assert long.truncated and len(long.message) < 52_000 and long.model == "m"
+    assert len(long.messages[0].content) == 80_000 and not short.truncated
+
+
 def test_transaction_order(spark):
     rows = [("1", "t1", 0, "request_original"), ("2", "t1", 9, "response_original"), ("3", "t1", 1, "request_masked"),
             ("4", None, 5, "request_original"), ("5", "t2", 20, "odd")]
