@@ -10,7 +10,8 @@ from pii_spark.functions import fixed_values as fv
 from pii_spark.functions.offsets import find_matches, let
 from pii_spark.functions.ranking import cut_lineage, mark_smallest
 
-TOKEN = r"\w+|[^\w\s]"
+WORD = r"[\p{L}\p{M}\p{N}_]+"
+TOKEN = WORD + r"|[^\p{L}\p{M}\p{N}_\s]"
 TOKENS = "array<struct<text:string,start:int,end:int>>"
 SPAN = "struct<value:string,label:string,start:int,end:int>"
 _PAGE = 1024

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
 from pii_spark.functions.dummies import generate_dummy, hash_draw, words
-from pii_spark.functions.offsets import let, running_totals
+from pii_spark.functions.offsets import compute_once, let, running_totals
 
 SLOT = r"\{[A-Z]+\}"
 
@@ -50,10 +50,13 @@ def pick_from(pool: list[str], draw: Column) -> Column:
     return F.get(words(pool), (draw % len(pool)).cast("int"))
 
 
-def synthesize(ids: DataFrame, key: str, salt: str = "42", templates: list[str] = TEMPLATES) -> DataFrame:
+def synthesize(
+    ids: DataFrame, key: str, salt: str = "42", templates: list[str] = TEMPLATES, before: str | None = None
+) -> DataFrame:
     """One annotated sample per row of ``ids``: template by hash, slots filled with dummies.
 
-    Gives (key, text, entities) with exact offsets. Row-local, so it scales with ``ids``.
+    Gives (key, text, entities) with exact offsets. With ``before``, the sentence follows the text of that
+    column. Row-local, so it scales with ``ids``.
     """
     name = F.col(key).cast("string")
     seed = F.concat_ws("|", F.lit(salt), name)
@@ -95,7 +98,15 @@ def synthesize(ids: DataFrame, key: str, salt: str = "42", templates: list[str]
         )
 
     sample = let(let(template, fill), build)
-    return ids.select(key, sample.alias("s")).select(key, "s.text", "s.entities")
+    if before is None:
+        return ids.select(key, sample.alias("s")).select(key, "s.text", "s.entities")
+    made = compute_once(ids.select(key, F.coalesce(before, F.lit("")).alias("_before")), "_s", sample)
+    shift = F.length("_before") + 1
+    moved = F.transform("_s.entities", lambda e: F.struct(
+        e["text"].alias("text"), e["label"].alias("label"), (e["start"] + shift).alias("start"),
+        (e["end"] + shift).alias("end"), e["confidence"].alias("confidence"),
+    ))
+    return made.select(key, F.concat("_before", F.lit(" "), "_s.text").alias("text"), moved.alias("entities"))
 
 
 def sample_id(number: Column) -> Column:

@@ -39,9 +39,9 @@ def detected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One synthetic annotated sample per document id, with language and country."""
-    ids = spread(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
-    return sample_language_country(synthesize(ids, "doc_id"), "doc_id")
+    """Every document followed by a synthetic annotated sentence, with language and country."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return sample_language_country(synthesize(docs, "doc_id", before="text"), "doc_id")
 
 
 def second_label(key: Column, e: Column, u: Column) -> Column:

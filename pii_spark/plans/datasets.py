@@ -194,7 +194,7 @@ def coreference_links(spark, sf):
 
 
 def mention_types(spark, sf):
-    words = documents(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))).alias("w"))
+    words = documents(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit(prepare.WORD), F.lit(0))).alias("w"))
     return words.groupBy(normalize.infer_mention_type(F.col("w")).alias("type")).agg(F.count("*").alias("n"))
 
 
@@ -498,8 +498,8 @@ ex AS (SELECT *, unnest(range(n)) AS ix FROM ok)"""
     def bio(mask: str) -> str:
         """CTEs ending in tg(doc_id, i, v, tag) for spans ``mask``(doc_id, label, s, e)."""
         return f"""tk AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS v, unnest(string_split_regex(text, '\\w+|[^\\w\\s]')) AS g,
-    generate_subscripts(string_split_regex(text, '\\w+|[^\\w\\s]'), 1) AS i FROM btext
+  SELECT doc_id, unnest(regexp_extract_all(text, {sql.TOKEN})) AS v, unnest(string_split_regex(text, {sql.TOKEN})) AS g,
+    generate_subscripts(string_split_regex(text, {sql.TOKEN}), 1) AS i FROM btext
 ), pos AS (
   SELECT doc_id, v, i, (sum(length(g) + length(v)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT - length(v) AS ts FROM tk WHERE v IS NOT NULL
 ), cand AS (
@@ -587,7 +587,7 @@ SELECT la.doc_id, la.start, lead_at, coalesce(word_at, '') AS word_at FROM la LE
 fl AS (SELECT doc_id, unnest(out) AS x, generate_subscripts(out, 1) AS n FROM fin)
 SELECT doc_id, 'ent-' || n AS id, x.s AS start, x.v AS value, x.l AS label FROM fl""",
         "mention_types": f"""SELECT CASE WHEN list_contains({sql.word_list(fv.PRONOUNS)}, lower(w)) THEN 'pronoun' ELSE 'reference' END AS type, count(*) AS n
-FROM (SELECT unnest(regexp_extract_all(text, '\\w+')) AS w FROM documents) GROUP BY 1""",
+FROM (SELECT unnest(regexp_extract_all(text, {sql.WORD})) AS w FROM documents) GROUP BY 1""",
         "mention_shapes": f"""WITH {gold}, m AS (SELECT *, {shape} AS sh FROM gold)
 SELECT doc_id, string_agg(original || ':' || CASE WHEN sh > 0 THEN CASE WHEN list_contains({sql.word_list(fv.PRONOUNS)}, lower(original)) THEN 'pronoun' ELSE 'reference' END || ':'
   ELSE 'name:' || label END, ';' ORDER BY s) AS mentions FROM m GROUP BY doc_id""",

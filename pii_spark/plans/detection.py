@@ -179,7 +179,7 @@ def oracles() -> dict[str, str]:
         for label, pool in (("FIRSTNAME", fv.FIRST_NAMES), ("SURNAME", fv.SURNAMES), ("CITY", fv.CITIES))
     )
     word = r"[\p{L}\p{N}_'']+"
-    token = r"\w+|[^\w\s]"
+    token = prepare.TOKEN
     masked = f"WITH {spans}, {dummies}, {sql.masked_texts('m', 'd', 'documents')} "
     tokens = f"""WITH tk AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '{token}')) AS v, unnest(string_split_regex(text, '{token}')) AS g,

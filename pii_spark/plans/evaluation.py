@@ -312,8 +312,8 @@ rcf AS (SELECT label, count_if(o = 'tp')::BIGINT AS tp, count_if(o = 'fp')::BIGI
   FROM other GROUP BY doc_id
 ), kept AS (SELECT doc_id, x.s AS s, x.e AS e, x.label AS label FROM (SELECT doc_id, unnest(r.k) AS x FROM keptl))"""
     seq = f"""WITH {gold}, {other}, {greedy}, tk AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS v, unnest(string_split_regex(text, '\\w+|[^\\w\\s]')) AS g,
-    generate_subscripts(string_split_regex(text, '\\w+|[^\\w\\s]'), 1) AS i FROM gold_text
+  SELECT doc_id, unnest(regexp_extract_all(text, {sql.TOKEN})) AS v, unnest(string_split_regex(text, {sql.TOKEN})) AS g,
+    generate_subscripts(string_split_regex(text, {sql.TOKEN}), 1) AS i FROM gold_text
 ), pos AS (SELECT doc_id, v, i, (sum(length(g) + length(v)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT - length(v) AS ts FROM tk WHERE v IS NOT NULL),
 {tags('ga', 'gold')}, {tags('pa', 'kept')},
 cmp AS (SELECT coalesce(a.label, b.label) AS label, a.doc_id IS NOT NULL AS ig, b.doc_id IS NOT NULL AS iq

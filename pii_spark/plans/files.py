@@ -23,7 +23,7 @@ def file_samples(spark, sf):
     tasks = datasets.tasks(spark, sf).select("data", "predictions", "annotations")
     lines = simple.select(F.to_json(F.struct(*simple.columns)).alias("value")).unionAll(
         tasks.select(F.to_json(F.struct(*tasks.columns)).alias("value"))
-    ).unionAll(simple.select(F.concat(F.lit('{"text": "'), F.substring("text", 1, 5)).alias("value"))).unionAll(
+    ).unionAll(simple.select(F.concat(F.lit('{"text": "'), F.translate(F.substring("text", 1, 5), "\r\n", "  ")).alias("value"))).unionAll(
         simple.select(F.to_json(F.struct("language")).alias("value")))
     path = new_path(spark, "samples")
     lines.write.text(path)
@@ -244,7 +244,7 @@ SELECT 's' || t.doc_id AS id, md5(text) AS text_md5, n.n AS entities FROM gold_t
         "dataset_files": f"""WITH {gold}, base_result AS ({known['split_hash']})
 SELECT b.doc_id, CASE split WHEN 'validation' THEN 'test' ELSE 'train' END AS split, md5(t.text) AS text_md5 FROM base_result b JOIN gold_text t ON t.doc_id = b.doc_id""",
         "task_files": f"""WITH {gold}, n AS (SELECT doc_id, count(*) AS n FROM gold GROUP BY doc_id)
-SELECT 'doc_' || substr(sha256(text), 1, 16) || '.json' AS name, 'task' AS format, n.n AS entries FROM gold_text t JOIN n ON n.doc_id = t.doc_id""",
+SELECT 'doc_' || sha256(text) || '.json' AS name, 'task' AS format, n.n AS entries FROM gold_text t JOIN n ON n.doc_id = t.doc_id""",
         "tasks_report": f"""WITH h AS (SELECT ({datasets._sql_draw('pred', 3)}) > 0 AS p, ({datasets._sql_draw('anno', 2)}) > 0 AS a FROM documents)
 SELECT count(*) AS total, 0::BIGINT AS skipped, count_if(a)::BIGINT AS annotated, count_if(p)::BIGINT AS predicted, count_if(a AND p)::BIGINT AS both,
   count_if(NOT a AND NOT p)::BIGINT AS neither FROM h""",

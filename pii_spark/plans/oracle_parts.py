@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pii_spark.functions import fixed_values as fv
+from pii_spark.operators import prepare
 from pii_spark.operators.detect import RULES
 from pii_spark.operators.synth import TEMPLATES
 
@@ -135,7 +136,7 @@ def rule_spans(
 {name}_ok AS (
   SELECT k, t, label, c, e - length(v) AS s, e FROM {name}_at
   WHERE NOT regexp_matches(
-      (CASE WHEN e - length(v) > 0 THEN substr(t, e - length(v), 1) ELSE '' END) || substr(t, e + 1, 1), '[A-Za-z0-9]')
+      (CASE WHEN e - length(v) > 0 THEN substr(t, e - length(v), 1) ELSE '' END) || substr(t, e + 1, 1), '[\\p{{L}}\\p{{N}}]')
     AND (label <> 'CREDITCARDNUMBER' OR {luhn}) AND (label <> 'IPV4' OR {ipv4})
 ),
 {name}_folded AS (
@@ -175,7 +176,7 @@ def masked_texts(name: str, spans: str, source: str, key: str = "doc_id", text:
 
 
 def synthetic(name: str = "gold", salt: str = "42") -> str:
-    """CTEs ending in ``name``_text(doc_id, text) and ``name``(doc_id, original, label, s, e, c)."""
+    """CTEs ending in ``name``_text(doc_id, text) and ``name``(doc_id, original, label, s, e, c): documents and a sentence."""
     key = f"('{salt}' || '|' || doc_id)"
     return f"""{name}_t AS (
   SELECT doc_id, {pick(TEMPLATES, draw(key, 0))} AS tpl FROM documents
@@ -191,11 +192,16 @@ def synthetic(name: str = "gold", salt: str = "42") -> str:
 ),
 {name}_w AS (SELECT *, {dummy_columns("coalesce(label, '')", 'original', salt)} FROM {name}_v),
 {name}_x AS (SELECT doc_id, gap, i, label, CASE WHEN label IS NULL THEN NULL ELSE {dummy_value()} END AS val FROM {name}_w),
-{name}_text AS (SELECT doc_id, string_agg(gap || coalesce(val, ''), '' ORDER BY i) AS text FROM {name}_x GROUP BY doc_id),
+{name}_s AS (SELECT doc_id, string_agg(gap || coalesce(val, ''), '' ORDER BY i) AS sentence FROM {name}_x GROUP BY doc_id),
+{name}_text AS (
+  SELECT s.doc_id, coalesce(d.text, '') || ' ' || s.sentence AS text FROM {name}_s s JOIN documents d ON d.doc_id = s.doc_id
+),
 {name} AS (
-  SELECT doc_id, original, label, e - length(original) AS s, e, 1.0::DOUBLE AS c FROM (
+  SELECT x.doc_id, original, label, e - length(original) + length(coalesce(d.text, '')) + 1 AS s,
+    e + length(coalesce(d.text, '')) + 1 AS e, 1.0::DOUBLE AS c
+  FROM (
     SELECT doc_id, val AS original, label, (sum(length(gap) + length(val)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e
-    FROM {name}_x WHERE label IS NOT NULL)
+    FROM {name}_x WHERE label IS NOT NULL) x JOIN documents d ON d.doc_id = x.doc_id
 )"""
 
 
@@ -230,3 +236,4 @@ def language_country(name: str = "lc", salt: str = "42") -> str:
 
 
 STANDARD = word_list(fv.STANDARD_LABELS)
+TOKEN, WORD = quote(prepare.TOKEN), quote(prepare.WORD)

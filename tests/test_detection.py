@@ -35,13 +35,12 @@ def test_threshold_range(spark):
         detect.detect_rules(spark.range(1).selectExpr("id AS doc_id", "'x' AS text"), threshold=0.99)
 
 
-def test_dictionary_both_join_forms(spark):
+def test_dictionary_words(spark):
     docs = spark.createDataFrame([(1, "Élise met José in Paris, Paris!"), (2, "none")], "doc_id long, text string")
     gaz = spark.createDataFrame([("Paris", "CITY"), ("José", "FIRSTNAME"), ("Paris", "CITY")], "value string, label string")
     want = [("José", "FIRSTNAME", 10), ("Paris", "CITY", 18), ("Paris", "CITY", 25)]
-    for form in (None, False):
-        got = detect.detect_dictionary(docs, gaz, broadcast=form).collect()
-        assert sorted((r.text, r.label, r.start) for r in got) == want
+    got = detect.detect_dictionary(docs, gaz).collect()
+    assert sorted((r.text, r.label, r.start) for r in got) == want
 
 
 def test_model_hook_reports_errors(spark):
@@ -158,3 +157,9 @@ def test_missing_offsets_fail(spark):
     df = spark.createDataFrame([("x", [("x", "CITY", None, None)])], "text string, privacy_mask array<struct<value:string,label:string,start:int,end:int>>")
     with pytest.raises(Exception, match="without offsets"):
         prepare.align_bio(df).collect()
+
+
+def test_tokens_of_accented_words(spark):
+    df = spark.createDataFrame([("José Müller\u0301, 42 €",)], "text string")
+    tokens = df.select(prepare.tokens_of(F.col("text")).alias("t")).first().t
+    assert [t.text for t in tokens] == ["José", "Müller\u0301", ",", "42", "€"]

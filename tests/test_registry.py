@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle_check import compare, duck
+from pii_spark.plans import registry
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = [
@@ -32,7 +33,8 @@ def test_query_equals_oracle(spark, con, name):
 
 def test_every_query_has_an_oracle():
     # The order-dependent linking of mentions has no SQL form; its cases are in test_exchanges.
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"coreference_links"}
+    assert set(registry.QUERIES) - set(registry.oracles()) == {"coreference_links"}
+    assert set(registry.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
