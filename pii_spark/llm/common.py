@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,23 @@ def mixed(values: np.ndarray) -> np.ndarray:
         values = values ^ (values >> np.uint64(33))
         values = values * np.uint64(0xC4CEB9FE1A85EC53)
         return values ^ (values >> np.uint64(33))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal integer keys in sorted rows, also across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
+        if not columns.shape[1]:
+            continue
+        cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1).tolist(), columns.shape[1]]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(columns[:, a])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

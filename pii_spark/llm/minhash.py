@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pii_spark.llm.common import document_key, mixed, written
+from pii_spark.llm.common import document_key, mixed, partitions, runs, written
 from pii_spark.llm.graph import components
 from pii_spark.llm.substring import _BASE, word_hashes
 
-#: Members of an inverted list that are handled as one row.
-BLOCK = 64
+#: Ids that travel to every task; more are joined by shuffle.
+BROADCAST_IDS = 200_000
+
+#: Members of an inverted list that make pairs, and documents of a larger one that are compared at a time.
+BLOCK, COMPARED = 64, 256
 
 
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
@@ -62,7 +65,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             made = [shingle_set(t, shingle).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["_doc", "hashes"])
 
-    texts = docs.select(document_key().alias("_doc"), "text").join(wanted, "_doc", "left_semi")
+    # A small set of ids spares the shuffle of all texts.
+    side = F.broadcast(wanted) if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted
+    texts = docs.select(document_key().alias("_doc"), "text").join(side, "_doc", "left_semi")
     return texts.mapInArrow(run, "_doc long, hashes binary")
 
 
@@ -93,50 +98,114 @@ def inverted_lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
     )
 
 
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: the most typical document of each list with each other one.
+def centres(lists: DataFrame) -> DataFrame:
+    """``value, size, centre, centre_n``: the most typical document of each list of several.
 
     Typical is who shares most of its retained values: among edited copies of a text, the text itself.
     """
     rank = F.struct("shared", "spread", (-F.col("_doc")).alias("_minus"), F.col("n").alias("_n"))
-    centres = lists.groupBy("value").agg(F.max(rank).alias("_c")).select(
-        "value", (-F.col("_c._minus")).alias("_centre"), F.col("_c._n").alias("_n")
+    return lists.groupBy("value").agg(F.count("*").alias("size"), F.max(rank).alias("_c")).where("size > 1").select(
+        "value", "size", (-F.col("_c._minus")).alias("centre"), F.col("_c._n").alias("centre_n")
     )
-    pairs = lists.join(centres, "value").where("_doc <> _centre").where(_sizes_agree(F.col("n"), F.col("_n"), percent))
-    return pairs.select(*_ordered("_doc", "_centre")).distinct()
 
 
-def crossing_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs of one list that are in different components so far.
+def star_pairs(lists: DataFrame, middle: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the centre of each list with each other document of it."""
+    pairs = lists.join(middle, "value").where("_doc <> centre").where(_sizes_agree(F.col("n"), F.col("centre_n"), percent))
+    return pairs.select(F.least("_doc", "centre").alias("a"), F.greatest("_doc", "centre").alias("b")).distinct()
+
+
+def open_lists(lists: DataFrame, middle: DataFrame, labels: DataFrame) -> DataFrame:
+    """``value, size, centre, _doc, n, part``: lists whose documents are in different components so far.
+
+    Lists that lie in one component, as those of large groups of copies mostly do by now, are done.
+    """
+    member = lists.join(middle.select("value", "size", "centre"), "value").join(
+        labels.withColumnRenamed("id", "_doc"), "_doc", "left"
+    ).select("value", "size", "centre", "_doc", "n", F.coalesce("component", "_doc").alias("part"))
+    member = written(member, "list-members")
+    several = member.groupBy("value").agg(F.min("part").alias("_p"), F.max("part").alias("_q")).where("_p <> _q").select("value")
+    return written(member.join(several, "value", "left_semi"), "open-lists")
+
+
+def crossing_pairs(opened: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of one list of at most ``BLOCK`` documents that are in different components."""
+    listed = opened.where(F.col("size") <= BLOCK).groupBy("value").agg(F.collect_list(F.struct("_doc", "n", "part")).alias("m"))
 
-    Lists that lie in one component, as those of large groups of copies do by now, make no pairs.
-    The others are dealt into blocks of about ``BLOCK`` members by hash, and blocks meet blocks.
+    def partners(x: Column) -> Column:
+        fit = F.filter("m", lambda y: (x["part"] != y["part"]) & (x["_doc"] < y["_doc"]) & _sizes_agree(x["n"], y["n"], percent))
+        return F.transform(fit, lambda y: F.struct(x["_doc"].alias("a"), y["_doc"].alias("b")))
+
+    return listed.select(F.explode(F.flatten(F.transform("m", partners))).alias("p")).select("p.*").distinct()
+
+
+def _similar(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
+    """Which sets of ``left`` are similar to which of ``right``: exact, by counts of common hashes."""
+    one, other = ([np.frombuffer(x, np.uint64) for x in side] for side in (left, right))
+    sizes = [np.array([len(x) for x in side]) for side in (one, other)]
+    flat = [np.concatenate(side) for side in (one, other)]
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    common = np.zeros((len(left), len(right)), np.float32)
+    if len(shared):
+        place = [np.minimum(np.searchsorted(shared, f), len(shared) - 1) for f in flat]
+        known = [shared[p] == f for p, f in zip(place, flat, strict=True)]
+        for begin in range(0, len(shared), 4096):
+            parts = []
+            for p, k, r, n in zip(place, known, rows, sizes, strict=True):
+                own = k & (p >= begin) & (p < begin + 4096)
+                dense = np.zeros((len(n), min(4096, len(shared) - begin)), np.float32)
+                dense[r[own], p[own] - begin] = 1
+                parts.append(dense)
+            common += parts[0] @ parts[1].T
+    common = common.astype(np.int64)
+    return 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+
+
+def group_links(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: components that are linked by two documents of one list of more than ``BLOCK``.
+
+    Lists with one centre hold mostly the same documents, so they are merged: a group is what stands in
+    any list of a centre. In each group the documents outside its largest component meet all others, on
+    full sets, in squares of ``COMPARED`` by ``COMPARED``. No pairs are emitted, but each two components
+    that a square links, once.
     """
-    member = lists.join(labels.withColumnRenamed("id", "_doc"), "_doc", "left").select(
-        "value", "_doc", "n", F.coalesce("component", "_doc").alias("part")
+    member = opened.where(F.col("size") > BLOCK).select("centre", "_doc", "part").distinct()
+    member = written(member, "groups")
+    parts = member.groupBy("centre", "part").agg(F.count("*").alias("_n"))
+    largest = parts.groupBy("centre").agg(
+        F.max(F.struct("_n", "part")).alias("_l"), F.sum("_n").alias("_all")
+    ).select(
+        "centre", F.col("_l.part").alias("main"), F.ceil(F.col("_all") / COMPARED).cast("int").alias("columns"),
+        F.ceil((F.col("_all") - F.col("_l._n")) / COMPARED).cast("int").alias("rows"),
+    )
+    largest = written(largest, "group-sizes")
+    placed = member.join(largest, "centre")
+    mine = F.xxhash64("_doc")
+    every = [F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: i) for n in ("rows", "columns")]
+    right = placed.where("rows > 0").select(
+        "centre", "_doc", "part", F.pmod(mine, F.col("columns")).cast("int").alias("column"), F.explode(every[0]).alias("row"), F.lit(0).alias("side")
     )
-    mixed_lists = member.groupBy("value").agg(
-        F.count("*").alias("_c"), F.min("part").alias("_p"), F.max("part").alias("_q")
-    ).where("_p <> _q").select("value", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks"))
-    blocks = (
-        member.join(mixed_lists, "value")
-        .groupBy("value", F.pmod(F.xxhash64("_doc"), F.col("_blocks")).alias("_block"))
-        .agg(F.collect_list(F.struct("_doc", "n", "part")).alias("m"))
+    left = placed.where("rows > 0 AND part <> main").select(
+        "centre", "_doc", "part", F.explode(every[1]).alias("column"), F.pmod(mine, F.col("rows")).cast("int").alias("row"), F.lit(1).alias("side")
     )
-    left = blocks.withColumnRenamed("m", "l").withColumnRenamed("_block", "_lb")
-    met = left.join(blocks, "value").where("_lb <= _block")
+    square = ["centre", "row", "column"]
 
-    def partners(x: Column) -> Column:
-        fit = F.filter("m", lambda y: (x["part"] != y["part"]) & _sizes_agree(x["n"], y["n"], percent)
-                       & ((F.col("_lb") < F.col("_block")) | (x["_doc"] < y["_doc"])))
-        return F.transform(fit, lambda y: F.struct(
-            F.least(x["_doc"], y["_doc"]).alias("a"), F.greatest(x["_doc"], y["_doc"]).alias("b")))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, square):
+            side, part = run.column("side").to_numpy(), run.column("part").to_numpy()
+            hashes = run.column("hashes").to_pylist()
+            i, j = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+            if len(i) and len(j):
+                alike = _similar([hashes[x] for x in i], [hashes[x] for x in j], percent)
+                a, b = np.nonzero(alike & (part[i][:, None] != part[j][None, :]))
+                if len(a):
+                    found = np.unique(np.stack([part[i[a]], part[j[b]]], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
-    return met.select(F.explode(F.flatten(F.transform("l", partners))).alias("p")).select("p.*").distinct()
+    dealt = left.unionByName(right).join(sets, "_doc").select(*square, "side", "part", "hashes")
+    n = partitions(opened.sparkSession)
+    return dealt.repartition(n, *square).sortWithinPartitions(*square).mapInArrow(compare, "u long, v long")
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -181,8 +250,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     2. Inverted lists of the rarer retained values bring candidates together. In each list the most
        typical document is compared with all others, which makes linear work of a group of copies.
     3. The sketch of the union rules pairs out, full sets confirm the others, and components form.
-    4. Only pairs of one list that are still in different components remain; all of these are compared
-       in the same way, so no link between components is left out.
+    4. Only pairs of one list that are still in different components remain. All of these are compared:
+       as pairs in the same way if the list is short, in squares of full sets if it is long. So no link
+       between components is left out.
 
     Words are lower-cased in A-Z. Null texts and texts without words have an empty set and are linked with
     nothing. Rows that repeat an id are one document and should repeat the text; a null id stands for a
@@ -196,12 +266,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
         "set-representatives",
     )
     lists = written(inverted_lists(reps, k, percent), "inverted-lists")
-    stars = written(estimated(star_pairs(lists, percent), reps, k, percent), "star-pairs")
-    sets = written(full_sets(docs, lists.select("_doc").distinct(), shingle), "full-sets")
+    middle = written(centres(lists), "list-centres")
+    stars = written(estimated(star_pairs(lists, middle, percent), reps, k, percent), "star-pairs")
+    ends = written(stars.select(F.explode(F.array("a", "b")).alias("_doc")).distinct(), "star-ends")
+    sets = written(full_sets(docs, ends, shingle), "full-sets")
     links = written(linked(stars, sets, percent), "star-links")
     labels = components(links)
-    open_pairs = crossing_pairs(lists, labels, percent).join(stars, ["a", "b"], "left_anti")
-    more = written(linked(estimated(open_pairs, reps, k, percent), sets, percent), "crossing-links")
+    opened = open_lists(lists, middle, labels)
+    pairs = crossing_pairs(opened, percent).join(stars, ["a", "b"], "left_anti")
+    pairs = written(estimated(pairs, reps, k, percent), "crossing-pairs")
+    grouped = opened.where(F.col("size") > BLOCK).select("_doc")
+    more_ends = pairs.select(F.explode(F.array("a", "b")).alias("_doc")).unionByName(grouped).distinct()
+    more_ends = written(more_ends.join(ends, "_doc", "left_anti"), "crossing-ends")
+    sets = sets.unionByName(written(full_sets(docs, more_ends, shingle), "full-sets"))
+    crossing = linked(pairs, sets, percent)
+    more = written(crossing.unionByName(group_links(opened, sets, percent)), "crossing-links")
     if not more.isEmpty():
         labels = components(labels.toDF("u", "v").unionByName(more))
 

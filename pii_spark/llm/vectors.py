@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pii_spark.llm.common import partitions, written
+from pii_spark.llm.common import partitions, runs, written
 from pii_spark.llm.graph import components
 
 #: Projections whose window collisions are counted, and their seed.
@@ -136,26 +136,6 @@ def _compare(table: int, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarra
 _CELL_KEYS = ["size", "table", "cell", "low", "high"]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of equal cell keys in sorted rows."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in _CELL_KEYS])
-        if not keys.shape[1]:
-            continue
-        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), keys.shape[1]]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            key = tuple(keys[:, a])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _valid(vector: Column) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vector.isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0)
@@ -219,7 +199,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
                     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
+        for group in runs(batches, _CELL_KEYS):
             size, table = group.column("size")[0].as_py(), group.column("table")[0].as_py()
             block = np.frombuffer(b"".join(group.column("vector").to_pylist()), kind).reshape(-1, size)
             ids, copies, second = (group.column(c).to_numpy() for c in ("rep", "copies", "second"))

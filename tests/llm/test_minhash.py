@@ -67,6 +67,7 @@ def test_query_equals_brute_force(spark, make_docs, corpus, tmp_path):
 
 def test_five_words_and_small_blocks(spark, make_docs, corpus, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "COMPARED", 20)
     assert rows(minhash.near_duplicates(make_docs(corpus))) == brute_force(corpus, 5)
 
 
