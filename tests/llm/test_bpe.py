@@ -35,6 +35,23 @@ def test_every_code_point(tokenizer):
         assert ids_of(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_every_pair_of_latin_characters(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "CHARS_AT_ONCE", 50)
+    signs = [chr(c) for c in range(256)]
+    for a in signs:
+        text = "".join(f"{a}{b} x{a}{b}'{b}s {a} 7" for b in signs)
+        assert ids_of(text) == tokenizer.encode(text, add_special_tokens=False).ids, a
+
+
+def test_cuts_do_not_cut_pieces(tokenizer, monkeypatch):
+    rng = random.Random(4)
+    for size in (1, 2, 7):
+        monkeypatch.setattr(bpe, "CHARS_AT_ONCE", size)
+        for _ in range(60):
+            text = "".join(rng.choices(" \n\u2003aé.'s日9", k=60))
+            assert ids_of(text) == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_streaming_of_long_runs_equals_one_pass():
     vocabulary = bpe.Bpe(PATH)
     for seed in range(40):
@@ -42,6 +59,7 @@ def test_streaming_of_long_runs_equals_one_pass():
         alphabet = rng.choice(["ab", "aet", "thein", "-=", "01", "é", "abcdefgh", "ing"])
         data = "".join(rng.choices(alphabet, k=3000)).encode()
         assert list(vocabulary.stream(data, block=rng.choice([1, 7, 300]))) == vocabulary.merge(data)
+        assert vocabulary._merge_short(data[:60]) == vocabulary._merge_long(data[:60])
 
 
 def test_lookahead_is_needed_and_bounded():
