@@ -93,19 +93,23 @@ def quote_links(messages: DataFrame) -> DataFrame:
 def threads(links: DataFrame) -> DataFrame:
     """``conv_id, turn, thread, depth``: the message that replies lead back to, and over how many steps.
 
-    Every round doubles the steps looked back, so a chain of n replies takes log2(n) rounds.
+    Every round doubles the steps looked back, so a chain of n replies takes log2(n) rounds, and only
+    messages that have not come to the first one yet take part in the next.
     """
-    nodes = written(links.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("long").alias("depth")), "replies")
+    columns = ["conv_id", "turn", "up", "depth"]
+    first = links.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("long").alias("depth"))
+    active, settled = written(first, "replies"), first.limit(0)
     while True:
-        above = nodes.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        joined = nodes.join(above, ["conv_id", "up"], "left")
-        moved = written(joined.select(
+        known = active.select(columns).unionByName(settled)
+        above = known.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        moved = written(active.join(above, ["conv_id", "up"], "left").select(
             "conv_id", "turn", F.coalesce("_up", "up").alias("up"),
             (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.col("_up").isNotNull().alias("_moved"),
         ), "replies")
-        nodes = moved.drop("_moved")
-        if moved.where("_moved").isEmpty():
-            return nodes.select("conv_id", "turn", F.col("up").alias("thread"), "depth")
+        settled = settled.unionByName(moved.where("NOT _moved").select(columns))
+        active = moved.where("_moved")
+        if active.isEmpty():
+            return settled.select("conv_id", "turn", F.col("up").alias("thread"), "depth")
 
 
 #: Columns that ``link_quotes`` returns anew.
