@@ -15,7 +15,7 @@ from pii_spark.sources.scratch import new_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 #: Lowest mean probability of the language of a document that is kept.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 
 #: Words of the shortest passage that is cut where it repeats.
 PASSAGE = 50

@@ -20,7 +20,7 @@ from pii_spark.llm.common import mixed
 UNDETERMINED = "und"
 
 #: Feature hashes, words of a lexicon per language, words that are labelled at once.
-BUCKETS, LEXICON, WORDS_AT_ONCE = 1 << 16, 2000, 300_000
+BUCKETS, LEXICON, WORDS_AT_ONCE = 1 << 16, 2000, 200_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 

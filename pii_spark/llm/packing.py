@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pii_spark.llm.bpe import byte_alphabet
 from pii_spark.llm.common import written
 
-#: Pieces whose ids a worker remembers, the longest one remembered, and bytes of text encoded at once.
-CACHED_PIECES, CACHED_BYTES, BYTES_AT_ONCE = 1_200_000, 48, 1 << 20
+#: Pieces whose ids a task remembers, the longest one remembered, and bytes of text encoded at once.
+CACHED_PIECES, CACHED_BYTES, BYTES_AT_ONCE = 500_000, 48, 1 << 20
 
 #: Fixed value: the pieces that the tokenizer cuts a text into, for texts of Latin-1 whose only characters
 #: beyond ASCII are letters. ASCII is lower-cased before, other capitals after.
@@ -76,6 +76,11 @@ class WordEncoder:
             self.words.clear()
         return out
 
+    def forget(self) -> None:
+        """Workers live on after a task, and what they remember would add up with what other stages need."""
+        self.known.clear()
+        self.words.clear()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [simple_pieces(text) for text in texts]
@@ -142,6 +147,7 @@ def token_pieces(
             columns = list(zip(*rows, strict=True)) or [[]] * len(types)
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
