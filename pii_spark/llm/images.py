@@ -14,13 +14,13 @@ from pii_spark.llm.common import written
 
 #: Halvings of an image that are searched, corners per level, angles that orientations are rounded to,
 #: bits of a descriptor and of one table, radius of the tests and of the orientation.
-LEVELS, CORNERS, ANGLES, BITS, TABLE_BITS, REACH, DISC = 2, (28, 20), 32, 128, 32, 8, 7
+LEVELS, CORNERS, ANGLES, BITS, TABLE_BITS, REACH, DISC = 2, (28, 20), 32, 256, 64, 8, 7
 
 #: Nothing that is read lies farther from a corner: the reach, its rounding and the smoothing.
 MARGIN = REACH + 3
 
 #: Bits in which matching descriptors may differ, pixels of a cell of the votes, corners that must agree.
-DIFFERING, VOTE_CELL, AGREEING = 10, 16, 5
+DIFFERING, VOTE_CELL, AGREEING = 20, 16, 5
 
 IMAGE = "image_id long, height int, width int, pixels binary"
 
@@ -92,7 +92,7 @@ def describe(block: np.ndarray) -> list[tuple[np.ndarray, ...]]:
             where = _TESTS[angle]
             value = smooth[image[:, None, None], y[:, None, None] + where[..., 0], x[:, None, None] + where[..., 1]]
             bits = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1).reshape(-1, BITS // 8)
-            out.append((image, np.full(len(image), level), x << level, y << level, angle, bits.view(np.uint32).reshape(-1, BITS // 32)))
+            out.append((image, np.full(len(image), level), x << level, y << level, angle, bits.view(np.int64).reshape(-1, BITS // TABLE_BITS)))
         h, w = (s // 2 * 2 for s in block.shape[1:])
         small = block[:, :h, :w]
         block = (small[:, ::2, ::2] + small[:, 1::2, ::2] + small[:, ::2, 1::2] + small[:, 1::2, 1::2]) // 4
@@ -191,21 +191,23 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
-def rendered(vectors: DataFrame, key: str = "vec_id", value: str = "embedding", side: int = 96, boxes: int = 48) -> DataFrame:
-    """A picture for each vector: grey boxes drawn by a hash of the vector. Equal vectors give equal pictures."""
+#: Side of the pictures that ``rendered`` draws; sides and shades of their tiles, which add up.
+SIDE, TILES = 96, ((4, 150), (8, 50), (16, 40))
+
+
+def rendered(vectors: DataFrame, key: str = "vec_id", value: str = "embedding") -> DataFrame:
+    """A picture for each vector: grey tiles of several sizes, drawn by a hash of the vector. Equal vectors give equal pictures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slope = np.add.outer(np.arange(side), np.arange(side)) // 8
         for batch in batches:
             pixels = []
             for seed in batch.column(1).to_pylist():
                 rng = np.random.default_rng(seed & (2**64 - 1))
-                drawn = rng.integers([0, 0, 8, 8, 0], [side - 8, side - 8, 32, 32, 230], (boxes, 5)).tolist()
-                picture = np.full((side, side), 115)
-                for top, left, height, width, shade in drawn:
-                    picture[top : top + height, left : left + width] = shade
-                pixels.append((picture + slope).astype(np.uint8).tobytes())
-            sides = pa.array(np.full(len(pixels), side), pa.int32())
+                picture = np.zeros((SIDE, SIDE), np.int64)
+                for tile, shades in TILES:
+                    picture += np.kron(rng.integers(0, shades, (SIDE // tile, SIDE // tile)), np.ones((tile, tile), np.int64))
+                pixels.append(picture.astype(np.uint8).tobytes())
+            sides = pa.array(np.full(len(pixels), SIDE), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), sides, sides, pa.array(pixels, pa.binary())],
                                              names=["image_id", "height", "width", "pixels"])
 

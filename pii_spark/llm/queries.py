@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pii_spark.llm import bpe, images, language, lines, minhash, packing, quotes, sharding, substring, vectors
-from pii_spark.llm.common import table
+from pii_spark.llm.common import partitions, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -151,7 +151,9 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures drawn from all embeddings; an edited copy of every one whose id is divisible by 20 looks for its source."""
-    stored = images.rendered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    # The vectors are few bytes, and the pictures much work: spread them first.
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(partitions(spark), "vec_id")
+    stored = images.rendered(rows)
     asked = images.edited(stored.where("image_id % 20 = 0"))
     found = images.find_copies(asked, stored)
     own = found.where("query_id = image_id").select("query_id", F.col("inliers").alias("own_inliers"))
