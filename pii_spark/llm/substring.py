@@ -205,11 +205,14 @@ def remove_repeats(docs: DataFrame, length: int = 35, seed: int = 6, single_spac
         ),
         "anchors",
     )
-    twice = anchors.groupBy("seed").agg(F.count("*").alias("_c")).where("_c > 1").select("seed")
+    # Written, so that both sides of the joins are plain exchanges, whose hot keys adaptive execution can split.
+    twice = written(anchors.groupBy("seed").agg(F.count("*").alias("_c")).where("_c > 1").select("seed"), "repeated-seeds")
     candidates = written(anchors.join(twice, "seed", "left_semi"), "anchor-candidates")
 
     context = ["seed", "context", "n", "place"]
-    classes = candidates.groupBy(*context).agg(F.count("*").alias("_c"), F.min(F.struct("_doc", "first")).alias("_one"))
+    classes = written(
+        candidates.groupBy(*context).agg(F.count("*").alias("_c"), F.min(F.struct("_doc", "first")).alias("_one")), "contexts"
+    )
     same = candidates.join(classes.where("_c > 1").select(*context), context, "left_semi").select(
         "_doc", F.col("first").alias("start"), (F.col("first") + F.col("n") + (length - 1)).alias("end")
     )
