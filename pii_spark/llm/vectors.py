@@ -33,6 +33,7 @@ class Plan:
         self.threshold = threshold
         angle = math.acos(threshold)
         distance = math.sqrt(2 - 2 * threshold)
+        self.distance = distance
         self.window = 1.8 * distance
         collide = math.erf(self.window / distance / math.sqrt(2))
         self.bits = max(0, math.ceil(math.log2(max(n, 1) / CELL)))
@@ -73,10 +74,13 @@ def cell_codes(units: np.ndarray, plan: Plan) -> np.ndarray:
 def links_between(units: np.ndarray, second: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows at or over the threshold: of all rows, or where ``second`` is mixed, across its values.
 
-    The rows are sorted by the first projection. A run of queries meets the rows in the windows around
-    them; collisions are counted over all projections, and pairs with enough are verified.
+    The rows are sorted by the first projection. A run of queries meets all rows that can be at the
+    threshold there: no projection differs by more than the distance times the length of its direction,
+    so none is lost. Collisions are counted over all projections, and pairs with enough are verified.
     """
     counted, _ = directions(units.shape[1], plan.tables, plan.bits)
+    # A little more, for the rounding of the places.
+    reach = plan.distance * float(np.linalg.norm(counted[:, 0])) + 1e-3
     places = units @ counted
     order = np.argsort(places[:, 0], kind="stable")
     places, units, second = places[order].astype(np.float32), units[order], second[order]
@@ -84,7 +88,7 @@ def links_between(units: np.ndarray, second: np.ndarray, plan: Plan) -> tuple[np
     first, found_i, found_j = places[:, 0], [], []
     for begin in range(0, len(units), 128):
         end = min(begin + 128, len(units))
-        stop = int(np.searchsorted(first, first[end - 1] + plan.window, side="right"))
+        stop = int(np.searchsorted(first, first[end - 1] + reach, side="right"))
         count = np.zeros((end - begin, stop - begin), np.uint8)
         for p in range(PROJECTIONS):
             count += np.abs(places[begin:end, p, None] - places[None, begin:stop, p]) <= np.float32(plan.window)

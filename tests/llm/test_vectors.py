@@ -67,6 +67,24 @@ def test_recall_at_the_threshold():
     assert (shared & enough).mean() >= 0.995
 
 
+def test_links_in_large_cells():
+    # Pairs just over the threshold, in cells as large as two blocks that meet.
+    rng = np.random.default_rng(6)
+    n, d, plan = 1024, 64, vectors.Plan(0.9, 50_000)
+    met = []
+    for _ in range(6):
+        x = vectors.unit(rng.normal(size=(n, d)))
+        side = rng.normal(size=(n, d))
+        side = vectors.unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+        units = np.concatenate([x, 0.901 * x + np.sqrt(1 - 0.901**2) * side])
+        want = {(int(i), int(j)) for i, j in np.argwhere(np.triu(units @ units.T >= 0.9, 1))}
+        for second in (np.zeros(2 * n, bool), np.arange(2 * n) >= n):
+            found = {(min(p), max(p)) for p in zip(*(f.tolist() for f in vectors.links_between(units, second, plan)), strict=True)}
+            assert len(want) >= n and found <= want
+            met.append(len(found) / len(want))
+    assert np.mean(met) >= 0.998
+
+
 def test_null_and_repeated_keys_and_empty_tables(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.1]), (3, [1.0, 0.1]), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = vectors.near_vectors(df).collect()
