@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pii_spark.llm.common import written
+from pii_spark.llm.common import partitions, runs, written
 
 #: Halvings of an image that are searched, corners per level, angles that orientations are rounded to,
-#: bits of a descriptor and of one table, radius of the tests and of the orientation.
-LEVELS, CORNERS, ANGLES, BITS, TABLE_BITS, REACH, DISC = 2, (28, 20), 32, 256, 64, 8, 7
+#: bits of a descriptor, radius of the tests and of the orientation.
+LEVELS, CORNERS, ANGLES, BITS, REACH, DISC = 2, (28, 20), 32, 256, 8, 7
 
 #: Nothing that is read lies farther from a corner: the reach, its rounding and the smoothing.
 MARGIN = REACH + 3
@@ -22,9 +22,20 @@ MARGIN = REACH + 3
 #: Bits in which matching descriptors may differ, pixels of a cell of the votes, corners that must agree.
 DIFFERING, VOTE_CELL, AGREEING = 20, 16, 5
 
+#: Chance that descriptors which differ in ``DIFFERING`` spread bits share a cell of some table, stored
+#: corners that a cell should hold, and the most of each side that are compared in one step.
+MEETING, CELL, BLOCK = 0.9, 1024, 4096
+
 IMAGE = "image_id long, height int, width int, pixels binary"
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few images at once: their corners and pictures take much more room than the rows."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 128):
+            yield batch.slice(begin, 128)
+
+
 def _tests() -> np.ndarray:
     """Offsets (angle, bit, point, y x) of the binary tests, turned to each angle. Quarter turns are exact."""
     rng = np.random.default_rng(11)
@@ -92,7 +103,7 @@ def describe(block: np.ndarray) -> list[tuple[np.ndarray, ...]]:
             where = _TESTS[angle]
             value = smooth[image[:, None, None], y[:, None, None] + where[..., 0], x[:, None, None] + where[..., 1]]
             bits = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1).reshape(-1, BITS // 8)
-            out.append((image, np.full(len(image), level), x << level, y << level, angle, bits.view(np.int64).reshape(-1, BITS // TABLE_BITS)))
+            out.append((image, np.full(len(image), level), x << level, y << level, angle, bits.view(np.int64).reshape(-1, BITS // 64)))
         h, w = (s // 2 * 2 for s in block.shape[1:])
         small = block[:, :h, :w]
         block = (small[:, ::2, ::2] + small[:, 1::2, ::2] + small[:, ::2, 1::2] + small[:, 1::2, 1::2]) // 4
@@ -110,7 +121,7 @@ def described(images: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([(f, pa.int32()) for f in ("level", "x", "y", "angle")] + [("d", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             heights, widths, pixels = (batch.column(i).to_pylist() for i in (1, 2, 3))
             found: list[list[dict]] = [[] for _ in pixels]
             sizes: dict[tuple[int, int], list[int]] = {}
@@ -135,15 +146,112 @@ def described(images: DataFrame) -> DataFrame:
     )
 
 
-def _postings(described_images: DataFrame, prefix: str) -> DataFrame:
-    """A row for each corner and table: the part of the descriptor that the table is keyed by."""
-    corner = described_images.select(F.col("image_id").alias(f"{prefix}_id"), F.posexplode("corners").alias(f"{prefix}_n", "c"))
-    keyed = corner.select(f"{prefix}_id", f"{prefix}_n", "c", F.posexplode("c.d").alias("table", "part"))
-    return keyed.select(
-        f"{prefix}_id", f"{prefix}_n", "table", "part",
-        *[F.col(f"c.{f}").alias(f"{prefix}_{f}") for f in ("level", "x", "y", "angle", "d")],
+def tables(corners: int) -> np.ndarray:
+    """The bits (table, bit) that key each table, for so many stored corners.
+
+    A key has about as many bits as leave ``CELL`` corners in a cell. Descriptors that differ in
+    ``DIFFERING`` of their bits agree in such a key with a known chance, and so many tables are made
+    that they share a cell in one of them with the chance ``MEETING``.
+    """
+    bits = max(0, math.ceil(math.log2(max(corners, 1) / CELL)))
+    same = math.comb(BITS - DIFFERING, bits) / math.comb(BITS, bits)
+    count = 1 if same == 1 else math.ceil(math.log(1 - MEETING) / math.log(1 - same))
+    rng = np.random.default_rng(17)
+    return np.array([rng.permutation(BITS)[:bits] for _ in range(count)], np.int64)
+
+
+def cell_keys(descriptors: np.ndarray, keyed: np.ndarray) -> np.ndarray:
+    """The cell of each descriptor (row of 64-bit words) in each table."""
+    bits = np.unpackbits(np.ascontiguousarray(descriptors).view(np.uint8).reshape(-1, BITS // 8), axis=1)
+    return bits[:, keyed].astype(np.int64) @ (1 << np.arange(keyed.shape[1], dtype=np.int64))
+
+
+def near_descriptors(asked: np.ndarray, stored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of ``asked`` and ``stored`` (64-bit words) that differ in at most ``DIFFERING`` bits."""
+    # Bits of signed numbers would be those of their absolute values.
+    asked, stored = asked.view(np.uint64), stored.view(np.uint64)
+    found_q, found_i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # The first half of the words at once, each in a row of its own; the others only where these are near.
+    first = np.ascontiguousarray(stored.T[: BITS // 128])
+    for begin in range(0, len(asked), 16):
+        some = asked[begin : begin + 16]
+        differing = np.zeros((len(some), len(stored)), np.uint8)
+        for word, ours in enumerate(first):
+            differing += np.bitwise_count(some[:, word, None] ^ ours[None])
+        q, i = np.divmod(np.flatnonzero(differing <= DIFFERING), len(stored))
+        near = np.bitwise_count(some[q] ^ stored[i]).sum(axis=1) <= DIFFERING
+        found_q.append(q[near] + begin)
+        found_i.append(i[near])
+    return np.concatenate(found_q), np.concatenate(found_i)
+
+
+_FIELDS = ("level", "x", "y", "angle")
+_POSTING = "table int, cell long, id long, n int, level int, x int, y int, angle int, d binary"
+_CELL_KEYS = ["table", "cell", "q_block", "i_block"]
+
+
+def _postings(described_images: DataFrame, keyed: np.ndarray) -> DataFrame:
+    """A row for each corner and table, with the cell of its descriptor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            lists = batch.column(1)
+            flat = lists.flatten()
+            if not len(flat):
+                continue
+            sizes = np.diff(lists.offsets.to_numpy())
+            ids = pa.array(np.repeat(batch.column(0).to_numpy(), sizes))
+            n = pa.array((np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32))
+            words = flat.field("d").flatten().to_numpy().reshape(-1, BITS // 64)
+            cells = cell_keys(words, keyed)
+            packed = pa.array([row.tobytes() for row in words], pa.binary())
+            for table in range(len(keyed)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(flat), table, np.int32)), pa.array(cells[:, table]), ids, n,
+                     *[flat.field(f) for f in _FIELDS], packed],
+                    names=["table", "cell", "id", "n", *_FIELDS, "d"],
+                )
+
+    return described_images.select("image_id", "corners").mapInArrow(run, _POSTING)
+
+
+def _met(asked: DataFrame, stored: DataFrame, keyed: np.ndarray) -> DataFrame:
+    """The corners of both sides (q_, i_) that share a cell and differ in at most ``DIFFERING`` bits.
+
+    Cells of more than ``BLOCK`` corners of a side are dealt into blocks, and each block of the one side
+    meets each of the other in a task of its own. Corners that share cells of several tables meet in each.
+    """
+    cell = ["table", "cell"]
+    q, i = _postings(asked, keyed), _postings(stored, keyed)
+    sizes = written(
+        q.groupBy(*cell).agg(F.count("*").alias("q_rows")).join(i.groupBy(*cell).agg(F.count("*").alias("i_rows")), cell)
+        .select(*cell, *[F.ceil(F.col(f"{s}_rows") / BLOCK).cast("int").alias(f"{s}_blocks") for s in "qi"]),
+        "corner-cells",
     )
 
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id", "n"), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block")
+        each = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
+        return side.join(sizes, cell).select(*cell, mine, each, F.lit(own == "q").alias("asks"), "id", "n", *_FIELDS, "d")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, _CELL_KEYS):
+            asks = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            if asks.all() or not asks.any():
+                continue
+            words = np.frombuffer(b"".join(group.column("d").to_pylist()), np.int64).reshape(-1, BITS // 64)
+            rows = np.flatnonzero(asks), np.flatnonzero(~asks)
+            near = near_descriptors(words[rows[0]], words[rows[1]])
+            if len(near[0]):
+                sides = [group.select(["id", "n", *_FIELDS]).take(pa.array(r[m])) for r, m in zip(rows, near, strict=True)]
+                columns = [c.combine_chunks() for side in sides for c in side.columns]
+                yield from pa.Table.from_arrays(columns, names=[f"{s}_{f}" for s in "qi" for f in ("id", "n", *_FIELDS)]).to_batches()
+
+    both = dealt(q, "q", "i").unionByName(dealt(i, "i", "q"))
+    n = partitions(asked.sparkSession)
+    schema = ", ".join(f"{s}_id long, " + ", ".join(f"{s}_{f} int" for f in ("n", *_FIELDS)) for s in "qi")
+    return both.repartition(n, *_CELL_KEYS).sortWithinPartitions(*_CELL_KEYS).mapInArrow(compare, schema)
+
 
 def _cell(value: Column, grid: Column) -> Column:
     return F.floor((value + grid * VOTE_CELL / 2) / VOTE_CELL)
@@ -154,10 +262,11 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
 
     Both tables hold ``image_id, height, width, pixels``. Corners are found at every halving, turned to the
     direction of their surroundings and described by ``BITS`` comparisons of smoothed pixels, which cropping,
-    quarter turns, brightness and contrast leave alone. Descriptors are joined by tables of ``TABLE_BITS``
-    bits each, so that those which differ in fewer bits than there are tables always meet, and confirmed if
-    they differ in at most ``DIFFERING`` bits. A meeting says how the query would lie on the image: turn, scale and shift. At least ``AGREEING`` corners must say
-    the same, up to ``VOTE_CELL`` pixels and an eighth of a turn.
+    quarter turns, brightness and contrast leave alone. Descriptors that share a cell of one of the ``tables``
+    are compared, and match if they differ in at most ``DIFFERING`` bits; those that differ in just so many
+    meet with the chance ``MEETING``, nearer ones with a better one. A match says how the query would lie on
+    the image: turn, scale and shift. At least ``AGREEING`` corners must say the same, up to ``VOTE_CELL``
+    pixels and an eighth of a turn.
 
     Images of equal pixels are one, under their smallest id; ``copies`` counts them. Images without texture
     have no corners and find nothing. Null images find nothing; null ids of images are no answers. Queries
@@ -169,9 +278,8 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
         "image-corners",
     )
     asked = written(described(queries.where("image_id IS NOT NULL")), "query-corners")
-    met = _postings(asked, "q").join(_postings(stored, "i"), ["table", "part"])
-    differing = F.aggregate(F.zip_with("q_d", "i_d", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    met = met.where(differing <= DIFFERING)
+    corners = stored.agg(F.sum(F.size("corners"))).first()[0] or 0
+    met = _met(asked, stored, tables(corners))
     corner = ["q_id", "i_id", "q_n", "i_n"]
     turn = F.pmod(F.col("i_angle") - F.col("q_angle"), F.lit(ANGLES))
     scale = F.col("i_level") - F.col("q_level")
@@ -199,7 +307,7 @@ def rendered(vectors: DataFrame, key: str = "vec_id", value: str = "embedding")
     """A picture for each vector: grey tiles of several sizes, drawn by a hash of the vector. Equal vectors give equal pictures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             pixels = []
             for seed in batch.column(1).to_pylist():
                 rng = np.random.default_rng(seed & (2**64 - 1))
@@ -222,7 +330,7 @@ def edited(images: DataFrame) -> DataFrame:
     """An edited copy of each image, and the ``edit``: one of ``EDITS``, drawn from the id like the place of the crop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for key, h, w, pixels in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 rng = np.random.default_rng(key)

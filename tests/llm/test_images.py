@@ -55,3 +55,63 @@ def test_bad_images_and_empty_tables(spark):
     got = images.find_copies(df, df).collect()
     assert [(r["query_id"], r["image_id"], r["copies"]) for r in got] == [(1, 1, 2)]
     assert images.find_copies(df.limit(0), df).count() == 0 and images.find_copies(df, df.limit(0)).count() == 0
+
+
+def flipped(descriptors, count, rng):
+    bits = np.unpackbits(descriptors.view(np.uint8), axis=1)
+    at = np.argsort(rng.random(bits.shape), axis=1)[:, :count]
+    np.put_along_axis(bits, at, 1 - np.take_along_axis(bits, at, axis=1), axis=1)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+@pytest.mark.parametrize("corners", [50_000, 2_500_000, 1_000_000_000])
+def test_descriptors_with_flipped_bits_meet(corners):
+    rng = np.random.default_rng(8)
+    words = rng.integers(-(2**63), 2**63, (4000, images.BITS // 64))
+    keyed = images.tables(corners)
+    for count, least in ((5, 0.98), (10, 0.95), (images.DIFFERING, images.MEETING - 0.02)):
+        other = flipped(words, count, rng)
+        met = (images.cell_keys(words, keyed) == images.cell_keys(other, keyed)).any(axis=1)
+        assert met.mean() >= least, count
+
+
+def test_near_descriptors_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    words = rng.integers(-(2**63), 2**63, (300, images.BITS // 64))
+    stored = np.concatenate([words, flipped(words, 20, rng), flipped(words, 21, rng), words[:1].repeat(200, axis=0)])
+    bits = [np.unpackbits(w.view(np.uint8), axis=1).astype(int) for w in (words, stored)]
+    want = {(int(q), int(i)) for q, i in np.argwhere((bits[0][:, None] != bits[1][None]).sum(axis=2) <= images.DIFFERING)}
+    assert len(want) == 800
+    assert set(zip(*(f.tolist() for f in images.near_descriptors(words, stored)), strict=True)) == want
+
+    # Small blocks, so that the one common descriptor takes several; one table without bits, so that all meet.
+    def table(words):
+        rows = [(k, [{"level": 0, "x": k, "y": 0, "angle": 0, "d": w}]) for k, w in enumerate(words.tolist())]
+        return spark.createDataFrame(rows, f"image_id long, corners {images._CORNER}").repartition(1)
+
+    monkeypatch.setattr(images, "BLOCK", 100)
+    met = images._met(table(words), table(stored), images.tables(images.CELL)).collect()
+    assert {(r["q_id"], r["i_id"]) for r in met} == want and all(r["q_x"] == r["q_id"] and r["i_x"] == r["i_id"] for r in met)
+
+
+def boxes(n, seed, side=96):
+    """Pictures of boxes on a slope, as they are drawn by hand."""
+    rng, out = np.random.default_rng(seed), []
+    for key in range(1, n + 1):
+        picture = np.full((side, side), 115)
+        for top, left, height, width, shade in rng.integers([0, 0, 8, 8, 0], [side - 8, side - 8, 32, 32, 230], (48, 5)).tolist():
+            picture[top : top + height, left : left + width] = shade
+        picture = picture + np.add.outer(np.arange(side), np.arange(side)) // 8
+        out.append((key, side, side, picture.astype(np.uint8).tobytes()))
+    return out
+
+
+def test_copies_of_box_pictures_are_found(spark):
+    stored = spark.createDataFrame(boxes(300, 12), images.IMAGE)
+    asked = images.edited(stored)
+    kinds = {r["image_id"]: r["edit"] for r in asked.select("image_id", "edit").collect()}
+    found = images.find_copies(asked, stored).collect()
+    hit = {r["query_id"] for r in found if r["query_id"] == r["image_id"]}
+    assert len(found) - len(hit) <= 0.01 * len(found)
+    for kind in images.EDITS:
+        assert np.mean([i in hit for i, k in kinds.items() if k == kind]) >= 0.9, kind
