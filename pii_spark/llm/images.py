@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from pii_spark.llm.common import partitions, runs, written
 
-#: Halvings of an image that are searched, corners per level, angles that orientations are rounded to,
-#: bits of a descriptor, radius of the tests and of the orientation.
-LEVELS, CORNERS, ANGLES, BITS, REACH, DISC = 2, (28, 20), 32, 256, 8, 7
+#: Halvings of an image that are searched, side of the tiles that corners are chosen in and corners of a
+#: tile per level, angles that orientations are rounded to, bits of a descriptor, radius of the tests and of
+#: the orientation.
+LEVELS, TILE, CORNERS, ANGLES, BITS, REACH, DISC = 2, 48, (7, 20), 32, 256, 8, 7
 
 #: Nothing that is read lies farther from a corner: the reach, its rounding and the smoothing.
 MARGIN = REACH + 3
@@ -24,7 +25,7 @@ DIFFERING, VOTE_CELL, AGREEING = 20, 16, 5
 
 #: Chance that descriptors which differ in ``DIFFERING`` spread bits share a cell of some table, stored
 #: corners that a cell should hold, and the most of each side that are compared in one step.
-MEETING, CELL, BLOCK = 0.9, 1024, 4096
+MEETING, CELL, BLOCK = 0.9, 1024, 32_768
 
 IMAGE = "image_id long, height int, width int, pixels binary"
 
@@ -68,7 +69,7 @@ def _box(block: np.ndarray, r: int) -> np.ndarray:
 
 
 def _corners(block: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Image, row and column of at most ``count`` corners of each image, by the structure tensor of its gradients."""
+    """Image, row and column of the ``count`` strongest corners of each tile, by the structure tensor of the gradients."""
     n, h, w = block.shape
     dy, dx = np.zeros(block.shape, np.float64), np.zeros(block.shape, np.float64)
     dy[:, 1:-1] = block[:, 2:] - block[:, :-2]
@@ -83,9 +84,11 @@ def _corners(block: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.
                 near = score[:, MARGIN + y : h - MARGIN + y, MARGIN + x : w - MARGIN + x]
                 top &= inner >= near if (y, x) > (0, 0) else inner > near
     image, y, x = np.nonzero(top)
-    order = np.lexsort((x, y, -inner[image, y, x], image))
-    image, y, x = image[order], y[order], x[order]
-    rank = np.arange(len(image)) - np.searchsorted(image, image)
+    across, down = math.ceil(w / TILE), math.ceil(h / TILE)
+    tile = (image * down + (y + MARGIN) // TILE) * across + (x + MARGIN) // TILE
+    order = np.lexsort((x, y, -inner[image, y, x], tile))
+    image, y, x, tile = image[order], y[order], x[order], tile[order]
+    rank = np.arange(len(tile)) - np.searchsorted(tile, tile)
     keep = rank < count
     return image[keep], y[keep] + MARGIN, x[keep] + MARGIN
 
@@ -293,7 +296,7 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     place = ["q_id", "i_id", "turn", "scale", "grid", "cx", "cy"]
     # At most the corners of one query image.
     agreed = votes.groupBy(*place).agg(F.size(F.collect_set("q_n")).alias("inliers")).where(F.col("inliers") >= AGREEING)
-    best = agreed.groupBy("q_id", "i_id").agg(F.max("inliers").alias("inliers"))
+    best = written(agreed.groupBy("q_id", "i_id").agg(F.max("inliers").alias("inliers")), "image-votes")
     return best.join(stored.select(F.col("image_id").alias("i_id"), "copies"), "i_id").select(
         F.col("q_id").alias("query_id"), F.col("i_id").alias("image_id"), "inliers", "copies"
     )

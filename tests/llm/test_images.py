@@ -115,3 +115,14 @@ def test_copies_of_box_pictures_are_found(spark):
     assert len(found) - len(hit) <= 0.01 * len(found)
     for kind in images.EDITS:
         assert np.mean([i in hit for i, k in kinds.items() if k == kind]) >= 0.9, kind
+
+
+def test_small_crops_of_a_large_image_are_found(spark):
+    rng = np.random.default_rng(13)
+    side, cut = 960, 96
+    large = sum(np.kron(rng.integers(0, n, (side // t, side // t)), np.ones((t, t), np.int64)) for t, n in images.TILES).astype(np.uint8)
+    places = rng.integers(0, side - cut, (20, 2)).tolist()
+    crops = [(k, cut, cut, large[y : y + cut, x : x + cut].tobytes()) for k, (y, x) in enumerate(places)]
+    stored = spark.createDataFrame([(1, side, side, large.tobytes())], images.IMAGE)
+    found = images.find_copies(spark.createDataFrame(crops, images.IMAGE), stored).collect()
+    assert len({r["query_id"] for r in found}) >= 18
