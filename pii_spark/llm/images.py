@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from pii_spark.llm.common import partitions, runs, written
 
-#: Halvings of an image that are searched, side of the tiles that corners are chosen in and corners of a
-#: tile per level, angles that orientations are rounded to, bits of a descriptor, radius of the tests and of
+#: Side of the tiles that corners are chosen in, corners of a tile at full size and at halvings, angles that orientations are rounded to, bits of a descriptor, radius of the tests and of
 #: the orientation.
-LEVELS, TILE, CORNERS, ANGLES, BITS, REACH, DISC = 2, 48, (7, 20), 32, 256, 8, 7
+TILE, CORNERS, ANGLES, BITS, REACH, DISC = 48, (7, 20), 32, 256, 8, 7
 
 #: Nothing that is read lies farther from a corner: the reach, its rounding and the smoothing.
 MARGIN = REACH + 3
@@ -94,22 +93,23 @@ def _corners(block: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def describe(block: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """For images (n, height, width) of one size, per level: image, x, y, angle and descriptor of each corner."""
+    """For images (n, height, width) of one size, per halving until they are too small: image, x, y, angle and descriptor of each corner."""
     block, out = block.astype(np.int64), []
-    for level in range(LEVELS):
-        if min(block.shape[1:]) > 2 * MARGIN:
-            image, y, x = _corners(block, CORNERS[level])
-            smooth = _box(block, 2)
-            around = smooth[image[:, None], y[:, None] + _AROUND[:, 0], x[:, None] + _AROUND[:, 1]]
-            turn = np.arctan2(around @ _AROUND[:, 0], around @ _AROUND[:, 1]) / (2 * math.pi) * ANGLES
-            angle = np.rint(turn).astype(np.int64) % ANGLES
-            where = _TESTS[angle]
-            value = smooth[image[:, None, None], y[:, None, None] + where[..., 0], x[:, None, None] + where[..., 1]]
-            bits = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1).reshape(-1, BITS // 8)
-            out.append((image, np.full(len(image), level), x << level, y << level, angle, bits.view(np.int64).reshape(-1, BITS // 64)))
+    level = 0
+    while min(block.shape[1:]) > 2 * MARGIN:
+        image, y, x = _corners(block, CORNERS[min(level, 1)])
+        smooth = _box(block, 2)
+        around = smooth[image[:, None], y[:, None] + _AROUND[:, 0], x[:, None] + _AROUND[:, 1]]
+        turn = np.arctan2(around @ _AROUND[:, 0], around @ _AROUND[:, 1]) / (2 * math.pi) * ANGLES
+        angle = np.rint(turn).astype(np.int64) % ANGLES
+        where = _TESTS[angle]
+        value = smooth[image[:, None, None], y[:, None, None] + where[..., 0], x[:, None, None] + where[..., 1]]
+        bits = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1).reshape(-1, BITS // 8)
+        out.append((image, np.full(len(image), level), x << level, y << level, angle, bits.view(np.int64).reshape(-1, BITS // 64)))
         h, w = (s // 2 * 2 for s in block.shape[1:])
         small = block[:, :h, :w]
         block = (small[:, ::2, ::2] + small[:, 1::2, ::2] + small[:, ::2, 1::2] + small[:, 1::2, 1::2]) // 4
+        level += 1
     return out
 
 
@@ -325,21 +325,55 @@ def rendered(vectors: DataFrame, key: str = "vec_id", value: str = "embedding")
     return vectors.select(F.col(key).cast("long"), F.xxhash64(value)).mapInArrow(run, IMAGE)
 
 
-#: Edits that ``edited`` makes.
+#: Edits that ``edited`` makes, and harder ones that change descriptors.
 EDITS = ("crop", "crop and contrast", "crop and quarter turn", "half size")
-
-
-def edited(images: DataFrame) -> DataFrame:
-    """An edited copy of each image, and the ``edit``: one of ``EDITS``, drawn from the id like the place of the crop."""
+HARDER = ("scale 0.7", "scale 0.35", "turn", "noise", "16 levels", "crop of a half")
+
+
+def _sampled(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``image`` between its pixels, linear in both directions."""
+    y, x = np.clip(y, 0, image.shape[0] - 1.001), np.clip(x, 0, image.shape[1] - 1.001)
+    top, left = y.astype(int), x.astype(int)
+    v, u = y - top, x - left
+    upper = image[top, left] * (1 - u) + image[top, left + 1] * u
+    lower = image[top + 1, left] * (1 - u) + image[top + 1, left + 1] * u
+    return np.rint(upper * (1 - v) + lower * v).astype(np.int64)
+
+
+def _harder(image: np.ndarray, kind: str, rng: np.random.Generator) -> np.ndarray:
+    h, w = image.shape
+    if kind.startswith("scale"):
+        factor = float(kind.split()[1])
+        y, x = ((np.arange(round(n * factor)) + 0.5) / factor - 0.5 for n in (h, w))
+        return _sampled(image, *np.meshgrid(y, x, indexing="ij"))
+    if kind == "turn":
+        # By 10 to 30 degrees; the middle, which has no empty corners.
+        angle, side = math.radians(rng.uniform(10, 30)), int(min(h, w) * 0.7)
+        y, x = np.meshgrid(*[np.arange(side) - (side - 1) / 2] * 2, indexing="ij")
+        c, s = math.cos(angle), math.sin(angle)
+        return _sampled(image, s * x + c * y + (h - 1) / 2, c * x - s * y + (w - 1) / 2)
+    if kind == "noise":
+        return np.clip(np.rint(image + rng.normal(scale=8, size=(h, w))), 0, 255).astype(np.int64)
+    if kind == "16 levels":
+        return image // 16 * 16 + 8
+    top, left = (int(x) for x in rng.integers(0, [h - h // 2 + 1, w - w // 2 + 1]))
+    return image[top : top + h // 2, left : left + w // 2]
+
+
+def edited(images: DataFrame, edits: tuple[str, ...] = EDITS) -> DataFrame:
+    """An edited copy of each image, and the ``edit``: one of ``edits``, drawn from the id like the place of the crop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             rows = []
             for key, h, w, pixels in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 rng = np.random.default_rng(key)
-                kind = int(rng.integers(len(EDITS)))
+                edit = edits[int(rng.integers(len(edits)))]
+                kind = EDITS.index(edit) if edit in EDITS else None
                 image = np.frombuffer(pixels, np.uint8).reshape(h, w).astype(np.int64)
-                if kind < 3:
+                if kind is None:
+                    image = _harder(image, edit, rng)
+                elif kind < 3:
                     top, left = (int(x) for x in rng.integers(0, [h // 4 + 1, w // 4 + 1]))
                     image = image[top : top + h - h // 4, left : left + w - w // 4]
                 else:
@@ -348,7 +382,7 @@ def edited(images: DataFrame) -> DataFrame:
                     image = np.clip(image * 4 // 5 + 30, 0, 255)
                 if kind == 2:
                     image = np.rot90(image, int(rng.integers(1, 4)))
-                rows.append((key, *image.shape, image.astype(np.uint8).tobytes(), EDITS[kind]))
+                rows.append((key, *image.shape, image.astype(np.uint8).tobytes(), edit))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],

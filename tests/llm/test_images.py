@@ -126,3 +126,17 @@ def test_small_crops_of_a_large_image_are_found(spark):
     stored = spark.createDataFrame([(1, side, side, large.tobytes())], images.IMAGE)
     found = images.find_copies(spark.createDataFrame(crops, images.IMAGE), stored).collect()
     assert len({r["query_id"] for r in found}) >= 18
+
+
+def test_small_levels_and_harder_edits(spark, folder):
+    rng = np.random.default_rng(14)
+    assert len(images.describe(rng.integers(0, 255, (1, 400, 400)))) == 5
+    stored = images.rendered(spark.read.parquet(folder + "/embeddings.parquet").where("vec_id < 400"))
+    asked = images.edited(stored, images.HARDER)
+    kinds = {r["image_id"]: r["edit"] for r in asked.select("image_id", "edit").collect()}
+    found = images.find_copies(asked, stored).collect()
+    hit = {r["query_id"] for r in found if r["query_id"] == r["image_id"]}
+    recall = {kind: round(float(np.mean([i in hit for i, k in kinds.items() if k == kind])), 2) for kind in images.HARDER}
+    # The others lie below, as the README tells.
+    assert recall["noise"] >= 0.9 and recall["16 levels"] >= 0.9, recall
+    assert len(found) - len(hit) <= 0.01 * len(found)
