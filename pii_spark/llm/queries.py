@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pii_spark.llm import bpe, images, language, lines, minhash, packing, quotes, sharding, substring, vectors
+from pii_spark.llm import bpe, images, language, lines, merkle, minhash, packing, quotes, sharding, substring, vectors
 from pii_spark.llm.common import partitions, table
 
 
@@ -175,6 +175,77 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    return merkle.manifest(merkle.document_leaves(docs)).select("doc_id", *merkle.MADE)
+
+
+OP11_SQL = """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS ahead,
+         -- CRC-32, bit by bit
+         xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+           list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [CAST(i AS BIGINT) for i in range(8)]),
+             lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS tree,
+         sha256(ahead || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 5 = 0 THEN sha256(ahead || coalesce(strlen(text) || ':' ||
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS offered
+  FROM fields),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY tree) AS total FROM leaves),
+low AS (
+  SELECT tree, 0 AS level, place, total, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, place // 16, (any_value(total) + 15) // 16, sha256(string_agg(digest, '' ORDER BY place))
+  FROM low WHERE total > 1 GROUP BY tree, level, place // 16),
+subroots AS (
+  SELECT tree, level AS height, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS total
+  FROM low WHERE total = 1),
+high AS (
+  SELECT 0 AS level, place, total, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 16, (any_value(total) + 15) // 16, sha256(string_agg(digest, '' ORDER BY place))
+  FROM high WHERE total > 1 GROUP BY level, place // 16),
+low_sides AS (
+  SELECT tree, level, place,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM low WHERE total > 1 WINDOW w AS (PARTITION BY tree, level, place // 16 ORDER BY place)),
+high_sides AS (
+  SELECT level, place,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM high WHERE total > 1 WINDOW w AS (PARTITION BY level, place // 16 ORDER BY place)),
+way AS (
+  SELECT p.doc_id, p.leaf, s.level AS step, s.before, s.after
+  FROM placed p JOIN low_sides s ON s.tree = p.tree AND s.place = p.place // CAST(pow(16, s.level) AS BIGINT)
+  UNION ALL
+  SELECT p.doc_id, p.leaf, r.height + s.level, s.before, s.after
+  FROM placed p JOIN subroots r ON r.tree = p.tree JOIN high_sides s ON s.place = r.place // CAST(pow(16, s.level) AS BIGINT)),
+fold AS (
+  SELECT doc_id, leaf, 0 AS step, coalesce(offered, leaf) AS digest FROM placed
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.step + 1, sha256(w.before || f.digest || w.after)
+  FROM fold f JOIN way w ON w.doc_id = f.doc_id AND w.leaf = f.leaf AND w.step = f.step),
+proofs AS (
+  SELECT doc_id, leaf, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256 FROM way GROUP BY doc_id, leaf)
+SELECT p.doc_id, p.leaf, r.subroot, t.digest AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256,
+       f.digest AS folded_root, f.digest = t.digest AS verified
+FROM placed p JOIN subroots r ON r.tree = p.tree JOIN (SELECT digest FROM high WHERE total = 1) t ON true
+JOIN (SELECT doc_id, leaf, arg_max(digest, step) AS digest FROM fold GROUP BY doc_id, leaf) f
+  ON f.doc_id = p.doc_id AND f.leaf = p.leaf
+LEFT JOIN proofs q ON q.doc_id = p.doc_id AND q.leaf = p.leaf
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op2_bottom_k": op2_bottom_k,
@@ -186,8 +257,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_shards": op8_byte_shards,
     "op9_image_copies": op9_image_copies,
     "op10_best_fit": op10_best_fit,
+    "op11_merkle": op11_merkle,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_line_spread": OP6_SQL, "op7_quote_links": OP7_SQL}
+    return {"op6_line_spread": OP6_SQL, "op7_quote_links": OP7_SQL, "op11_merkle": OP11_SQL}
