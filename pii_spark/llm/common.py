@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,3 +82,19 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def text_bytes(column: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of texts, one after the other; null is empty."""
+    for value in column:
+        yield value.as_buffer().to_pybytes() if value.is_valid else b""
+
+
+def word_pieces(text: bytes, separator: re.Pattern, size: int = 1 << 20) -> Iterator[bytes]:
+    """Pieces of about ``size`` bytes that end before a separator or with the text; no word is cut."""
+    at = 0
+    while at < len(text):
+        gap = separator.search(text, at + size)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end

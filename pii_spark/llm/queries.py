@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pii_spark.llm import bpe, images, language, lines, merkle, minhash, packing, quotes, sharding, substring, vectors
+from pii_spark.llm import bpe, images, language, licenses, lines, merkle, minhash, packing, quotes, sharding, substring, vectors
 from pii_spark.llm.common import partitions, table
 
 
@@ -246,6 +246,13 @@ LEFT JOIN proofs q ON q.doc_id = p.doc_id AND q.leaf = p.leaf
 """
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op2_bottom_k": op2_bottom_k,
@@ -258,6 +265,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_image_copies": op9_image_copies,
     "op10_best_fit": op10_best_fit,
     "op11_merkle": op11_merkle,
+    "op12_licenses": op12_licenses,
 }
 
 
