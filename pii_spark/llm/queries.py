@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pii_spark.llm import bpe, images, language, licenses, lines, merkle, minhash, packing, quotes, sharding, substring, vectors
+from pii_spark.functions.offsets import bind
+from pii_spark.llm import bpe, images, language, licenses, lines, merkle, minhash, packing, periods, quotes, sharding, substring, vectors
 from pii_spark.llm.common import partitions, table
 
 
@@ -253,6 +254,39 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """Texts of a tenth of the documents, by the hash of the id, go on with a part of their words, repeated."""
+    h = "crc32(CAST(CAST(doc_id AS STRING) AS BINARY))"
+    word = "CASE WHEN i < a THEN w ELSE get(words, CAST(a + (i - a) % p AS INT)) END"
+    repeated = bind(
+        r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)", "words",
+        bind(
+            f"{h} div 10 % greatest(size(words), 1)", "a",
+            bind(
+                f"1 + (size(words) - a) div (3 + {h} div 10 % 8)", "p",
+                f"array_join(transform(words, (w, i) -> {word}), ' ')",
+            ),
+        ),
+    )
+    return docs.withColumn("text", F.expr(f"CASE WHEN {h} % 10 = 0 THEN {repeated} ELSE text END"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periods.collapse_runs(_with_periods(docs))
+    best = F.expr(
+        "aggregate(runs, get(runs, 0), (b, r) -> CASE WHEN r.length * b.period > b.length * r.period THEN r ELSE b END)"
+    )
+    lines_of = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_best"),
+        F.sha2(lines_of, 256).alias("runs_sha256"), "collapsed_sha256",
+    ).select(
+        "doc_id", "n_runs", "_best.start", "_best.length", "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op2_bottom_k": op2_bottom_k,
@@ -266,6 +300,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit": op10_best_fit,
     "op11_merkle": op11_merkle,
     "op12_licenses": op12_licenses,
+    "op13_periods": op13_periods,
 }
 
 
