@@ -14,7 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BLOCK = 32
+_BLOCK = 256
+
+#: Characters of a page that a text is cut into.
+_PAGE = 1024
 
 MATCHES = "array<struct<text:string,start:int,end:int>>"
 
@@ -56,37 +59,98 @@ def empty(ddl: str) -> str:
     return f"CAST(array() AS {ddl})"
 
 
-def _scan(block: str, base: str) -> str:
+_SUM, _MAXIMUM = "{a} + {b}", "greatest({a}, {b})"
+
+
+def _scan(block: str, base: str, join: str) -> str:
+    step = join.format(a="element_at(acc, -1)", b="v")
     return (
-        f"aggregate({block}, array({base}), (acc, v) -> concat(acc, array(element_at(acc, -1) + v)), "
+        f"aggregate({block}, array({base}), (acc, v) -> concat(acc, array({step})), "
         "acc -> slice(acc, 2, size(acc) - 1))"
     )
 
 
-def totals_sql(values: str, levels: int = 3) -> str:
-    """Inclusive running sums of an INT array.
+def _scanned_sql(values: str, join: str) -> str:
+    """Running results of ``join`` over an INT array without negative values, from 0 on.
 
-    A fold that appends to one growing array is quadratic. Folding within blocks and recursing over
-    the block totals keeps the copying to half a block per element, also for very long texts.
+    A fold that appends to one growing array is quadratic. Folding within blocks, and over the results
+    of the blocks, keeps the copying to a few hundred elements per element, also for very long texts.
+    Every level of lambdas costs rounds of the analyzer, of which it has a hundred, so there is one
+    level of blocks.
     """
-    if levels == 0:
-        return _scan(values, "0")
-    t, p, q = f"t{levels}", f"p{levels}", f"q{levels}"
-    sums = f"transform({p}, b -> aggregate(b, 0, (acc, v) -> acc + v))"
+    whole = f"transform(cut, b -> aggregate(b, 0, (acc, v) -> {join.format(a='acc', b='v')}))"
     blocks = (
-        f"transform(sequence(0, CAST((size({t}) - 1) div {_BLOCK} AS INT)), "
-        f"k -> slice({t}, k * {_BLOCK} + 1, {_BLOCK}))"
+        f"transform(sequence(0, CAST((size(items) - 1) div {_BLOCK} AS INT)), "
+        f"k -> slice(items, k * {_BLOCK} + 1, {_BLOCK}))"
     )
-    scans = f"flatten(transform({p}, (b, k) -> {_scan('b', f'coalesce(get({q}, k - 1), 0)')}))"
-    joined = bind(totals_sql(sums, levels - 1), q, scans)
+    scans = f"flatten(transform(cut, (b, k) -> {_scan('b', 'coalesce(get(ahead, k - 1), 0)', join)}))"
+    joined = bind(_scan(whole, "0", join), "ahead", scans)
     return bind(
-        values, t,
-        f"CASE WHEN size({t}) <= {_BLOCK} THEN {_scan(t, '0')} ELSE {bind(blocks, p, joined)} END",
+        values, "items",
+        f"CASE WHEN size(items) <= {_BLOCK} THEN {_scan('items', '0', join)} ELSE {bind(blocks, 'cut', joined)} END",
+    )
+
+
+def totals_sql(values: str) -> str:
+    """Inclusive running sums of an INT array without negative values."""
+    return _scanned_sql(values, _SUM)
+
+
+def maxima_sql(values: str) -> str:
+    """Inclusive running maxima of an INT array without negative values."""
+    return _scanned_sql(values, _MAXIMUM)
+
+
+def _cut_at(opens: str) -> str:
+    return bind(
+        f"CASE WHEN size(xs) > 0 THEN filter(sequence(0, size(xs) - 1), i -> i = 0 OR {opens}) "
+        f"ELSE {empty('array<int>')} END",
+        "at",
+        "transform(at, (p, g) -> slice(xs, p + 1, coalesce(get(at, g + 1), size(xs)) - p))",
+    )
+
+
+def groups_sql(items: str, opens: str) -> str:
+    """SQL text that cuts an array into runs; ``opens`` tells over ``xs`` and ``i`` where one begins.
+
+    The first element always begins one. Elements are copied once.
+    """
+    return bind(items, "xs", _cut_at(opens))
+
+
+def overlap_groups_sql(items: str) -> str:
+    """SQL text that cuts spans (``start``, ``end``), sorted by start, where no earlier one reaches on.
+
+    Spans of different groups cannot overlap, so work that compares spans stays inside a group.
+    """
+    reach = maxima_sql("transform(xs, s -> s.`end`)")
+    return bind(items, "xs", bind(reach, "reach", _cut_at("get(xs, i).start >= get(reach, i - 1)")))
+
+
+def pages_sql(text: str) -> str:
+    """SQL text that cuts a text into pieces of ``_PAGE`` characters, in one pass."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{_PAGE}}}', 0)"
+
+
+def cut_sql(pages: str, start: str, end: str) -> str:
+    """SQL text of the characters from ``start`` to ``end``; costs their number and at most two pages.
+
+    ``substring`` of the whole text walks over all characters ahead, which adds up to the square of
+    the length where a text is cut in many places. The bounds are evaluated several times.
+    """
+    a, b = (f"CAST(({x}) div {_PAGE} AS INT)" for x in (start, end))
+    i, j = f"({start}) % {_PAGE}", f"({end}) % {_PAGE}"
+    first, last = f"coalesce(get({pages}, {a}), '')", f"coalesce(get({pages}, {b}), '')"
+    return (
+        f"CASE WHEN ({end}) <= ({start}) THEN '' WHEN {a} = {b} THEN substring({first}, {i} + 1, {j} - {i}) "
+        f"ELSE concat(substring({first}, {i} + 1), array_join(slice({pages}, {a} + 2, {b} - {a} - 1), ''), "
+        f"substring({last}, 1, {j})) END"
     )
 
 
-def running_totals(values: Column, levels: int = 3) -> Column:
-    return let_sql(values, totals_sql("x", levels))
+def running_totals(values: Column, short: bool = False) -> Column:
+    """Inclusive running sums; ``short`` arrays of some dozens need no blocks."""
+    return let_sql(values, _scan("x", "0", _SUM) if short else totals_sql("x"))
 
 
 def located_sql(found: str, gaps: str) -> str:
@@ -118,23 +182,26 @@ def find_matches(text: Column, pattern: str | Column) -> Column:
     return let_sql(both, _matches_sql("x.t", "x.p"))
 
 
+def spots_sql(text: str, value: str) -> str:
+    """SQL text of ``find_value``."""
+    none = empty("array<int>")
+    ahead = f"concat('(?=\\\\Q', replace({value}, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E)')"
+    starts = bind(totals_sql("transform(parts, part -> length(part))"), "ends", "slice(ends, 1, size(ends) - 1)")
+    # A hit at the very start leaves no part ahead of it.
+    found = bind(
+        f"split({text}, {ahead}, -1)", "parts",
+        f"concat(CASE WHEN startswith({text}, {value}) THEN array(0) ELSE {none} END, {starts})",
+    )
+    return f"CASE WHEN {value} <> '' AND contains({text}, {value}) THEN {found} ELSE {none} END"
+
+
 def find_value(text: Column, value: Column) -> Column:
     """Start positions of ``value`` in ``text``; the search advances by one, so hits may overlap.
 
-    One step per occurrence of the first character; steps after the last hit do nothing.
+    The text is split ahead of every hit, and running totals of the parts give the starts, so one
+    pass finds all of them.
     """
-    none = empty("array<int>")
-    step = bind(
-        "CASE WHEN acc.next > 0 THEN position(x.v, x.t, acc.next) ELSE 0 END", "p",
-        "named_struct('next', CASE WHEN p > 0 THEN p + 1 ELSE 0 END, "
-        "'hits', CASE WHEN p > 0 THEN concat(acc.hits, array(p - 1)) ELSE acc.hits END)",
-    )
-    steps = "length(x.t) - length(replace(x.t, substring(x.v, 1, 1), ''))"
-    body = (
-        f"CASE WHEN x.v <> '' AND contains(x.t, x.v) THEN aggregate(sequence(1, {steps}), "
-        f"named_struct('next', 1, 'hits', {none}), (acc, i) -> {step}, acc -> acc.hits) ELSE {none} END"
-    )
-    return let_sql(F.struct(text.alias("t"), value.alias("v")), body)
+    return let_sql(F.struct(text.alias("t"), value.alias("v")), spots_sql("x.t", "x.v"))
 
 
 def quoted(value: Column) -> Column:

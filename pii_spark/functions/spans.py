@@ -6,7 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pii_spark.functions.dummies import dummy_sql
-from pii_spark.functions.offsets import bind, empty, find_value, let, let_sql
+from pii_spark.functions.offsets import (
+    bind,
+    cut_sql,
+    empty,
+    find_value,
+    let,
+    let_sql,
+    overlap_groups_sql,
+    pages_sql,
+    totals_sql,
+)
 
 ENTITY = "struct<text:string,label:string,start:int,end:int,confidence:double>"
 ENTITIES = f"array<{ENTITY}>"
@@ -30,14 +40,17 @@ def code_points(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def merged_sql(text: str, spans: str, policy: str) -> str:
-    """SQL text that folds spans, in a total order, into disjoint ones."""
+def merged_sql(spans: str, policy: str) -> str:
+    """SQL text that folds spans, in a total order, into disjoint ones.
+
+    Only spans of one overlap group meet in a fold.
+    """
     if policy not in ("confidence", "longest"):
         raise ValueError(f"unknown policy: {policy}")
 
     def joined(confidence: str) -> str:
         return (
-            f"named_struct('text', substring({text}, l.start + 1, s.`end` - l.start), 'label', l.label, "
+            "named_struct('text', concat(l.text, right(s.text, s.`end` - l.`end`)), 'label', l.label, "
             f"'start', l.start, 'end', s.`end`, 'confidence', {confidence})"
         )
 
@@ -64,25 +77,23 @@ def merged_sql(text: str, spans: str, policy: str) -> str:
         "transform(spans, s -> named_struct('a', s.start, 'b', -s.`end`, 'c', s.label, 'd', -s.confidence, 'span', s))"
     )
     zero = f"named_struct('done', {empty(ENTITIES)}, 'last', CAST(NULL AS {ENTITY}))"
-    fold = (
-        f"aggregate(transform(array_sort({keyed}), k -> k.span), {zero}, (acc, s) -> {step}, "
-        "acc -> concat(acc.done, array(acc.last)))"
-    )
+    fold = f"aggregate(g, {zero}, (acc, s) -> {step}, acc -> concat(acc.done, array(acc.last)))"
+    groups = overlap_groups_sql(f"transform(array_sort({keyed}), k -> k.span)")
     return bind(
         f"CAST(filter({spans}, s -> s.start < s.`end`) AS {ENTITIES})", "spans",
-        f"CASE WHEN size(spans) < 2 THEN spans ELSE {fold} END",
+        "CASE WHEN size(spans) < 2 THEN spans "
+        f"ELSE flatten(transform({groups}, g -> CASE WHEN size(g) = 1 THEN g ELSE {fold} END)) END",
     )
 
 
-def merge_spans(text: Column, spans: Column, policy: str = "confidence") -> Column:
+def merge_spans(spans: Column, policy: str = "confidence") -> Column:
     """Resolve overlaps into disjoint spans in text order.
 
     ``confidence``: identical spans and different labels keep the more confident one, equal labels
     are joined and their confidence averaged. ``longest``: equal labels are joined, of different
-    labels the longer one stays.
+    labels the longer one stays. The text of a span is the one at its offsets.
     """
-    both = F.struct(text.alias("t"), spans.alias("s"))
-    return let_sql(both, merged_sql("x.t", "x.s", policy))
+    return let_sql(spans, merged_sql("x", policy))
 
 
 def trim_bounds(text: Column, start: Column, end: Column) -> Column:
@@ -128,22 +139,20 @@ def with_dummies(spans: Column, salt: str = "") -> Column:
 
 def replaced_sql(text: str, spans: str) -> str:
     """SQL text of ``replace_spans``."""
-    valid = f"(s.start >= 0 AND s.`end` <= length({text}) AND s.start < s.`end`)"
-    piece = bind(
-        "coalesce(get(placed, i - 1).`end`, 0)", "before",
-        f"concat(substring({text}, before + 1, s.start - before), s.dummy)",
-    )
+    valid = "(s.start >= 0 AND s.`end` <= whole.n AND s.start < s.`end`)"
+    piece = f"concat({cut_sql('whole.pages', 'coalesce(get(placed, i - 1).`end`, 0)', 's.start')}, s.dummy)"
     by_place = bind(
         f"filter({spans}, s -> {valid})", "placed",
         f"CASE WHEN size(placed) = 0 THEN {text} ELSE concat(array_join(transform(placed, (s, i) -> {piece}), ''), "
-        f"substring({text}, element_at(placed, -1).`end` + 1, length({text}))) END",
+        f"{cut_sql('whole.pages', 'element_at(placed, -1).`end`', 'whole.n')}) END",
     )
     first_hit = bind(
         "position(s.text, acc)", "p",
         "CASE WHEN p > 0 AND s.text <> '' THEN overlay(acc PLACING s.dummy FROM p FOR length(s.text)) ELSE acc END",
     )
     strays = f"aggregate(filter({spans}, s -> NOT {valid}), {by_place}, (acc, s) -> {first_hit})"
-    return f"CASE WHEN size({spans}) = 0 THEN {text} ELSE {strays} END"
+    measured = f"named_struct('n', length({text}), 'pages', {pages_sql(text)})"
+    return f"CASE WHEN size({spans}) = 0 THEN {text} ELSE {bind(measured, 'whole', strays)} END"
 
 
 def replace_spans(text: Column, spans: Column) -> Column:
@@ -155,12 +164,20 @@ def replace_spans(text: Column, spans: Column) -> Column:
     return let_sql(F.struct(text.alias("t"), spans.alias("s")), replaced_sql("x.t", "x.s"))
 
 
+def first_by_key_sql(items: str) -> str:
+    """SQL text that keeps, of (key, value) structs with one key, the first; in the order of the array."""
+    keyed = f"array_sort(transform({items}, (e, i) -> named_struct('key', e.key, 'i', i, 'value', e.value)))"
+    firsts = (
+        "transform(filter(xs, (x, j) -> j = 0 OR x.key <> get(xs, j - 1).key), "
+        "x -> named_struct('i', x.i, 'key', x.key, 'value', x.value))"
+    )
+    return bind(keyed, "xs", f"transform(array_sort({firsts}), f -> named_struct('key', f.key, 'value', f.value))")
+
+
 def mapping_sql(spans: str) -> str:
     """SQL text of ``masked_to_original``."""
-    return (
-        f"map_from_entries(transform(filter({spans}, (s, i) -> NOT exists(slice({spans}, 1, i), e -> e.dummy = s.dummy)), "
-        "s -> named_struct('key', s.dummy, 'value', s.text)))"
-    )
+    pairs = f"transform({spans}, s -> named_struct('key', s.dummy, 'value', s.text))"
+    return f"map_from_entries({first_by_key_sql(pairs)})"
 
 
 def masked_to_original(spans: Column) -> Column:
@@ -190,15 +207,15 @@ def restore_text(text: Column, mapping: Column) -> Column:
 
 def restore_by_span(text: Column, spans: Column) -> Column:
     """Undo ``replace_spans`` on its unchanged output, by position; exact for any dummies."""
-    back = "array<struct<text:string,start:int,end:int,dummy:string>>"
-    grown = "(length(s.dummy) - (s.`end` - s.start))"
-    moved = (
-        "named_struct('text', s.dummy, 'start', s.start + acc.shift, "
-        "'end', s.start + acc.shift + length(s.dummy), 'dummy', s.text)"
-    )
-    body = (
-        f"aggregate(x, named_struct('shift', 0, 'out', {empty(back)}), (acc, s) -> named_struct("
-        f"'shift', acc.shift + {grown}, 'out', concat(acc.out, array({moved}))), acc -> acc.out)"
+    # Lengths, which are not negative, are summed apart: the running totals work on those.
+    before = "coalesce(get({}, i - 1), 0)"
+    moved = bind(
+        f"s.start + {before.format('new')} - {before.format('old')}", "at",
+        "named_struct('text', s.dummy, 'start', at, 'end', at + length(s.dummy), 'dummy', s.text)",
+    )
+    body = bind(
+        totals_sql("transform(x, s -> length(s.dummy))"), "new",
+        bind(totals_sql("transform(x, s -> s.`end` - s.start)"), "old", f"transform(x, (s, i) -> {moved})"),
     )
     return let(let_sql(spans, body), lambda xs: replace_spans(text, xs))
 

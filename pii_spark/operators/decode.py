@@ -270,7 +270,7 @@ def decode_spans(
     # A single chunk cannot overlap with another one and stays as it is.
     resolved = F.when(F.col("found").isNull(), F.array().cast(ENTITIES)).when(
         F.col("chunks") == 1, F.col("found")
-    ).otherwise(merge_spans(F.col("text"), F.col("found"), policy))
+    ).otherwise(merge_spans(F.col("found"), policy))
     return documents.select(key, "text").join(found, key, "left").select(
         key, "text", resolved.alias("entities")
     )

@@ -83,15 +83,18 @@ def rules_sql(text: str, rules: tuple[Rule, ...]) -> str:
             return found
         return f"CASE WHEN contains({text}, {text_literal(rule.needs)}) THEN {found} END"
 
-    spans = (
-        f"transform({located_sql('h.found', 'h.gaps')}, m -> named_struct('text', m.text, 'label', h.label, "
-        "'start', m.start, 'end', m.`end`, 'confidence', h.confidence, 'whole', h.whole))"
+    # The characters around a match are in the gaps beside it, or in the matches beside empty gaps.
+    before = (
+        "CASE WHEN get(h.gaps, i) <> '' THEN right(get(h.gaps, i), 1) "
+        "WHEN i > 0 THEN right(get(h.found, i - 1), 1) ELSE '' END"
     )
-    around = (
-        f"concat(CASE WHEN s.start > 0 THEN substring({text}, s.start, 1) ELSE '' END, "
-        f"substring({text}, s.`end` + 1, 1))"
+    after = "substring(concat(get(h.gaps, i + 1), coalesce(get(h.found, i + 1), '')), 1, 1)"
+    spans = (
+        f"transform({located_sql('h.found', 'h.gaps')}, (m, i) -> named_struct('text', m.text, 'label', h.label, "
+        f"'start', m.start, 'end', m.`end`, 'confidence', h.confidence, 'whole', h.whole, "
+        f"'around', CASE WHEN h.whole THEN concat({before}, {after}) ELSE '' END))"
     )
-    checks = [f"NOT (s.whole AND {around} RLIKE '[\\\\p{{L}}\\\\p{{N}}]')"]
+    checks = ["NOT (s.whole AND s.around RLIKE '[\\\\p{L}\\\\p{N}]')"]
     checks += [
         f"(s.label <> '{r.label}' OR ({r.valid.replace('{v}', 's.text')}))" for r in rules if r.valid
     ]
@@ -132,7 +135,7 @@ def detected_sql(
     confident = f"filter(raw, s -> s.confidence >= {threshold}D)"
     merged = bind(
         rules_sql(text, rules), "raw",
-        f"CASE WHEN size(raw) > 0 THEN {merged_sql(text, confident, policy)} ELSE raw END",
+        f"CASE WHEN size(raw) > 0 THEN {merged_sql(confident, policy)} ELSE raw END",
     )
     return f"CASE WHEN coalesce({text}, '') <> '' THEN {merged} ELSE {empty(ENTITIES)} END"
 

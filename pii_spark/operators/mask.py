@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pii_spark.functions import fixed_values as fv
 from pii_spark.functions.offsets import bind, compute_once, let, let_sql
 from pii_spark.functions.spans import (
     average_confidence,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.offsets import find_value, find_word, let
+from pii_spark.functions.offsets import bind, empty, find_value, find_word, groups_sql, let_sql, spots_sql
 
 MASK = "array<struct<value:string,label:string,start:int,end:int>>"
 MENTION = "struct<text:string,type:string,privacy_mask_labels:array<string>>"
@@ -254,31 +254,50 @@ def _label_entry(number: Column, start: Column, value: Column, label: Column) ->
     )
 
 
-def claimed_entities(text: Column, mask: Column) -> Column:
-    """Label entries in mask order; every value claims its first start that is still free."""
-    zero = F.struct(
-        F.array().cast("array<int>").alias("used"), F.array().cast(RESULTS).alias("out")
+def claims_sql(text: str, mask: str) -> str:
+    """SQL text of the claims (i, at, value, label) of mask entries, in mask order.
+
+    Every distinct value is searched once. Its n-th entry claims its n-th start, unless another value
+    has a start in common with it; only entries of such values are handed out one after the other.
+    """
+    entries = f"transform({mask}, (e, i) -> named_struct('value', e.value, 'i', i, 'label', e.label))"
+    groups = groups_sql(f"array_sort({entries})", "NOT (get(xs, i).value <=> get(xs, i - 1).value)")
+    placed = (
+        f"transform({groups}, g -> named_struct('value', get(g, 0).value, 'entries', g, "
+        f"'spots', {bind('get(g, 0).value', 'v', spots_sql(text, 'v'))}))"
+    )
+    starts = "array_sort(flatten(transform(placed, p -> transform(p.spots, s -> named_struct('at', s, 'value', p.value)))))"
+    disputed = (
+        "array_distinct(transform(filter(starts, (s, i) -> get(starts, i - 1).at = s.at OR get(starts, i + 1).at = s.at), "
+        "s -> s.value))"
+    )
+    claim = "array<struct<i:int,at:int,value:string,label:string>>"
+    free = (
+        "flatten(transform(filter(placed, p -> NOT coalesce(array_contains(disputed, p.value), false)), p -> "
+        "transform(p.entries, (e, k) -> named_struct('i', e.i, 'at', get(p.spots, k), 'value', e.value, 'label', e.label))))"
+    )
+    queue = (
+        "array_sort(flatten(transform(filter(placed, p -> array_contains(disputed, p.value)), p -> transform(p.entries, "
+        "e -> named_struct('i', e.i, 'value', e.value, 'label', e.label, 'spots', p.spots)))))"
+    )
+    step = bind(
+        "get(filter(e.spots, s -> NOT array_contains(acc.used, s)), 0)", "at",
+        "CASE WHEN at IS NULL THEN acc ELSE named_struct('used', concat(acc.used, array(at)), 'out', concat(acc.out, array("
+        "named_struct('i', e.i, 'at', at, 'value', e.value, 'label', e.label)))) END",
+    )
+    in_turn = (
+        f"aggregate({queue}, named_struct('used', {empty('array<int>')}, 'out', {empty(claim)}), (acc, e) -> {step}, acc -> acc.out)"
+    )
+    return bind(
+        placed, "placed",
+        bind(starts, "starts", bind(disputed, "disputed", f"array_sort(filter(concat({free}, {in_turn}), c -> c.at IS NOT NULL))")),
     )
 
-    def step(acc: Column, e: Column) -> Column:
-        free = F.get(
-            F.filter(find_value(text, e["value"]), lambda p: ~F.array_contains(acc["used"], p)), F.lit(0)
-        )
-        return let(
-            free,
-            lambda p: F.when(p.isNull(), acc).otherwise(
-                F.struct(
-                    F.concat(acc["used"], F.array(p)).alias("used"),
-                    F.concat(
-                        acc["out"],
-                        F.array(_label_entry(F.size(acc["out"]) + 1, p, e["value"], e["label"]))
-                        .cast(RESULTS),
-                    ).alias("out"),
-                )
-            ),
-        )
 
-    return F.aggregate(mask, zero, step, lambda acc: acc["out"])
+def claimed_entities(text: Column, mask: Column) -> Column:
+    """Label entries in mask order; every value claims its first start that is still free."""
+    claims = let_sql(F.struct(text.alias("t"), mask.alias("m")), claims_sql("x.t", "x.m"))
+    return F.transform(claims, lambda c, k: _label_entry(k + 1, c["at"], c["value"], c["label"])).cast(RESULTS)
 
 
 def to_annotation_task(samples: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.offsets import find_matches, let
+from pii_spark.functions.offsets import empty, find_matches, let, let_sql, overlap_groups_sql
 from pii_spark.functions.ranking import cut_lineage, mark_smallest
 
 WORD = r"[\p{L}\p{M}\p{N}_]+"
@@ -42,24 +42,23 @@ def check_mask_offsets(text: Column, mask: Column) -> Column:
 
 
 def drop_overlaps(mask: Column) -> Column:
-    """Disjoint spans, chosen longest first, then by start, then label; from the last to the first."""
-    keyed = F.array_sort(
-        F.transform(
-            mask,
-            lambda e: F.struct(
-                (e["start"] - e["end"]).alias("k"), e["start"].alias("s"), e["label"].alias("l"), e.alias("e")
-            ),
-        )
+    """Disjoint spans, chosen longest first, then by start, then label; from the last to the first.
+
+    A span is compared with the chosen ones of its overlap group only.
+    """
+    by_start = "transform(array_sort(transform(x, e -> named_struct('s', e.start, 'e', e))), k -> k.e)"
+    longest_first = (
+        "transform(array_sort(transform(g, e -> named_struct('k', e.start - e.`end`, 's', e.start, 'l', e.label, 'e', e))), k -> k.e)"
+    )
+    chosen = (
+        f"aggregate({longest_first}, {empty(f'array<{SPAN}>')}, (acc, e) -> CASE WHEN exists(acc, y -> "
+        "e.start < y.`end` AND y.start < e.`end`) THEN acc ELSE concat(acc, array(e)) END)"
     )
-    kept = F.aggregate(
-        keyed,
-        F.array().cast(f"array<{SPAN}>"),
-        lambda acc, x: F.when(
-            F.exists(acc, lambda y: (x["e"]["start"] < y["end"]) & (y["start"] < x["e"]["end"])), acc
-        ).otherwise(F.concat(acc, F.array(x["e"].cast(SPAN)))),
+    kept = f"flatten(transform({overlap_groups_sql(by_start)}, g -> CASE WHEN size(g) = 1 THEN g ELSE {chosen} END))"
+    last_first = f"sort_array(transform({kept}, e -> named_struct('s', e.start, 'e', e)), false)"
+    return let_sql(
+        mask.cast(f"array<{SPAN}>"), f"transform({last_first}, k -> k.e)"
     )
-    by_start = F.transform(kept, lambda e: F.struct(e["start"].alias("s"), e.alias("e")))
-    return F.transform(F.sort_array(by_start, False), lambda x: x["e"])
 
 
 def best_entities(tokens: Column, mask: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pii_spark.functions.offsets import bind, groups_sql
 from pii_spark.operators.normalize import is_standard
 
 _ENTRY = "array<struct<value:string,label:string>>"
@@ -30,35 +31,34 @@ def diff_annotations(own: DataFrame, other: DataFrame, key: str = "file_name") -
         key, F.coalesce("a", empty).alias("a"), F.coalesce("b", empty).alias("b")
     )
 
-    def labels(side: str, value: Column) -> Column:
-        return F.transform(F.filter(side, lambda x: x["value"] == value), lambda x: x["label"])
+    # Entries of both sides with one value stand together; labels are compared inside such a group only.
+    def entries(side: str) -> str:
+        return f"transform({side}, (e, i) -> named_struct('value', e.value, 'side', '{side}', 'i', i, 'label', e.label))"
 
-    def issue(kind: Column, value: Column, ours: Column, theirs: Column) -> Column:
-        quoted = F.concat(F.lit('"'), value, F.lit('"'))
-        detail = (
-            F.when(kind == "WRONG_LABEL", F.concat(quoted, F.lit(": labeled "), ours, F.lit(", second annotator suggests "), theirs))
-            .when(kind == "EXTRA", F.concat(quoted, F.lit(" ("), ours, F.lit("): only in the first annotation")))
-            .otherwise(F.concat(quoted, F.lit(" ("), theirs, F.lit("): only in the second annotation")))
-        )
-        return F.struct(
-            kind.alias("issue_type"), value.alias("value"), ours.alias("original_label"),
-            theirs.alias("suggested_label"), detail.alias("detail"),
+    def issue(kind: str, ours: str, theirs: str, detail: str) -> str:
+        return (
+            f"named_struct('side', e.side, 'i', e.i, 'issue', named_struct('issue_type', '{kind}', 'value', e.value, "
+            f"'original_label', {ours}, 'suggested_label', {theirs}, 'detail', concat('\"', e.value, '\"', {detail})))"
         )
 
-    none = F.lit(None).cast("string")
-    ours = F.transform(
-        "a",
-        lambda e: F.when(F.size(labels("b", e["value"])) == 0, issue(F.lit("EXTRA"), e["value"], e["label"], none))
-        .when(
-            ~F.array_contains(labels("b", e["value"]), e["label"]),
-            issue(F.lit("WRONG_LABEL"), e["value"], e["label"], F.get(labels("b", e["value"]), F.lit(0))),
-        ),
+    none = "CAST(NULL AS STRING)"
+    wrong = issue(
+        "WRONG_LABEL", "e.label", "get(other, 0)", "': labeled ', e.label, ', second annotator suggests ', get(other, 0)"
     )
-    theirs = F.transform(
-        F.filter("b", lambda e: F.size(labels("a", e["value"])) == 0),
-        lambda e: issue(F.lit("MISSING"), e["value"], none, e["label"]),
+    extra = issue("EXTRA", "e.label", none, "' (', e.label, '): only in the first annotation'")
+    missing = issue("MISSING", none, "e.label", "' (', e.label, '): only in the second annotation'")
+    compared = bind(
+        "transform(filter(g, e -> e.side = 'b'), e -> e.label)", "other",
+        bind(
+            "array_distinct(other)", "known",
+            f"CASE WHEN size(other) = 0 THEN transform(g, e -> {extra}) "
+            f"WHEN size(other) = size(g) THEN transform(g, e -> {missing}) "
+            f"ELSE transform(filter(g, e -> e.side = 'a' AND NOT array_contains(known, e.label)), e -> {wrong}) END",
+        ),
     )
-    found = F.filter(F.concat(ours, theirs), lambda x: x.isNotNull())
+    ordered = f"array_sort(concat({entries('a')}, {entries('b')}))"
+    groups = groups_sql(ordered, "NOT (get(xs, i).value <=> get(xs, i - 1).value)")
+    found = F.expr(f"transform(array_sort(flatten(transform({groups}, g -> {compared}))), e -> e.issue)")
     return both.select(key, found.alias("issues"))
 
 

@@ -83,7 +83,7 @@ def synthesize(
         )
         pieces = F.transform(filled, lambda v, i: F.concat(F.get(gaps, i), v["value"]))
         return let(
-            running_totals(steps, 0),
+            running_totals(steps, short=True),
             lambda ends: F.struct(
                 F.concat(F.array_join(pieces, ""), F.element_at(gaps, -1)).alias("text"),
                 F.transform(

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
 from pii_spark.functions.dummies import generate_dummy
+from pii_spark.functions.offsets import let_sql
 from pii_spark.functions.ranking import cut_lineage
+from pii_spark.functions.spans import first_by_key_sql
 
 VAULT_COLUMNS = [
     "id", "original_pii", "dummy_pii", "pii_type", "confidence", "created_at",
@@ -166,18 +168,16 @@ def vault_resolve(vault: DataFrame, salt: str = "", rounds: int = 3) -> DataFram
 
 
 def document_maps(entities: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Both directions as maps per document; bounded by the entities of one text."""
+    """Both directions as maps per document; bounded by the entities of one text.
+
+    Of several dummies of one text, and of several texts of one dummy, the smallest stays.
+    """
     pairs = F.array_sort(F.collect_set(F.struct("text", "dummy")))
     per_doc = entities.groupBy(key).agg(pairs.alias("p"))
 
     def to_map(source: str, target: str) -> Column:
-        first = F.filter(
-            "p",
-            lambda x, i: ~F.exists(F.slice("p", F.lit(1), i), lambda y: y[source] == x[source]),
-        )
-        return F.map_from_entries(
-            F.transform(first, lambda x: F.struct(x[source].alias("k"), x[target].alias("v")))
-        )
+        entries = first_by_key_sql(f"transform(x, p -> named_struct('key', p.{source}, 'value', p.{target}))")
+        return let_sql(F.col("p"), f"map_from_entries({entries})")
 
     return per_doc.select(
         key, to_map("text", "dummy").alias("to_dummy"), to_map("dummy", "text").alias("to_original")

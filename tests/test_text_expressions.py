@@ -57,7 +57,7 @@ def test_find_value_overlaps_and_words(spark):
 
 def merged(spark, text, items, policy="confidence"):
     df = spark.createDataFrame([(text, items)], f"t string, s {SPANS}")
-    return df.select(spans.merge_spans(F.col("t"), F.col("s"), policy).alias("m")).first().m
+    return df.select(spans.merge_spans(F.col("s"), policy).alias("m")).first().m
 
 
 def test_merge_identical_and_other_label(spark):
