@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pii_spark.functions import fixed_values as fv
 from pii_spark.functions.offsets import bind, empty, find_matches, let_sql, located_sql, text_literal
@@ -209,24 +212,41 @@ def detect_dictionary(
     )
 
 
+_MODELS: dict[str, Callable[[list[str]], list[list[dict]]]] = {}
+
+
+def loaded_model(name: str, load: Callable) -> Callable[[list[str]], list[list[dict]]]:
+    """The model of this Python worker, which outlives the task."""
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
 def detect_with_model(
     df: DataFrame,
     load: Callable[[], Callable[[list[str]], list[list[dict]]]],
-    key: str = "doc_id",
     text: str = "text",
+    entities: str = "entities",
+    error: str = "error",
 ) -> DataFrame:
-    """Entities from a user's model, called on batches of texts.
+    """Add the ``entities`` that a user's model finds, called on batches of texts, and an ``error``.
 
-    ``load`` runs once per Python worker and task and gives a function from texts to lists of
-    entity dicts. A failing batch is retried text by text; a text that still fails keeps empty
-    entities and an ``error``, so that nothing passes on as clean by accident.
+    ``load`` runs once per Python worker and gives a function from texts to lists of entity dicts. A
+    failing batch is retried text by text; a text that still fails keeps empty entities and an
+    ``error``, so that nothing passes on as clean by accident. Null texts are empty ones. All other
+    columns pass through; columns named like a made one are replaced.
     """
-    key_type = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+    name = hashlib.sha256(cloudpickle.dumps(load)).hexdigest()
+    kept = [c for c in df.columns if c not in (entities, error)]
+    made = StructType.fromDDL(f"found {ENTITIES}, failure string")
+    span = pa.struct([
+        ("text", pa.string()), ("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded_model(name, load)
         for batch in batches:
-            texts = [t or "" for t in batch[text]]
+            texts = [t or "" for t in batch.column(0).to_pylist()]
             errors: list[str | None] = [None] * len(texts)
             try:
                 found = model(texts)
@@ -238,12 +258,17 @@ def detect_with_model(
                     except Exception as exc:
                         found.append([])
                         errors[i] = f"{type(exc).__name__}: {exc}"
-            yield pd.DataFrame(
-                {key: batch[key], text: batch[text], "entities": found, "error": errors}
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found, pa.list_(span)), pa.array(errors, pa.string())],
+                names=[*batch.schema.names, "found", "failure"],
             )
 
-    schema = f"`{key}` {key_type}, `{text}` string, entities {ENTITIES}, error string"
-    return df.select(key, text).mapInPandas(run, schema)
+    # One struct holds the columns of the caller, so that their names cannot clash with those made here.
+    rows = df.select(F.col(text).alias("input"), F.struct(*kept).alias("row"))
+    out = rows.mapInArrow(run, StructType([*rows.schema.fields, *made.fields]))
+    return out.select(
+        *[F.col("row").getField(c).alias(c) for c in kept], F.col("found").alias(entities), F.col("failure").alias(error)
+    )
 
 
 def host_of(host: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
 from pii_spark.functions.spans import restore_by_span, restore_text
-from pii_spark.operators import decode, detect, mask, prepare
+from pii_spark.operators import combine, decode, detect, mask, phrases, prepare
 from pii_spark.plans import oracle_parts as sql
 from pii_spark.plans.corpora import detected_documents, documents, samples, table
 
@@ -70,6 +70,71 @@ def gazetteer_hits(spark, sf):
     )
 
 
+PHRASE_POOLS = {
+    "FIRSTNAME": fv.FIRST_NAMES, "SURNAME": fv.SURNAMES, "CITY": fv.CITIES, "STREET": fv.STREETS, "STATE": fv.STATES,
+    "COUNTRY": fv.COUNTRIES,
+}
+OPENING = r"^[\p{L}]+ [\p{L}]+ [\p{L}]+"
+
+
+def phrase_gazetteer(spark, sf):
+    """The word pools, and the first three words of every document: a dictionary that grows with the table."""
+    rows = [(w, label) for label, words in PHRASE_POOLS.items() for w in words]
+    opening = F.regexp_extract("text", OPENING, 0)
+    own = table(spark, sf, "documents").select(opening.alias("value"), F.lit("OPENING").alias("label")).where("value <> ''")
+    return spark.createDataFrame(rows, "value string, label string").unionByName(own.distinct())
+
+
+def gazetteer_phrases(spark, sf):
+    hits = phrases.detect_phrases(samples(spark, sf).select("doc_id", "text"), phrase_gazetteer(spark, sf))
+    return hits.select(
+        "doc_id", F.col("text").alias("value"), "label", F.col("start").cast("bigint").alias("start"),
+        F.col("end").cast("bigint").alias("end"),
+    )
+
+
+MODEL_WORD = "[a-z]+[0-9]{4}"
+
+
+def user_names():
+    """A stand-in for a model: words that look like user names, some of them inside other entities."""
+    import re
+
+    word = re.compile(MODEL_WORD)
+
+    def model(texts):
+        return [
+            [
+                {"text": m.group(), "label": "USERNAME", "start": m.start(), "end": m.end(), "confidence": 0.65}
+                for m in word.finditer(t)
+            ]
+            for t in texts
+        ]
+
+    return model
+
+
+def combined(spark, sf):
+    texts = samples(spark, sf).select("doc_id", "text")
+    return combine.detect_combined(texts, gazetteer=phrase_gazetteer(spark, sf), load=user_names)
+
+
+def combined_entities(spark, sf):
+    rows = detect.explode_entities(combined(spark, sf), "doc_id")
+    return rows.select(
+        "doc_id", F.col("text").alias("value"), "label", F.col("start").cast("bigint").alias("start"),
+        F.col("end").cast("bigint").alias("end"), F.round("confidence", 4).alias("confidence"),
+    )
+
+
+def masked_combined(spark, sf):
+    m = mask.mask_text(combined(spark, sf))
+    return m.select(
+        "doc_id", F.md5("masked_text").alias("masked_md5"), F.size("entities").cast("bigint").alias("entities"),
+        F.col("error").isNull().alias("ok"),
+    )
+
+
 def masked_documents(spark, sf):
     m = mask.mask_text(detected_documents(spark, sf))
     return m.select(
@@ -157,6 +222,9 @@ QUERIES = {
     "synthetic_detection": synthetic_detection,
     "merge_longest": merge_longest,
     "gazetteer_hits": gazetteer_hits,
+    "gazetteer_phrases": gazetteer_phrases,
+    "combined_entities": combined_entities,
+    "masked_combined": masked_combined,
     "masked_documents": masked_documents,
     "roundtrip": roundtrip,
     "pii_check": pii_check,
@@ -180,6 +248,45 @@ def oracles() -> dict[str, str]:
     )
     word = r"[\p{L}\p{N}_'']+"
     token = prepare.TOKEN
+    listed = " UNION ALL ".join(
+        f"SELECT unnest({sql.word_list(pool)}) AS value, '{label}' AS label" for label, pool in PHRASE_POOLS.items()
+    )
+    match = "STRUCT(s BIGINT, e BIGINT, label VARCHAR, v VARCHAR)"
+    found_phrases = f"""entry AS (
+  SELECT value, label, regexp_extract_all(value, '{word}') AS ws,
+    list_transform(string_split_regex(value, '{word}'), lambda g: regexp_replace(g, '\\s+', ' ', 'g')) AS gs
+  FROM (SELECT DISTINCT * FROM ({listed} UNION ALL
+    SELECT regexp_extract(text, '{OPENING}'), 'OPENING' FROM documents)) WHERE value <> ''
+), tk AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '{word}')) AS v, unnest(string_split_regex(text, '{word}')) AS g,
+    generate_subscripts(string_split_regex(text, '{word}'), 1) AS i FROM gold_text
+), pos AS (
+  SELECT doc_id, i, v, g, (sum(length(g) + length(v)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM tk WHERE v IS NOT NULL
+), lists AS (
+  SELECT doc_id, list(v ORDER BY i) AS vs, list(e ORDER BY i) AS es, list(regexp_replace(g, '\\s+', ' ', 'g') ORDER BY i) AS gs
+  FROM pos GROUP BY doc_id
+), hit AS (
+  SELECT p.doc_id, p.e - length(p.v) AS s, l.es[p.i + len(n.ws) - 1] AS e, n.label
+  FROM pos p JOIN entry n ON n.ws[1] = p.v JOIN lists l ON l.doc_id = p.doc_id
+  WHERE l.vs[p.i : p.i + len(n.ws) - 1] = n.ws AND l.gs[p.i + 1 : p.i + len(n.ws) - 1] = n.gs[2 : len(n.ws)]
+), hits AS (
+  SELECT h.*, substr(t.text, s + 1, e - s) AS v FROM hit h JOIN gold_text t ON t.doc_id = h.doc_id
+), sweep AS (
+  SELECT doc_id, list_reduce(
+    list({{'kept': []::{match}[], 'm': {{'s': s, 'e': e, 'label': label, 'v': v}}::{match}}} ORDER BY s, e DESC, label),
+    lambda a, b: CASE WHEN b.m.s >= a.m.e OR (b.m.s = a.m.s AND b.m.e = a.m.e) THEN {{'kept': list_append(a.kept, a.m), 'm': b.m}}
+      ELSE a END) AS r FROM hits GROUP BY doc_id
+), phrase AS (SELECT doc_id, x.v AS v, x.label AS label, x.s AS s, x.e AS e FROM (
+  SELECT doc_id, unnest(list_append(r.kept, r.m)) AS x FROM sweep))"""
+    modelled = f"""md AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '{MODEL_WORD}')) AS v, unnest(string_split_regex(text, '{MODEL_WORD}')) AS g,
+    generate_subscripts(string_split_regex(text, '{MODEL_WORD}'), 1) AS i FROM gold_text
+), model AS (
+  SELECT doc_id, v, (sum(length(g) + length(v)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM md WHERE v IS NOT NULL
+)"""
+    more = """SELECT p.doc_id, t.text, label, 0.6::DOUBLE, s, e FROM phrase p JOIN gold_text t ON t.doc_id = p.doc_id
+  UNION ALL SELECT m.doc_id, t.text, 'USERNAME', 0.65::DOUBLE, e - length(v), e FROM model m JOIN gold_text t ON t.doc_id = m.doc_id"""
+    every = f"WITH {gold}, {found_phrases}, {modelled}, {sql.rule_spans('every', 'gold_text', more=more)}"
     masked = f"WITH {spans}, {dummies}, {sql.masked_texts('m', 'd', 'documents')} "
     tokens = f"""WITH tk AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '{token}')) AS v, unnest(string_split_regex(text, '{token}')) AS g,
@@ -209,6 +316,14 @@ SELECT doc_id, original AS value, label, s AS start FROM spans""",
   SELECT doc_id, v, (sum(length(g) + length(v)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT - length(v) AS s
   FROM tk WHERE v IS NOT NULL
 ) SELECT doc_id, v AS value, label, s AS start FROM pos JOIN gaz ON gaz.w = pos.v""",
+        "gazetteer_phrases": f"""WITH {gold}, {found_phrases}
+SELECT doc_id, v AS value, label, s AS start, e AS "end" FROM phrase""",
+        "combined_entities": f"""{every}
+SELECT doc_id, original AS value, label, s AS start, e AS "end", round(c, 4) AS confidence FROM every""",
+        "masked_combined": f"""{every}, {sql.with_dummy('d', 'every')}, {sql.masked_texts('m', 'd', 'gold_text')},
+n AS (SELECT doc_id, count(*) AS n FROM every GROUP BY doc_id)
+SELECT m.doc_id, md5(masked_text) AS masked_md5, coalesce(n.n, 0)::BIGINT AS entities, true AS ok
+FROM m LEFT JOIN n ON n.doc_id = m.doc_id""",
         "masked_documents": masked + """, n AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id)
 SELECT m.doc_id, md5(masked_text) AS masked_md5, length(masked_text)::BIGINT AS masked_length, coalesce(n.n, 0)::BIGINT AS entities
 FROM m LEFT JOIN n ON n.doc_id = m.doc_id""",

@@ -92,11 +92,12 @@ def dummy_value(label: str = "label", original: str = "original") -> str:
 
 
 def rule_spans(
-    name: str, source: str, key: str = "doc_id", text: str = "text", policy: str = "confidence"
+    name: str, source: str, key: str = "doc_id", text: str = "text", policy: str = "confidence", more: str = ""
 ) -> str:
     """CTEs ending in ``name``(key, text, label, start, end, confidence): the merged rule matches.
 
-    ``source`` is a table or CTE. Overlaps are folded with list_reduce over (done, current) pairs.
+    ``source`` is a table or CTE; ``more`` a SELECT of further spans (k, t, label, c, s, e). Overlaps
+    are folded with list_reduce over (done, current) pairs.
     """
     selects = []
     for rule in RULES:
@@ -137,7 +138,8 @@ def rule_spans(
   SELECT k, t, label, c, e - length(v) AS s, e FROM {name}_at
   WHERE NOT regexp_matches(
       (CASE WHEN e - length(v) > 0 THEN substr(t, e - length(v), 1) ELSE '' END) || substr(t, e + 1, 1), '[\\p{{L}}\\p{{N}}]')
-    AND (label <> 'CREDITCARDNUMBER' OR {luhn}) AND (label <> 'IPV4' OR {ipv4})
+    AND (label <> 'CREDITCARDNUMBER' OR {luhn}) AND (label <> 'IPV4' OR {ipv4}){more and f"""
+  UNION ALL {more}"""}
 ),
 {name}_folded AS (
   SELECT k, any_value(t) AS t, list_reduce(
