@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pii_spark.functions.exact import assigned_sql, brackets_sql, first_draws_sql, originals_sql, redrawn_sql
 from pii_spark.functions.offsets import bind, compute_once, let, let_sql
 from pii_spark.functions.spans import (
     average_confidence,
@@ -44,6 +45,39 @@ def mask_text(df: DataFrame, text: str = "text", entities: str = "entities", sal
     )
 
 
+def mask_exact(df: DataFrame, text: str = "text", entities: str = "entities", salt: str = "") -> DataFrame:
+    """Like ``mask_text``, with dummies that ``restore_text`` leads back to the very text.
+
+    Inside a row, different originals get different dummies, and no dummy stands in the text itself:
+    clashing draws are repeated, and what still clashes, as labels without a generator do, gets a
+    numbered placeholder. Where a dummy would arise between a dummy and the text beside it, all of the
+    row become placeholders. Rows without a clash get the dummies of ``mask_text``. Row-local.
+    """
+    out = df.withColumn("_spans", F.filter(entities, lambda e: e["text"] != ""))
+    out = compute_once(out, "_groups", F.expr(originals_sql("_spans")))
+    out = compute_once(out, "_entries", F.expr(first_draws_sql("_groups", salt)))
+    out = compute_once(out, "_entries", F.expr(redrawn_sql("_entries", f"`{text}`", salt)))
+
+    def masked_with(all_numbered: str) -> Column:
+        spans = assigned_sql("_groups", "_entries", brackets_sql(f"`{text}`"), all_numbered)
+        return let_sql(
+            F.struct(F.col(text).alias("t"), F.expr(spans).alias("s")),
+            f"named_struct('masked_text', {replaced_sql('x.t', 'x.s')}, 'masked_to_original', {mapping_sql('x.s')}, 'entities', x.s)",
+        )
+
+    out = compute_once(out, "_m", masked_with("false"))
+    out = compute_once(
+        out, "_plain", (F.size("_spans") > 0) & (restore_text(F.col("_m.masked_text"), F.col("_m.masked_to_original")) != F.col(text))
+    )
+    out = compute_once(out, "_m", F.when(F.col("_plain"), masked_with("true")).otherwise(F.col("_m")))
+    return (
+        out.withColumn("masked_text", F.col("_m.masked_text"))
+        .withColumn("masked_to_original", F.col("_m.masked_to_original"))
+        .withColumn(entities, F.col("_m.entities"))
+        .drop("_groups", "_entries", "_spans", "_plain", "_m")
+    )
+
+
 def detect_and_mask(text: Column, rules=RULES, salt: str = "") -> Column:
     """Rule detection and masking of one text as a single expression."""
     found = bind(detected_sql("x", tuple(rules)), "entities", masked_sql("x", "entities", salt))

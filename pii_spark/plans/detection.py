@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.spans import restore_by_span, restore_text
+from pii_spark.functions.offsets import running_totals
+from pii_spark.functions.spans import ENTITIES, entity, merge_spans, restore_by_span, restore_text
 from pii_spark.operators import combine, decode, detect, mask, phrases, prepare
+from pii_spark.operators.detect import rule_entities
 from pii_spark.plans import oracle_parts as sql
 from pii_spark.plans.corpora import detected_documents, documents, samples, table
 
@@ -153,6 +155,30 @@ def roundtrip(spark, sf):
     )
 
 
+TAIL = " seen at 10.0.0.1 and 10.0.0.2, then [REDACTED], in "
+
+
+def restored_collisions(spark, sf):
+    """Every document with two addresses without a generator, a placeholder and cities that share draws."""
+    cities = fv.CITIES[:40]
+    docs = documents(spark, sf).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(TAIL + " ".join(cities))).alias("text"))
+    listed = F.expr(f"transform(split('{' '.join(cities)}', ' '), c -> named_struct('text', c, 'n', length(c)))")
+    first = F.length("text") - len(" ".join(cities))
+    starts = running_totals(F.transform(listed, lambda c: c["n"] + 1))
+    named = F.zip_with(listed, starts, lambda c, end: entity(c["text"], F.lit("CITY"), first + end - c["n"] - 1, first + end - 1, F.lit(0.9)))
+    both = docs.withColumn("entities", merge_spans(F.concat(rule_entities(F.col("text")), named.cast(ENTITIES))))
+    m = mask.mask_exact(both)
+    return m.select(
+        "doc_id",
+        (restore_text(F.col("masked_text"), F.col("masked_to_original")) == F.col("text")).alias("restored"),
+        (restore_by_span(F.col("masked_text"), F.col("entities")) == F.col("text")).alias("restored_by_span"),
+        F.size("entities").cast("bigint").alias("entities"),
+        F.size(F.array_distinct(F.transform("entities", lambda e: e["text"]))).cast("bigint").alias("originals"),
+        F.size("masked_to_original").cast("bigint").alias("dummies"),
+        F.exists("entities", lambda e: F.contains(F.col("masked_text"), e["text"]) & (e["label"] == "IPV4")).alias("leaks"),
+    )
+
+
 def pii_check(spark, sf):
     c = mask.pii_check(documents(spark, sf).select("doc_id", "text"))
     return c.select(
@@ -227,6 +253,7 @@ QUERIES = {
     "masked_combined": masked_combined,
     "masked_documents": masked_documents,
     "roundtrip": roundtrip,
+    "restored_collisions": restored_collisions,
     "pii_check": pii_check,
     "pii_details": pii_details,
     "entities_in_response": entities_in_response,
@@ -337,6 +364,16 @@ back AS (
     lambda a, b: {{'t': replace(a.t, b.d, b.o), 'd': '', 'o': ''}}).t END AS r
   FROM m LEFT JOIN sorted s ON s.doc_id = m.doc_id
 ) SELECT b.doc_id, b.r = t.text AS restored, true AS restored_by_span FROM back b JOIN documents t ON t.doc_id = b.doc_id""",
+        "restored_collisions": f"""WITH longer AS (
+  SELECT doc_id, coalesce(text, '') || '{TAIL + ' '.join(fv.CITIES[:40])}' AS text FROM documents
+), city AS (
+  SELECT unnest({sql.word_list(fv.CITIES[:40])}) AS v, generate_subscripts({sql.word_list(fv.CITIES[:40])}, 1) AS i
+), spot AS (
+  SELECT v, (sum(length(v) + 1) OVER (ORDER BY i))::BIGINT - 1 AS e FROM city
+), {sql.rule_spans('every', 'longer', more=f"""SELECT doc_id, text, 'CITY', 0.9::DOUBLE,
+  length(text) - {len(' '.join(fv.CITIES[:40]))} + e - length(v), length(text) - {len(' '.join(fv.CITIES[:40]))} + e FROM longer, spot""")}
+SELECT doc_id, true AS restored, true AS restored_by_span, count(*) AS entities, count(DISTINCT original) AS originals,
+  count(DISTINCT (label, original)) AS dummies, false AS leaks FROM every GROUP BY doc_id""",
         "pii_check": masked + """, n AS (
   SELECT doc_id, count(DISTINCT dummy) AS n, string_agg(label || ':' || original, ',' ORDER BY s) AS detected FROM d GROUP BY doc_id
 ) SELECT m.doc_id, md5(masked_text) AS message_md5, n.n IS NOT NULL AS pii_found, coalesce(n.n, 0)::BIGINT AS mapped,
