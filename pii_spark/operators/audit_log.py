@@ -211,10 +211,6 @@ def log_stats(log: DataFrame, vault: DataFrame) -> DataFrame:
     )
 
 
-def clear_logs(log: DataFrame) -> DataFrame:
-    return log.limit(0)
-
-
 def order_transactions(log: DataFrame) -> DataFrame:
     """Transactions by latest time, newest first; inside one, the fixed step order.
 

@@ -56,7 +56,12 @@ def vault_build(hits: DataFrame) -> DataFrame:
 def vault_upsert(vault: DataFrame, hits: DataFrame) -> DataFrame:
     """New originals are added with their hits; known ones keep dummy and type, count the hits and
     take the latest confidence and access time."""
-    v, new = vault.alias("v"), vault_build(hits).alias("n")
+    return vault_merge(vault, vault_build(hits))
+
+
+def vault_merge(vault: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``vault_upsert`` with hits that ``vault_build`` has grouped."""
+    v, new = vault.alias("v"), fresh.alias("n")
     known = F.col("v.original_pii").isNotNull()
     return v.join(new, F.col("v.original_pii") == F.col("n.original_pii"), "full_outer").select(
         F.coalesce("v.id", "n.id").alias("id"),
@@ -116,10 +121,6 @@ def vault_expired_count(vault: DataFrame, now: Column, max_age: str) -> DataFram
     )
 
 
-def vault_clear(vault: DataFrame) -> DataFrame:
-    return vault.limit(0)
-
-
 def vault_count(vault: DataFrame) -> DataFrame:
     return vault.agg(F.count("*").alias("rows"))
 

@@ -11,8 +11,8 @@ from pii_spark.operators.normalize import to_annotation_task
 from pii_spark.plans import datasets, evaluation, exchanges, oracle_parts as sql
 from pii_spark.plans.corpora import privacy_mask, samples, second_annotation, table
 from pii_spark.plans.exchanges import EPOCH
-from pii_spark.plans.vaults import base_vault, _build, _hits, _shown
-from pii_spark.sources import readers, writers
+from pii_spark.plans.vaults import _build, _hits, _shown
+from pii_spark.sources import readers, vault_store, writers
 from pii_spark.sources.scratch import new_path
 from pii_spark.streaming import streams
 
@@ -109,14 +109,38 @@ def evaluation_report(spark, sf):
     )
 
 
+def _later_hits(spark, sf):
+    return _hits(second_annotation(samples(spark, sf)), "v2").withColumn("ts", F.col("ts") + F.expr("interval 1 day"))
+
+
 def vault_files(spark, sf):
     """Two versions; the reader takes the later one."""
     path = new_path(spark, "vault")
-    writers.write_vault(base_vault(spark, sf), path, 0)
-    first = readers.read_vault(spark, path)
-    later = _hits(second_annotation(samples(spark, sf)), "v2").withColumn("ts", F.col("ts") + F.expr("interval 1 day"))
-    writers.write_vault(vault.vault_upsert(first, later), path, 1)
-    return _shown(readers.read_vault(spark, path))
+    vault_store.upsert_store(spark, path, _hits(samples(spark, sf)))
+    vault_store.upsert_store(spark, path, _later_hits(spark, sf))
+    return _shown(vault_store.read_store(spark, path))
+
+
+def vault_buckets(spark, sf):
+    """A store after an upsert, one of a few originals, a deletion and an expiry, without its old versions."""
+    path = new_path(spark, "vault")
+    vault_store.upsert_store(spark, path, _hits(samples(spark, sf)), buckets=16)
+    vault_store.upsert_store(spark, path, _later_hits(spark, sf).where("pii_type = 'AGE'"))
+    cities = vault_store.read_store(spark, path).where("pii_type = 'CITY'").select("original_pii")
+    vault_store.delete_from_store(spark, path, cities)
+    vault_store.expire_store(spark, path, F.timestamp_seconds(F.lit(EPOCH + 36_000)), "5 hours")
+    vault_store.drop_versions(spark, path)
+    return _shown(vault_store.read_store(spark, path))
+
+
+def vault_cleared(spark, sf):
+    """A store that was cleared and filled again."""
+    path = new_path(spark, "vault")
+    vault_store.upsert_store(spark, path, _hits(samples(spark, sf)))
+    vault_store.clear_store(spark, path)
+    empty = vault_store.read_store(spark, path).agg(F.count("*").alias("rows_cleared"))
+    vault_store.upsert_store(spark, path, _later_hits(spark, sf))
+    return _shown(vault_store.read_store(spark, path)).withColumn("rows_cleared", empty.scalar())
 
 
 def log_files(spark, sf):
@@ -126,6 +150,16 @@ def log_files(spark, sf):
     return log.groupBy(F.col("day").cast("string").alias("day"), "direction").agg(F.count("*").alias("n"))
 
 
+def log_cleared(spark, sf):
+    """A log that was cleared and written again, the answers only."""
+    path = new_path(spark, "log")
+    rows = exchanges.transactions(spark, sf)
+    writers.write_log(rows, path)
+    writers.clear_log(spark, path)
+    writers.write_log(rows.where("direction = 'response_original'"), path)
+    return readers.read_log(spark, path).groupBy("direction").agg(F.count("*").alias("n"))
+
+
 # -- streams ---------------------------------------------------------------------------------------
 
 def _stream(spark, sf, name):
@@ -164,7 +198,7 @@ def stream_vault(spark, sf):
         F.timestamp_seconds(F.lit(EPOCH) + F.col("doc_id") * 60))
     path = new_path(spark, "vault-stream")
     streams.vault_stream(spark, hits, path, new_path(spark, "vault-state"), availableNow=True).awaitTermination()
-    return _shown(readers.read_vault(spark, path))
+    return _shown(vault_store.read_store(spark, path))
 
 
 def event_windows(spark, sf):
@@ -206,7 +240,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         file_samples, file_records, gold_lines, foreign_file, batch_file, ledger_file, dataset_files, task_files,
-        tasks_report, evaluation_report, vault_files, log_files, stream_masked, stream_windows, stream_vault,
+        tasks_report, evaluation_report, vault_files, vault_buckets, vault_cleared, log_files, log_cleared, stream_masked, stream_windows, stream_vault,
         event_windows, pii_rate_windows, restored_answers, unanswered_requests,
     )
 }
@@ -251,6 +285,16 @@ SELECT count(*) AS total, 0::BIGINT AS skipped, count_if(a)::BIGINT AS annotated
         "evaluation_report": f"""WITH m AS ({known['span_micro_macro']}), p AS ({known['span_prf']})
 SELECT micro_f1, macro_f1, (SELECT count(*) FROM p) AS labels FROM m""",
         "vault_files": known["vault_upsert"],
+        "vault_buckets": f"""WITH {gold}, {other}, {_build('v', 'gold', '', 0)}, few AS (SELECT * FROM other WHERE label = 'AGE'),
+{_build('n', 'few', 'v2', 86400)}, u AS (
+  SELECT coalesce(v.id, n.id) AS id, coalesce(v.original_pii, n.original_pii) AS original_pii,
+    coalesce(v.f.d, n.f.d) AS dummy_pii, coalesce(v.f.l, n.f.l) AS pii_type, coalesce(n.l.c, v.l.c) AS confidence,
+    coalesce(v.f.t, n.f.t)::BIGINT AS created, greatest(v.l.t, n.l.t)::BIGINT AS accessed,
+    coalesce(v.access_count, 0) + coalesce(n.access_count, 0) AS access_count
+  FROM v FULL JOIN n ON n.original_pii = v.original_pii
+) SELECT * FROM u WHERE pii_type <> 'CITY' AND created >= {EPOCH + 36_000 - 5 * 3600}""",
+        "vault_cleared": f"WITH {gold}, {other}, {_build('v', 'other', 'v2', 86400)} SELECT {cols}, 0::BIGINT AS rows_cleared FROM v",
+        "log_cleared": nested("log_rows", "SELECT direction, count(*) AS n FROM base_result WHERE direction = 'response_original' GROUP BY 1"),
         "log_files": nested("log_rows", "SELECT strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, direction, count(*) AS n FROM base_result GROUP BY 1, 2"),
         "stream_masked": nested("masked_documents", "SELECT doc_id, masked_md5, entities FROM base_result"),
         "stream_windows": """WITH m AS (SELECT epoch_ms(max(ts)) AS hi FROM events)

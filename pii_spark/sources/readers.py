@@ -90,12 +90,5 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).option("sep", "\t").option("header", True).option("quote", "").csv(path)
 
 
-def read_vault(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version of the vault."""
-    rows = spark.read.parquet(path)
-    latest = rows.agg(F.max("version")).scalar()
-    return rows.where(F.col("version") == latest).drop("version")
-
-
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

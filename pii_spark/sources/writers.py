@@ -1,11 +1,12 @@
-"""Writers of datasets, annotation tasks, ledgers, reports, vault versions and the log."""
+"""Writers of datasets, annotation tasks, ledgers, reports and the log."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pii_spark.operators.prepare import split_random
+from pii_spark.sources.scratch import delete_path
 
 
 def write_ledger(ledger: DataFrame, path: str) -> None:
@@ -66,11 +67,6 @@ def write_report(metrics: DataFrame, path: str, **parts: DataFrame) -> None:
     report_row(metrics, **parts).write.mode("overwrite").text(path)
 
 
-def write_vault(vault: DataFrame, path: str, version: int) -> None:
-    """A new version next to the old ones. There is one writer; readers take the latest version."""
-    vault.write.mode("overwrite").parquet(f"{path}/version={version}")
-
-
 def write_log(log: DataFrame, path: str) -> None:
     """Append to the log, one folder per day.
 
@@ -79,3 +75,10 @@ def write_log(log: DataFrame, path: str) -> None:
     """
     days = log.withColumn("day", F.to_date("timestamp")).hint("rebalance", "day")
     days.write.mode("append").partitionBy("day").parquet(path)
+
+
+def clear_log(spark: SparkSession, path: str) -> None:
+    """Delete all days of a written log. What stays is an empty file that keeps the columns."""
+    schema = spark.read.parquet(path).drop("day").schema
+    delete_path(spark, path)
+    spark.createDataFrame([], schema).write.parquet(f"{path}/day=__HIVE_DEFAULT_PARTITION__")

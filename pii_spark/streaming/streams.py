@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pii_spark.functions.spans import restore_text
-from pii_spark.operators import vault as vaults
 from pii_spark.operators.detect import RULES, detect_rules
 from pii_spark.operators.mask import mask_text
-from pii_spark.sources.writers import write_vault
+from pii_spark.sources.vault_store import BUCKETS, expire_store, upsert_store
 
 
 def mask_stream(requests: DataFrame, text: str = "text", rules=RULES, salt: str = "") -> DataFrame:
@@ -70,29 +69,25 @@ def pii_rate_windows(
 
 def vault_stream(
     spark: SparkSession, hits: DataFrame, path: str, checkpoint: str, lateness: str | None = None,
-    max_age: str | None = None, **trigger,
+    max_age: str | None = None, buckets: int = BUCKETS, **trigger,
 ) -> StreamingQuery:
-    """Keep a vault up to date from a stream of hits: one version per micro-batch.
+    """Keep a vault store up to date from a stream of hits: one version per micro-batch with hits.
 
-    Version ``n`` is made from version ``n - 1`` and batch ``n`` alone, so a repeated batch writes
-    the same version again. With ``lateness``, hits repeated under the same ``hit_id`` count once.
-    With ``max_age``, rows created that long before the batch's latest hit expire.
+    A micro-batch is grouped once and rewrites the buckets of its originals only. The store knows the
+    last batch it took up, so a repeated one does nothing. With ``lateness``, hits repeated under the
+    same ``hit_id`` count once. With ``max_age``, rows created that long before the batch's latest hit
+    expire; see ``idle_keys`` for keys that are not used any more.
     """
     if lateness is not None:
         hits = hits.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["hit_id"])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        fresh = vaults.vault_build(batch)
-        if batch_id > 0:
-            before = spark.read.parquet(f"{path}/version={batch_id - 1}")
-            fresh = vaults.vault_upsert(before, batch)
+        upsert_store(spark, path, batch, buckets, batch_id)
         if max_age is not None:
-            # An empty batch has no time of its own and expires nothing.
-            now = batch.agg(F.max("ts")).scalar()
-            fresh = fresh.where(
-                now.isNull() | (F.col("created_at") >= now - F.expr(f"interval {max_age}"))
-            )
-        write_vault(fresh.select(vaults.VAULT_COLUMNS), path, batch_id)
+            # One value; an empty batch has no time of its own and expires nothing.
+            now = batch.agg(F.max("ts")).first()[0]
+            if now is not None:
+                expire_store(spark, path, F.lit(now), max_age)
 
     return (
         hits.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pii_spark.operators import audit_log, batches, normalize, payloads
 from pii_spark.operators.normalize import link_sample
-from pii_spark.sources import readers, scratch, writers
+from pii_spark.sources import readers, scratch, vault_store, writers
 from pii_spark.streaming import streams
 
 
@@ -239,7 +239,7 @@ def test_vault_stream_equals_batch(spark, tmp_path):
     hits = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "h"))
     path = str(tmp_path / "v")
     streams.vault_stream(spark, hits, path, str(tmp_path / "c"), lateness="1 hour", availableNow=True).awaitTermination()
-    got = {r.original_pii: r for r in readers.read_vault(spark, path).collect()}
+    got = {r.original_pii: r for r in vault_store.read_store(spark, path).collect()}
     want = {r.original_pii: r for r in vault.vault_build(spark.createDataFrame(rows, ddl)).collect()}
     assert {k: v.asDict() for k, v in got.items()} == {k: v.asDict() for k, v in want.items()}
 
@@ -252,7 +252,7 @@ def test_vault_stream_expires_and_repeats_safely(spark, tmp_path):
 
     def run():
         streams.vault_stream(spark, source, str(tmp_path / "v"), str(tmp_path / "c"), max_age="1 hour", availableNow=True).awaitTermination()
-        return sorted((r.original_pii, r.access_count) for r in readers.read_vault(spark, str(tmp_path / "v")).collect())
+        return sorted((r.original_pii, r.access_count) for r in vault_store.read_store(spark, str(tmp_path / "v")).collect())
 
     assert run() == [("mid", 1), ("old", 1)]
     put(spark, tmp_path / "h", [(3, "mid", "c", "X", 0.5, t + timedelta(minutes=70))], ddl)
