@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pii_spark.functions.ranking import cut_lineage
 from pii_spark.functions.spans import with_dummies
 from pii_spark.operators import evaluate, review, vault
 from pii_spark.operators.detect import detect_rules, explode_entities
 from pii_spark.operators.normalize import to_annotation_task
+from pii_spark.operators.synth import synthesize
 from pii_spark.plans import datasets, evaluation, exchanges, oracle_parts as sql
 from pii_spark.plans.corpora import privacy_mask, samples, second_annotation, table
 from pii_spark.plans.exchanges import EPOCH
@@ -236,12 +238,78 @@ def unanswered_requests(spark, sf):
     return streams.unanswered_requests(*_exchange(spark, sf)).select("transaction_id", F.unix_timestamp("asked").alias("asked"))
 
 
+def _asked_and_answered(spark, sf):
+    """Masked turns with the quarter in which the streams see request and answer.
+
+    Requests come in three stretches of time. Some answers to the first come in the fourth, when the
+    watermark has left them behind.
+    """
+    m = cut_lineage(streams.mask_stream(exchanges.turns(spark, sf).select("tkey", "ts", "text")))
+    low, high = m.agg(F.unix_timestamp(F.min("ts")), F.unix_timestamp(F.max("ts"))).first()
+    draw = F.conv(F.substring(F.md5("tkey"), 1, 4), 16, 10).cast("int")
+    third = F.least(F.lit(2), F.floor((F.unix_timestamp("ts") - low) * 3 / (high - low + 1)).cast("int"))
+    return m.withColumn("asked_in", third).withColumn(
+        "answered_in", F.when((third == 0) & (draw % 7 == 0), F.lit(3)).otherwise(third)
+    ).withColumn("delay", draw % 60), high
+
+
+def _streamed(spark, sf, operator, name):
+    """Run a join of two file streams quarter by quarter, from its checkpoint each time, and read all it gave."""
+    m, high = _asked_and_answered(spark, sf)
+    requests = m.select(F.col("tkey").alias("transaction_id"), "ts", "masked_to_original", F.col("asked_in").alias("part"))
+    answers = m.select(
+        F.col("tkey").alias("transaction_id"), F.timestamp_seconds(F.unix_timestamp("ts") + F.col("delay")).alias("ts"),
+        F.concat(F.lit("Re: "), "masked_text").alias("answer"), F.col("answered_in").alias("part"))
+    # The last exchange, a day later, lets the state of all others go.
+    end = F.timestamp_seconds(F.lit(high + 86_400))
+    last = spark.range(1).select(F.lit("closing").alias("transaction_id"), end.alias("ts"), F.lit(3).alias("part"))
+    requests = requests.unionByName(last.withColumn("masked_to_original", F.create_map().cast("map<string,string>")))
+    answers = answers.unionByName(last.withColumn("answer", F.lit("")))
+    asked, answered, out = (new_path(spark, f"{name}-{x}") for x in ("asked", "answered", "out"))
+    state = new_path(spark, f"{name}-state")
+
+    def stream(rows, path):
+        return spark.readStream.schema(rows.drop("part").schema).parquet(path)
+
+    for part in range(4):
+        for rows, path in ((requests, asked), (answers, answered)):
+            rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(path)
+        df = operator(stream(requests, asked), stream(answers, answered))
+        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
+            availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out).where("transaction_id <> 'closing'")
+
+
+def stream_restored(spark, sf):
+    out = _streamed(spark, sf, streams.restore_stream, "restored")
+    return out.select("transaction_id", F.md5("restored").alias("restored_md5"))
+
+
+def stream_unanswered(spark, sf):
+    out = _streamed(spark, sf, streams.unanswered_requests, "unanswered")
+    return out.select("transaction_id", F.unix_timestamp("asked").alias("asked"))
+
+
+def stream_vault_ttl(spark, sf):
+    """A vault that two streams keep: one takes up hits, one removes keys that were idle for some time."""
+    docs = synthesize(_stream(spark, sf, "documents").select("doc_id", "text"), "doc_id", before="text")
+    path = new_path(spark, "vault-ttl")
+    streams.vault_stream(spark, _hits(docs), path, new_path(spark, "vault-state"), availableNow=True).awaitTermination()
+    streams.vault_idle_stream(
+        spark, _hits(docs), path, new_path(spark, "idle-state"), IDLE, "10 minutes", availableNow=True).awaitTermination()
+    return _shown(vault_store.read_store(spark, path))
+
+
+#: Between the times of any two hits.
+IDLE = "5730 seconds"
+
 QUERIES = {
     f.__name__: f
     for f in (
         file_samples, file_records, gold_lines, foreign_file, batch_file, ledger_file, dataset_files, task_files,
         tasks_report, evaluation_report, vault_files, vault_buckets, vault_cleared, log_files, log_cleared, stream_masked, stream_windows, stream_vault,
         event_windows, pii_rate_windows, restored_answers, unanswered_requests,
+        stream_restored, stream_unanswered, stream_vault_ttl,
     )
 }
 
@@ -263,6 +331,10 @@ def oracles() -> dict[str, str]:
   FROM conversations c LEFT JOIN gold_text g ON g.doc_id = c.conv_id
 )"""
     delay = "('0x' || substr(md5(tkey), 1, 4))::BIGINT % 60"
+    late = """slices AS (
+  SELECT *, (ts - lo) * 3 // (hi - lo + 1) = 0 AND ('0x' || substr(md5(tkey), 1, 4))::BIGINT % 7 = 0 AS late
+  FROM turns, (SELECT min(ts) AS lo, max(ts) AS hi FROM turns)
+)"""
     cols = """id, original_pii, f.d AS dummy_pii, f.l AS pii_type, l.c AS confidence, f.t::BIGINT AS created,
   l.t::BIGINT AS accessed, access_count"""
     return {
@@ -306,5 +378,11 @@ WHERE (epoch_ms(ts) // 3600000 + 1) * 3600000 <= hi - 1800000 GROUP BY 1, 2""",
         "pii_rate_windows": f"""WITH {gold}, {turns}, {sql.rule_spans('spans', 'turns', 'tkey', 'text')}
 SELECT (t.ts // 3600 * 3600)::BIGINT AS window_start, label, count(*) AS n FROM spans s JOIN turns t ON t.tkey = s.tkey GROUP BY 1, 2""",
         "restored_answers": f"WITH {gold}, {turns} SELECT tkey AS transaction_id, CASE WHEN {delay} <= 30 THEN md5('Re: ' || text) END AS restored_md5 FROM turns",
+        "stream_restored": f"""WITH {gold}, {turns}, {late}
+SELECT tkey AS transaction_id, CASE WHEN {delay} <= 30 AND NOT late THEN md5('Re: ' || text) END AS restored_md5 FROM slices""",
+        "stream_unanswered": f"""WITH {gold}, {turns}, {late}
+SELECT tkey AS transaction_id, ts::BIGINT AS asked FROM slices WHERE {delay} > 30 OR late""",
+        "stream_vault_ttl": f"""WITH {gold}, {_build('v', 'gold', '', 0)} SELECT {cols} FROM v
+WHERE l.t + {IDLE.split()[0]} > (SELECT max(l.t) - 600 FROM v)""",
         "unanswered_requests": f"WITH {gold}, {turns} SELECT tkey AS transaction_id, ts::BIGINT AS asked FROM turns WHERE {delay} > 30",
     }

@@ -96,6 +96,8 @@ def upsert_store(
     n = _settings(before, buckets)
     fresh = cut_lineage(vaults.vault_build(hits))
     touched = _touched(fresh, n)
+    if not touched:
+        return
     old = _rows(spark, path, [e for e in before if e["bucket"] in touched])
     _commit(spark, path, before, touched, vaults.vault_merge(old, fresh), n, batch)
 
@@ -106,6 +108,8 @@ def delete_from_store(spark: SparkSession, path: str, keys: DataFrame) -> None:
     n = _settings(before)
     keys = cut_lineage(keys.select("original_pii").distinct())
     touched = _touched(keys, n) & {e["bucket"] for e in before}
+    if not touched:
+        return
     old = _rows(spark, path, [e for e in before if e["bucket"] in touched])
     _commit(spark, path, before, touched, vaults.vault_delete(old, keys), n, None)
 

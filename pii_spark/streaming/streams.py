@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pii_spark.functions.spans import restore_text
 from pii_spark.operators.detect import RULES, detect_rules
 from pii_spark.operators.mask import mask_text
-from pii_spark.sources.vault_store import BUCKETS, expire_store, upsert_store
+from pii_spark.sources.vault_store import BUCKETS, delete_from_store, expire_store, read_store, upsert_store
 
 
 def mask_stream(requests: DataFrame, text: str = "text", rules=RULES, salt: str = "") -> DataFrame:
@@ -93,3 +93,39 @@ def vault_stream(
         hits.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "10 seconds"})).start()
     )
+
+
+def idle_keys(hits: DataFrame, idle: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+    """Originals that were not hit for ``idle``: one row for each stretch of use that ended so.
+
+    A stretch is a session of hits; it ends when the watermark has passed its last hit by ``idle``,
+    and its state goes. Unlike expiry by creation time, every hit keeps a key alive. Gives
+    (original_pii, created_at, last_accessed_at, access_count, idle_at).
+    """
+    sessions = hits.withWatermark("ts", lateness).groupBy(F.session_window("ts", idle), "original_pii")
+    return sessions.agg(
+        F.min("ts").alias("created_at"), F.max("ts").alias("last_accessed_at"), F.count("*").alias("access_count")
+    ).select(
+        "original_pii", "created_at", "last_accessed_at", "access_count", F.col("session_window.end").alias("idle_at")
+    )
+
+
+def vault_idle_stream(
+    spark: SparkSession, hits: DataFrame, path: str, checkpoint: str, idle: str = "1 hour", lateness: str = "10 minutes",
+    **trigger,
+) -> StreamingQuery:
+    """Remove keys from a vault store once they are idle.
+
+    A key that the store knows as used after its idle stretch stays, so the order in which this stream
+    and ``vault_stream`` see the hits does not matter, and a repeated micro-batch finds nothing to do.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        gone = batch.groupBy("original_pii").agg(F.max("last_accessed_at").alias("idle_since"))
+        unused = read_store(spark, path).join(gone, "original_pii").where("last_accessed_at <= idle_since")
+        delete_from_store(spark, path, unused.select("original_pii"))
+
+    return (
+        idle_keys(hits, idle, lateness).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pii_spark.operators import vault
 from pii_spark.sources import readers, vault_store, writers
+from pii_spark.streaming import streams
 
 T = datetime(2024, 1, 1)
 HITS = "original_pii string, dummy_pii string, pii_type string, confidence double, ts timestamp"
@@ -102,3 +103,23 @@ def test_a_cleared_log_takes_new_rows(spark, tmp_path):
     assert readers.read_log(spark, path).count() == 0
     writers.write_log(log, path)
     assert sorted(r.id for r in readers.read_log(spark, path).collect()) == [1, 2]
+
+
+def test_keys_go_when_they_are_idle(spark, tmp_path):
+    """Every hit keeps a key alive, in whatever micro-batch it comes."""
+    source, path = str(tmp_path / "h"), str(tmp_path / "v")
+
+    def run(rows):
+        spark.createDataFrame([(n, "d", "X", 0.5, T + timedelta(minutes=m)) for n, m in rows], HITS).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(HITS).parquet(source)
+        streams.vault_stream(spark, stream, path, str(tmp_path / "c"), buckets=4, availableNow=True).awaitTermination()
+        streams.vault_idle_stream(
+            spark, stream, path, str(tmp_path / "i"), "1 hour", "0 seconds", availableNow=True).awaitTermination()
+        return set(stored(spark, path))
+
+    assert run([("old", 0), ("kept", 0), ("kept", 50)]) == {"old", "kept"}
+    assert run([("kept", 100), ("back", 70)]) == {"kept", "back"}
+    # In one micro-batch, a key falls idle and comes back.
+    assert run([("back", 200), ("late", 300)]) == {"late"}
+    versions = vault_store.store_versions(spark, path)
+    assert run([]) == {"late"} and vault_store.store_versions(spark, path) == versions
