@@ -78,6 +78,10 @@ PROVIDER_HOSTS = {
     "gemini": "generativelanguage.googleapis.com", "mistral": "api.mistral.ai",
 }
 
+# Fields of a request that hold what people wrote, and keys whose values only name things.
+TEXT_FIELDS = ["messages", "contents", "system", "system_instruction", "systemInstruction"]
+NAMING_KEYS = ["type", "role", "media_type"]
+
 # Word pools of the dummy generators.
 EMAIL_FIRST = """
 jane john alex sam taylor casey jordan riley michael sarah david emily james emma robert olivia

@@ -73,25 +73,38 @@ def to_log(rows: DataFrame) -> DataFrame:
     return add_messages(rows).withColumn("truncated", cut).withColumn("message", truncated(F.col("message")))
 
 
-def content_sql(v: str, depth: int = 3) -> str:
+def content_sql(v: str, levels: str) -> str:
     """Text of a content value: a string, a list of contents, or an object with text, content or
-    parts; empty otherwise. Nesting is followed ``depth`` levels down."""
-    if depth == 0:
-        return f"coalesce({field_sql(v, '$')}, '')"
-    c = f"c{depth}"
+    parts; empty otherwise.
 
-    def joined(items: str) -> str:
-        return f"array_join(transform({items}, {c} -> {content_sql(c, depth - 1)}), '')"
-
-    # A value is a list or has parts, not both, so one pass serves either.
-    nested = joined(f"coalesce({list_sql(v, '$')}, {list_sql(v, '$.parts')})")
+    Every round replaces lists and parts by their elements, in place, until only strings are left;
+    ``levels`` is an upper bound of the nesting, and rounds after the last one do nothing.
+    """
+    string = field_sql("c", "$")
+    inner = (
+        f"CASE WHEN {string} IS NOT NULL THEN array(c) WHEN {list_sql('c', '$')} IS NOT NULL THEN {list_sql('c', '$')} "
+        f"WHEN {field_sql('c', '$.text')} IS NOT NULL THEN array(CAST({field_sql('c', '$.text')} AS VARIANT)) "
+        f"WHEN {field_sql('c', '$.content')} IS NOT NULL THEN array(CAST({field_sql('c', '$.content')} AS VARIANT)) "
+        f"ELSE coalesce({list_sql('c', '$.parts')}, {empty('array<variant>')}) END"
+    )
+    opened = bind(
+        f"flatten(transform(acc.items, c -> {inner}))", "next",
+        "named_struct('items', next, 'open', coalesce(exists(next, c -> schema_of_variant(c) <> 'STRING'), false))",
+    )
     return (
-        f"coalesce({field_sql(v, '$')}, {field_sql(v, '$.text')}, {field_sql(v, '$.content')}, {nested}, '')"
+        f"aggregate(sequence(0, {levels}), named_struct('items', array({v}), 'open', true), (acc, k) -> "
+        f"CASE WHEN acc.open THEN {opened} ELSE acc END, "
+        f"acc -> array_join(transform(acc.items, c -> coalesce({string}, '')), ''))"
     )
 
 
-def message_content(v: Column, depth: int = 3) -> Column:
-    return let_sql(v, content_sql("x", depth))
+def _levels_sql(json: str) -> str:
+    """No value in ``json`` is nested deeper than it has opening brackets."""
+    return f"length({json}) - length(translate({json}, '[{{', ''))"
+
+
+def message_content(v: Column) -> Column:
+    return let_sql(v, bind(_levels_sql("to_json(x)"), "levels", content_sql("x", "levels")))
 
 
 def _role_sql(v: str, path: str, default: str) -> str:
@@ -100,7 +113,7 @@ def _role_sql(v: str, path: str, default: str) -> str:
 
 def _messages_sql(items: str, path: str) -> str:
     """(role, content) of the objects of a list; a missing or empty role is user."""
-    content = content_sql("c", 3)
+    content = content_sql("c", "levels")
     one = (
         f"named_struct('role', {_role_sql('m', '$.role', 'user')}, 'content', "
         + bind(f"try_variant_get(m, '{path}', 'variant')", "c", content) + ")"
@@ -120,7 +133,7 @@ def request_messages_sql(v: str) -> str:
 
 
 def response_messages_sql(v: str) -> str:
-    content = bind("try_variant_get(c, '$.message.content', 'variant')", "cc", content_sql("cc"))
+    content = bind("try_variant_get(c, '$.message.content', 'variant')", "cc", content_sql("cc", "levels"))
     text = field_sql("c", "$.text")
     message = "try_variant_get(c, '$.message', 'variant')"
     choice = (
@@ -138,7 +151,7 @@ def response_messages_sql(v: str) -> str:
         f"CASE WHEN size(ts) > 0 THEN array(named_struct('role', {_role_sql(v, '$.role', 'assistant')}, "
         "'content', array_join(ts, ''))) END",
     )
-    parts = bind("try_variant_get(c, '$.content.parts', 'variant')", "cc", content_sql("cc"))
+    parts = bind("try_variant_get(c, '$.content.parts', 'variant')", "cc", content_sql("cc", "levels"))
     candidates = _filled_sql(
         f"filter(transform({list_sql(v, '$.candidates')}, c -> named_struct('role', 'assistant', 'content', {parts})), "
         "m -> m.content <> '')"
@@ -158,7 +171,7 @@ def parse_messages(message: Column, direction: Column) -> Column:
     )
     return let_sql(
         F.struct(message.alias("m"), direction.alias("d")),
-        bind("try_parse_json(x.m)", "j", f"coalesce({found}, {empty(MESSAGES)})"),
+        bind("try_parse_json(x.m)", "j", bind(_levels_sql("x.m"), "levels", f"coalesce({found}, {empty(MESSAGES)})")),
     )
 
 

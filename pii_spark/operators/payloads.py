@@ -11,14 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.offsets import bind, compute_once, empty, let_sql, text_literal
-from pii_spark.functions.spans import longest_first
+from pii_spark.functions.offsets import bind, compute_once, empty, let_sql, maxima_sql, text_literal, totals_sql
+from pii_spark.functions.spans import first_by_key_sql, longest_first
 from pii_spark.operators.detect import RULES, detected_sql, host_of
 from pii_spark.operators.mask import masked_sql
 
-#: Levels of content blocks inside content blocks that are followed.
-BLOCK_DEPTH = 1
-
 OBJECT = "map<string,variant>"
 LIST = "array<variant>"
 
@@ -146,35 +143,6 @@ def _change_field(item: str, name: str, change: Change) -> str:
     )
 
 
-def _change_block(item: str, depth: int, change: Change) -> str:
-    """A content block with its texts changed: a string, or an object's ``text``, and its ``content`` that
-    is a string or holds blocks again, ``depth`` levels down."""
-    var = f"bk{depth}"
-    other = "v"
-    if depth:
-        blocks = f"to_variant_object(transform({list_sql('v', '$')}, {var} -> {_change_block(var, depth - 1, change)}))"
-        other = f"CASE WHEN k = 'content' AND {list_sql('v', '$')} IS NOT NULL THEN {blocks} ELSE v END"
-    string = f"CAST({change(field_sql('v', '$'))} AS VARIANT)"
-    value = (
-        f"CASE WHEN k IN ('text', 'content') AND {field_sql('v', '$')} IS NOT NULL THEN {string} ELSE {other} END"
-    )
-    return (
-        f"CASE WHEN {field_sql(item, '$')} IS NOT NULL THEN CAST({change(field_sql(item, '$'))} AS VARIANT) "
-        f"WHEN {object_sql(item)} IS NOT NULL THEN to_variant_object(transform_values({object_sql(item)}, (k, v) -> {value})) "
-        f"ELSE {item} END"
-    )
-
-
-def _block_texts(item: str, depth: int) -> str:
-    """The texts that ``_change_block`` changes, in its order."""
-    own = _present(f"array({field_sql(item, '$')}, {field_sql(item, '$.text')}, {field_sql(item, '$.content')})")
-    if not depth:
-        return own
-    var = f"bk{depth}"
-    nested = f"flatten(transform({list_sql(item, '$.content')}, {var} -> {_block_texts(var, depth - 1)}))"
-    return f"concat({own}, coalesce({nested}, {empty('array<string>')}))"
-
-
 def _change_list(item: str, name: str, var: str, each: str) -> str:
     """A VARIANT object with every element ``var`` of its list field replaced by ``each``."""
     xs = f"{var}s"
@@ -192,18 +160,6 @@ def _change_object(item: str, name: str, var: str, changed: str) -> str:
     )
 
 
-def request_sql(v: str, provider: str, change: Change, depth: int = BLOCK_DEPTH) -> str:
-    """The request VARIANT with ``change`` applied to every message text, nested blocks included."""
-    block = _change_field("blk", "text", change)
-    content = _change_list("msg", "content", "blk", _change_block("blk", depth, change))
-    message = (
-        f"CASE WHEN {list_sql('msg', '$.content')} IS NOT NULL THEN {content} "
-        f"ELSE {_change_field('msg', 'content', change)} END"
-    )
-    gemini = _change_list(v, "contents", "cnt", _change_list("cnt", "parts", "blk", block))
-    return f"CASE WHEN {provider} = 'gemini' THEN {gemini} ELSE {_change_list(v, 'messages', 'msg', message)} END"
-
-
 def response_sql(v: str, provider: str, change: Change) -> str:
     """The response VARIANT with ``change`` applied to every answer text."""
     block = f"CASE WHEN {field_sql('blk', '$.type')} = 'text' THEN {_change_field('blk', 'text', change)} ELSE blk END"
@@ -217,71 +173,79 @@ def response_sql(v: str, provider: str, change: Change) -> str:
     )
 
 
-def request_texts_sql(v: str, provider: str, depth: int = BLOCK_DEPTH) -> str:
-    """All texts of a request in order, those inside nested content blocks included."""
-    blocks = list_sql("m", "$.content")
-    of_message = bind(
-        blocks, "bl",
-        f"CASE WHEN bl IS NOT NULL THEN flatten(transform(bl, blk -> {_block_texts('blk', depth)})) "
-        f"ELSE {_present('array(' + field_sql('m', '$.content') + ')')} END",
+def scanned_sql(body: str) -> str:
+    """SQL text that cuts JSON into its string literals and the gaps around them.
+
+    Repetitions are possessive, so that the expression neither backtracks nor recurses.
+    """
+    literal = text_literal(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"')
+    return f"named_struct('literals', regexp_extract_all({body}, {literal}, 0), 'gaps', split({body}, {literal}, -1))"
+
+
+def leaves_sql(scan: str) -> str:
+    """SQL text of the decoded texts of the literals of ``scanned_sql`` that belong to messages, null for others.
+
+    Running totals of the brackets in the gaps give the depth of a literal; the last key on the first
+    level names the field that it is in, at whatever depth.
+    """
+    opened = totals_sql(f"transform({scan}.gaps, g -> length(g) - length(translate(g, '[{{', '')))")
+    closed = totals_sql(f"transform({scan}.gaps, g -> length(g) - length(translate(g, ']}}', '')))")
+    colon = "RLIKE '^\\\\s*:'"
+    is_key = f"get({scan}.gaps, i + 1) {colon}"
+    fields = maxima_sql(
+        f"transform({scan}.literals, (l, i) -> CASE WHEN {is_key} AND get(opened, i) - get(closed, i) = 1 THEN i + 1 ELSE 0 END)"
     )
-    gemini = _parts_sql(list_sql(v, "$.contents"), "$.parts")
-    return (
-        f"CASE WHEN {provider} = 'gemini' THEN {gemini} "
-        f"ELSE flatten(transform({list_sql(v, '$.messages')}, m -> {of_message})) END"
+    decoded = "get_json_object(concat('[', {}, ']'), '$[0]')"
+    field = decoded.format(f"get({scan}.literals, get(fields, i) - 1)")
+    key = f"CASE WHEN get({scan}.gaps, i) {colon} THEN {decoded.format(f'get({scan}.literals, i - 1)')} END"
+    text = (
+        f"CASE WHEN NOT {is_key} AND get(fields, i) > 0 AND {field} IN ({_listed(fv.TEXT_FIELDS)}) "
+        f"AND NOT coalesce({key} IN ({_listed(fv.NAMING_KEYS)}), false) THEN {decoded.format('l')} END"
     )
+    return bind(opened, "opened", bind(closed, "closed", bind(fields, "fields", f"transform({scan}.literals, (l, i) -> {text})")))
+
+
+def _listed(values: list[str]) -> str:
+    return ", ".join(text_literal(v) for v in values)
 
 
 def mask_payloads(df: DataFrame, body: str = "body", provider: str = "provider", salt: str = "", rules=RULES) -> DataFrame:
     """Add ``masked_body``, ``masked_to_original``, ``entities`` and ``mask_status``.
 
     Status is ``masked`` for a known shape, ``text`` for a body that is no JSON object and is masked as
-    a whole, and ``unrecognised`` for an object without the expected field, which passes unchanged.
-    ``partial`` is a known shape with texts in blocks nested more than ``BLOCK_DEPTH`` deep, which pass
-    unchanged. Every text is detected and masked once; the bodies are rebuilt from those results inside
-    the row.
+    a whole, and ``unrecognised`` for an object without the expected list, which passes unchanged. Of a
+    known shape every string below the messages and the system prompt is masked, at any depth: texts,
+    blocks in blocks, inputs and results of tools. Only the strings with personal data change; all
+    other characters of the body stay as they are. Every text is detected and masked once.
     """
-    objects = bind("try_parse_json(x)", "j", f"CASE WHEN {object_sql('j')} IS NOT NULL THEN j END")
-    inputs = F.struct(let_sql(F.col(body), objects).alias("v"), F.col(body).alias("b"), F.col(provider).alias("p"))
+    objects = bind("try_parse_json(x.b)", "j", f"CASE WHEN {object_sql('j')} IS NOT NULL THEN j END")
+    listed = f"CASE WHEN x.p = 'gemini' THEN {list_sql('v', '$.contents')} ELSE {list_sql('v', '$.messages')} END IS NOT NULL"
+    shape = bind(objects, "v", f"CASE WHEN v IS NULL THEN 'text' WHEN {listed} THEN 'masked' ELSE 'unrecognised' END")
+    # Several steps, since every level of nested functions costs the analyzer several rounds.
+    out = df.withColumn("_shape", let_sql(F.struct(F.col(body).alias("b"), F.col(provider).alias("p")), shape))
+    out = compute_once(out, "_scan", F.expr(f"CASE WHEN _shape = 'masked' THEN {scanned_sql(f'`{body}`')} END"))
+    texts = f"CASE _shape WHEN 'text' THEN array(`{body}`) WHEN 'masked' THEN {leaves_sql('_scan')} END"
+    out = compute_once(out, "_texts", F.expr(texts))
     one = bind(detected_sql("t", tuple(rules)), "entities", masked_sql("t", "entities", salt))
-    texts = f"CASE WHEN x.v IS NULL THEN array(x.b) ELSE {request_texts_sql('x.v', 'x.p')} END"
-    done = f"transform(coalesce(texts, {empty('array<string>')}), t -> named_struct('text', t, 'm', {one}))"
-    # Two steps, since every level of nested functions costs the analyzer several rounds.
-    found = compute_once(df, "_t", let_sql(inputs, bind(texts, "texts", f"named_struct('texts', texts, 'done', {done})")))
-
-    def form(text: str) -> str:
-        return f"get(filter(x.done, d -> d.text = {text}), 0).m.masked_text"
-
-    deeper = f"size(x.texts) < size({request_texts_sql('x.v', 'x.p', BLOCK_DEPTH + 1)})"
-    status = (
-        "CASE WHEN x.v IS NULL THEN 'text' WHEN x.texts IS NULL THEN 'unrecognised' "
-        f"WHEN {deeper} THEN 'partial' ELSE 'masked' END"
-    )
+    out = compute_once(out, "_done", F.expr(f"transform(_texts, t -> CASE WHEN t IS NOT NULL THEN {one} END)"))
+    encoded = bind("to_json(array(get(_done, i).masked_text))", "j", "substring(j, 2, length(j) - 2)")
+    literal = f"CASE WHEN size(get(_done, i).entities) > 0 THEN {encoded} ELSE l END"
     rebuilt = (
-        "CASE WHEN x.v IS NULL THEN get(x.done, 0).m.masked_text WHEN x.texts IS NULL THEN x.b "
-        f"ELSE to_json({request_sql('x.v', 'x.p', form)}) END"
-    )
-    result = (
-        f"named_struct('mask_status', {status}, 'masked_body', {rebuilt}, "
-        f"'masked_to_original', {_last_wins('transform(x.done, d -> d.m.masked_to_original)')}, "
-        "'entities', flatten(transform(x.done, d -> d.m.entities)))"
+        f"CASE _shape WHEN 'text' THEN get(_done, 0).masked_text WHEN 'masked' THEN concat(array_join(transform(_scan.literals, "
+        f"(l, i) -> concat(get(_scan.gaps, i), {literal})), ''), element_at(_scan.gaps, -1)) ELSE `{body}` END"
     )
-    known = F.struct(
-        let_sql(F.col(body), objects).alias("v"), F.col(body).alias("b"), F.col(provider).alias("p"),
-        F.col("_t.texts").alias("texts"), F.col("_t.done").alias("done"),
-    )
-    out = compute_once(found, "_m", let_sql(known, result))
-    names = ("mask_status", "masked_body", "masked_to_original", "entities")
-    return out.select(*[c for c in df.columns if c not in names], *[F.col(f"_m.{n}").alias(n) for n in names])
+    out = out.withColumn("_body", F.expr(rebuilt)).withColumn("_done", F.expr("coalesce(filter(_done, d -> d IS NOT NULL), array())"))
+    made = {
+        "mask_status": F.col("_shape"), "masked_body": F.col("_body"),
+        "masked_to_original": F.expr(_last_wins("transform(_done, d -> d.masked_to_original)")),
+        "entities": F.expr("flatten(transform(_done, d -> d.entities))"),
+    }
+    return out.select(*[c for c in df.columns if c not in made], *[v.alias(k) for k, v in made.items()])
 
 
 def _last_wins(maps: str) -> str:
     """Union of maps; of equal keys the later one stays."""
-    later = "exists(slice(es, i + 2, size(es)), l -> l.key = e.key)"
-    return bind(
-        f"flatten(transform({maps}, mp -> map_entries(mp)))", "es",
-        f"map_from_entries(filter(es, (e, i) -> NOT {later}))",
-    )
+    return f"map_from_entries({first_by_key_sql(f'reverse(flatten(transform({maps}, mp -> map_entries(mp))))')})"
 
 
 def restore_payloads(

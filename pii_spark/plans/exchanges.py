@@ -193,7 +193,40 @@ def misclassification_report(spark, sf):
     return r.select("doc_id", F.col("entity_count").cast("bigint").alias("entity_count"), "entity_summary", "report")
 
 
+def _literal(text):
+    """A text as JSON."""
+    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+
+
+def deep_content(spark, sf):
+    """Message texts below lists in lists and parts in parts."""
+    t = turns(spark, sf)
+    body = F.concat(
+        F.lit('{"messages":[{"role":"user","content":[["x ",[[{"parts":[{"parts":[[['), _literal(F.col("text")),
+        F.lit(']]]}]}]]],{"parts":[{"text":" tail"}]}]}]}'),
+    )
+    messages = audit_log.parse_messages(body, F.lit("request"))
+    return t.select("tkey", F.md5(F.element_at(messages, 1)["content"]).alias("content_md5"))
+
+
+def masked_deep_blocks(spark, sf):
+    """Texts in the system prompt, in a content object and in the input of a tool."""
+    t = turns(spark, sf).withColumn("t", _literal(F.col("text")))
+    body = F.concat(
+        F.lit('{"system":'), "t", F.lit(',"messages":[{"role":"user","content":{"text":'), "t",
+        F.lit('}},{"role":"user","content":[{"type":"tool_use","input":{"to":{"deep":[[[{"a":'), "t", F.lit("}]]]}}}]}]}"),
+    )
+    m = payloads.mask_payloads(t.select("tkey", body.alias("body"), F.lit("anthropic").alias("provider")))
+    paths = {"system": "$.system", "object": "$.messages[0].content.text", "input": "$.messages[1].content[0].input.to.deep[0][0][0].a"}
+    return m.select(
+        "tkey", "mask_status", *[F.md5(F.get_json_object("masked_body", p)).alias(f"{n}_md5") for n, p in paths.items()],
+        F.size("entities").cast("bigint").alias("entities"), F.size("masked_to_original").cast("bigint").alias("mapped"),
+    )
+
+
 QUERIES = {
+    "deep_content": deep_content,
+    "masked_deep_blocks": masked_deep_blocks,
     "masked_conversations": masked_conversations,
     "conversation_vault": conversation_vault,
     "routed_payloads": routed_payloads,
@@ -242,6 +275,10 @@ def oracles() -> dict[str, str]:
     shown = f"""CASE nm WHEN 0 THEN 'No message content' WHEN 2 THEN '[system] {SYSTEM}' || chr(10) || chr(10) || '[' || r || '] ' || body
   ELSE '[' || r || '] ' || body END"""
     return {
+        "deep_content": f"{base} SELECT tkey, md5('x ' || text || ' tail') AS content_md5 FROM turns",
+        "masked_deep_blocks": f"""{masked} SELECT t.tkey, 'masked' AS mask_status, md5(masked_text) AS system_md5, md5(masked_text) AS object_md5,
+  md5(masked_text) AS input_md5, 3 * coalesce(k.n, 0)::BIGINT AS entities, coalesce(k.u, 0)::BIGINT AS mapped
+FROM turns t JOIN m ON m.tkey = t.tkey LEFT JOIN k ON k.tkey = t.tkey""",
         "masked_conversations": f"{masked} SELECT conv_id, turn, md5(masked_text) AS masked_md5, coalesce(k.n, 0)::BIGINT AS entities FROM turns t JOIN m ON m.tkey = t.tkey LEFT JOIN k ON k.tkey = t.tkey",
         "conversation_vault": f"{spans} SELECT DISTINCT t.conv_id, original, label, dummy FROM d JOIN turns t ON t.tkey = d.tkey",
         "routed_payloads": f"{base} SELECT tkey, CASE shape WHEN 'plain' THEN 'none' ELSE shape END AS provider, true AS stripped FROM turns",

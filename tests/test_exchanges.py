@@ -55,12 +55,59 @@ def test_mask_nested_blocks_and_bodies_that_are_no_object(spark):
     one = got[bodies[0]]
     assert one.mask_status == "masked" and not any(x in one.masked_body for x in ("a@b", "c@d", "e@f", "g@h"))
     assert {e.text for e in one.entities} == {"a@b.com", "c@d.com", "e@f.com", "g@h.com"}
-    assert got[bodies[1]].mask_status == "partial"
+    assert got[bodies[1]].mask_status == "masked" and "k@l.com" not in got[bodies[1]].masked_body
     for body in bodies[2:5]:
         assert got[body].mask_status == "text" and got[body].masked_body != body
     assert got[bodies[5]].mask_status == "unrecognised"
 
 
+def test_mask_strings_at_any_depth(spark):
+    def wrapped(value, n):
+        for i in range(n):
+            value = [value] if i % 2 else {"content" if i % 4 else 'odd \\" key': value}
+        return value
+
+    bodies = {
+        "anthropic": {"model": "a@b.com", "system": "for c@d.com", "messages": [
+            {"role": "user", "content": {"text": "e@f.com"}},
+            {"role": "user", "content": [{"type": "tool_use", "input": {"to": "g@h.com", "n": 1.50}}, wrapped("i@j.com", 60)]},
+        ]},
+        "gemini": {"systemInstruction": {"parts": [{"text": "k@l.com"}]}, "contents": [{"parts": [{"functionCall": {"args": {"x": ["m@n.com"]}}}]}]},
+        "openai": {"messages": [{"role": "user", "content": "quote \" and \\ and \n o@p.com { [ ] }", "name": "q@r.com"}], "user": "s@t.com"},
+    }
+    df = spark.createDataFrame([(json.dumps(b, indent=1, ensure_ascii=p == "gemini"), p) for p, b in bodies.items()], "body string, provider string")
+    got = {r.provider: r for r in payloads.mask_payloads(df).collect()}
+    for provider, body in bodies.items():
+        row = got[provider]
+        assert row.mask_status == "masked"
+        back = row.masked_body
+        for dummy, original in row.masked_to_original.items():
+            back = back.replace(dummy, original)
+        assert back == row.body and json.loads(back) == body
+    assert {e.text for e in got["anthropic"].entities} == {"c@d.com", "e@f.com", "g@h.com", "i@j.com"}
+    assert {e.text for e in got["gemini"].entities} == {"k@l.com", "m@n.com"}
+    assert {e.text for e in got["openai"].entities} == {"o@p.com", "q@r.com"}
+    many = json.dumps({"messages": [{"content": "x\n" * 200_000 + "u@v.com"}]})
+    row = mask_one(spark, many, "openai")
+    assert row.mask_status == "masked" and "u@v.com" not in row.masked_body and len(row.entities) == 1
+    escaped = '{"mess\\u0061ges": [{"content": "w@x\\u002ecom"}]}'
+    row = mask_one(spark, escaped, "openai")
+    assert row.mask_status == "masked" and [e.text for e in row.entities] == ["w@x.com"] and "w@x" not in row.masked_body
+
+
+def test_parse_messages_at_any_depth(spark):
+    def nested(value, n):
+        for i in range(n):
+            value = [value] if i % 3 else {"parts": [value]}
+        return value
+
+    for n in (0, 3, 4, 10, 80):
+        body = {"messages": [{"role": "user", "content": nested(["a", {"text": "b"}, 5, {"content": "c"}, None, {"x": "no"}], n)}]}
+        assert parsed(spark, body, "request") == ([("user", "abc")], None)
+    long = {"messages": [{"content": [{"text": f"[{i}] "} for i in range(3000)]}]}
+    assert parsed(spark, long, "request")[0][0][1] == "".join(f"[{i}] " for i in range(3000))
+
+
 def test_restore_with_notice(spark):
     rows = [("openai", {"choices": [{"message": {"content": "hi D1"}}, {"text": "D1"}]}),
             ("anthropic", {"content": [{"type": "text", "text": "D1"}, {"type": "tool", "text": "D1"}]}),
