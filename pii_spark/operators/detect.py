@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,6 +32,13 @@ class Rule:
     whole: bool = True
     needs: str | None = None
     digits: bool = True
+    before: str = ""
+    after: str = ""
+
+    @property
+    def grouped(self) -> str:
+        """The pattern with its surroundings; the value is group 2."""
+        return f"({self.before})({self.pattern})({self.after})"
 
 
 _CARD = "length(translate({v}, ' -', '')) = 16 AND luhn_check(translate({v}, ' -', ''))"
@@ -62,6 +69,46 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+_ROAD = r"(?:Street|St|Avenue|Ave|Drive|Dr|Boulevard|Blvd|Road|Rd|Lane|Way|Terrace|Crescent|End)"
+_PLACE = rf"[A-Z][a-z]+ {_ROAD}|Broadway"
+_NAME = r"[A-Z][\p{L}']+"
+
+#: Rules for labels whose values have no form of their own; words beside a candidate decide. Cities,
+#: states and countries are left to dictionaries.
+CONTEXT_RULES: tuple[Rule, ...] = (
+    Rule("TAXNUM", r"\d{2}-\d{7}", 0.85, before=r"[Tt]ax[ \p{L}]{0,24} "),
+    Rule("ZIP", r"\d{5}(?:-\d{4})?", 0.45, before=r"\p{L}[.,]{0,2} "),
+    Rule("AGE", r"\d{1,3}", 0.5, before=r"(?:[Aa]ged?|daughter is|son is|patient,|I am) "),
+    Rule("USERNAME", r"[a-z]+\d{2,6}", 0.6,
+         before=r"(?:[Ll]og in as|[Uu]ser ?name(?: is)?:?|[Ll]ogin:?|account of|issued to) "),
+    Rule("PASSWORD", r"[A-Za-z0-9!@#$%]{8,20}", 0.6, "{v} RLIKE '[0-9!@#$%]|[a-z][A-Z]'",
+         digits=False, before=r"(?:[Pp]assword(?: is)?:?|[Pp]wd:?|[Rr]eset) "),
+    Rule("SECURITYTOKEN",
+         r"(?:api|token|key|secret|access|auth|gh[pos]|xox[bpa]|bearer|pat|apikey)_[A-Za-z0-9]{32,40}"
+         r"|(?:AKIA|ABIA|ACCA)[A-Za-z0-9]{16,40}", 0.9),
+    Rule("BUILDINGNUM", r"\d{1,3}[A-F]?", 0.6, after=rf" (?:The )?(?:{_PLACE})"),
+    Rule("STREET", rf"(?:The Crescent|{_PLACE})", 0.5, digits=False),
+    Rule("COMPANYNAME",
+         rf"[A-Z][a-z]+ (?:{'|'.join(sorted(fv.COMPANY_SUFFIXES, key=lambda s: (-len(s), s)))})", 0.6, digits=False),
+    Rule("SURNAME", _NAME, 0.4, before=r"(?:Dear|Mr|Mrs|Ms|Dr)\.? ", digits=False),
+    Rule("FIRSTNAME", _NAME, 0.4, before=r"(?:[Tt]his is|[Mm]y name is) ", digits=False),
+)
+
+ALL_RULES = RULES + CONTEXT_RULES
+
+
+def mod97_sql(value: str) -> str:
+    """SQL condition: the letters and digits pass the check of account numbers (remainder 1 modulo 97)."""
+    plain = f"upper(regexp_replace({value}, '[^A-Za-z0-9]', ''))"
+    moved = bind(plain, "n", "concat(substring(n, 5), substring(n, 1, 4))")
+    digit = "CASE WHEN c RLIKE '[0-9]' THEN (acc * 10 + CAST(c AS INT)) % 97 ELSE (acc * 100 + ascii(c) - 55) % 97 END"
+    return f"aggregate(filter(split({moved}, ''), c -> c <> ''), 0, (acc, c) -> CAST({digit} AS INT)) = 1"
+
+
+#: Account numbers with a valid check digit only; generated ones have none.
+CHECKED_IBAN = Rule("IBAN", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", 0.99, mod97_sql("{v}"))
+
+
 def rule_entities(text: Column, rules: Iterable[Rule] = RULES) -> Column:
     """All rule matches in ``text``; matches of different rules may overlap.
 
@@ -76,26 +123,32 @@ def rule_entities(text: Column, rules: Iterable[Rule] = RULES) -> Column:
 
 def rules_sql(text: str, rules: tuple[Rule, ...]) -> str:
     def hits(rule: Rule) -> str:
-        p = text_literal(rule.pattern)
+        beside = bool(rule.before or rule.after)
+        p = text_literal(rule.grouped if beside else rule.pattern)
+        values = f"regexp_extract_all({text}, {p}, 2)" if beside else "CAST(NULL AS array<string>)"
+        ahead = f"transform(regexp_extract_all({text}, {p}, 1), b -> length(b))" if rule.before else "CAST(NULL AS array<int>)"
         found = bind(
             f"regexp_extract_all({text}, {p}, 0)", "f",
             f"CASE WHEN size(f) > 0 THEN named_struct('label', '{rule.label}', 'confidence', {rule.confidence}D, "
-            f"'whole', {str(rule.whole).lower()}, 'found', f, 'gaps', split({text}, {p}, -1)) END",
+            f"'whole', {str(rule.whole).lower()}, 'found', f, 'gaps', split({text}, {p}, -1), 'values', {values}, 'ahead', {ahead}) END",
         )
         if rule.needs is None:
             return found
         return f"CASE WHEN contains({text}, {text_literal(rule.needs)}) THEN {found} END"
 
-    # The characters around a match are in the gaps beside it, or in the matches beside empty gaps.
+    # A value is the match, or a part of it. The characters around it are in the match, in the gaps
+    # beside it, or in the matches beside empty gaps.
+    skipped, value = "coalesce(get(h.ahead, i), 0)", "coalesce(get(h.values, i), m.text)"
     before = (
-        "CASE WHEN get(h.gaps, i) <> '' THEN right(get(h.gaps, i), 1) "
+        f"CASE WHEN {skipped} > 0 THEN substring(m.text, {skipped}, 1) WHEN get(h.gaps, i) <> '' THEN right(get(h.gaps, i), 1) "
         "WHEN i > 0 THEN right(get(h.found, i - 1), 1) ELSE '' END"
     )
-    after = "substring(concat(get(h.gaps, i + 1), coalesce(get(h.found, i + 1), '')), 1, 1)"
+    rest = f"substring(m.text, {skipped} + length({value}) + 1)"
+    after = f"substring(concat({rest}, get(h.gaps, i + 1), coalesce(get(h.found, i + 1), '')), 1, 1)"
     spans = (
-        f"transform({located_sql('h.found', 'h.gaps')}, (m, i) -> named_struct('text', m.text, 'label', h.label, "
-        f"'start', m.start, 'end', m.`end`, 'confidence', h.confidence, 'whole', h.whole, "
-        f"'around', CASE WHEN h.whole THEN concat({before}, {after}) ELSE '' END))"
+        f"transform({located_sql('h.found', 'h.gaps')}, (m, i) -> named_struct('text', {value}, 'label', h.label, "
+        f"'start', m.start + {skipped}, 'end', m.start + {skipped} + length({value}), 'confidence', h.confidence, "
+        f"'whole', h.whole, 'around', CASE WHEN h.whole THEN concat({before}, {after}) ELSE '' END))"
     )
     checks = ["NOT (s.whole AND s.around RLIKE '[\\\\p{L}\\\\p{N}]')"]
     checks += [
@@ -184,6 +237,24 @@ def spans_view(df: DataFrame, name: str, key: str = "doc_id", text: str = "text"
     found.createOrReplaceTempView(name)
 
 
+def register_spans(
+    spark: SparkSession, name: str = "pii_spans", rules: Iterable[Rule] = ALL_RULES,
+    threshold: float = fv.DEFAULT_THRESHOLD, policy: str = "confidence",
+) -> None:
+    """A table function ``name(text)`` for SQL, giving (value, label, start, end, confidence).
+
+    It works on the rows beside it: ``FROM docs d, LATERAL pii_spans(d.text) s``, without a join or a
+    shuffle. Null and empty texts give no row.
+    """
+    check_threshold(threshold)
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(txt STRING) "
+        "RETURNS TABLE(value STRING, label STRING, start INT, `end` INT, confidence DOUBLE) "
+        "RETURN SELECT e.text, e.label, e.start, e.`end`, e.confidence "
+        f"FROM (SELECT explode({detected_sql('txt', tuple(rules), threshold, policy)}) AS e)"
+    )
+
+
 WORD = r"[\p{L}\p{N}_']+"
 
 

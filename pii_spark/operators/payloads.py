@@ -6,6 +6,7 @@ Payloads are JSON strings. Only message texts change; all other fields are kept
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,11 +53,13 @@ def field_list(v: Column, path: str) -> Column:
 
 
 def route_provider(
-    body: Column, path: Column, host: Column | None = None, default: str = "openai"
+    body: Column, path: Column, host: Column | None = None, default: str = "openai", custom: str | None = None
 ) -> Column:
     """Provider by the body's ``provider`` field, else by path, else by host; null if unknown.
 
-    Two providers share one path; ``default`` decides between them.
+    Two providers share one path; ``default`` decides between them. A host must equal a provider's,
+    without its port; ``custom`` is the address of the user's own provider, which speaks the shape of
+    ``openai``.
     """
     if default not in ("openai", "mistral"):
         raise ValueError(f"unknown default provider: {default}")
@@ -68,11 +71,9 @@ def route_provider(
     by_path = by_path.when(path.startswith(fv.GEMINI_PATH_PREFIX), F.lit("gemini"))
     choice = [F.when(named.isin(*fv.PROVIDERS), named), by_path]
     if host is not None:
-        name = host_of(host)
-        by_host = None
-        for provider, domain in fv.PROVIDER_HOSTS.items():
-            by_host = F.when(name == domain, provider) if by_host is None else by_host.when(name == domain, provider)
-        choice.append(by_host)
+        own = (urlsplit(custom if "://" in custom else f"//{custom}").hostname or "").lower() if custom else ""
+        domains = {**fv.PROVIDER_HOSTS, **({"custom": own} if own else {})}
+        choice += [F.when(host_of(host) == domain, provider) for provider, domain in domains.items()]
     return F.coalesce(*choice)
 
 
@@ -262,3 +263,21 @@ def restore_payloads(
     changed = response_sql("j", "x.p", lambda _: back)
     restored = bind("try_parse_json(x.b)", "j", f"CASE WHEN j IS NULL THEN x.b ELSE to_json({changed}) END")
     return df.withColumn("restored_body", let_sql(inputs, restored))
+
+
+def add_envelope(
+    df: DataFrame, at: Column, service: str, original: str = "response", body: str = "restored_body"
+) -> DataFrame:
+    """``body`` with ``original_response``, the answer as it came, and ``proxy_metadata``: that it was
+    changed, when (``at``, in milliseconds) and by which ``service``. A body that is no JSON object stays."""
+    added = (
+        "map('original_response', coalesce(try_parse_json(x.o), CAST(x.o AS VARIANT)), 'proxy_metadata', "
+        f"to_variant_object(named_struct('intercepted', true, 'timestamp', x.t, 'service', {text_literal(service)})))"
+    )
+    names = "k NOT IN ('original_response', 'proxy_metadata')"
+    whole = bind(
+        object_sql("try_parse_json(x.b)"), "j",
+        f"CASE WHEN j IS NULL THEN x.b ELSE to_json(map_concat(map_filter(j, (k, v) -> {names}), {added})) END",
+    )
+    inputs = F.struct(F.col(body).alias("b"), F.col(original).alias("o"), F.unix_millis(at).alias("t"))
+    return df.withColumn(body, let_sql(inputs, whole))

@@ -23,6 +23,16 @@ def entity_rows(spark, sf):
     )
 
 
+def sql_pii_spans(spark, sf):
+    """All rules as a table function beside the rows of a view."""
+    detect.register_spans(spark)
+    documents(spark, sf).createOrReplaceTempView("spans_documents")
+    return spark.sql(
+        "SELECT d.doc_id, s.value, s.label, CAST(s.start AS BIGINT) AS start, CAST(s.`end` AS BIGINT) AS `end`, s.confidence "
+        "FROM spans_documents d, LATERAL pii_spans(d.text) s"
+    )
+
+
 def pii_label_counts(spark, sf):
     rows = detect.explode_entities(detected_documents(spark, sf), "doc_id")
     return rows.groupBy("label").agg(
@@ -242,6 +252,7 @@ def host_matches(spark, sf):
 
 QUERIES = {
     "pii_entities": entity_rows,
+    "sql_pii_spans": sql_pii_spans,
     "pii_label_counts": pii_label_counts,
     "pii_docs_by_lang": pii_docs_by_lang,
     "detect_threshold": detect_threshold,
@@ -327,6 +338,8 @@ def oracles() -> dict[str, str]:
 )"""
     return {
         "pii_entities": f"WITH {spans} SELECT doc_id, original AS value, label, s AS start, e AS \"end\", c AS confidence FROM spans",
+        "sql_pii_spans": f"""WITH {sql.rule_spans('spans', 'documents', rules=detect.ALL_RULES)}
+SELECT doc_id, original AS value, label, s AS start, e AS "end", c AS confidence FROM spans""",
         "pii_label_counts": f"WITH {spans} SELECT label, count(*) AS entities, count(DISTINCT doc_id) AS docs FROM spans GROUP BY label",
         "pii_docs_by_lang": f"""WITH {spans}, n AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id)
 SELECT lang, count(*) AS docs, count(n.n) AS docs_with_pii, coalesce(sum(n.n), 0)::BIGINT AS entities

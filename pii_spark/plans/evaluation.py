@@ -40,7 +40,7 @@ def worst_labels(spark, sf):
 def rule_prf(spark, sf):
     """The rule detector measured on the synthetic gold."""
     gold = samples(spark, sf)
-    found = detect.detect_rules(gold.select("doc_id", "text"))
+    found = detect.detect_rules(gold.select("doc_id", "text"), detect.ALL_RULES)
     return evaluate.add_prf(evaluate.span_confusion(evaluate.pair_spans(gold, found)))
 
 
@@ -362,7 +362,7 @@ led AS (
         "span_micro_macro": f"""{cmp_}, t AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM cf), m AS (SELECT tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM t)
 SELECT round(2 * p * r / (p + r), 4) AS micro_f1, (SELECT round(avg(round(f, 4)), 4) FROM sc) AS macro_f1 FROM m""",
         "worst_labels": f"{cmp_} SELECT label, round(f, 4) AS f1 FROM sc ORDER BY round(f, 4), label LIMIT 5",
-        "rule_prf": f"WITH {gold}, {sql.rule_spans('spans', 'gold_text')}, {confusion('spans')}, {prf()} {prf_cols}",
+        "rule_prf": f"WITH {gold}, {sql.rule_spans('spans', 'gold_text', rules=detect.ALL_RULES)}, {confusion('spans')}, {prf()} {prf_cols}",
         "relaxed_prf": relaxed,
         "explain_sample": f"""{cmp_} SELECT c.doc_id, side, s AS start, label, marker, substr(t.text, s + 1, e - s) AS span_text FROM (
   SELECT doc_id, 'expected' AS side, s, e, label, CASE WHEN iq THEN 'TP' ELSE 'FN' END AS marker FROM cmp WHERE ig

@@ -224,7 +224,35 @@ def masked_deep_blocks(spark, sf):
     )
 
 
+CUSTOM = "https://thther.example.org:8443/v1"
+
+
+def routed_hosts(spark, sf):
+    """Requests that only their host tells: pages' hosts, and those of two providers."""
+    p = table(spark, sf, "pages").select("page_id", "url")
+    own = F.call_function("try_parse_url", F.col("url"), F.lit("HOST"))
+    host = (
+        F.when(F.col("page_id") % 4 == 0, F.lit("API.Mistral.ai:443")).when(F.col("page_id") % 4 == 1, F.lit("api.openai.com"))
+        .otherwise(own)
+    )
+    routed = payloads.route_provider(F.lit("{}"), F.lit("/v2/other"), host, custom=CUSTOM)
+    return p.select("page_id", F.coalesce(routed, F.lit("none")).alias("provider"))
+
+
+def response_envelope(spark, sf):
+    r = payloads.add_envelope(restored(spark, sf), F.col("ts"), "masking service")
+    return r.select(
+        "tkey", (F.col("shape") == "plain").alias("plain"),
+        F.get_json_object("restored_body", "$.proxy_metadata.timestamp").cast("bigint").alias("at"),
+        F.get_json_object("restored_body", "$.proxy_metadata.service").alias("service"),
+        F.md5(payloads.response_text(F.get_json_object("restored_body", "$.original_response"), F.col("provider"))).alias("original_md5"),
+        F.md5(F.when(F.col("shape") != "plain", payloads.response_text(F.col("restored_body"), F.col("provider")))).alias("answer_md5"),
+    )
+
+
 QUERIES = {
+    "routed_hosts": routed_hosts,
+    "response_envelope": response_envelope,
     "deep_content": deep_content,
     "masked_deep_blocks": masked_deep_blocks,
     "masked_conversations": masked_conversations,
@@ -275,6 +303,13 @@ def oracles() -> dict[str, str]:
     shown = f"""CASE nm WHEN 0 THEN 'No message content' WHEN 2 THEN '[system] {SYSTEM}' || chr(10) || chr(10) || '[' || r || '] ' || body
   ELSE '[' || r || '] ' || body END"""
     return {
+        "routed_hosts": r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host FROM pages)
+SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'mistral' WHEN page_id % 4 = 1 THEN 'openai'
+  WHEN host = 'thther.example.org' THEN 'custom' ELSE 'none' END AS provider FROM h""",
+        "response_envelope": f"""{masked} SELECT t.tkey, shape = 'plain' AS plain, CASE WHEN shape <> 'plain' THEN ts * 1000 END::BIGINT AS at,
+  CASE WHEN shape <> 'plain' THEN 'masking service' END AS service,
+  CASE WHEN shape <> 'plain' THEN md5('You wrote: ' || masked_text || chr(10)) END AS original_md5,
+  CASE WHEN shape <> 'plain' THEN md5('You wrote: ' || text || chr(10)) END AS answer_md5 FROM turns t JOIN m ON m.tkey = t.tkey""",
         "deep_content": f"{base} SELECT tkey, md5('x ' || text || ' tail') AS content_md5 FROM turns",
         "masked_deep_blocks": f"""{masked} SELECT t.tkey, 'masked' AS mask_status, md5(masked_text) AS system_md5, md5(masked_text) AS object_md5,
   md5(masked_text) AS input_md5, 3 * coalesce(k.n, 0)::BIGINT AS entities, coalesce(k.u, 0)::BIGINT AS mapped

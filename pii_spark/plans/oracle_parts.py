@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pii_spark.functions import fixed_values as fv
 from pii_spark.operators import prepare
-from pii_spark.operators.detect import RULES
+from pii_spark.operators.detect import RULES, Rule
 from pii_spark.operators.synth import TEMPLATES
 
 
@@ -92,7 +92,8 @@ def dummy_value(label: str = "label", original: str = "original") -> str:
 
 
 def rule_spans(
-    name: str, source: str, key: str = "doc_id", text: str = "text", policy: str = "confidence", more: str = ""
+    name: str, source: str, key: str = "doc_id", text: str = "text", policy: str = "confidence", more: str = "",
+    rules: tuple[Rule, ...] = RULES,
 ) -> str:
     """CTEs ending in ``name``(key, text, label, start, end, confidence): the merged rule matches.
 
@@ -100,11 +101,14 @@ def rule_spans(
     are folded with list_reduce over (done, current) pairs.
     """
     selects = []
-    for rule in RULES:
-        p = quote(rule.pattern)
+    for n, rule in enumerate(rules):
+        beside = rule.before or rule.after
+        p = quote(rule.grouped if beside else rule.pattern)
+        whole = f"unnest(regexp_extract_all({text}, {p}))"
+        parts = [f"unnest(regexp_extract_all({text}, {p}, {k}))" for k in (1, 2)] if beside else [f"unnest(list_transform(regexp_extract_all({text}, {p}), lambda x: ''))", whole]
         selects.append(
-            f"SELECT {key} AS k, {text} AS t, {quote(rule.label)} AS label, {rule.confidence}::DOUBLE AS c, "
-            f"unnest(regexp_extract_all({text}, {p})) AS v, unnest(string_split_regex({text}, {p})) AS g, "
+            f"SELECT {key} AS k, {text} AS t, {n} AS r, {quote(rule.label)} AS label, {rule.confidence}::DOUBLE AS c, "
+            f"{whole} AS w, {parts[0]} AS b, {parts[1]} AS v, unnest(string_split_regex({text}, {p})) AS g, "
             f"generate_subscripts(string_split_regex({text}, {p}), 1) AS i "
             f"FROM {source} WHERE regexp_matches({text}, {p})"
         )
@@ -131,14 +135,16 @@ def rule_spans(
         )
     return f"""{name}_raw AS ({' UNION ALL '.join(selects)}),
 {name}_at AS (
-  SELECT k, t, label, c, v, (sum(length(g) + length(v)) OVER (PARTITION BY k, label ORDER BY i))::BIGINT AS e
+  SELECT k, t, label, c, v,
+    (sum(length(g) + length(w)) OVER (PARTITION BY k, r ORDER BY i))::BIGINT - length(w) + length(b) + length(v) AS e
   FROM {name}_raw WHERE v IS NOT NULL
 ),
 {name}_ok AS (
   SELECT k, t, label, c, e - length(v) AS s, e FROM {name}_at
   WHERE NOT regexp_matches(
       (CASE WHEN e - length(v) > 0 THEN substr(t, e - length(v), 1) ELSE '' END) || substr(t, e + 1, 1), '[\\p{{L}}\\p{{N}}]')
-    AND (label <> 'CREDITCARDNUMBER' OR {luhn}) AND (label <> 'IPV4' OR {ipv4}){more and f"""
+    AND (label <> 'CREDITCARDNUMBER' OR {luhn}) AND (label <> 'IPV4' OR {ipv4})
+    AND (label <> 'PASSWORD' OR regexp_matches(v, '[0-9!@#$%]|[a-z][A-Z]')){more and f"""
   UNION ALL {more}"""}
 ),
 {name}_folded AS (

@@ -24,6 +24,41 @@ def test_rules(spark):
     assert found(spark, "key " + "a" * 40) == [("SECURITYTOKEN", "a" * 40, 4)]
 
 
+def test_rules_with_words_beside_a_value(spark):
+    def all_found(text):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        return [(e.label, e.text, text[e.start:e.end]) for e in detect.detect_rules(df, detect.ALL_RULES).first().entities]
+
+    for text, want in [
+        ("😀 Our tax number is 12-1234567, file it", [("TAXNUM", "12-1234567")]), ("badge 12-1234567", [("IDCARDNUM", "12-1234567")]),
+        ("Ship it to 12B Oak Ave, 12345 Paris", [("BUILDINGNUM", "12B"), ("STREET", "Oak Ave"), ("ZIP", "12345")]),
+        ("aged 42, not 43", [("AGE", "42")]), ("Reset abcdefghij now", []), ("Reset abc1efghij now", [("PASSWORD", "abc1efghij")]),
+        ("Log in as user1234x", []), ("Log in as user1234.", [("USERNAME", "user1234")]), ("AKIA" + "A1" * 8, [("SECURITYTOKEN", "AKIA" + "A1" * 8)]),
+        ("Dear O'Brien, Acme Pty Ltd wrote", [("SURNAME", "O'Brien"), ("COMPANYNAME", "Acme Pty Ltd")]),
+    ]:
+        got = all_found(text)
+        assert [g[:2] for g in got] == want and all(g[1] == g[2] for g in got), text
+
+
+def test_account_numbers_with_check_digits(spark):
+    rows = [("GB82 WEST 1234 5698 7654 32", True), ("GB83 WEST 1234 5698 7654 32", False), ("DE89370400440532013000", True)]
+    df = spark.createDataFrame(rows, "v string, w boolean")
+    assert all(r.g == r.w for r in df.selectExpr("w", f"{detect.mod97_sql('v')} AS g").collect())
+    text = "pay GB82 WEST 1234 5698 7654 32 or GB83 WEST 1234 5698 7654 32"
+    found_ = detect.detect_rules(spark.createDataFrame([(text,)], "text string"), [detect.CHECKED_IBAN]).first().entities
+    assert [e.text for e in found_] == ["GB82 WEST 1234 5698 7654 32"]
+
+
+def test_table_function_beside_rows(spark):
+    detect.register_spans(spark, "spans_of", detect.RULES)
+    spark.createDataFrame([(1, "a@b.org and 1.2.3.4"), (2, None), (3, "")], "id int, t string").createOrReplaceTempView("span_texts")
+    df = spark.sql("SELECT d.id, s.* FROM span_texts d, LATERAL spans_of(d.t) s")
+    assert [(r.id, r.value, r.label, r.start) for r in df.collect()] == [(1, "a@b.org", "EMAIL", 0), (1, "1.2.3.4", "IPV4", 12)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert [r.value for r in spark.sql("SELECT value FROM spans_of('x a@b.org')").collect()] == ["a@b.org"]
+
+
 def test_rules_are_row_local_jvm_expressions(spark):
     df = spark.range(5).selectExpr("id AS doc_id", "concat('a', id, '@x.org') AS text")
     plan = mask.mask_text(detect.detect_rules(df))._jdf.queryExecution().executedPlan().toString()

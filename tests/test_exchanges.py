@@ -129,6 +129,23 @@ def test_routing(spark):
     assert got == [r[3] for r in rows]
 
 
+def test_envelope(spark):
+    rows = [('{"a": 1}', '{"b": 2, "proxy_metadata": 0}'), ("plain", "plain"), ("no json", '{"b": 1}'), (None, None)]
+    df = spark.createDataFrame(rows, "response string, restored_body string")
+    out = payloads.add_envelope(df, F.timestamp_millis(F.lit(1500)), "it's me").collect()
+    meta = {"intercepted": True, "timestamp": 1500, "service": "it's me"}
+    assert json.loads(out[0].restored_body) == {"b": 2, "original_response": {"a": 1}, "proxy_metadata": meta}
+    assert out[1].restored_body == "plain" and out[3].restored_body is None
+    assert json.loads(out[2].restored_body) == {"b": 1, "original_response": "no json", "proxy_metadata": meta}
+
+
+def test_host_of_the_users_provider(spark):
+    rows = [("Corp.org:8080", "custom"), ("corp.org", "custom"), ("x.corp.org", None), ("API.openai.com", "openai"), (None, None)]
+    df = spark.createDataFrame(rows, "h string, w string")
+    got = df.select("w", payloads.route_provider(F.lit("{}"), F.lit("/x"), F.col("h"), custom="https://corp.org:1/v1").alias("g")).collect()
+    assert all(r.g == r.w for r in got)
+
+
 def parsed(spark, message, direction):
     df = spark.createDataFrame([(message if isinstance(message, str) else json.dumps(message), direction)], "m string, d string")
     row = df.select(audit_log.parse_messages(F.col("m"), F.col("d")).alias("x"), audit_log.extract_model(F.col("m")).alias("y")).first()
