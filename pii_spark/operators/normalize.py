@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.offsets import bind, empty, find_value, find_word, groups_sql, let_sql, spots_sql
+from pii_spark.functions.offsets import (
+    bind,
+    compute_once,
+    empty,
+    find_value,
+    find_word,
+    groups_sql,
+    let_sql,
+    spots_sql,
+)
 
 MASK = "array<struct<value:string,label:string,start:int,end:int>>"
 MENTION = "struct<text:string,type:string,privacy_mask_labels:array<string>>"
@@ -337,133 +343,140 @@ def normalize_mentions(mentions: Column) -> Column:
     return F.transform(items, one)
 
 
-def _spots(text: str, value: str) -> list[int]:
-    out, at = [], text.find(value) if value else -1
-    while at != -1:
-        out.append(at)
-        at = text.find(value, at + 1)
-    return out
+#: Label of a mention by the type of its cluster, and how near an entity counts, in characters.
+_CLUSTER_LABEL = {"person": "PRONOUN", "organization": "REFERENCE"}
+_NEAR = 20
 
+_LINKS = (
+    "struct<entries:array<struct<value:string,at:int,labels:array<string>>>,keys:array<string>,used:array<int>,"
+    "found:array<struct<value:string,id:int>>>"
+)
 
-def _word_spots(text: str, value: str) -> list[int]:
-    word = rf"\b{re.escape(value)}\b"
-    hits = [m.start() for m in re.finditer(word, text)]
-    return hits or [m.start() for m in re.finditer(word, text, re.IGNORECASE)]
 
+def _mentions(text: Column, clusters: Column) -> Column:
+    """Clusters as (label, mentions) with the starts of every mention."""
 
-_CLUSTER_LABEL = {"person": "PRONOUN", "organization": "REFERENCE"}
-_NEAR = 20
+    def mention(m: Column) -> Column:
+        return F.struct(
+            m["text"].alias("value"),
+            F.coalesce(m["privacy_mask_labels"], F.array().cast("array<string>")).alias("labels"),
+            F.transform(find_word(text, m["text"]), lambda w: w["start"]).alias("spots"),
+        )
 
+    def cluster(c: Column) -> Column:
+        kind = F.lower(F.coalesce(c["entity_type"], F.lit("")))
+        label = F.lit("MENTION")
+        for name, own in _CLUSTER_LABEL.items():
+            label = F.when(kind == name, own).otherwise(label)
+        mentions = F.coalesce(c["mentions"], F.array().cast(f"array<{MENTION}>"))
+        return F.struct(label.alias("label"), F.transform(mentions, mention).alias("mentions"))
 
-class _Linker:
-    """Entities and relations of one sample."""
-
-    def __init__(self, text: str, mask: list[dict]):
-        self.text, self.mask = text, mask
-        self.entries: list[dict] = []
-        self.ids: dict[tuple[str, int], str] = {}
-        self.used: set[int] = set()
-        self.mentioned: dict[str, list[str]] = {}
-        for item in mask:
-            at = next((p for p in _spots(text, item["value"]) if p not in self.used), None)
-            if at is not None:
-                self.used.add(at)
-                self.add(item["value"], at, [item["label"]])
-
-    def add(self, value: str, at: int, labels: list[str]) -> str:
-        name = f"ent-{len(self.entries) + 1}"
-        span = {"start": at, "end": at + len(value), "text": value, "labels": labels}
-        self.entries.append({
-            "id": name, "from_name": "entities", "to_name": "text", "type": "labels", "value": span,
-        })
-        self.ids[value, at] = name
-        return name
-
-    def near_entity(self, labels: set[str], at: int) -> bool:
-        return any(
-            abs(p - at) < _NEAR and (item["value"], p) in self.ids
-            for item in self.mask if item["label"] in labels
-            for p in _spots(self.text, item["value"])
+    return F.transform(F.coalesce(clusters.cast(CLUSTERS), F.array().cast(CLUSTERS)), cluster)
+
+
+def _link_steps_sql(clusters: str) -> str:
+    """Every start of every mention in order: those that may lie near an entity first, then all."""
+
+    def steps(near: str) -> str:
+        return (
+            f"transform(m.spots, p -> named_struct('near', {near}, 'key', concat(p, ':', m.value), 'at', p, 'value', m.value, "
+            "'head', CASE WHEN size(words) > 1 THEN concat(p, ':', get(words, 0)) END, 'label', c.label, 'labels', m.labels))"
         )
 
-    def mention(self, value: str, labels: set[str], label: str) -> None:
-        spots = _word_spots(self.text, value)
-        first = (value.split() or [value])[0]
-        several = len(value.split()) > 1
-        found = [
-            self.add(value, p, [])
-            for p in spots
-            if labels and (value, p) not in self.ids and self.near_entity(labels, p)
-        ]
-        for p in spots:
-            if (value, p) in self.ids:
-                # A spot added above is listed a second time here: relations count on it.
-                found.append(self.ids[value, p])
-            elif several and (first, p) in self.ids:
-                found.append(self.add(value, p, []))
-            elif p not in self.used:
-                self.used.add(p)
-                found.append(self.add(value, p, [label]))
-        if found:
-            self.mentioned.setdefault(value, []).extend(found)
-
-    def relations(self, mentions: list[str]) -> list[dict]:
-        chain: list[str] = []
-        for value in mentions:
-            if value in self.mentioned:
-                chain += self.mentioned[value]
-            else:
-                chain += [self.ids[value, p] for p in _word_spots(self.text, value) if (value, p) in self.ids]
-        return [
-            {"type": "relation", "from_id": other, "to_id": chain[0], "direction": "right"}
-            for other in chain[1:]
-        ]
-
-
-def link_sample(text: str, mask: list[dict], clusters: list[dict]) -> list[dict]:
-    """Result entries of one sample: entities first, then one relation per further mention."""
-    linker = _Linker(text, mask)
-    for cluster in clusters:
-        label = _CLUSTER_LABEL.get((cluster["entity_type"] or "mention").lower(), "MENTION")
-        for m in cluster["mentions"]:
-            linker.mention(m["text"], set(m.get("privacy_mask_labels") or ()), label)
-    relations = [
-        r for cluster in clusters for r in linker.relations([m["text"] for m in cluster["mentions"]])
-    ]
-    return linker.entries + relations
+    both = f"concat(CASE WHEN size(m.labels) > 0 THEN {steps('true')} ELSE array() END, {steps('false')})"
+    words = "filter(split(m.value, '\\\\s+'), w -> w <> '')"
+    return f"flatten(transform({clusters}, c -> flatten(transform(c.mentions, m -> {bind(words, 'words', both)}))))"
+
+
+def _linked_sql(claims: str, steps: str, near: str) -> str:
+    """SQL text that folds the steps over the entities of the mask.
+
+    A start that has an entry counts for it. A mention of several words whose first word has an entry,
+    or one near an entity of its labels, gets an entry without a label; any other start that is still
+    free gets one with the label of its cluster.
+    """
+    close = (
+        f"exists({near}, n -> array_contains(s.labels, n.label) AND abs(n.at - s.at) < {_NEAR} "
+        "AND array_contains(acc.keys, concat(n.at, ':', n.value)))"
+    )
+    act = (
+        f"CASE WHEN s.near THEN CASE WHEN known = 0 AND {close} THEN 'bare' ELSE 'none' END WHEN known > 0 THEN 'known' "
+        "WHEN s.head IS NOT NULL AND array_contains(acc.keys, s.head) THEN 'bare' "
+        "WHEN NOT array_contains(acc.used, s.at) THEN 'label' ELSE 'none' END"
+    )
+    added = (
+        "named_struct('entries', concat(acc.entries, array(named_struct('value', s.value, 'at', s.at, 'labels', "
+        f"CASE WHEN act = 'label' THEN array(s.label) ELSE {empty('array<string>')} END))), "
+        "'keys', concat(acc.keys, array(s.key)), 'used', CASE WHEN act = 'label' THEN concat(acc.used, array(s.at)) ELSE acc.used END, "
+        "'found', concat(acc.found, array(named_struct('value', s.value, 'id', size(acc.keys) + 1))))"
+    )
+    counted = (
+        "named_struct('entries', acc.entries, 'keys', acc.keys, 'used', acc.used, 'found', "
+        "concat(acc.found, array(named_struct('value', s.value, 'id', CAST(known AS INT)))))"
+    )
+    step = bind(
+        "array_position(acc.keys, s.key)", "known",
+        bind(act, "act", f"CASE act WHEN 'none' THEN acc WHEN 'known' THEN {counted} ELSE {added} END"),
+    )
+    zero = (
+        f"CAST(named_struct('entries', transform({claims}, c -> named_struct('value', c.value, 'at', c.at, 'labels', array(c.label))), "
+        f"'keys', transform({claims}, c -> concat(c.at, ':', c.value)), 'used', transform({claims}, c -> c.at), "
+        f"'found', {empty('array<struct<value:string,id:int>>')}) AS {_LINKS})"
+    )
+    return f"aggregate({steps}, {zero}, (acc, s) -> CAST({step} AS {_LINKS}))"
+
+
+def _results_sql(links: str, clusters: str) -> str:
+    """SQL text of the label entries, then of one relation per further mention of each cluster."""
+    entry = (
+        "named_struct('id', concat('ent-', i + 1), 'from_name', 'entities', 'to_name', 'text', 'type', 'labels', 'value', "
+        "named_struct('start', e.at, 'end', e.at + length(e.value), 'text', e.value, 'labels', e.labels), "
+        "'from_id', NULL, 'to_id', NULL, 'direction', NULL)"
+    )
+    counted = f"transform(filter({links}.found, f -> f.value = m.value), f -> f.id)"
+    there = f"filter(transform(m.spots, p -> CAST(array_position({links}.keys, concat(p, ':', m.value)) AS INT)), k -> k > 0)"
+    chain = f"flatten(transform(c.mentions, m -> CASE WHEN exists({links}.found, f -> f.value = m.value) THEN {counted} ELSE {there} END))"
+    relation = (
+        "named_struct('id', NULL, 'from_name', NULL, 'to_name', NULL, 'type', 'relation', 'value', NULL, "
+        "'from_id', concat('ent-', other), 'to_id', concat('ent-', get(chain, 0)), 'direction', 'right')"
+    )
+    related = bind(chain, "chain", f"transform(slice(chain, 2, greatest(size(chain) - 1, 0)), other -> {relation})")
+    return (
+        f"concat(CAST(transform({links}.entries, (e, i) -> {entry}) AS {RESULTS}), "
+        f"CAST(flatten(transform({clusters}, c -> {related})) AS {RESULTS}))"
+    )
 
 
 def link_coreferences(samples: DataFrame) -> DataFrame:
-    """Annotation tasks of samples with ``coreferences``. Order-dependent inside one sample, so a
-    vectorised Python function works on each row; there is no shuffle."""
-
-    fields = ("id", "from_name", "to_name", "type", "value", "from_id", "to_id", "direction")
-
-    @F.pandas_udf(RESULTS)
-    def linked(text: pd.Series, mask: pd.Series, clusters: pd.Series) -> pd.Series:
-        out = []
-        for t, m, c in zip(text, mask, clusters):
-            m = [] if m is None else list(m)
-            c = [] if c is None else [
-                {**x, "mentions": [] if x["mentions"] is None else list(x["mentions"])} for x in c
-            ]
-            for x in c:
-                x["mentions"] = [
-                    {**y, "privacy_mask_labels": [] if y["privacy_mask_labels"] is None
-                     else list(y["privacy_mask_labels"])} for y in x["mentions"]
-                ]
-            out.append([{f: e.get(f) for f in fields} for e in link_sample(t or "", m, c)])
-        return pd.Series(out)
+    """Annotation tasks of samples with ``coreferences``: label entries of the mask and of mentions, and
+    relations from every further mention of a cluster to its first.
 
-    return samples.withColumn(
+    Mentions are taken in order, and a start that one has taken is not free for the next. That order
+    is kept by a fold inside the row, so there is no shuffle and no Python. Null texts have no entries.
+    """
+    out = samples.withColumn("_text", F.coalesce("text", F.lit("")))
+    mask = F.coalesce(F.col("privacy_mask").cast(MASK), F.array().cast(MASK))
+    claims = let_sql(F.struct(F.col("_text").alias("t"), mask.alias("m")), claims_sql("x.t", "x.m"))
+    out = compute_once(out, "_claims", claims)
+    out = compute_once(out, "_clusters", _mentions(F.col("_text"), F.col("coreferences")))
+    # Only mentions that name labels look for entities near them.
+    named = F.exists("_clusters", lambda c: F.exists(c["mentions"], lambda m: F.size(m["labels"]) > 0))
+    spots = F.flatten(F.transform(mask, lambda e: F.transform(
+        find_value(F.col("_text"), e["value"]),
+        lambda p: F.struct(e["label"].alias("label"), e["value"].alias("value"), p.alias("at")),
+    )))
+    out = compute_once(out, "_near", F.when(named, spots).otherwise(F.array().cast("array<struct<label:string,value:string,at:int>>")))
+    out = compute_once(out, "_steps", F.expr(_link_steps_sql("_clusters")))
+    out = compute_once(out, "_links", F.expr(_linked_sql("_claims", "_steps", "_near")))
+    return out.withColumn(
         "predictions",
         F.array(
             F.struct(
                 F.lit("reviewed-v1").alias("model_version"), F.lit(1.0).alias("score"),
-                linked("text", "privacy_mask", F.col("coreferences").cast(CLUSTERS)).alias("result"),
+                F.expr(_results_sql("_links", "_clusters")).alias("result"),
             )
-        ),
-    )
+        ).cast(PREDICTIONS),
+    ).drop("_text", "_claims", "_clusters", "_near", "_steps", "_links")
 
 
 def attach_metadata(

@@ -166,8 +166,8 @@ def annotation_tasks(spark, sf):
     )
 
 
-def coreference_links(spark, sf):
-    """Clusters of full name and first name, over the samples that name a person."""
+def _linked(spark, sf):
+    """Clusters of full name, first name and two words of the text, over the samples that name a person."""
     s = samples(spark, sf)
     first = F.filter("entities", lambda e: e["label"] == "FIRSTNAME")
     last = F.filter("entities", lambda e: e["label"] == "SURNAME")
@@ -185,11 +185,29 @@ def coreference_links(spark, sf):
         F.array(F.struct(F.lit(1).alias("cluster_id"), F.lit("person").alias("entity_type"), mentions.alias("mentions"))),
     )
     linked = normalize.link_coreferences(privacy_mask(s.withColumn("coreferences", clusters.cast(normalize.CLUSTERS))))
-    result = F.col("predictions")[0]["result"]
-    return linked.select(
+    return linked.select("doc_id", F.col("predictions")[0]["result"].alias("result"))
+
+
+def coreference_links(spark, sf):
+    return _linked(spark, sf).select(
         "doc_id",
-        F.size(F.filter(result, lambda r: r["type"] == "labels")).cast("bigint").alias("entries"),
-        F.size(F.filter(result, lambda r: r["type"] == "relation")).cast("bigint").alias("relations"),
+        F.size(F.filter("result", lambda r: r["type"] == "labels")).cast("bigint").alias("entries"),
+        F.size(F.filter("result", lambda r: r["type"] == "relation")).cast("bigint").alias("relations"),
+    )
+
+
+def coreference_entries(spark, sf):
+    rows = _linked(spark, sf).select("doc_id", F.explode("result").alias("r")).where("r.type = 'labels'")
+    return rows.select(
+        "doc_id", "r.id", F.col("r.value.start").cast("bigint").alias("start"), F.col("r.value.text").alias("value"),
+        F.array_join("r.value.labels", ",").alias("label"),
+    )
+
+
+def coreference_relations(spark, sf):
+    found = _linked(spark, sf).select("doc_id", F.filter("result", lambda r: r["type"] == "relation").alias("found"))
+    return found.select("doc_id", F.posexplode("found").alias("i", "r")).select(
+        "doc_id", F.col("i").cast("bigint").alias("i"), "r.from_id", "r.to_id", "r.direction"
     )
 
 
@@ -431,7 +449,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_simplified, normalize_tasks, audit_samples, training_samples, load_report, foreign_samples,
-        occurrences, annotation_tasks, coreference_links, mention_types, mention_shapes, task_metadata,
+        occurrences, annotation_tasks, coreference_links, coreference_entries, coreference_relations, mention_types, mention_shapes, task_metadata,
         batch_status, batch_samples, ner_results, review_samples, unicode_escapes, batch_requests,
         dataset_profile, document_lengths, language_distribution, country_distribution, label_distribution,
         non_standard_labels, label_pairs, all_label_pairs, value_diversity, top_values, card_countries,
@@ -453,6 +471,59 @@ def oracles() -> dict[str, str]:
   SELECT lc.doc_id, lc.language, lc.country, t.text, coalesce(a.labels, '') AS labels, coalesce(a.all_labels, '') AS all_labels,
     coalesce(a.n, 0)::BIGINT AS n, coalesce(a.cl, 0)::BIGINT AS cl
   FROM lc JOIN gold_text t ON t.doc_id = lc.doc_id LEFT JOIN a ON a.doc_id = lc.doc_id
+)"""
+    # Claims of the mask, then four mentions one after the other: entries so far, and what a mention found.
+    links = f"""WITH RECURSIVE {gold}, mk AS (
+  SELECT g.doc_id, g.original, g.label, t.text, row_number() OVER (PARTITION BY g.doc_id ORDER BY g.s) AS i
+  FROM gold g JOIN gold_text t ON t.doc_id = g.doc_id
+), st AS (
+  SELECT doc_id, 0::BIGINT AS i, []::BIGINT[] AS used, []::STRUCT(s BIGINT, v VARCHAR, l VARCHAR)[] AS out FROM gold_text
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END,
+    CASE WHEN p IS NULL THEN out ELSE list_append(out, {{'s': p, 'v': original, 'l': label}}) END
+  FROM (SELECT st.doc_id, mk.i, st.used, st.out, mk.original, mk.label,
+      list_min(list_filter(range(0, length(mk.text)::BIGINT), lambda p: substr(mk.text, p + 1, length(mk.original)) = mk.original
+        AND NOT list_contains(st.used, p))) AS p
+    FROM st JOIN mk ON mk.doc_id = st.doc_id AND mk.i = st.i + 1)
+), fin AS (SELECT doc_id, arg_max(out, i) AS out FROM st GROUP BY doc_id),
+e0 AS (SELECT doc_id, generate_subscripts(out, 1) AS n, unnest(out).s AS ps, unnest(out).v AS value, unnest(out).l AS label, true AS used FROM fin),
+who AS (
+  SELECT doc_id, first(original ORDER BY s) FILTER (label = 'FIRSTNAME') AS f, first(original ORDER BY s) FILTER (label = 'SURNAME') AS l
+  FROM gold GROUP BY doc_id HAVING count(*) FILTER (label = 'FIRSTNAME') > 0
+), men AS (
+  SELECT doc_id, unnest([1, 2, 3, 4]) AS j, unnest([concat_ws(' ', f, l), f, 'you', 'The']) AS value, f AS head, l IS NOT NULL AS several FROM who
+), hit AS (
+  SELECT m.*, t.text, CASE WHEN regexp_matches(t.text, '\\b' || value || '\\b') THEN '' ELSE '(?i)' END || '\\b' || value || '\\b' AS rx
+  FROM men m JOIN gold_text t ON t.doc_id = m.doc_id
+), cut AS (
+  SELECT doc_id, j, value, head, several AND j = 1 AS several, unnest(regexp_extract_all(text, rx)) AS v, unnest(string_split_regex(text, rx)) AS g,
+    generate_subscripts(string_split_regex(text, rx), 1) AS i FROM hit
+), spot AS (
+  SELECT doc_id, j, value, head, several, (sum(length(g) + length(v)) OVER (PARTITION BY doc_id, j ORDER BY i))::BIGINT - length(v) AS ps
+  FROM cut WHERE v IS NOT NULL
+)"""
+    for j in range(1, 5):
+        links += f""", a{j} AS (
+  SELECT s.doc_id, s.value, s.ps, k.n AS known, CASE WHEN k.n IS NOT NULL THEN 'known' WHEN s.several AND h.n IS NOT NULL THEN 'bare'
+    WHEN u.doc_id IS NULL THEN 'label' END AS act
+  FROM spot s LEFT JOIN e{j - 1} k ON k.doc_id = s.doc_id AND k.value = s.value AND k.ps = s.ps
+  LEFT JOIN e{j - 1} h ON h.doc_id = s.doc_id AND h.value = s.head AND h.ps = s.ps
+  LEFT JOIN (SELECT DISTINCT doc_id, ps FROM e{j - 1} WHERE used) u ON u.doc_id = s.doc_id AND u.ps = s.ps
+  WHERE s.j = {j}
+), b{j} AS (
+  SELECT a.doc_id, a.value, a.ps, act, coalesce(c.n, 0) + row_number() OVER (PARTITION BY a.doc_id ORDER BY a.ps) AS n
+  FROM a{j} a LEFT JOIN (SELECT doc_id, count(*) AS n FROM e{j - 1} GROUP BY doc_id) c ON c.doc_id = a.doc_id WHERE act IN ('bare', 'label')
+), e{j} AS (
+  SELECT * FROM e{j - 1} UNION ALL SELECT doc_id, n, ps, value, CASE WHEN act = 'label' THEN 'PRONOUN' END, act = 'label' FROM b{j}
+), f{j} AS (
+  SELECT doc_id, value, ps, known AS n, {j} AS j FROM a{j} WHERE act = 'known' UNION ALL SELECT doc_id, value, ps, n, {j} FROM b{j}
+)"""
+    links += """, f AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3 UNION ALL SELECT * FROM f4),
+chain AS (
+  SELECT m.doc_id, f.n AS other, row_number() OVER (PARTITION BY m.doc_id ORDER BY m.j, f.j, f.ps) AS i
+  FROM men m JOIN f ON f.doc_id = m.doc_id AND f.value = m.value
+), rel AS (
+  SELECT c.doc_id, c.i - 2 AS i, c.other, h.other AS head FROM chain c JOIN chain h ON h.doc_id = c.doc_id AND h.i = 1 WHERE c.i > 1
 )"""
     profile = """SELECT count(*) AS total_samples, count_if(n = 0)::BIGINT AS unannotated, sum(n)::BIGINT AS entity_total, round(avg(n), 4) AS entity_avg,
   min(n) AS entity_min, max(n) AS entity_max, min(length(text))::BIGINT AS text_len_min, max(length(text))::BIGINT AS text_len_max,
@@ -572,6 +643,12 @@ b AS (SELECT doc_id, start, unnest(hits) AS v, unnest(gaps) AS g, generate_subsc
 bb AS (SELECT doc_id, start, v, i, sum(length(g) + length(v)) OVER (PARTITION BY doc_id, start ORDER BY i) - length(v) AS p FROM b WHERE v IS NOT NULL),
 wa AS (SELECT doc_id, start, string_agg(p::BIGINT::VARCHAR, ',' ORDER BY i) AS word_at FROM bb GROUP BY doc_id, start)
 SELECT la.doc_id, la.start, lead_at, coalesce(word_at, '') AS word_at FROM la LEFT JOIN wa ON wa.doc_id = la.doc_id AND wa.start = la.start""",
+        "coreference_links": f"""{links}, e AS (SELECT doc_id, count(*) AS n FROM e4 GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n FROM rel GROUP BY doc_id)
+SELECT t.doc_id, coalesce(e.n, 0) AS entries, coalesce(r.n, 0) AS relations
+FROM gold_text t LEFT JOIN e ON e.doc_id = t.doc_id LEFT JOIN r ON r.doc_id = t.doc_id""",
+        "coreference_entries": f"""{links} SELECT doc_id, 'ent-' || n AS id, ps AS start, value, coalesce(label, '') AS label FROM e4""",
+        "coreference_relations": f"""{links} SELECT doc_id, i, 'ent-' || other AS from_id, 'ent-' || head AS to_id, 'right' AS direction FROM rel""",
         "annotation_tasks": f"""WITH RECURSIVE {gold}, {other}, mk AS (
   SELECT o.doc_id, o.original, o.label, t.text, row_number() OVER (PARTITION BY o.doc_id ORDER BY {order}) AS i
   FROM other o JOIN gold_text t ON t.doc_id = o.doc_id

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from pii_spark.operators import audit_log, batches, normalize, payloads
-from pii_spark.operators.normalize import link_sample
 from pii_spark.sources import readers, scratch, vault_store, writers
 from pii_spark.streaming import streams
 
@@ -200,23 +199,6 @@ def test_display_forms(spark):
     assert row.label == "Request (To Anthropic)" and row.none == "None" and row.empty == "No message content"
 
 
-def entries(result):
-    return [(e["value"]["start"], e["value"]["text"], e["value"]["labels"]) for e in result if e["type"] == "labels"]
-
-
-def test_link_sample():
-    text = "Ann Lee called. She said Ann is here."
-    mask = [{"value": "Ann", "label": "FIRSTNAME"}, {"value": "Lee", "label": "SURNAME"}]
-    cluster = {"entity_type": "person", "mentions": [{"text": "Ann Lee"}, {"text": "she"}, {"text": "He"}]}
-    out = link_sample(text, mask, [cluster])
-    assert entries(out) == [(0, "Ann", ["FIRSTNAME"]), (4, "Lee", ["SURNAME"]), (0, "Ann Lee", []), (16, "she", ["PRONOUN"])]
-    assert [(r["from_id"], r["to_id"]) for r in out if r["type"] == "relation"] == [("ent-4", "ent-3")]
-    org = {"entity_type": "organization", "mentions": [{"text": "it"}]}
-    assert entries(link_sample("it is it", [], [org])) == [(0, "it", ["REFERENCE"]), (6, "it", ["REFERENCE"])]
-    near = {"entity_type": None, "mentions": [{"text": "The boss", "privacy_mask_labels": ["FIRSTNAME"]}]}
-    assert entries(link_sample("The boss Ann", [{"value": "Ann", "label": "FIRSTNAME"}], [near]))[1] == (0, "The boss", [])
-
-
 def test_foreign_import(spark):
     rows = [("Bob in Rome, Bob", [("Bob", "GIVENNAME1", 0, 3), ("Rome", "CITY", None, None), ("x", "CITY", None, None), ("Rome", "CITY", 0, 4), ("Bob", "SEX", 0, 3)], None), ("nothing", [("no", "TITLE", 0, 2)], "German"), ("", [("a", "CITY", 0, 1)], "x")]
     df = spark.createDataFrame(rows, "source_text string, privacy_mask array<struct<value:string,label:string,start:int,end:int>>, language string")

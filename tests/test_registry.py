@@ -32,8 +32,7 @@ def test_query_equals_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    # The order-dependent linking of mentions has no SQL form; its cases are in test_exchanges.
-    assert set(registry.QUERIES) - set(registry.oracles()) == {"coreference_links"}
+    assert set(registry.QUERIES) == set(registry.oracles())
     assert set(registry.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
