@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.offsets import bind, let, let_sql
+from pii_spark.functions.offsets import bind, let, let_sql, text_literal
 from pii_spark.functions.spans import ENTITIES, code_points, entity, merge_spans, trim_bounds
 from pii_spark.operators.detect import check_threshold
 
@@ -131,32 +131,37 @@ _TOGETHER = 64  # sequences per Viterbi run; bounds its memory
 def decode_logits(chunks: DataFrame, labels: list[str], crf: dict | None = None) -> DataFrame:
     """Add ``decoded``, a (tag, confidence) per token: Viterbi over ``crf`` (transitions, start, end) or argmax.
 
+    Python returns two arrays a chunk; the tags get their names inside Spark.
+
     The CRF tables are a few thousand numbers and travel with the function. ``logits`` should be a
     stored column: Spark does not run a Python function on an expression with nested lambdas.
     """
-    names = np.array(labels, dtype=object)
     tables = None
     if crf is not None:
         tables = tuple(np.asarray(crf[k], dtype=np.float64) for k in ("transitions", "start", "end"))
+    width = len(labels)
 
-    @F.pandas_udf("array<struct<tag:string,confidence:double>>")
-    def decode(logits: pd.Series) -> pd.Series:
-        def named(scores: np.ndarray, path: np.ndarray) -> list[dict]:
-            weights = np.exp(scores - scores.max(axis=1, keepdims=True))
-            picked = weights[np.arange(len(path)), path] / weights.sum(axis=1)
-            return [{"tag": t, "confidence": c} for t, c in zip(names[path], picked.tolist())]
-
-        out: list[list[dict]] = []
+    @F.pandas_udf("struct<path:array<int>,confidence:array<double>>")
+    def decode(logits: pd.Series) -> pd.DataFrame:
+        found, sure = [], []
         for first in range(0, len(logits), _TOGETHER):
             some = [
-                np.asarray([] if x is None else x, dtype=np.float64).reshape(-1, len(names))
+                np.asarray([] if x is None else x, dtype=np.float64).reshape(-1, width)
                 for x in logits.iloc[first : first + _TOGETHER]
             ]
             paths = [s.argmax(axis=1) for s in some] if tables is None else viterbi(some, *tables)
-            out += [named(s, p) if len(p) else [] for s, p in zip(some, paths)]
-        return pd.Series(out)
-
-    return chunks.withColumn("decoded", decode("logits")).drop("logits")
+            for scores, path in zip(some, paths):
+                weights = np.exp(scores - scores.max(axis=1, keepdims=True, initial=-np.inf))
+                found.append(path.astype(np.int32))
+                sure.append(weights[np.arange(len(path)), path] / weights.sum(axis=1))
+        return pd.DataFrame({"path": pd.Series(found, dtype=object), "confidence": pd.Series(sure, dtype=object)})
+
+    names = f"array({', '.join(text_literal(t) for t in labels)})"
+    named = (
+        f"transform(_path.path, (k, i) -> named_struct('tag', get({names}, k), 'confidence', get(_path.confidence, i)))"
+    )
+    out = chunks.withColumn("_path", decode("logits"))
+    return out.withColumn("decoded", F.expr(named)).drop("logits", "_path")
 
 
 def _base(tag: Column) -> Column:
@@ -248,12 +253,13 @@ def group_spans(
 
 
 def decode_spans(
-    chunks: DataFrame, documents: DataFrame, labels: list[str], crf: dict | None = None,
-    key: str = "doc_id", threshold: float = fv.DEFAULT_THRESHOLD, policy: str = "confidence",
+    chunks: DataFrame, labels: list[str], crf: dict | None = None, key: str = "doc_id",
+    threshold: float = fv.DEFAULT_THRESHOLD, policy: str = "confidence",
 ) -> DataFrame:
-    """(key, text, entities): decode and group per chunk, merge across the chunks of a document.
+    """(key, entities) of every text with chunks: decode and group per chunk, merge across the chunks.
 
-    Only the found entities are shuffled to bring the chunks of a text together.
+    Only the found entities are shuffled to bring the chunks of a text together; they carry their own
+    texts, so the texts themselves stay where they are.
     """
     check_threshold(threshold)
     local = group_spans(F.col("text"), F.col("tokens"), F.col("decoded"), threshold)
@@ -268,9 +274,5 @@ def decode_spans(
         .agg(F.flatten(F.collect_list("entities")).alias("found"), F.count("*").alias("chunks"))
     )
     # A single chunk cannot overlap with another one and stays as it is.
-    resolved = F.when(F.col("found").isNull(), F.array().cast(ENTITIES)).when(
-        F.col("chunks") == 1, F.col("found")
-    ).otherwise(merge_spans(F.col("found"), policy))
-    return documents.select(key, "text").join(found, key, "left").select(
-        key, "text", resolved.alias("entities")
-    )
+    resolved = F.when(F.col("chunks") == 1, F.col("found").cast(ENTITIES)).otherwise(merge_spans(F.col("found"), policy))
+    return found.select(key, resolved.alias("entities"))

@@ -7,7 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pii_spark.functions import fixed_values as fv
-from pii_spark.functions.offsets import empty, find_matches, let, let_sql, overlap_groups_sql
+from pii_spark.functions.offsets import (
+    bind,
+    compute_once,
+    cut_sql,
+    empty,
+    find_matches,
+    let,
+    let_sql,
+    overlap_groups_sql,
+    pages_sql,
+)
 from pii_spark.functions.ranking import cut_lineage, mark_smallest
 
 WORD = r"[\p{L}\p{M}\p{N}_]+"
@@ -29,16 +39,11 @@ def tokenize_offsets(df: DataFrame, text: str = "text", limit: int | None = None
 
 def check_mask_offsets(text: Column, mask: Column) -> Column:
     """Mask entries whose text is at their offsets; missing offsets are an error."""
-    checked = F.transform(
-        mask,
-        lambda e: F.when(
-            e["start"].isNull() | e["end"].isNull(),
-            F.raise_error(F.concat(F.lit("privacy mask entry without offsets: "), F.coalesce(e["value"], F.lit("")))).cast(SPAN),
-        ).otherwise(e.cast(SPAN)),
-    )
-    return F.filter(
-        checked, lambda e: F.substring(text, e["start"] + 1, e["end"] - e["start"]) == e["value"]
-    )
+    missing = "raise_error(concat('privacy mask entry without offsets: ', coalesce(e.value, '')))"
+    given = f"transform(x.m, e -> CASE WHEN e.start IS NULL OR e.`end` IS NULL THEN CAST({missing} AS {SPAN}) ELSE e END)"
+    checked = bind(pages_sql("x.t"), "pages", f"filter({given}, e -> {cut_sql('pages', 'e.start', 'e.`end`')} = e.value)")
+    inputs = F.struct(text.alias("t"), mask.cast(f"array<{SPAN}>").alias("m"))
+    return let_sql(inputs, f"CASE WHEN size(x.m) > 0 THEN {checked} ELSE x.m END")
 
 
 def drop_overlaps(mask: Column) -> Column:
@@ -142,15 +147,24 @@ def bio_labels(tokens: Column, mask: Column) -> Column:
     )
 
 
-def align_bio(df: DataFrame, text: str = "text", mask: str = "privacy_mask", limit: int | None = None) -> DataFrame:
-    """Add ``tokens`` and ``tags``. Row-local: neither tokens nor spans are shuffled."""
+def align_bio(
+    df: DataFrame, text: str = "text", mask: str = "privacy_mask", limit: int | None = None, tags: str = "tags",
+    tokens: str | None = None,
+) -> DataFrame:
+    """Add ``tokens`` and ``tags``; with ``tokens``, a column of them, the tags only.
+
+    Row-local: neither tokens nor spans are shuffled. Two annotations of one text are aligned in one
+    row, with the tokens of the first call.
+    """
     spans = let(check_mask_offsets(F.col(text), F.col(mask)), drop_overlaps)
+    if tokens is not None:
+        return df.withColumn(tags, bio_labels(F.col(tokens), spans))
     both = let(
         tokens_of(F.col(text), limit=limit),
         lambda ts: F.struct(ts.alias("tokens"), bio_labels(ts, spans).alias("tags")),
     )
-    out = df.withColumn("_b", both)
-    return out.withColumn("tokens", F.col("_b.tokens")).withColumn("tags", F.col("_b.tags")).drop("_b")
+    out = compute_once(df, "_b", both)
+    return out.withColumn("tokens", F.col("_b.tokens")).withColumn(tags, F.col("_b.tags")).drop("_b")
 
 
 def label_vocabulary(spark) -> DataFrame:

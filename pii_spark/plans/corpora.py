@@ -68,15 +68,24 @@ def second_annotation(gold: DataFrame) -> DataFrame:
     return gold.withColumn("entities", F.when(key % 7 == 0, F.concat(kept, extra)).otherwise(kept))
 
 
-def privacy_mask(df: DataFrame) -> DataFrame:
-    """``entities`` as the simplified ``privacy_mask``."""
-    mask = F.transform(
-        "entities",
+def mask_of(entities: str) -> Column:
+    return F.transform(
+        entities,
         lambda e: F.struct(
             e["text"].alias("value"), e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end")
         ),
     )
-    return df.withColumn("privacy_mask", mask).drop("entities")
+
+
+def privacy_mask(df: DataFrame) -> DataFrame:
+    """``entities`` as the simplified ``privacy_mask``."""
+    return df.withColumn("privacy_mask", mask_of("entities")).drop("entities")
+
+
+def both_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples with their own ``gold`` entities and those of the second annotator, in one row."""
+    gold = samples(spark, sf_dir)
+    return second_annotation(gold.withColumn("gold", F.col("entities")))
 
 
 def file_name(key: Column) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pii_spark.functions import fixed_values as fv
 from pii_spark.functions.dummies import hash_draw
 from pii_spark.functions.spans import replace_spans, with_dummies
 from pii_spark.operators import decode, detect, evaluate, prepare, review
 from pii_spark.plans import oracle_parts as sql
 from pii_spark.plans.corpora import (
-    detected_documents, documents, file_name, privacy_mask, samples, second_annotation, table,
+    both_annotations, detected_documents, documents, file_name, mask_of, privacy_mask, samples, second_annotation, table,
 )
 
 DECODED = ["EMAIL", "PHONENUMBER", "CREDITCARDNUMBER", "SECURITYTOKEN", "IPV4"]
@@ -81,10 +82,9 @@ def roundtrip_rates(spark, sf):
 
 
 def tag_metrics(spark, sf):
-    gold = samples(spark, sf)
-    a = prepare.align_bio(privacy_mask(gold)).select("doc_id", F.col("tags").alias("gold_tags"))
-    b = prepare.align_bio(privacy_mask(second_annotation(gold))).select("doc_id", F.col("tags").alias("predicted_tags"))
-    return evaluate.tag_metrics(a.join(b, "doc_id"))
+    both = both_annotations(spark, sf).select("text", mask_of("gold").alias("own"), mask_of("entities").alias("other"))
+    tagged = prepare.align_bio(both, mask="own", tags="gold_tags")
+    return evaluate.tag_metrics(prepare.align_bio(tagged, mask="other", tags="predicted_tags", tokens="tokens"))
 
 
 def decoder_parity(spark, sf):
@@ -108,16 +108,19 @@ def topk_labels(spark, sf):
 
 
 def smoke_labels(spark, sf):
-    gold = samples(spark, sf)
-    found = second_annotation(gold).select("doc_id", F.transform("entities", lambda e: e["label"]).alias("detected"))
-    both = gold.select("doc_id", F.array_distinct(F.transform("entities", lambda e: e["label"])).alias("expected")).join(found, "doc_id")
+    both = both_annotations(spark, sf).select(
+        "doc_id", F.array_distinct(F.transform("gold", lambda e: e["label"])).alias("expected"),
+        F.transform("entities", lambda e: e["label"]).alias("detected"),
+    )
     s = evaluate.smoke_labels(both)
     return s.select("doc_id", "passed", F.array_join("missing", ",").alias("missing"))
 
 
-def score_chunks(spark, sf):
-    """Chunk rows of the documents with scores that favour the rule detector's tags."""
+def score_chunks(spark, sf, change=None):
+    """Chunk rows of the documents with scores that favour the rule detector's tags, or ``change`` of them."""
     spans = prepare.align_bio(privacy_mask(detected_documents(spark, sf))).select("doc_id", "text", "tokens", "tags")
+    if change is not None:
+        spans = spans.withColumn("tags", F.expr(change))
     pieces = decode.chunk_tokens(spans, parallel=("tags",))
     names = F.array(*[F.lit(t) for t in TAGS])
     rows = [[8.0 if i == j else 0.0 for j in range(len(TAGS))] for i in range(len(TAGS))]
@@ -129,6 +132,21 @@ def score_chunks(spark, sf):
     return pieces.withColumn("logits", F.flatten(F.transform("tags", scores))).drop("tags")
 
 
+#: Joiners inside an entity lose their tag, as a model leaves them; decoding bridges them.
+_NO_JOINERS = (
+    "transform(tags, (t, i) -> CASE WHEN t LIKE 'I-%' AND get(tags, i + 1) = t AND "
+    f"translate(get(tokens, i).text, '{fv.JOINER_CHARS}', '') = '' THEN 'O' ELSE t END)"
+)
+
+#: A mark right behind an entity, ahead of a blank or the end, is tagged as its part; trimming drops it.
+_WITH_MARKS = (
+    "transform(tags, (t, i) -> CASE WHEN t = 'O' AND get(tags, i - 1) <> 'O' AND get(tokens, i).start = get(tokens, i - 1).`end` "
+    "AND get(tokens, i).text IN (',', '.', ';', ':', '!', '?') AND get(tokens, i - 1).text NOT IN (',', '.', ';', ':', '!', '?') "
+    "AND substring(text, get(tokens, i).`end` + 1, 1) IN ('', ' ', '\\t', '\\n', '\\r') "
+    "THEN concat('I-', substring(get(tags, i - 1), 3)) ELSE t END)"
+)
+
+
 def _crf():
     n = len(TAGS)
     transitions = [[0.0] * n for _ in range(n)]
@@ -138,9 +156,9 @@ def _crf():
     return {"transitions": transitions, "start": [0.0] * n, "end": [0.0] * n}
 
 
-def _decoded(spark, sf, crf):
-    d = decode.decode_spans(score_chunks(spark, sf), documents(spark, sf), TAGS, crf)
-    rows = detect.explode_entities(d.select("doc_id", "entities"), "doc_id")
+def _decoded(spark, sf, crf, change=None):
+    d = decode.decode_spans(score_chunks(spark, sf, change), TAGS, crf)
+    rows = detect.explode_entities(d, "doc_id")
     return rows.select("doc_id", F.col("text").alias("value"), "label", F.col("start").cast("bigint").alias("start"), F.round("confidence", 4).alias("confidence"))
 
 
@@ -152,6 +170,14 @@ def decode_argmax(spark, sf):
     return _decoded(spark, sf, None)
 
 
+def decode_bridged(spark, sf):
+    return _decoded(spark, sf, None, _NO_JOINERS)
+
+
+def decode_trimmed(spark, sf):
+    return _decoded(spark, sf, None, _WITH_MARKS)
+
+
 def detect_with_model(spark, sf):
     """The model hook, with a small stand-in model that finds e-mail-like words."""
 
@@ -250,7 +276,7 @@ QUERIES = {
     for f in (
         span_prf, span_micro_macro, worst_labels, rule_prf, relaxed_prf, explain_sample, latency_percentiles,
         latency_overall, status_buckets, roundtrip_rates, tag_metrics, decoder_parity, logit_diff, topk_labels,
-        smoke_labels, decode_spans, decode_argmax, detect_with_model, annotation_diff, audit_counts,
+        smoke_labels, decode_spans, decode_argmax, decode_bridged, decode_trimmed, detect_with_model, annotation_diff, audit_counts,
         issue_breakdown, noisiest_files, example_issues, corrected_samples, ledger_merge, ledger_rows,
         unreviewed, filter_by_ledger,
     )
@@ -389,6 +415,8 @@ SELECT vec_id, (rn - 1)::BIGINT AS pos, 'L' || i AS label, round(p, 6) AS probab
 SELECT t.doc_id, ms.missing IS NULL AS passed, coalesce(ms.missing, '') AS missing FROM gold_text t LEFT JOIN ms ON ms.doc_id = t.doc_id""",
         "decode_spans": decoded,
         "decode_argmax": decoded,
+        "decode_bridged": decoded,
+        "decode_trimmed": decoded,
         "detect_with_model": r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}'))::BIGINT AS n, true AS ok FROM documents""",
         "annotation_diff": f"{rev} SELECT file_name, issue_type, value, original_label, suggested_label, detail FROM det",
         "audit_counts": f"""{files} SELECT count(*) AS total, count_if(n = 0)::BIGINT AS clean, count_if(n > 0)::BIGINT AS dirty,
