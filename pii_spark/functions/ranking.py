@@ -10,6 +10,31 @@ from pyspark.sql import functions as F
 
 from pii_spark.sources.scratch import shared_folder
 
+
+def running_counts(counts: DataFrame, by: list[str], order: list[str], count: str) -> DataFrame:
+    """Add ``_upto``, the running total of ``count`` by ``order``, and ``_total``, both per ``by``.
+
+    Rows are dealt to ranges of (by, order). The totals of the ranges, a row for each range and group,
+    give every range what comes ahead of it, so no window runs over more than the rows of a range or
+    the ranges of a group.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(
+        counts.repartitionByRange(parts, *by, *order).withColumn("_range", F.spark_partition_id())
+    )
+    totals = ranged.groupBy(*by, "_range").agg(F.sum(count).alias("_sum"))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    ahead = group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(
+        *by, "_range", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_start"), F.sum("_sum").over(group).alias("_total")
+    )
+    inside = W.partitionBy(*by, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return (
+        ranged.withColumn("_own", F.sum(count).over(inside)).join(starts, [*by, "_range"])
+        .withColumn("_upto", F.col("_own") + F.col("_start")).drop("_own", "_start", "_range")
+    )
+
+
 def mark_smallest(
     df: DataFrame,
     hashed: Column,
@@ -34,14 +59,16 @@ def mark_smallest(
         .withColumn("_f", F.lit(0) if first is None else first)
     )
     counts = keyed.groupBy(*cell).agg(F.count("*").alias("_c"))
-    window = W.partitionBy(*by) if by else W.partitionBy()
-    running = window.orderBy("_f", "_b").rowsBetween(W.unboundedPreceding, 0)
-    cut = (
-        counts.withColumn("_upto", F.sum("_c").over(running))
-        .withColumn("_k", wanted(F.sum("_c").over(window)))
-        .select(*cell, (F.col("_upto") - F.col("_c")).alias("_before"), "_upto", "_k")
+    if by or first is not None:
+        counts = running_counts(counts, by, ["_f", "_b"], "_c")
+    else:
+        # At most 65 536 cells.
+        whole = W.partitionBy()
+        running = whole.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+        counts = counts.withColumn("_upto", F.sum("_c").over(running)).withColumn("_total", F.sum("_c").over(whole))
+    cut = counts.withColumn("_k", wanted(F.col("_total"))).select(
+        *cell, (F.col("_upto") - F.col("_c")).alias("_before"), "_upto", "_k"
     )
-    # Without groups the cells number at most 65 536.
     placed = keyed.join(cut if by or first is not None else F.broadcast(cut), cell)
     split = (F.col("_before") < F.col("_k")) & (F.col("_upto") > F.col("_k"))
     whole = placed.where(~split).withColumn(flag, F.col("_upto") <= F.col("_k"))

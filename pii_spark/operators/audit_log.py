@@ -30,9 +30,10 @@ def transaction_id(key: Column) -> Column:
     return F.md5(F.concat(F.lit("transaction|"), key.cast("string")))
 
 
-def build_log_rows(tx: DataFrame, key: str) -> DataFrame:
+def build_log_rows(tx: DataFrame, key: str, directions: list[str] = fv.DIRECTIONS) -> DataFrame:
     """Four rows per transaction, in the order original and masked request, masked and restored
-    response. Needs ``ts, body, masked_body, response, restored_body, entities``."""
+    response. Needs ``ts, body, masked_body, response, restored_body, entities``; with fewer
+    ``directions``, only their rows are made, and only what they need is computed."""
     bodies = ["body", "masked_body", "response", "restored_body"]
     none = F.array().cast(DETECTED)
     found = F.transform(
@@ -47,7 +48,7 @@ def build_log_rows(tx: DataFrame, key: str) -> DataFrame:
             add_transaction_id(F.col(b), F.col("transaction_id")).alias("message"),
             (found if i < 2 else none).alias("detected_pii"),
         )
-        for i, (direction, b) in enumerate(zip(fv.DIRECTIONS, bodies))
+        for i, (direction, b) in enumerate(zip(fv.DIRECTIONS, bodies)) if direction in directions
     ])
     return (
         tx.withColumn("transaction_id", transaction_id(F.col(key)))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pii_spark.functions.offsets import let
+from pii_spark.functions.offsets import empty, groups_sql, let_sql
 from pii_spark.functions.ranking import exact_percentiles
 
 SPANS = "array<struct<start:int,end:int,label:string>>"
@@ -220,42 +220,29 @@ def roundtrip_rates(df: DataFrame) -> DataFrame:
 
 
 def strict_chunks(tags: Column) -> Column:
-    """Spans (first token, last token + 1, label) of IOB2 tags, strictly: only B opens a span."""
-    state = "struct<label:string,start:int,done:" + SPANS + ">"
-
-    def close(acc: Column, at: Column) -> Column:
-        return F.when(acc["label"].isNull(), acc["done"]).otherwise(
-            F.concat(
-                acc["done"],
-                F.array(F.struct(acc["start"].alias("start"), at.alias("end"), acc["label"].alias("label"))),
-            )
-        )
+    """Spans (first token, last token + 1, label) of IOB2 tags, strictly: only B opens a span.
 
-    def step(acc: Column, i: Column) -> Column:
-        tag = F.get(tags, i)
-        opens = tag.startswith("B-")
-        goes_on = tag == F.concat(F.lit("I-"), acc["label"])
-        opened = F.struct(F.substring(tag, 3, 1000).alias("label"), i.alias("start"), close(acc, i).alias("done"))
-        closed = F.struct(
-            F.lit(None).cast("string").alias("label"), F.lit(0).alias("start"), close(acc, i).alias("done")
-        )
-        return F.when(opens, opened).when(F.coalesce(goes_on, F.lit(False)), acc).otherwise(closed)
-
-    zero = F.struct(
-        F.lit(None).cast("string").alias("label"), F.lit(0).alias("start"), F.array().cast(SPANS).alias("done")
-    ).cast(state)
-    return F.when(F.size(tags) == 0, F.array().cast(SPANS)).otherwise(
-        F.aggregate(
-            F.sequence(F.lit(0), F.size(tags) - 1), zero, step, lambda acc: close(acc, F.size(tags))
-        )
+    Tagged tokens are parted where one begins a span, does not touch the one before or has another
+    label; parts that begin with I are no spans.
+    """
+    label = "substring(get(x, {}), 3)"
+    opens = (
+        "get(x, get(xs, i)) LIKE 'B-%' OR get(xs, i) <> get(xs, i - 1) + 1 "
+        f"OR {label.format('get(xs, i)')} <> {label.format('get(xs, i - 1)')}"
+    )
+    tagged = "filter(sequence(0, size(x) - 1), i -> get(x, i) LIKE 'B-%' OR get(x, i) LIKE 'I-%')"
+    spans = (
+        f"transform(filter({groups_sql(tagged, opens)}, g -> get(x, get(g, 0)) LIKE 'B-%'), g -> named_struct("
+        f"'start', get(g, 0), 'end', element_at(g, -1) + 1, 'label', {label.format('get(g, 0)')}))"
     )
+    return let_sql(tags, f"CASE WHEN size(x) > 0 THEN CAST({spans} AS {SPANS}) ELSE {empty(SPANS)} END")
 
 
 def tag_metrics(df: DataFrame, gold: str = "gold_tags", predicted: str = "predicted_tags") -> DataFrame:
     """Strict entity scores of two tag sequences: rows per label plus micro, macro and weighted."""
     pairs = df.select(
-        F.lit(0).alias("doc_id"), let(F.col(gold), strict_chunks).alias("gold"),
-        let(F.col(predicted), strict_chunks).alias("predicted"),
+        F.lit(0).alias("doc_id"), strict_chunks(F.col(gold)).alias("gold"),
+        strict_chunks(F.col(predicted)).alias("predicted"),
     )
     labels = add_prf(span_confusion(pairs), None).withColumn("support", F.col("tp") + F.col("fn"))
     # Every label row counts for itself and for the three averages, so the scores are computed once.

@@ -109,11 +109,21 @@ def best_entities(tokens: Column, mask: Column) -> Column:
             lambda acc: acc["e"],
         )
 
+    def bounds(spans: Column) -> Column:
+        return F.struct(
+            pages(spans).alias("book"), F.array_min(F.transform(spans, lambda e: e["start"])).alias("first"),
+            F.array_max(F.transform(spans, lambda e: e["end"])).alias("last"),
+        )
+
+    # Tokens ahead of the first span and behind the last one need no look.
+    def near(t: Column, b: Column) -> Column:
+        return F.when((t["end"] > b["first"]) & (t["start"] < b["last"]), best(t, b["book"]))
+
     none = F.transform(tokens, lambda t: F.lit(None).cast(SPAN))
     return let(
         ordered,
         lambda spans: F.when(F.size(spans) == 0, none).otherwise(
-            let(pages(spans), lambda book: F.transform(tokens, lambda t: best(t, book)))
+            let(bounds(spans), lambda b: F.transform(tokens, lambda t: near(t, b)))
         ),
     )
 

@@ -99,6 +99,11 @@ def transactions(spark, sf):
     return audit_log.build_log_rows(restored(spark, sf), "tkey")
 
 
+def request_rows(spark, sf):
+    """The log's rows of original requests alone, without their answers."""
+    return audit_log.build_log_rows(masked_requests(spark, sf), "tkey", ["request_original"])
+
+
 def log(spark, sf):
     return audit_log.to_log(transactions(spark, sf))
 

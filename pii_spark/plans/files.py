@@ -212,7 +212,7 @@ def event_windows(spark, sf):
 
 def pii_rate_windows(spark, sf):
     """Entities per label and hour over the request log."""
-    log = exchanges.transactions(spark, sf).where(F.col("direction") == "request_original")
+    log = exchanges.request_rows(spark, sf)
     hits = log.select("timestamp", F.explode("detected_pii").alias("d")).select(F.col("timestamp").alias("ts"), F.col("d.pii_type").alias("label"))
     out = streams.pii_rate_windows(hits, length="1 hour")
     return out.select(F.unix_timestamp("window_start").alias("window_start"), "label", "n")

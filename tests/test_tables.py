@@ -201,3 +201,18 @@ def test_label_draw_closes_addresses(spark):
         assert len(r.labels) >= 4 and (not hit or hit == set(fv.ADDRESS_LABELS))
     named = sum("SURNAME" in r.labels for r in rows)
     assert named > sum("IBAN" in r.labels for r in rows)
+
+
+def test_running_counts_in_ranges(spark):
+    """Many cells of one group: the windows run over ranges, and the totals are those of one scan."""
+    from pii_spark.functions.ranking import running_counts
+
+    rows = [("big" if i % 3 else f"g{i % 5}", i * 7919 % 5000, i % 4 + 1) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, f long, c long")
+    got = {(r.g, r.f): (r["_upto"], r["_total"]) for r in running_counts(df, ["g"], ["f"], "c").collect()}
+    totals, want = {}, {}
+    for g, f, c in sorted(rows):
+        totals[g] = totals.get(g, 0) + c
+        want[g, f] = totals[g]
+    assert got == {k: (v, totals[k[0]]) for k, v in want.items()}
+    assert running_counts(df.limit(0), ["g"], ["f"], "c").count() == 0
