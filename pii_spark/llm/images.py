@@ -26,6 +26,12 @@ DIFFERING, VOTE_CELL, AGREEING = 20, 16, 5
 #: corners that a cell should hold, and the most of each side that are compared in one step.
 MEETING, CELL, BLOCK = 0.9, 1024, 32_768
 
+#: Nearest corners that vouch for a corner; corners more rows apart than ``AROUND`` are no neighbours. Bits
+#: of a neighbour's descriptor that are kept, how many of them may differ, pixels of a step in which
+#: its place is kept, and steps by which that may differ.
+NEIGHBOURS, AROUND = 4, 2 * TILE
+SKETCH, SKETCH_DIFFERING, STEP, STEPS = 15, 3, 2, 2
+
 IMAGE = "image_id long, height int, width int, pixels binary"
 
 
@@ -92,8 +98,41 @@ def _corners(block: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.
     return image[keep], y[keep] + MARGIN, x[keep] + MARGIN
 
 
+def _neighbours(image: np.ndarray, y: np.ndarray, x: np.ndarray, angle: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """What vouches for each corner: the nearest corners of its image, 31 bits each; fewer are filled up with -1.
+
+    From the lowest bit on: the sketch of the neighbour's descriptor, its place across and down in steps
+    (6 bits each), and its angle in sixteenths of a turn, the last three relative to the corner's direction.
+    """
+    out = np.full((len(image), NEIGHBOURS), -1, np.int64)
+    order = np.lexsort((x, y, image))
+    starts = np.searchsorted(image[order], np.unique(image))
+    for own in np.split(order, starts[1:]):
+        rows, columns = y[own], x[own]
+        for begin in range(0, len(own), 256):
+            part = np.arange(begin, min(begin + 256, len(own)))
+            low, high = np.searchsorted(rows, [rows[part[0]] - AROUND, rows[part[-1]] + AROUND + 1])
+            dy, dx = rows[None, low:high] - rows[part, None], columns[None, low:high] - columns[part, None]
+            # Ties go by place, which sorting has fixed.
+            far = dy * dy + dx * dx
+            far[np.abs(dy) > AROUND] = 1 << 40
+            far[part - begin, part - low] = 1 << 41
+            nearest = np.argsort(far, axis=1, kind="stable")[:, :NEIGHBOURS]
+            far, dy, dx = (np.take_along_axis(a, nearest, axis=1) for a in (far, dy, dx))
+            other, turn = own[low + nearest], angle[own[part], None]
+            c, s = np.cos(2 * math.pi * turn / ANGLES), np.sin(2 * math.pi * turn / ANGLES)
+            across, down = (
+                np.clip(np.rint(v / STEP).astype(np.int64) + 32, 0, 63) for v in (c * dx + s * dy, c * dy - s * dx)
+            )
+            about = (angle[other] - turn) % ANGLES * 16 // ANGLES
+            packed = sketches[other] | across << SKETCH | down << SKETCH + 6 | about << SKETCH + 12
+            out[own[part], : nearest.shape[1]] = np.where(far < 1 << 40, packed, -1)
+    return out
+
+
 def describe(block: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """For images (n, height, width) of one size, per halving until they are too small: image, x, y, angle and descriptor of each corner."""
+    """For images (n, height, width) of one size, per halving until they are too small: image, level, x, y, angle, descriptor
+    and neighbours of each corner."""
     block, out = block.astype(np.int64), []
     level = 0
     while min(block.shape[1:]) > 2 * MARGIN:
@@ -105,7 +144,9 @@ def describe(block: np.ndarray) -> list[tuple[np.ndarray, ...]]:
         where = _TESTS[angle]
         value = smooth[image[:, None, None], y[:, None, None] + where[..., 0], x[:, None, None] + where[..., 1]]
         bits = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1).reshape(-1, BITS // 8)
-        out.append((image, np.full(len(image), level), x << level, y << level, angle, bits.view(np.int64).reshape(-1, BITS // 64)))
+        words = bits.view(np.int64).reshape(-1, BITS // 64)
+        near = _neighbours(image, y, x, angle, words[:, 0] & (1 << SKETCH) - 1)
+        out.append((image, np.full(len(image), level), x << level, y << level, angle, words, near))
         h, w = (s // 2 * 2 for s in block.shape[1:])
         small = block[:, :h, :w]
         block = (small[:, ::2, ::2] + small[:, 1::2, ::2] + small[:, ::2, 1::2] + small[:, 1::2, 1::2]) // 4
@@ -113,7 +154,7 @@ def describe(block: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     return out
 
 
-_CORNER = "array<struct<level:int,x:int,y:int,angle:int,d:array<long>>>"
+_CORNER = "array<struct<level:int,x:int,y:int,angle:int,d:array<long>,near:array<long>>>"
 
 
 def described(images: DataFrame) -> DataFrame:
@@ -121,7 +162,7 @@ def described(images: DataFrame) -> DataFrame:
 
     Null images, and those whose pixels do not fill height and width, have no corners.
     """
-    kind = pa.list_(pa.struct([(f, pa.int32()) for f in ("level", "x", "y", "angle")] + [("d", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([(f, pa.int32()) for f in ("level", "x", "y", "angle")] + [(f, pa.list_(pa.int64())) for f in ("d", "near")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -136,9 +177,9 @@ def described(images: DataFrame) -> DataFrame:
                 for part in range(0, len(rows), at_once):
                     own = rows[part : part + at_once]
                     block = np.frombuffer(b"".join(pixels[i] for i in own), np.uint8).reshape(-1, h, w)
-                    for image, *fields, bits in describe(block):
-                        for i, level, x, y, angle, d in zip(image.tolist(), *(f.tolist() for f in fields), bits.tolist(), strict=True):
-                            found[own[i]].append({"level": level, "x": x, "y": y, "angle": angle, "d": d})
+                    for fields in describe(block):
+                        for i, level, x, y, angle, d, near in zip(*(f.tolist() for f in fields), strict=True):
+                            found[own[i]].append({"level": level, "x": x, "y": y, "angle": angle, "d": d, "near": near})
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(4), batch.column(5), pa.array(found, kind)], names=["image_id", "h1", "h2", "corners"]
             )
@@ -188,6 +229,21 @@ def near_descriptors(asked: np.ndarray, stored: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate(found_q), np.concatenate(found_i)
 
 
+def vouched(asked: np.ndarray, stored: np.ndarray) -> np.ndarray:
+    """Whether some neighbour on the one side looks and lies like one on the other, for rows of neighbours."""
+    out = np.zeros(len(asked), bool)
+    for k in range(NEIGHBOURS):
+        ours = asked[:, k, None]
+        near = (ours >= 0) & (stored >= 0)
+        differing = np.bitwise_count(((ours ^ stored) & (1 << SKETCH) - 1).view(np.uint32))
+        near &= differing <= SKETCH_DIFFERING
+        for shift in (SKETCH, SKETCH + 6):
+            near &= np.abs((ours >> shift & 63) - (stored >> shift & 63)) <= STEPS
+        turn = ((ours >> SKETCH + 12) - (stored >> SKETCH + 12)) & 15
+        out |= (near & ((turn <= 1) | (turn == 15))).any(axis=1)
+    return out
+
+
 _FIELDS = ("level", "x", "y", "angle")
 _POSTING = "table int, cell long, id long, n int, level int, x int, y int, angle int, d binary"
 _CELL_KEYS = ["table", "cell", "q_block", "i_block"]
@@ -207,7 +263,10 @@ def _postings(described_images: DataFrame, keyed: np.ndarray) -> DataFrame:
             n = pa.array((np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32))
             words = flat.field("d").flatten().to_numpy().reshape(-1, BITS // 64)
             cells = cell_keys(words, keyed)
-            packed = pa.array([row.tobytes() for row in words], pa.binary())
+            sketches = flat.field("near").flatten().to_numpy().astype(np.int32)
+            # The descriptor and its neighbours, as 32-bit numbers; -1 is none.
+            both = np.concatenate([words.view(np.uint8), sketches.view(np.uint8).reshape(len(words), -1)], axis=1)
+            packed = pa.array([row.tobytes() for row in both], pa.binary())
             for table in range(len(keyed)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(flat), table, np.int32)), pa.array(cells[:, table]), ids, n,
@@ -242,9 +301,13 @@ def _met(asked: DataFrame, stored: DataFrame, keyed: np.ndarray) -> DataFrame:
             asks = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
             if asks.all() or not asks.any():
                 continue
-            words = np.frombuffer(b"".join(group.column("d").to_pylist()), np.int64).reshape(-1, BITS // 64)
+            packed = np.frombuffer(b"".join(group.column("d").to_pylist()), np.uint8).reshape(len(asks), -1)
+            words = np.ascontiguousarray(packed[:, : BITS // 8]).view(np.int64)
+            sketches = np.ascontiguousarray(packed[:, BITS // 8 :]).view(np.int32)
             rows = np.flatnonzero(asks), np.flatnonzero(~asks)
             near = near_descriptors(words[rows[0]], words[rows[1]])
+            sure = vouched(sketches[rows[0][near[0]]], sketches[rows[1][near[1]]])
+            near = near[0][sure], near[1][sure]
             if len(near[0]):
                 sides = [group.select(["id", "n", *_FIELDS]).take(pa.array(r[m])) for r, m in zip(rows, near, strict=True)]
                 columns = [c.combine_chunks() for side in sides for c in side.columns]

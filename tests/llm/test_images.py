@@ -86,14 +86,37 @@ def test_near_descriptors_equal_brute_force(spark, monkeypatch):
 
     # Small blocks, so that the one common descriptor takes several; one table without bits, so that all meet.
     def table(words):
-        rows = [(k, [{"level": 0, "x": k, "y": 0, "angle": 0, "d": w}]) for k, w in enumerate(words.tolist())]
+        rows = [(k, [{"level": 0, "x": k, "y": 0, "angle": 0, "d": w, "near": [k % 3, -1, -1, -1]}]) for k, w in enumerate(words.tolist())]
         return spark.createDataFrame(rows, f"image_id long, corners {images._CORNER}").repartition(1)
 
     monkeypatch.setattr(images, "BLOCK", 100)
+    # Neighbours that are near each other: all of them differ in two bits at most.
     met = images._met(table(words), table(stored), images.tables(images.CELL)).collect()
     assert {(r["q_id"], r["i_id"]) for r in met} == want and all(r["q_x"] == r["q_id"] and r["i_x"] == r["i_id"] for r in met)
 
 
+def test_neighbours_vouch_for_corners():
+    rng = np.random.default_rng(4)
+    image, y, x = (a.astype(np.int64) for a in (rng.integers(0, 6, 900), rng.integers(0, 700, 900), rng.integers(0, 90, 900)))
+    angle, sketches = rng.integers(0, images.ANGLES, 900), rng.integers(0, 2**images.SKETCH, 900)
+    got = images._neighbours(image, y, x, angle, sketches)
+    mask = 2**images.SKETCH - 1
+    for i in range(900):
+        others = [j for j in np.flatnonzero(image == image[i]) if j != i and abs(y[j] - y[i]) <= images.AROUND]
+        nearest = sorted(others, key=lambda j: ((y[j] - y[i]) ** 2 + (x[j] - x[i]) ** 2, y[j], x[j]))[: images.NEIGHBOURS]
+        assert sorted(int(s) & mask for s in got[i] if s >= 0) == sorted(int(sketches[j]) for j in nearest)
+    assert got.max() < 2**31
+    lone = images._neighbours(*(np.array(a) for a in ([0, 1], [5, 5], [5, 5], [0, 0], [1, 2])))
+    assert (lone == -1).all()
+    # A quarter turn of corners and angles changes nothing but the order of those equally far.
+    turned = images._neighbours(image, 90 - x, y, (angle - images.ANGLES // 4) % images.ANGLES, sketches)
+    inner = [i for i in range(900) if 100 < y[i] < 600]
+    assert images.vouched(got[inner].astype(np.int32), turned[inner].astype(np.int32)).mean() > 0.95
+    other = rng.permutation(900)
+    assert images.vouched(got.astype(np.int32), got[other].astype(np.int32)).mean() < 0.05
+    assert not images.vouched(lone.astype(np.int32), lone.astype(np.int32)).any()
+
+
 def boxes(n, seed, side=96):
     """Pictures of boxes on a slope, as they are drawn by hand."""
     rng, out = np.random.default_rng(seed), []
