@@ -30,7 +30,7 @@ MEETING, CELL, BLOCK = 0.9, 1024, 32_768
 #: of a neighbour's descriptor that are kept, how many of them may differ, pixels of a step in which
 #: its place is kept, and steps by which that may differ.
 NEIGHBOURS, AROUND = 4, 2 * TILE
-SKETCH, SKETCH_DIFFERING, STEP, STEPS = 15, 3, 2, 2
+SKETCH, SKETCH_DIFFERING, STEP, STEPS = 15, 3, 2, 1
 
 IMAGE = "image_id long, height int, width int, pixels binary"
 
