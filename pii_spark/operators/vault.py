@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pii_spark.functions import fixed_values as fv
 from pii_spark.functions.dummies import generate_dummy
 from pii_spark.functions.offsets import let_sql
-from pii_spark.functions.ranking import cut_lineage
+from pii_spark.functions.ranking import cut_lineage, mark_smallest
 from pii_spark.functions.spans import first_by_key_sql
 
 VAULT_COLUMNS = [
@@ -186,5 +186,9 @@ def document_maps(entities: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def vault_trim(vault: DataFrame, max_rows: int = fv.MAX_VAULT_ROWS) -> DataFrame:
-    """The ``max_rows`` most recently used rows: a report-sized top-k, not a table-wide sort."""
-    return vault.orderBy(F.desc("last_accessed_at"), "original_pii").limit(max_rows)
+    """The ``max_rows`` most recently used rows, ties by original; however many, no task sorts them all."""
+    marked = mark_smallest(
+        vault, F.hex("original_pii"), lambda total: F.least(F.lit(max_rows), total), "original_pii",
+        first=-F.unix_micros("last_accessed_at"),
+    )
+    return marked.where("chosen").drop("chosen")
