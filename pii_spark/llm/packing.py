@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pii_spark.llm.bpe import byte_alphabet
-from pii_spark.llm.common import written
+from pii_spark.llm.common import free_name, written
 
 #: Pieces whose ids a task remembers, the longest one remembered, and bytes of text encoded at once.
 CACHED_PIECES, CACHED_BYTES, BYTES_AT_ONCE = 500_000, 48, 1 << 20
@@ -197,24 +197,27 @@ def pack(
 
     The pieces are dealt by hash of a row number into streams of about ``rows_per_stream``, whatever
     their ids, so no key can overfill one. Each stream is one online best fit, in which the longest
-    pieces arrive first. More pieces make more streams; each leaves a few sequences partly empty. An
-    empty table gives an empty result. ``pieces`` is written to the shared folder.
+    pieces arrive first. More pieces make more streams; each leaves a few sequences partly empty. Other
+    columns pass through whatever their names, nulls included; ``sequence_id`` and ``offset`` are
+    replaced. Equal rows are pieces of their own. An empty table gives an empty result. ``pieces`` is written to the shared folder.
     """
-    kept = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    row, made = free_name(pieces, "_row"), ("sequence_id", "offset")
+    rest = pieces.select(*[c for c in pieces.columns if c not in made])
+    kept = written(rest.withColumn(row, F.monotonically_increasing_id()), "pieces")
     streams = max(1, round(kept.count() / rows_per_stream))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "_row"], ascending=[False, True])
+        group = group.sort_values(["length", "row"], ascending=[False, True])
         bins, offsets = best_fit(group["length"].tolist(), capacity, open_bins)
-        base = int(group["_stream"].iloc[0]) << 32
-        return pd.DataFrame({"_row": group["_row"], "sequence_id": np.array(bins, "i8") + base, "offset": offsets})
+        base = int(group["stream"].iloc[0]) << 32
+        return pd.DataFrame({row: group["row"], "sequence_id": np.array(bins, "i8") + base, "offset": offsets})
 
     placed = (
-        kept.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(streams)).alias("_stream"))
-        .groupBy("_stream")
-        .applyInPandas(fill, "_row long, sequence_id long, offset long")
+        kept.select(F.col(row).alias("row"), "length", F.pmod(F.xxhash64(row), F.lit(streams)).alias("stream"))
+        .groupBy("stream")
+        .applyInPandas(fill, f"`{row}` long, sequence_id long, offset long")
     )
-    return kept.join(placed, "_row").drop("_row")
+    return kept.join(placed, row).drop(row)
 
 
 def packed_ids(packed: DataFrame) -> DataFrame:

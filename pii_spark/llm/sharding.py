@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pii_spark.llm.common import partitions, written
+from pii_spark.llm.common import free_name, partitions, written
 
 
 def text_bytes(text: str = "text", overhead: int = 16) -> Column:
@@ -23,41 +23,45 @@ def shard_by_bytes(sized: DataFrame, n_shards: int, size: str = "size") -> DataF
     the bytes into equal lengths and a row goes where its middle byte lies, so a shard deviates from
     the target by less than one row at each end. Shards are contiguous in the global order.
 
-    Nulls sort first. Equal rows are interchangeable and get neighbouring slots. Rows larger than a
+    Other columns pass through whatever their names; ``shard`` and ``slot`` are replaced. Nulls sort first. Equal rows are interchangeable and get neighbouring slots. Rows larger than a
     target leave the shards they span empty. An empty table gives an empty result. ``sized`` should
     hold no texts: the rows are written twice, as read and by range.
     """
     spark = sized.sparkSession
     order = [c for c in sized.columns if c != size]
+    part, taken, ahead_bytes, ahead_rows, total, place, first_place = (
+        free_name(sized, n) for n in ("_range", "_bytes", "_bytes_before", "_rows_before", "_total", "_place", "_first")
+    )
+    kept = [c for c in sized.columns if c not in ("shard", "slot")]
     # The range exchange samples its input; sampling a small written table spares a second scan of the texts.
     rows = written(sized, "shard-sizes")
     ranged = written(
-        rows.repartitionByRange(partitions(spark), *order, size).withColumn("_range", F.spark_partition_id()),
+        rows.repartitionByRange(partitions(spark), *order, size).withColumn(part, F.spark_partition_id()),
         "shard-ranges",
     )
-    totals = ranged.groupBy("_range").agg(F.sum(size).alias("_bytes"), F.count("*").alias("_rows"))
+    totals = ranged.groupBy(part).agg(F.sum(size).alias(taken), F.count("*").alias("n"))
     # One row per range: as many as shuffle partitions, whatever the number of documents.
-    ahead = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy()
     before = totals.select(
-        "_range",
-        F.coalesce(F.sum("_bytes").over(ahead), F.lit(0)).alias("_bytes_before"),
-        F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_rows_before"),
-        F.sum("_bytes").over(whole).alias("_total"),
+        part,
+        F.coalesce(F.sum(taken).over(ahead), F.lit(0)).alias(ahead_bytes),
+        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(ahead_rows),
+        F.sum(taken).over(whole).alias(total),
     )
-    inside = W.partitionBy("_range").orderBy(*order, size).rowsBetween(W.unboundedPreceding, 0)
-    end = F.sum(size).over(inside) + F.col("_bytes_before")
+    inside = W.partitionBy(part).orderBy(*order, size).rowsBetween(W.unboundedPreceding, 0)
+    end = F.sum(size).over(inside) + F.col(ahead_bytes)
     # Integer arithmetic in decimals: bytes times shards can exceed a long.
     middle = (2 * end - F.col(size)).cast("decimal(38,0)")
-    shard = F.floor(middle * n_shards / (2 * F.col("_total")).cast("decimal(20,0)")).cast("int")
-    placed = ranged.join(F.broadcast(before), "_range").select(
-        *sized.columns,
+    shard = F.floor(middle * n_shards / (2 * F.col(total)).cast("decimal(20,0)")).cast("int")
+    placed = ranged.join(F.broadcast(before), part).select(
+        *kept,
         F.least(shard, F.lit(n_shards - 1)).alias("shard"),
-        (F.row_number().over(inside) - 1 + F.col("_rows_before")).cast("long").alias("_place"),
+        (F.row_number().over(inside) - 1 + F.col(ahead_rows)).cast("long").alias(place),
     )
     placed = written(placed, "shard-places")
     # At most ``n_shards`` rows.
-    first = placed.groupBy("shard").agg(F.min("_place").alias("_first"))
+    first = placed.groupBy("shard").agg(F.min(place).alias(first_place))
     return placed.join(F.broadcast(first), "shard").select(
-        *sized.columns, "shard", (F.col("_place") - F.col("_first")).alias("slot")
+        *kept, "shard", (F.col(place) - F.col(first_place)).alias("slot")
     )

@@ -98,3 +98,13 @@ def test_pieces_and_sequences(spark, make_docs, tokenizer, words):
 def test_empty_table(spark, make_docs, tmp_path):
     make_docs([]).write.parquet(str(tmp_path / "documents.parquet"))
     assert op10_best_fit(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    df = spark.createDataFrame([(i, None if i == 3 else 50 - i, 100 + i, 7) for i in range(50)], "doc_id long, _row long, length long, offset long")
+    out = packing.pack(df)
+    assert out.columns == ["doc_id", "_row", "length", "sequence_id", "offset"]
+    assert sorted((r["doc_id"], r["_row"], r["length"]) for r in out.collect()) == [
+        (i, None if i == 3 else 50 - i, 100 + i) for i in range(50)
+    ]
+    assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0

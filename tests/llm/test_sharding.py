@@ -37,3 +37,12 @@ def test_query_over_the_small_tables(spark, tmp_path, make_docs):
     want = brute_force(rows, 40)
     assert sorted((r["doc_id"], r["text_crc32"], r["size"], r["shard"], r["slot"]) for r in got) == sorted(want)
     assert {(r["law"], r["grown_shard"]) for r in got} == {("bytes", None)}
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(i, 7 - i, "x", 16 + i, 99) for i in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, _range long, _place string, size long, shard long")
+    out = sharding.shard_by_bytes(df, 3)
+    assert out.columns == ["doc_id", "_range", "_place", "size", "shard", "slot"]
+    assert sorted((r["doc_id"], r["_range"], r["_place"], r["size"]) for r in out.collect()) == [r[:4] for r in rows]
+    assert {r["shard"] for r in out.collect()} <= {0, 1, 2}
