@@ -150,6 +150,30 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP8_SQL = """
+WITH tables AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([CAST(n AS BIGINT), 0, 1, 2, 3, 4, 5, 6, 7],
+    lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS crc),
+sized AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, hex(encode(coalesce(text, ''))) AS bytes FROM documents),
+summed AS (
+  SELECT doc_id, size, xor(4294967295, list_reduce(
+      list_concat([4294967295], list_transform(range(0, length(bytes), 2),
+        lambda i: (strpos('0123456789ABCDEF', bytes[i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', bytes[i + 2]) - 1)),
+      lambda c, byte: xor(crc[(xor(c, byte) & 255) + 1], c >> 8))) AS text_crc32
+  FROM sized, tables),
+placed AS (
+  SELECT *, sum(size) OVER w AS upto, sum(size) OVER () AS total
+  FROM summed WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+dealt AS (
+  SELECT *, CAST(least(39, (2 * upto - size) * 40 // (2 * total)) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt
+"""
+
+
 def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures drawn from all embeddings; an edited copy of every one whose id is divisible by 20 looks for its source."""
     # The vectors are few bytes, and the pictures much work: spread them first.
@@ -305,4 +329,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_line_spread": OP6_SQL, "op7_quote_links": OP7_SQL, "op11_merkle": OP11_SQL}
+    return {"op6_line_spread": OP6_SQL, "op7_quote_links": OP7_SQL, "op8_byte_shards": OP8_SQL, "op11_merkle": OP11_SQL}
