@@ -83,24 +83,29 @@ TEXT_FIELDS = ["messages", "contents", "system", "system_instruction", "systemIn
 NAMING_KEYS = ["type", "role", "media_type"]
 
 # Word pools of the dummy generators.
-EMAIL_FIRST = """
-jane john alex sam taylor casey jordan riley michael sarah david emily james emma robert olivia
-wei mei hiroshi yuki jin min raj priya amara kofi zara kwame nia jelani yusuf fatima omar layla
-ali nadia carlos maria diego sofia miguel lucia dmitri anna ivan katya alexei elena
-""".split()
-EMAIL_LAST = """
-doe smith johnson brown davis wilson moore taylor anderson thomas jackson white harris martin
-thompson chen wang kim nguyen tanaka yamamoto patel singh okonkwo diallo mensah osei abebe
-mohammed ahmed hassan khan ali garcia rodriguez martinez lopez gonzalez hernandez ivanov petrov
-kowalski novak horvat obrien murphy kelly sullivan
-""".split()
-EMAIL_DOMAINS = """
-example.com example.org example.net test.com test.org test.net invalid.com invalid.org
-""".split()
-USERNAME_PREFIXES = """
-user person member account demo guest customer client visitor subscriber participant contributor
-associate testuser sample
-""".split()
+EMAIL_FIRST = [
+    "jane", "john", "alex", "sam", "taylor", "casey", "jordan", "riley", "michael", "sarah",
+    "david", "emily", "james", "emma", "robert", "olivia", "wei", "mei", "hiroshi", "yuki", "jin",
+    "min", "raj", "priya", "amara", "kofi", "zara", "kwame", "nia", "jelani", "yusuf", "fatima",
+    "omar", "layla", "ali", "nadia", "carlos", "maria", "diego", "sofia", "miguel", "lucia",
+    "dmitri", "anna", "ivan", "katya", "alexei", "elena",
+]
+EMAIL_LAST = [
+    "doe", "smith", "johnson", "brown", "davis", "wilson", "moore", "taylor", "anderson", "thomas",
+    "jackson", "white", "harris", "martin", "thompson", "chen", "wang", "kim", "nguyen", "tanaka",
+    "yamamoto", "patel", "singh", "okonkwo", "diallo", "mensah", "osei", "abebe", "mohammed",
+    "ahmed", "hassan", "khan", "ali", "garcia", "rodriguez", "martinez", "lopez", "gonzalez",
+    "hernandez", "ivanov", "petrov", "kowalski", "novak", "horvat", "obrien", "murphy", "kelly",
+    "sullivan",
+]
+EMAIL_DOMAINS = [
+    "example.com", "example.org", "example.net", "test.com", "test.org", "test.net", "invalid.com",
+    "invalid.org",
+]
+USERNAME_PREFIXES = [
+    "user", "person", "member", "account", "demo", "guest", "customer", "client", "visitor",
+    "subscriber", "participant", "contributor", "associate", "testuser", "sample",
+]
 STREETS = [
     "Main St", "Oak Ave", "Maple Dr", "Park Blvd", "Elm Street", "Pine Road", "Cedar Lane",
     "Washington St", "Broadway", "Market St", "Church St", "Mill Road", "School Lane", "Lake Ave",
@@ -110,47 +115,61 @@ STREETS = [
     "Manor Road", "Park Lane", "The Crescent", "Green Lane", "Mill Lane", "New Road",
     "Chapel Street", "West End", "North Terrace",
 ]
-CITIES = """
-Springfield Riverside Greenville Fairview Madison Georgetown Salem Arlington Franklin Clinton
-Bristol Chester Dayton Kingston Newport Oakland Plymouth Burlington Manchester Lexington Milton
-Ashland Clayton Toronto Vancouver Calgary Ottawa Edmonton Winnipeg Halifax Victoria Regina
-Saskatoon Hamilton Kitchener London Windsor Birmingham Edinburgh Liverpool Leeds Sheffield
-Newcastle Nottingham Southampton Portsmouth Oxford Cambridge York Bath Brighton Cardiff Belfast
-Glasgow Aberdeen Dundee Swansea
-""".split()
-FIRST_NAMES = """
-John Jane Michael Sarah David Emily James Emma Robert Olivia William Elizabeth Richard Jennifer
-Thomas Jessica Charles Amanda Christopher Ashley Daniel Stephanie Matthew Nicole Anthony Melissa
-Wei Mei Hiroshi Yuki Jin Min Raj Priya Kenji Sakura Chen Li Aiko Takeshi Ananya Arjun
-Amara Kofi Zara Kwame Nia Jelani Amina Chioma Oluwaseun Aisha Tariq Imani Sekou Adaeze
-Yusuf Fatima Omar Layla Ali Nadia Hassan Mariam Khalid Zahra Ahmed Leila Ibrahim Yasmin
-Carlos Maria Diego Sofia Miguel Lucia Alejandro Valentina Fernando Camila Ricardo Isabella
-Andres Gabriela Dmitri Anna Ivan Katya Alexei Elena Nikolai Olga Sergei Natasha Vladimir Irina
-Mikhail Tatiana
-""".split()
-SURNAMES = """
-Smith Johnson Williams Brown Jones Garcia Miller Davis Martinez Wilson Anderson Taylor Thomas
-Moore Jackson Martin Lee Thompson White Harris Clark Lewis Robinson Walker Hall Young King Wright
-Hill Scott Chen Wang Li Zhang Liu Kim Park Choi Nguyen Tran Tanaka Yamamoto Suzuki Watanabe Patel
-Singh Sharma Kumar Okonkwo Diallo Mensah Osei Abebe Adeyemi Nkosi Mbeki Kamara Toure Dlamini
-Ndlovu Mohammed Ahmed Hassan Khan Ali Ibrahim Hussein Malik Nazari Hosseini Rahman Begum Rodriguez
-Lopez Gonzalez Hernandez Perez Sanchez Ramirez Torres Flores Rivera Gomez Diaz Reyes Morales Cruz
-Ortiz Ivanov Petrov Kowalski Novak Horvat Popov Volkov Kozlov Nowak Kovalenko Bondarenko
-Shevchenko O'Brien Murphy Kelly Sullivan O'Connor Walsh Ryan Byrne MacDonald Campbell Stewart
-Murray Fraser MacLeod
-""".split()
-URL_DOMAINS = "example test invalid localhost".split()
-URL_TLDS = "com org net edu gov info biz co io dev".split()
+CITIES = [
+    "Springfield", "Riverside", "Greenville", "Fairview", "Madison", "Georgetown", "Salem",
+    "Arlington", "Franklin", "Clinton", "Bristol", "Chester", "Dayton", "Kingston", "Newport",
+    "Oakland", "Plymouth", "Burlington", "Manchester", "Lexington", "Milton", "Ashland", "Clayton",
+    "Toronto", "Vancouver", "Calgary", "Ottawa", "Edmonton", "Winnipeg", "Halifax", "Victoria",
+    "Regina", "Saskatoon", "Hamilton", "Kitchener", "London", "Windsor", "Birmingham", "Edinburgh",
+    "Liverpool", "Leeds", "Sheffield", "Newcastle", "Nottingham", "Southampton", "Portsmouth",
+    "Oxford", "Cambridge", "York", "Bath", "Brighton", "Cardiff", "Belfast", "Glasgow", "Aberdeen",
+    "Dundee", "Swansea",
+]
+FIRST_NAMES = [
+    "John", "Jane", "Michael", "Sarah", "David", "Emily", "James", "Emma", "Robert", "Olivia",
+    "William", "Elizabeth", "Richard", "Jennifer", "Thomas", "Jessica", "Charles", "Amanda",
+    "Christopher", "Ashley", "Daniel", "Stephanie", "Matthew", "Nicole", "Anthony", "Melissa",
+    "Wei", "Mei", "Hiroshi", "Yuki", "Jin", "Min", "Raj", "Priya", "Kenji", "Sakura", "Chen", "Li",
+    "Aiko", "Takeshi", "Ananya", "Arjun", "Amara", "Kofi", "Zara", "Kwame", "Nia", "Jelani",
+    "Amina", "Chioma", "Oluwaseun", "Aisha", "Tariq", "Imani", "Sekou", "Adaeze", "Yusuf", "Fatima",
+    "Omar", "Layla", "Ali", "Nadia", "Hassan", "Mariam", "Khalid", "Zahra", "Ahmed", "Leila",
+    "Ibrahim", "Yasmin", "Carlos", "Maria", "Diego", "Sofia", "Miguel", "Lucia", "Alejandro",
+    "Valentina", "Fernando", "Camila", "Ricardo", "Isabella", "Andres", "Gabriela", "Dmitri",
+    "Anna", "Ivan", "Katya", "Alexei", "Elena", "Nikolai", "Olga", "Sergei", "Natasha", "Vladimir",
+    "Irina", "Mikhail", "Tatiana",
+]
+SURNAMES = [
+    "Smith", "Johnson", "Williams", "Brown", "Jones", "Garcia", "Miller", "Davis", "Martinez",
+    "Wilson", "Anderson", "Taylor", "Thomas", "Moore", "Jackson", "Martin", "Lee", "Thompson",
+    "White", "Harris", "Clark", "Lewis", "Robinson", "Walker", "Hall", "Young", "King", "Wright",
+    "Hill", "Scott", "Chen", "Wang", "Li", "Zhang", "Liu", "Kim", "Park", "Choi", "Nguyen", "Tran",
+    "Tanaka", "Yamamoto", "Suzuki", "Watanabe", "Patel", "Singh", "Sharma", "Kumar", "Okonkwo",
+    "Diallo", "Mensah", "Osei", "Abebe", "Adeyemi", "Nkosi", "Mbeki", "Kamara", "Toure", "Dlamini",
+    "Ndlovu", "Mohammed", "Ahmed", "Hassan", "Khan", "Ali", "Ibrahim", "Hussein", "Malik", "Nazari",
+    "Hosseini", "Rahman", "Begum", "Rodriguez", "Lopez", "Gonzalez", "Hernandez", "Perez",
+    "Sanchez", "Ramirez", "Torres", "Flores", "Rivera", "Gomez", "Diaz", "Reyes", "Morales", "Cruz",
+    "Ortiz", "Ivanov", "Petrov", "Kowalski", "Novak", "Horvat", "Popov", "Volkov", "Kozlov",
+    "Nowak", "Kovalenko", "Bondarenko", "Shevchenko", "O'Brien", "Murphy", "Kelly", "Sullivan",
+    "O'Connor", "Walsh", "Ryan", "Byrne", "MacDonald", "Campbell", "Stewart", "Murray", "Fraser",
+    "MacLeod",
+]
+URL_DOMAINS = [
+    "example", "test", "invalid", "localhost",
+]
+URL_TLDS = [
+    "com", "org", "net", "edu", "gov", "info", "biz", "co", "io", "dev",
+]
 URL_PATHS = [
     "", "/page", "/info", "/about", "/contact", "/data", "/home", "/products", "/services",
     "/support", "/help", "/faq", "/terms", "/privacy", "/account", "/dashboard",
 ]
-COMPANY_PREFIXES = """
-Acme Global United Pacific Atlantic Northern Summit Horizon Apex Vanguard Pinnacle Premier Elite
-Prime Sterling Meridian Coastal Central National Continental Metro Allied Dynamic Synergy Fusion
-Vertex Quantum Nova Titan Omega Pioneer Frontier Legacy Heritage Keystone Benchmark Catalyst
-Spectrum Nexus Compass
-""".split()
+COMPANY_PREFIXES = [
+    "Acme", "Global", "United", "Pacific", "Atlantic", "Northern", "Summit", "Horizon", "Apex",
+    "Vanguard", "Pinnacle", "Premier", "Elite", "Prime", "Sterling", "Meridian", "Coastal",
+    "Central", "National", "Continental", "Metro", "Allied", "Dynamic", "Synergy", "Fusion",
+    "Vertex", "Quantum", "Nova", "Titan", "Omega", "Pioneer", "Frontier", "Legacy", "Heritage",
+    "Keystone", "Benchmark", "Catalyst", "Spectrum", "Nexus", "Compass",
+]
 COMPANY_SUFFIXES = [
     "Inc", "LLC", "Corp", "Industries", "Solutions", "Group", "Holdings", "Partners",
     "Enterprises", "Co", "Technologies", "Systems", "Services", "Consulting", "Associates",
@@ -182,15 +201,17 @@ COUNTRIES = [
     "South Africa", "Nigeria", "Kenya", "Egypt", "Morocco", "Ghana",
     "United Arab Emirates", "Israel", "Saudi Arabia", "Turkey",
 ]
-IBAN_COUNTRIES = """
-DE FR GB ES IT NL BE AT CH LU IE PT SE DK FI NO PL CZ HU RO BG SK SI HR RS UA GR CY MT EE LV LT
-AE SA IL TR
-""".split()
+IBAN_COUNTRIES = [
+    "DE", "FR", "GB", "ES", "IT", "NL", "BE", "AT", "CH", "LU", "IE", "PT", "SE", "DK", "FI", "NO",
+    "PL", "CZ", "HU", "RO", "BG", "SK", "SI", "HR", "RS", "UA", "GR", "CY", "MT", "EE", "LV", "LT",
+    "AE", "SA", "IL", "TR",
+]
 PASSWORD_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!@#$%"
 TOKEN_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-TOKEN_PREFIXES = """
-sk_live_ sk_test_ pk_live_ pk_test_ api_ token_ key_ secret_ access_ auth_ ghp_ gho_ ghs_ xoxb_
-xoxp_ xoxa_ AKIA ABIA ACCA bearer_ pat_ apikey_
-""".split()
+TOKEN_PREFIXES = [
+    "sk_live_", "sk_test_", "pk_live_", "pk_test_", "api_", "token_", "key_", "secret_", "access_",
+    "auth_", "ghp_", "gho_", "ghs_", "xoxb_", "xoxp_", "xoxa_", "AKIA", "ABIA", "ACCA", "bearer_",
+    "pat_", "apikey_",
+]
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GENERIC_DUMMY = "[REDACTED]"

@@ -161,6 +161,7 @@ def test_group_spans(spark):
     assert grouped(spark, "so 1988,", ["O", "B-DATEOFBIRTH", "I-DATEOFBIRTH"]) == [("1988", "DATEOFBIRTH")]
 
 
+# The two texts below and their tokens are the expected results of alignment.
 def test_align_golden(spark):
     text = "Email jonathan.reyes@example.com."
     mask_ = [("jonathan.reyes@example.com", "EMAIL", 6, 32)]

@@ -151,6 +151,7 @@ def parsed(spark, message, direction):
     return [(m.role, m.content) for m in row.x], row.y
 
 
+# Payload shapes as the providers define them, and what is read from them.
 def test_parse_messages(spark):
     assert parsed(spark, {"model": "mm", "choices": [{"message": {"content": [{"text": "Hello "}, {"text": "world"}]}}]}, "response_masked") == ([("assistant", "Hello world")], "mm")
     assert parsed(spark, {"messages": [{"content": "a"}, {"role": "system", "content": {"parts": [{"text": "b"}, "c"]}}, 5]}, "In") == ([("user", "a"), ("system", "bc")], None)
