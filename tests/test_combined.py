@@ -30,7 +30,8 @@ def matches(text, entries):
             ):
                 out.append((run[0][1], run[-1][2], label))
     kept = []
-    for s, e, label in sorted(out, key=lambda m: (m[0], -m[1], m[2])):
+    # Entries of equal words, with the same between them, are one.
+    for s, e, label in sorted(set(out), key=lambda m: (m[0], -m[1], m[2])):
         if not kept or s >= kept[-1][1] or (s, e) == kept[-1][:2]:
             kept.append((s, e, label))
     return [(text[s:e], label, s, e) for s, e, label in kept]
